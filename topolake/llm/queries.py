@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, secrets, topk, toxicity
+from . import ann, langid, mixing, packing, secrets, topk, toxicity
 from .common import fold, table
 from .sql import ORACLE
 
 
+def _tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and linked secrets of every document as counts, spans and a digest; a null text is empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +50,11 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer_path())
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
@@ -53,7 +69,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op8_language_id, op10_exact_top_k)}
+    return {f.__name__: f for f in (op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
