@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, packing, secrets, topk, toxicity
+from . import ann, langid, mixing, neardup, packing, secrets, topk, toxicity
 from .common import fold, table
 from .sql import ORACLE
 
@@ -16,6 +16,12 @@ def _tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and whether it stays, for every document."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mixing.taken(table(spark, sf_dir, "documents"))
@@ -69,7 +75,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_near_duplicates, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
