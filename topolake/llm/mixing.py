@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -74,25 +76,43 @@ class Permutation:
         return value
 
 
+def _sized(documents: DataFrame) -> DataFrame:
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    return documents.withColumns({"size": size, "tag": F.xxhash64("doc_id", "source", "text")})
+
+
+def _laid(sized: DataFrame, facts: DataFrame, runs: DataFrame, seed: int) -> DataFrame:
+    """sized with its source's facts and start, the place of a document's first word in its source.
+
+    Within a run by a window over about RUN_DOCS rows, by id and tag: rows that tie are alike, so whichever of them
+    gets a place, the same words do.
+    """
+    docs = sized.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    docs = docs.withColumn("run", F.pmod(F.xxhash64("tag", F.lit(seed)), F.col("runs")))
+    inside = Window.partitionBy("src", "run").orderBy("doc_id", "tag", "size").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(runs, ["src", "run"])
+    return docs.withColumn("start", F.col("first") + F.col("before")).drop("first", "before", "runs", "run")
+
+
 def mix(
     documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT,
     block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(docs, pieces, slots): sizes and targets, the words of each block by document, and the mix's slots.
+) -> tuple[DataFrame, DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(docs, pieces, slots, lay): sizes and targets, the words of each block by document, and the mix's slots.
 
-    docs: the documents with size, source_size and target. Words of a source are laid end to end over runs of its
+    docs: the documents with size, source_size, target and start; lay gives other columns of the documents theirs. Words of a source are laid end to end over runs of its
     documents and cut every `block` words; pieces has (src, block, doc key, words, at) for what each document gives a
-    block. slots has (shard, slot, src, block, take): per output shard multinomial source counts, a source's n-th slot
+    block. slots has (shard, slot, src, epoch, block, take): per output shard multinomial source counts, a source's n-th slot
     mapped through the permutation of its epoch n div blocks, so a block is used at most `limit` times; take cuts a
     source's last slots where its target ends inside a block.
 
     Sources are few against rows (their list and the draws by shard, one number a source and shard, are on the driver);
     rows are never collected. Runs hold about RUN_DOCS documents chosen by a hash, so a source of any size is laid out
-    in bounded tasks; output shards grow in size past MAX_SHARDS of them. Defined cases: null texts have size 0; null is a source of its own, the last; repeated rows each
-    count; an empty table gives no rows; all choices follow from the seed and the rows.
+    in bounded tasks; output shards grow in size past MAX_SHARDS of them. Defined cases: null texts have size 0; null is
+    a source of its own, the last; repeated rows each count; an empty table gives no rows; all choices follow from the
+    seed and the rows.
     """
-    docs = documents.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    docs = materialize(docs.select("doc_id", "source", "size", F.xxhash64("doc_id", "source", "text").alias("tag")), "sizes")
+    docs = materialize(_sized(documents).select("doc_id", "source", "size", "tag"), "sizes")
     sources = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     # Code point order is the order of UTF-8 bytes; null last.
     sources.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
@@ -102,18 +122,13 @@ def mix(
         [(i, r["source"], r["size"], t, 1 + r["n"] // RUN_DOCS) for i, (r, t) in enumerate(zip(sources, wanted, strict=True))],
         "src int, name string, source_size long, target double, runs long",
     )
-    docs = docs.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-
-    # Word places: within a run by a window over about RUN_DOCS rows, runs end to end by a window over run totals.
-    docs = docs.withColumn("run", F.pmod(F.xxhash64("tag", F.lit(seed)), F.col("runs")))
-    inside = Window.partitionBy("src", "run").orderBy("doc_id", "tag", "size").rowsBetween(Window.unboundedPreceding, -1)
-    runs = docs.groupBy("src", "run").agg(F.sum("size").alias("words"))
+    # Runs end to end by a window over run totals.
+    run = F.pmod(F.xxhash64("tag", F.lit(seed)), F.col("runs")).alias("run")
+    runs = docs.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("name"))).select("src", run, "size")
+    runs = runs.groupBy("src", "run").agg(F.sum("size").alias("words"))
     ends = Window.partitionBy("src").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("src", "run", F.coalesce(F.sum("words").over(ends), F.lit(0)).alias("first"))
-    placed = docs.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(runs, ["src", "run"])
-    placed = materialize(placed.select(
-        "doc_id", "src", "size", "source_size", "target", (F.col("first") + F.col("before")).alias("start")
-    ), "placed")
+    runs = materialize(runs.select("src", "run", F.coalesce(F.sum("words").over(ends), F.lit(0)).alias("first")), "runs")
+    placed = materialize(_laid(docs, facts, runs, seed).select("doc_id", "src", "size", "source_size", "target", "start"), "placed")
     held = F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block")
     low, high = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     pieces = placed.where("size > 0").select("src", "start", "size", held).select(
@@ -149,14 +164,15 @@ def mix(
                     before = epoch * r.words + spot * block - np.where(spot > order.where(r.blocks - 1), lacks, 0)
                     holds = block - np.where(got == r.blocks - 1, lacks, 0)
                     take = np.clip(r.quota - before, 0, holds)
-                    yield pd.DataFrame({"shard": r.shard, "slot": own, "src": r.src, "block": got, "take": take})
+                    yield pd.DataFrame({"shard": r.shard, "slot": own, "src": r.src, "epoch": int(epoch), "block": got, "take": take})
 
-    return placed, pieces, planned.mapInPandas(drawn, "shard int, slot long, src int, block long, take long")
+    slots = planned.mapInPandas(drawn, "shard int, slot long, src int, epoch int, block long, take long")
+    return placed, pieces, slots, lambda other: _laid(_sized(other), facts, runs, seed)
 
 
 def taken(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken): the words that the mix takes from each document, repeats counted."""
-    placed, pieces, slots = mix(documents, **options)
+    placed, pieces, slots, _ = mix(documents, **options)
     uses = slots.where("take > 0").groupBy("src", "block").agg(F.collect_list("take").alias("takes"))
     part = F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + F.greatest(F.lit(0), F.least(F.col("words"), t - F.col("at"))))
     given = pieces.join(uses, ["src", "block"]).groupBy("src", "start").agg(F.sum(part).alias("taken"))
@@ -165,3 +181,25 @@ def taken(documents: DataFrame, **options) -> DataFrame:
     return placed.withColumn("spot_", spot).join(given.withColumnRenamed("start", "spot_"), ["src", "spot_"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
     )
+
+
+def mixed(documents: DataFrame, **options) -> DataFrame:
+    """The mix as documents: each once an epoch that takes words of it, with those words as its text.
+
+    A document that an epoch takes whole keeps its text as it is; of one that it takes in part, the words taken follow
+    in their order, a space between. n_chars, where there is such a column, is set anew. A document without words is in
+    no mix.
+    """
+    names = documents.columns
+    _, pieces, slots, lay = mix(documents, **options)
+    n = F.least(F.col("words"), F.col("take") - F.col("at"))
+    first = (F.col("block") * options.get("block", BLOCK) + F.col("at") - F.col("start")).cast("int")
+    got = pieces.join(slots.where("take > 0"), ["src", "block"]).select("src", "start", "epoch", first.alias("from"), n.cast("int").alias("n"))
+    got = got.where("n > 0").groupBy("src", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("parts"), F.sum("n").alias("words"))
+    full = lay(documents).where("size > 0").join(got, ["src", "start"])
+    found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(found, p["from"] + 1, p["n"]))), " ")
+    full = full.withColumn("text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(cut))
+    if "n_chars" in names:
+        full = full.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
+    return full.select(*[F.col(f"`{c}`") for c in names])

@@ -123,7 +123,7 @@ def near_duplicates(
     documents: DataFrame, words: int = SHINGLE, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS,
     low_bits: int = LOW_BITS, block_docs: int = BLOCK_DOCS, margin: float = MARGIN, seed: int = SEED,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, class_id) for every document: components of links of at least num / den.
+    """(doc_id, n_shingles, component_id, kept, tag) for every document: components of links of at least num / den.
 
     One pass makes each document's set size, class (a hash of its set; equal sets are one class), band keys and packed
     low bits. Classes that share a band key with another form candidate groups; a band of four minima misses a pair at
@@ -150,7 +150,7 @@ def near_duplicates(
         return pd.DataFrame(out, columns=["n_shingles", "class_id", "bands", "packed"])
 
     docs = documents.select("doc_id", "text")
-    sketched = materialize(docs.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", "s.*"), "sketches")
+    sketched = materialize(docs.select("doc_id", F.xxhash64("text").alias("tag"), sketch(F.col("text")).alias("s")).select("doc_id", "tag", "s.*"), "sketches")
     classes = materialize(
         sketched.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")),
         "classes",
@@ -238,7 +238,14 @@ def near_duplicates(
     named = joined.join(names, "root").select(F.col("node").alias("class_id"), F.col("component_id").alias("joined_"))
     # A class without links is its own component, named by its own smallest document.
     label = classes.select("class_id", "least").join(named, "class_id", "left").select("class_id", F.coalesce("joined_", "least").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "class_id").join(label, "class_id", "left")
+    out = sketched.select("doc_id", "tag", "n_shingles", "class_id").join(label, "class_id", "left")
     own_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.col("doc_id").eqNullSafe(own_id).alias("kept"), "class_id")
+    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.col("doc_id").eqNullSafe(own_id).alias("kept"), "tag")
 
+
+
+def without_copies(documents: DataFrame, **options) -> DataFrame:
+    """documents, of each component the ones that stay: those of its smallest id. Rows alike in all columns stay alike."""
+    kept = near_duplicates(documents, **options).where("kept").select(F.col("doc_id").alias("kept_id_"), F.col("tag").alias("kept_tag_")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.xxhash64("text") == F.col("kept_tag_"))
+    return documents.join(kept, same, "left_semi")

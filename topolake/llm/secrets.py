@@ -125,3 +125,13 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))),
     )
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """documents with each found span replaced by the mark; n_chars, where there is such a column, set anew."""
+    found = scan(documents)
+    clean = found.withColumn("text", redact(F.col("text"), F.col("secrets_"), mark))
+    if "n_chars" in documents.columns:
+        size = F.char_length("text").cast(documents.schema["n_chars"].dataType)
+        clean = clean.withColumn("n_chars", F.when(F.size("secrets_") > 0, size).otherwise(F.col("n_chars")))
+    return clean.select(*[F.col(f"`{c}`") for c in documents.columns])
