@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,12 @@ def drop(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more; it does so when the driver collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

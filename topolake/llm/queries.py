@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, neardup, packing, secrets, topk, toxicity
+from . import ann, langid, mixing, neardup, ngram_lm, packing, secrets, topk, toxicity
 from .common import fold, table
 from .sql import ORACLE
 
@@ -69,13 +69,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learnt outside the held-out fifth."""
+    held = fold("doc_id", 5, 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held & F.col("doc_id").isNotNull()).alias("train"))
+    found = ngram_lm.score_texts(docs, "train")
+    return found.select("doc_id", fold("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five largest integer inner products of every query vector."""
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_near_duplicates, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op9_lm_scoring, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
