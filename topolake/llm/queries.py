@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, neardup, ngram_lm, packing, secrets, topk, toxicity
+from . import ann, langid, mixing, neardup, ngram_lm, packing, repeats, secrets, topk, toxicity
 from .common import fold, table
 from .sql import ORACLE
 
@@ -22,6 +22,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 50-byte repeats of documents of smaller id take from every document."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mixing.taken(table(spark, sf_dir, "documents"))
@@ -83,7 +89,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op9_lm_scoring, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_repeat_removal, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op9_lm_scoring, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -62,4 +62,21 @@ m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.component_id, n.doc_id = m.component_id AS kept FROM n JOIN m USING (doc_id)
 """
 
-ORACLE = {"op1_near_duplicates": _NEAR, "op4_secret_scans": _SECRETS, "op10_exact_top_k": _TOP_K}
+_REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS spot, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, spot, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT rid, spot, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+m AS (SELECT s, min(spot) AS lo FROM w GROUP BY s),
+k AS (SELECT rid, i FROM w JOIN m USING (s) WHERE m.lo < w.spot),
+f AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM k),
+n AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM f),
+r AS (SELECT rid, run, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY rid, run),
+p AS (SELECT rid, run, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY run), 0) AS z FROM r),
+t AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed,
+             string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY run) || substr(any_value(h), 2 * max(b) + 1) AS kept
+      FROM p JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (rid)
+"""
+
+ORACLE = {"op1_near_duplicates": _NEAR, "op2_repeat_removal": _REPEATS, "op4_secret_scans": _SECRETS, "op10_exact_top_k": _TOP_K}
