@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,9 +64,15 @@ def drop(df: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing holds any more; it does so when the driver collects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nothing holds any more.
+
+    Its cleaner acts when the driver's JVM has found them unreachable; the first collection only frees what still leads
+    to them, so there are two, and the cleaner's thread gets a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
