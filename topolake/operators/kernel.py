@@ -38,20 +38,23 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, star
     each (seed, node) is expanded once, whatever the number of paths.
     """
     step = edges.select("dataset", F.col("src").alias("node"), F.col("dst").alias("next"))
-    first = seeds.select("dataset", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array("seed").alias("path")).distinct()
+    first = seeds.select("dataset", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
+    first = first.withColumn("path", F.array("seed")) if paths else first
     frontier, seen = first, None if start_on_cycle else first
     for depth in range(1, (max_depth or MAX_ROUNDS) + 1):
-        path = F.concat("path", F.array("next")) if paths else F.array().cast("array<string>")
-        new = frontier.join(step, ["dataset", "node"]).select("dataset", "seed", F.col("next").alias("node"), F.lit(depth).alias("depth"), path.alias("path"))
-        new = new.groupBy("dataset", "seed", "node", "depth").agg(F.min("path").alias("path")) if paths else new.distinct()
+        new = frontier.drop("depth").join(step, ["dataset", "node"])
+        keys = ["dataset", "seed", F.col("next").alias("node"), F.lit(depth).alias("depth")]
+        if paths:
+            new = new.groupBy(*keys).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
+        else:
+            new = new.select(*keys).distinct()
         if seen is not None:
             new = new.join(seen.select("dataset", "seed", "node"), ["dataset", "seed", "node"], "left_anti").select(*new.columns)
         frontier = written(new, "frontier")
         if frontier.isEmpty():
             break
         seen = frontier if seen is None else seen.unionByName(frontier)
-    seen = frontier if seen is None else seen
-    return seen if paths else seen.drop("path")
+    return frontier if seen is None else seen
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import topology
+from . import provenance, topology
 
-_MODULES = (topology,)
+_MODULES = (topology, provenance)
 
 
 def queries() -> dict:
