@@ -13,44 +13,53 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tidy
 
-LENGTH, ANCHOR, GROUP_BYTES, BUCKET_BYTES, CHUNK_SEGMENTS = 50, 24, 6_000_000, 24_000_000, 20_000
+LENGTH, ANCHOR, GROUP_BYTES, BUCKET_BYTES, CHUNK_SEGMENTS = 50, 24, 6_000_000, 24_000_000, 10_000
 _PLACE = np.uint64((1 << 26) - 1)
 _NEVER = np.uint64(2**64 - 1)
 
 
 class Columns:
-    """The transform's columns (preceding symbol, common prefix, segment, suffix length) as files rewritten in order."""
-
-    KINDS = {"symbol": np.uint16, "prefix": np.uint8, "segment": np.int32, "size": np.uint8}
+    """The transform's columns, preceding symbols and common prefixes, as files that each round rewrites in order."""
 
     def __init__(self, folder: str) -> None:
         self.folder, self.turn = Path(folder), 0
 
-    def write(self, **columns: np.ndarray) -> None:
+    def write(self, symbol: np.ndarray, prefix: np.ndarray) -> None:
         self.turn += 1
-        for name, kind in self.KINDS.items():
-            columns[name].astype(kind, copy=False).tofile(self.folder / f"{name}{self.turn % 2}")
+        symbol.tofile(self.folder / f"symbol{self.turn % 2}")
+        prefix.tofile(self.folder / f"prefix{self.turn % 2}")
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        symbol = np.fromfile(self.folder / f"symbol{self.turn % 2}", np.uint16 if self.wide else np.uint8)
+        return symbol, np.fromfile(self.folder / f"prefix{self.turn % 2}", np.uint8)
 
-    def read(self, name: str) -> np.ndarray:
-        return np.fromfile(self.folder / f"{name}{self.turn % 2}", self.KINDS[name])
+    wide = False
 
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """min(values[low:high]) of each range, low < high."""
-    out, step = np.empty(len(low), values.dtype), 2_000_000
-    sizes = high - low
-    ends = np.cumsum(sizes)
-    at = 0
+    """min(values[low:high]) of each range, low < high; a part of the ranges at a time."""
+    sizes = (high - low).astype(np.int64)
+    ends, out, at = np.cumsum(sizes), np.empty(len(low), values.dtype), 0
     while at < len(low):
-        base = ends[at] - sizes[at]
-        stop = max(at + 1, int(np.searchsorted(ends, base + step, "right")))
-        n, first = sizes[at:stop], ends[at:stop] - sizes[at:stop] - base
-        flat = np.arange(int(ends[stop - 1] - base)) + np.repeat(low[at:stop] - first, n)
+        base = int(ends[at] - sizes[at])
+        stop = max(at + 1, int(np.searchsorted(ends, base + 4_000_000, "right")))
+        first = ends[at:stop] - sizes[at:stop] - base
+        flat = np.arange(int(ends[stop - 1]) - base) + np.repeat(low[at:stop] - first, sizes[at:stop])
         out[at:stop] = np.minimum.reduceat(values[flat], first)
         at = stop
     return out
 
 
+def _by_symbol(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with a symbol by (symbol, row), and where a new symbol begins among them, the end included."""
+    counts = np.bincount(symbol)
+    order = np.argsort(symbol, kind="stable")[counts[0] :].astype(np.int32)
+    heads = np.zeros(len(order) + 1, bool)
+    heads[0] = True
+    heads[np.cumsum(counts[1:])] = True
+    return order, heads
+
+
 def collection_transform(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, files: Columns) -> None:
     """Builds the transform and common prefixes of all suffixes of the segments, one symbol a segment each round.
 
@@ -58,61 +67,70 @@ def collection_transform(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndar
     of length j - 1: after all smaller symbols, and after as many equal ones as stand before it in the transform. Its
     common prefix with its neighbours is one more than the least between the two equal symbols. Earlier suffixes keep
     their order, so each column is merged with the insertions in one sequential rewrite. Segments have symbols from 1;
-    0 stands before a whole segment. Ends differ and sort by segment.
+    0 stands before a whole segment. Ends differ and sort by segment. Prefixes are held at 255.
     """
     m = len(starts)
-    symbol = symbols[starts + sizes - 1].astype(np.uint16)
-    prefix, segment, size = np.zeros(m, np.uint8), np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
-    files.write(symbol=symbol, prefix=prefix, segment=segment, size=size)
-    place = np.arange(m)
+    files.write(symbols[starts + sizes - 1], np.zeros(m, np.uint8))
+    place, now = np.arange(m), np.arange(m)
     for j in range(1, int(sizes.max()) + 1):
-        symbol, prefix = files.read("symbol"), files.read("prefix")
-        now = np.flatnonzero(sizes >= j)
-        order = np.argsort(symbol, kind="stable")
-        finished = int(np.searchsorted(symbol[order], 1))
-        order = order[finished:]
-        rank = np.empty(len(symbol), np.int64)
-        rank[order] = np.arange(len(order))
-        mine = rank[place[now]]  # among all suffixes with a first symbol
-        ordered = symbol[order]
-        touched = np.unique(np.concatenate([mine, mine[mine + 1 < len(order)] + 1]))
-        same = np.zeros(len(touched), bool)
-        inner = touched > 0
-        same[inner] = ordered[touched[inner]] == ordered[touched[inner] - 1]
-        common = np.zeros(len(touched), np.uint8)
-        u = touched[same]
-        if len(u):
-            common[same] = np.minimum(_range_min(prefix, order[u - 1] + 1, order[u] + 1), 254) + 1
-        total, at = m + len(order), m + mine
-        kept = np.ones(total, bool)
-        kept[at] = False
+        symbol, prefix = files.read()
+        live = sizes[now] >= j
+        now, place = now[live], place[live]
+        order, heads = _by_symbol(symbol)
+        rank = np.empty(len(symbol), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        mine = rank[place]  # among all suffixes with a first symbol
+        touched = np.zeros(len(order) + 1, bool)
+        touched[mine] = touched[mine + 1] = True
+        touched[-1] = False
+        inner = np.flatnonzero(touched & ~heads)
+        kept = np.ones(m + len(order), bool)
+        kept[m + mine] = False
         left = sizes[now] - j
-        before = np.where(left > 0, symbols[starts[now] + np.maximum(left - 1, 0)], 0)
-        new = {}
-        for name, inserted in (("symbol", before), ("segment", now), ("size", j), ("prefix", 0)):
-            column = np.empty(total, Columns.KINDS[name])
-            column[kept] = {"symbol": symbol, "prefix": prefix}[name] if name in ("symbol", "prefix") else files.read(name)
-            column[at] = inserted
-            new[name] = column
-        new["prefix"][m + touched] = common
-        files.write(**new)
-        place[now] = at
-
-
-def least_holders(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, holder: np.ndarray, length: int) -> np.ndarray:
-    """For each `length`-symbol window of each segment, in order, the least holder of a segment with that window."""
+        column = np.empty(len(kept), symbol.dtype)
+        column[kept] = symbol
+        column[m + mine] = np.where(left > 0, symbols[starts[now] + np.maximum(left - 1, 0)], 0)
+        common = np.empty(len(kept), np.uint8)
+        common[kept] = prefix
+        common[m + np.flatnonzero(touched & heads)] = 0
+        if len(inner):
+            common[m + inner] = np.minimum(_range_min(prefix, order[inner - 1] + 1, order[inner] + 1), 254) + 1
+        files.write(column, common)
+        place = m + mine
+
+
+def least_holders(data: bytes, sizes: np.ndarray, holder: np.ndarray, length: int) -> np.ndarray:
+    """For each `length`-byte window of each segment, in order, the least holder of a segment with that window.
+
+    Segments lie one after another in data. After the transform, each segment is followed back through it from its end
+    to find the rows of its suffixes; rows between which the common prefix falls below `length` are other windows.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    used, codes = np.unique(raw, return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
     windows = sizes - length + 1
     first = np.cumsum(windows) - windows
     with tempfile.TemporaryDirectory(prefix="transform-") as folder:
         files = Columns(folder)
-        collection_transform(symbols, starts, sizes, files)
-        prefix, segment, size = files.read("prefix"), files.read("segment"), files.read("size").astype(np.int64)
-    group = np.flatnonzero(prefix < length)
-    least = np.minimum.reduceat(holder[segment], group)
-    least = np.repeat(least, np.diff(np.append(group, len(prefix))))
-    long_ = size >= length
+        files.wide = len(used) > 254
+        collection_transform((codes + 1).astype(np.uint16 if files.wide else np.uint8), starts, sizes, files)
+        symbol, prefix = files.read()
+    order, _ = _by_symbol(symbol)
+    back = np.empty(len(symbol), np.int64)
+    back[order] = np.arange(len(order)) + len(starts)
+    row, now, found = np.arange(len(starts)), np.arange(len(starts)), []
+    for j in range(1, int(sizes.max()) + 1):
+        live = sizes[now] >= j
+        now, row = now[live], back[row[live]]
+        if j >= length:
+            found.append((row, now, first[now] + sizes[now] - j))
+    rows, owner, spot = (np.concatenate(x) for x in zip(*found, strict=True))
+    held = np.full(len(prefix), 2**63 - 1, np.int64)
+    held[rows] = holder[owner]
+    other = prefix < length
+    least = np.minimum.reduceat(held, np.flatnonzero(other))
     out = np.empty(int(windows.sum()), np.int64)
-    out[first[segment[long_]] + sizes[segment[long_]] - size[long_]] = least[long_]
+    out[spot] = least[np.cumsum(other)[rows] - 1]
     return out
 
 
@@ -188,11 +206,13 @@ class Windows:
         new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
         heads = np.flatnonzero(new)
         counts = np.diff(np.append(heads, len(at)))
-        return np.column_stack([low + at[heads], counts, doc[at[heads]]]), h[place[heads]]
+        # Anchors have small hashes; another product spreads them over the buckets.
+        return np.column_stack([low + at[heads], counts, doc[at[heads]]]), h[place[heads]] * np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    """Ranges of hashes, so that what is in order of hashes is in order of buckets."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -200,84 +220,72 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
 
 
 def _anchors(w: Windows, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct anchors by (bucket, hash), whether two or more of the group's documents have each, and bucket cuts."""
-    order = np.lexsort((w.runs[:, 2], w.anchors))
+    """Distinct anchors in order, whether two or more of the group's documents have each, and bucket cuts."""
+    order = np.argsort(w.anchors, kind="stable")  # runs are in order of documents
     h, d = w.anchors[order], w.runs[order, 2]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    head = np.flatnonzero(new)
-    many = np.zeros(len(head), bool)
-    if len(head):
-        last = np.append(head[1:], len(h)) - 1
-        many = d[last] != d[head]
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    many = d[np.append(head[1:], len(h)) - 1] != d[head] if len(h) else np.empty(0, bool)
     h = h[head]
-    b = _buckets(h, buckets)
-    by = np.argsort(b, kind="stable")
-    return h[by], many[by], np.searchsorted(b[by], np.arange(buckets + 1))
+    return h, many, np.searchsorted(_buckets(h, buckets), np.arange(buckets + 1))
 
 
 class Segments:
-    """The distinct texts of a group's runs with shared anchors, by (bucket, anchor), and each run's own."""
+    """The distinct texts of a group's runs with shared anchors, by anchor, and each run's own."""
 
     def __init__(self, w: Windows, shared: np.ndarray, buckets: int) -> None:
-        at = np.flatnonzero(np.isin(w.anchors, shared))
-        self.runs, data = w.runs[at], w.data.tobytes()
-        anchors = w.anchors[at]
-        order = np.lexsort((anchors, _buckets(anchors, buckets)))
-        number: dict[bytes, int] = {}
-        self.of = np.empty(len(at), np.int64)
-        firsts = []
-        for i in order.tolist():
-            s, n, _ = self.runs[i]
-            text = data[s : s + n - 1 + w.length]
-            k = number.setdefault(text, len(number))
-            if k == len(firsts):
-                firsts.append(i)
-            self.of[i] = k
-        self.texts, self.anchors = list(number), anchors[firsts] if firsts else np.empty(0, np.uint64)
-        self.windows = self.runs[firsts, 1] if firsts else np.empty(0, np.int64)
+        shared = np.sort(shared)
+        spot = np.searchsorted(shared, w.anchors)
+        spot[spot == len(shared)] = 0
+        at = np.flatnonzero(shared[spot] == w.anchors) if len(shared) else np.empty(0, np.int64)
+        at = at[np.argsort(w.anchors[at], kind="stable")]
+        self.runs, anchors = w.runs[at], w.anchors[at]
+        data, number = w.data.tobytes(), {}
+        first, last = self.runs[:, 0], self.runs[:, 0] + self.runs[:, 1] - 1 + w.length
+        texts = [data[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+        self.of = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+        heads = np.unique(self.of, return_index=True)[1]
+        self.texts, self.anchors, self.windows = list(number), anchors[heads], self.runs[heads, 1]
         self.cuts = np.searchsorted(_buckets(self.anchors, buckets), np.arange(buckets + 1))
 
 
 def _resolve(blobs: list[tuple[int, bytes]], length: int, chunk: int):
-    """Each request's segments, in its order, with the least holder of every window."""
+    """Each request's segments, in its order, with the least holder of every window.
+
+    A text that several groups sent is one segment with its least holder. Equal windows have equal anchors, so the
+    segments of one anchor are a collection of their own, and chunks of the transform hold whole collections; one that
+    has a single member is known without it.
+    """
     number: dict[bytes, int] = {}
-    anchors, holders, asked = [], [], []
+    asked, hashes, leasts = [], [], []
     for g, blob in blobs:
         raw = zstandard.decompress(blob)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        h, least = np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n)
-        sizes = np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64)
-        ends = np.cumsum(sizes) + 8 + 17 * n
-        own = np.empty(n, np.int64)
-        for i, (e, s) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
-            k = own[i] = number.setdefault(raw[e - s : e], len(number))
-            if k == len(anchors):
-                anchors.append(h[i])
-                holders.append(least[i])
-            elif least[i] < holders[k]:
-                holders[k] = least[i]
-        asked.append((g, own))
-    texts, holder = list(number), np.array(holders, np.int64)
-    sizes = np.array([len(t) for t in texts], np.int64)
+        hashes.append(np.frombuffer(raw, np.uint64, n, 8))
+        leasts.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
+        ends = np.cumsum(np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64)) + 8 + 17 * n
+        cuts = [8 + 17 * n, *ends.tolist()]
+        asked.append((g, np.fromiter((number.setdefault(raw[i:j], len(number)) for i, j in zip(cuts, cuts[1:], strict=False)), np.int64, n)))
+    texts, owns = list(number), np.concatenate([own for _, own in asked])
+    holder = np.full(len(texts), 2**63 - 1, np.int64)
+    np.minimum.at(holder, owns, np.concatenate(leasts))
+    anchors = np.empty(len(texts), np.uint64)
+    anchors[owns] = np.concatenate(hashes)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     windows = sizes - length + 1
     first = np.cumsum(windows) - windows
-    out = np.empty(int(windows.sum()), np.int64)
-    # Equal windows have equal anchors: segments of one anchor are transformed together, chunks hold whole anchors.
-    order = np.argsort(np.array(anchors, np.uint64), kind="stable")
-    h = np.array(anchors, np.uint64)[order]
-    heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    out = np.repeat(holder, windows)
+    order = np.argsort(anchors, kind="stable")
+    heads = np.flatnonzero(np.append(True, anchors[order][1:] != anchors[order][:-1]))
+    alone = np.diff(np.append(heads, len(order))) == 1
+    order = order[np.repeat(~alone, np.diff(np.append(heads, len(order))))]
+    heads = np.append(np.flatnonzero(np.append(True, anchors[order][1:] != anchors[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
     at = 0
     while at < len(order):
         j = np.searchsorted(heads, at + chunk, "right") - 1
-        stop = int(heads[j]) if heads[j] > at else (int(heads[j + 1]) if j + 1 < len(heads) else len(order))
-        if at + chunk >= len(order):
-            stop = len(order)
+        stop = int(heads[j]) if heads[j] > at else int(heads[j + 1])
         part = order[at:stop]
-        n = sizes[part]
-        symbols = np.frombuffer(b"".join(texts[i] for i in part.tolist()), np.uint8).astype(np.uint16) + 1
-        got = least_holders(symbols, np.cumsum(n) - n, n, holder[part], length)
         count = windows[part]
+        got = least_holders(b"".join(texts[i] for i in part.tolist()), sizes[part], holder[part], length)
         out[np.repeat(first[part] - (np.cumsum(count) - count), count) + np.arange(len(got))] = got
         at = stop
     for g, own in asked:
@@ -319,13 +327,8 @@ def remove_repeats(
         pdf = pdf.sort_values(["at", "text"], ignore_index=True)
         return pdf, Windows(list(pdf["text"]), length, anchor)
 
-    def shared_of(w: Windows, answers: pd.DataFrame) -> np.ndarray:
-        h, _, cuts = _anchors(w, buckets)
-        shared = [np.empty(0, np.uint64)]
-        for b, x in zip(answers["bucket"], answers["blob"], strict=True):
-            own = h[cuts[b] : cuts[b + 1]]
-            shared.append(own[np.unpackbits(np.frombuffer(zstandard.decompress(x), np.uint8), count=len(own)).astype(bool)])
-        return np.concatenate(shared)
+    def shared_of(answers: pd.DataFrame) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(zstandard.decompress(x), np.uint64) for x in answers["blob"])])
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         g = int(pdf["g"].iloc[0])
@@ -343,7 +346,7 @@ def remove_repeats(
         distinct, at = np.unique(np.concatenate(hs), return_inverse=True)
         docs = np.bincount(at, 1 + np.concatenate(many), len(distinct)) >= 2
         cuts = np.cumsum([0, *map(len, hs)])
-        blobs = [_squeeze(np.packbits(docs[at[i:j]])) for i, j in zip(cuts, cuts[1:], strict=False)]
+        blobs = [_squeeze(h[docs[at[i:j]]]) for h, i, j in zip(hs, cuts, cuts[1:], strict=False)]
         return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "g": pdf["g"].to_numpy(), "blob": blobs})
 
     asked = rows.groupBy("g").applyInPandas(ask, blob)
@@ -353,7 +356,7 @@ def remove_repeats(
     def send(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         g = int(pdf["g"].iloc[0])
         pdf, w = opened(pdf)
-        s = Segments(w, shared_of(w, answers), buckets)
+        s = Segments(w, shared_of(answers), buckets)
         least = np.full(len(s.texts), 2**63 - 1, np.int64)
         np.minimum.at(least, s.of, pdf["at"].to_numpy(np.int64)[s.runs[:, 2]])
         sizes = (s.windows + length - 1).astype(np.uint8)
@@ -375,7 +378,7 @@ def remove_repeats(
 
     def cut(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         pdf, w = opened(pdf)
-        s = Segments(w, shared_of(w, answers[answers["kind"] == 0]), buckets)
+        s = Segments(w, shared_of(answers[answers["kind"] == 0]), buckets)
         least = np.empty(int(s.windows.sum()), np.int64)
         first = np.cumsum(s.windows) - s.windows
         bounds = np.append(first, len(least))[s.cuts]
@@ -388,7 +391,7 @@ def remove_repeats(
         edge = np.zeros(len(w.data) + 1, np.int32)
         spots = (np.repeat(s.runs[:, 0], count) + inside)[again]
         np.add.at(edge, spots, 1)
-        np.add.at(edge, spots + length, -1)
+        np.subtract.at(edge, spots + length, 1)
         gone = np.cumsum(edge[:-1]) > 0
         out = []
         for i, n in zip(w.starts.tolist(), w.sizes.tolist(), strict=True):
