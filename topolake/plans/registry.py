@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import provenance, topology
+from . import provenance, scoring, topology
 
-_MODULES = (topology, provenance)
+_MODULES = (topology, provenance, scoring)
 
 
 def queries() -> dict:
