@@ -13,27 +13,39 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tidy
 
-LENGTH, ANCHOR, GROUP_BYTES, BUCKET_BYTES, CHUNK_SEGMENTS = 50, 24, 6_000_000, 24_000_000, 10_000
+LENGTH, ANCHOR, GROUP_BYTES, BUCKET_BYTES, CHUNK_SEGMENTS = 50, 24, 6_000_000, 10_000_000, 5_000
 _PLACE = np.uint64((1 << 26) - 1)
 _NEVER = np.uint64(2**64 - 1)
 
 
 class Columns:
-    """The transform's columns, preceding symbols and common prefixes, as files that each round rewrites in order."""
+    """The transform's columns, preceding symbols and common prefixes, as files that each round rewrites in order.
 
-    def __init__(self, folder: str) -> None:
-        self.folder, self.turn = Path(folder), 0
+    Two files a column take turns and stay open: columns only grow, so nothing is ever cut off or flushed early.
+    """
+
+    def __init__(self, folder: str, kind: type = np.uint8) -> None:
+        self.files = {(name, turn): (Path(folder) / f"{name}{turn}").open("w+b", buffering=0) for name in ("symbol", "prefix") for turn in (0, 1)}
+        self.kinds, self.turn, self.rows = {"symbol": kind, "prefix": np.uint8}, 0, 0
 
     def write(self, symbol: np.ndarray, prefix: np.ndarray) -> None:
-        self.turn += 1
-        symbol.tofile(self.folder / f"symbol{self.turn % 2}")
-        prefix.tofile(self.folder / f"prefix{self.turn % 2}")
+        self.turn, self.rows = 1 - self.turn, len(symbol)
+        for name, column in (("symbol", symbol), ("prefix", prefix)):
+            file = self.files[name, self.turn]
+            file.seek(0)
+            column.tofile(file)
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
-        symbol = np.fromfile(self.folder / f"symbol{self.turn % 2}", np.uint16 if self.wide else np.uint8)
-        return symbol, np.fromfile(self.folder / f"prefix{self.turn % 2}", np.uint8)
+        out = []
+        for name in ("symbol", "prefix"):
+            file = self.files[name, self.turn]
+            file.seek(0)
+            out.append(np.fromfile(file, self.kinds[name], self.rows))
+        return out[0], out[1]
 
-    wide = False
+    def close(self) -> None:
+        for file in self.files.values():
+            file.close()
 
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -44,7 +56,8 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
         base = int(ends[at] - sizes[at])
         stop = max(at + 1, int(np.searchsorted(ends, base + 4_000_000, "right")))
         first = ends[at:stop] - sizes[at:stop] - base
-        flat = np.arange(int(ends[stop - 1]) - base) + np.repeat(low[at:stop] - first, sizes[at:stop])
+        flat = np.arange(int(ends[stop - 1]) - base, dtype=np.int32)
+        flat += np.repeat((low[at:stop] - first).astype(np.int32), sizes[at:stop])
         out[at:stop] = np.minimum.reduceat(values[flat], first)
         at = stop
     return out
@@ -111,10 +124,11 @@ def least_holders(data: bytes, sizes: np.ndarray, holder: np.ndarray, length: in
     windows = sizes - length + 1
     first = np.cumsum(windows) - windows
     with tempfile.TemporaryDirectory(prefix="transform-") as folder:
-        files = Columns(folder)
-        files.wide = len(used) > 254
-        collection_transform((codes + 1).astype(np.uint16 if files.wide else np.uint8), starts, sizes, files)
+        kind = np.uint16 if len(used) > 254 else np.uint8
+        files = Columns(folder, kind)
+        collection_transform((codes + 1).astype(kind), starts, sizes, files)
         symbol, prefix = files.read()
+        files.close()
     order, _ = _by_symbol(symbol)
     back = np.empty(len(symbol), np.int64)
     back[order] = np.arange(len(order)) + len(starts)
