@@ -2,6 +2,7 @@
 
 Edges are (dataset, src, dst); every operator runs all graphs and all start nodes at once. A round is one equi-join of
 the frontier with the edges, combined per node before the shuffle; its result is written, so plans stay one round deep.
+Graphs counted to be small are searched whole, a dataset a task, instead (small.py).
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from topolake.sources.storage import written
 
+from . import small
+
 MAX_ROUNDS = 200
 
 
@@ -37,6 +40,11 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, star
     least one by names among the shortest, the start included. Frontier rows that were seen before are dropped, so
     each (seed, node) is expanded once, whatever the number of paths.
     """
+    if small.fits(edges, seeds):
+        node = edges.schema["src"].dataType.simpleString()
+        schema = f"dataset string, seed {node}, node {node}, depth int" + (f", path array<{node}>" if paths else "")
+        run = small.reacher(max_depth or MAX_ROUNDS, start_on_cycle, paths)
+        return edges.groupBy("dataset").cogroup(seeds.distinct().groupBy("dataset")).applyInPandas(run, schema)
     step = edges.select("dataset", F.col("src").alias("node"), F.col("dst").alias("next"))
     first = seeds.select("dataset", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
     first = first.withColumn("path", F.array("seed")) if paths else first
@@ -63,6 +71,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round takes the least label of a node's neighbourhood and then its label's label, so rounds grow with the
     logarithm of the diameter on the fixtures' shapes; it ends when no label changes.
     """
+    if small.fits(nodes, edges):
+        known = directed(edges)
+        return nodes.select("dataset", "name", "node_id").groupBy("dataset").cogroup(known.groupBy("dataset")).applyInPandas(small.united, "dataset string, name string, comp int")
     both = undirected(edges)
     label = nodes.select("dataset", "name", F.col("node_id").alias("comp"))
     ids = label.select("dataset", F.col("comp").alias("id"), F.col("name").alias("id_name"))
@@ -83,6 +94,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 60) -> DataFrame:
     """(dataset, name, rank) by power iteration on the undirected edges, dangling mass spread evenly; ranks sum to 1."""
     both = undirected(edges)
+    if small.fits(nodes, both):
+        return nodes.select("dataset", "name").groupBy("dataset").cogroup(both.groupBy("dataset")).applyInPandas(small.ranker(damping, rounds), "dataset string, name string, rank double")
     out = both.groupBy("dataset", F.col("src").alias("name")).agg(F.count("*").alias("deg"))
     total = nodes.groupBy("dataset").agg(F.count("*").alias("n"))
     base = nodes.select("dataset", "name").join(F.broadcast(total), "dataset").join(out, ["dataset", "name"], "left")

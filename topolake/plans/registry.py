@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import provenance, scoring, topology
+from . import features, provenance, scoring, topology
 
-_MODULES = (topology, provenance, scoring)
+_MODULES = (topology, features, provenance, scoring)
 
 
 def queries() -> dict:
