@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -12,49 +15,105 @@ from pyspark.sql import functions as F
 from .common import drop, materialize
 
 CAPACITY, END_ID, PART_TOKENS, ROUNDS = 2048, 0, 8_000_000, 4
-MAX_WORD, MAX_CACHED = 64, 400_000
+MAX_WORD, MAX_CACHED, MARKS = 64, 700_000, b".,;:!?"
 
 
 class WordTokenizer:
     """Token ids of whole texts, by memory of what stands between ASCII white space.
 
-    The tokenizer drops white space and never joins text across it, so a text's ids are those of its parts in turn.
-    Parts of over MAX_WORD bytes are not remembered; the memory is emptied at MAX_CACHED parts.
+    The tokenizer drops white space, lowers capitals and never joins text across white space, so a text's ids are those
+    of its parts, lower-cased, in turn. Nor does it join a letter and a mark after it: a part that ends in one of MARKS
+    after an ASCII letter is the rest and the mark. New parts of letters alone are one word each to the tokenizer; many
+    are coded as one text and told apart by its tokens that end a word. Parts of over MAX_WORD bytes are not
+    remembered; at MAX_CACHED parts those in use become the older half of the memory, and what is not asked for until
+    the next time goes.
     """
 
     def __init__(self, path: str) -> None:
+        # A worker has one core; the library's own threads would compete for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.marks = {bytes([c]): self._each([chr(c)])[0] for c in MARKS}
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [array("I", c.ids).tobytes() for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _words(self, words: list[str], together: int = 100) -> list[bytes]:
+        """Ids of each of some words of letters."""
+        parts = [words[i : i + together] for i in range(0, len(words), together)]
+        out: list[bytes] = []
+        for part, coded in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                out += self._each(part)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            out += [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+        return out
+
+    def _learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new parts; what is short enough is remembered."""
+        passing, ended = {}, []
+        plain, other = {}, {}
+        for w in parts:
+            if w[-1:] in self.marks and w[-2:-1].isalpha() and len(w) <= MAX_WORD:
+                ended.append(w)
+                w = w[:-1]
+                if w in self.known:
+                    continue
+            text = w.decode("utf-8", "replace")
+            (plain if text.isalpha() and len(w) <= MAX_WORD else other)[w] = text
+        for found, code, step in ((plain, self._words, 20_000), (other, self._each, 5_000)):
+            names, texts = list(found), list(found.values())
+            for at in range(0, len(names), step):
+                for w, ids in zip(names[at : at + step], code(texts[at : at + step]), strict=True):
+                    (self.known if len(w) <= MAX_WORD else passing)[w] = ids
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.marks[w[-1:]]
+        return passing
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(self.known) > MAX_CACHED:
-            self.known.clear()
-        new = list({w for words in split for w in words}.difference(self.known))
-        passing = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, c in zip(part, coded, strict=True):
-                (self.known if len(w) <= MAX_WORD else passing)[w] = np.array(c.ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
+        new: set[bytes] = set()
+        for words in split:
+            new.update(filterfalse(self.known.__contains__, words))
+        for w in new & self.older.keys():
+            self.known[w] = self.older[w]
+        passing = self._learn(new.difference(self.known))
         get = self.known.__getitem__
         if not passing:
             return [b"".join(map(get, words)) for words in split]
         return [b"".join(passing[w] if len(w) > MAX_WORD else get(w) for w in words) for words in split]
 
 
+_tokenizers: dict[str, WordTokenizer] = {}  # of a Python worker, kept from task to task
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and END_ID, cut only where longer than a sequence."""
     end = np.array([END_ID], "<u4").tobytes()
-    kept: dict[str, WordTokenizer] = {}
 
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def cut(texts: pd.Series) -> pd.Series:
-        tok = kept.get("t") or kept.setdefault("t", WordTokenizer(tokenizer_path))
+        tok = tokenizer(tokenizer_path)
         whole, out, at = [t if t is not None else "" for t in texts], [], 0
         while at < len(whole):
             stop, size = at, 0
@@ -68,6 +127,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
             at = stop
         return pd.Series(out)
 
+    # Not to be evaluated again for the filter that Spark infers below a generator.
+    cut = cut.asNondeterministic()
     return documents.select("doc_id", cut(F.col("text")).alias("cut_")).select("doc_id", F.inline("cut_"))
 
 
