@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, provenance, scoring, topology
+from . import features, provenance, relational, scoring, topology
 
-_MODULES = (topology, features, provenance, scoring)
+_MODULES = (topology, features, provenance, scoring, relational)
 
 
 def queries() -> dict:
