@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, provenance, relational, scoring, topology
+from . import features, generators, provenance, relational, scoring, streams, text, topology
 
-_MODULES = (topology, features, provenance, scoring, relational)
+_MODULES = (topology, features, provenance, scoring, relational, text, generators, streams)
 
 
 def queries() -> dict:
