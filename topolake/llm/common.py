@@ -47,6 +47,7 @@ def _clean() -> None:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    text_batches(spark)
     path = f"{shared_dir(spark)}/topolake-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
@@ -75,10 +76,30 @@ def tidy(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches than the default of 10,000 rows, which are tens of megabytes of text on both sides of a
+    Python worker; a value that the session has been given stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wrapped(df: DataFrame, *names: str) -> DataFrame:
+    """Some columns of df and the whole row as row_, so that no column of the table can clash with one computed."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_")
+    return df.select(whole, *[F.col(f"`{n}`") for n in names])
+
+
+def unwrapped(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The rows again, columns named in new replaced by it."""
+    return df.select(*[(new[n] if n in new else F.col(f"row_.`{n}`")).alias(n) for n in names])
+
+
 def fold(doc_id: str | Column, parts: int, part: int) -> Column:
     """True where crc32 of the id as text, modulo parts, is part; a null id is in no fold."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -108,14 +129,15 @@ def vector_classes(rows: DataFrame, keep: int, every: int) -> DataFrame:
 
 
 def answers(tops: DataFrame, queries: DataFrame, k: int, score_type: str) -> DataFrame:
-    """Per-shard best (ck, vec_id, score) to each query's k best, its own id left out."""
+    """Per-shard best (ck, vec_id, score) to each query's k best, its own row left out; of rows that repeat its id, one is its own."""
     w = Window.partitionBy("ck").orderBy(F.desc("score"), "vec_id")
     best = (
         tops.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1)
         .groupBy("ck").agg(F.array_sort(F.collect_list(F.struct("rn", "vec_id", "score"))).alias("best"))
     )
     found = queries.select(F.col("vec_id").alias("query_id"), "ck").join(best, "ck")
-    cut = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    own = F.array_position(F.transform("best", lambda x: x["vec_id"]), F.col("query_id")) - 1
+    cut = F.slice(F.filter("best", lambda x, i: i != own), 1, k)
     return found.select("query_id", F.posexplode(cut).alias("pos", "hit")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"),
         F.col("hit.score").cast(score_type).alias("score"),
