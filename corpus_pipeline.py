@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topolake.llm import mixing, neardup, packing, secrets, toxicity
-from topolake.llm.common import fold, materialize, table
+from topolake.llm.common import fold, materialize, table, unwrapped, wrapped
 
 # SQL cannot express a fitted score, a seeded draw or a tokenizer; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under one half, by a model of the labels outside the held-out fifth."""
     labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & ~fold("doc_id", 5, 0))
     weights, logistic = toxicity.fit(toxicity.labelled(docs, labels))
-    return toxicity.score(docs, weights, logistic).where("toxicity < 0.5").select(*docs.columns)
+    return unwrapped(toxicity.score(wrapped(docs, "text"), weights, logistic).where("toxicity < 0.5"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

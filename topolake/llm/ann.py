@@ -45,8 +45,8 @@ def nearest(
     so recall does not change with the number of rows.
 
     Defined cases: null, zero, empty or non-finite vectors and null ids take no part; vectors of another dimension are
-    never compared; copies are candidates of each other; ties go to the smaller id; rows that repeat a query's id are
-    left out as its own; an empty table gives no rows.
+    never compared; copies are candidates of each other; ties go to the smaller id; of rows that repeat a
+    query's id, one is its own; an empty table gives no rows.
     """
 
     def prepare(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, unwrapped, wrapped
 
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), 1.5, 2
 BLOCK, SHARD_BLOCKS, MAX_SHARDS, RUN_DOCS, SEED, STEPS = 128, 4096, 10_000, 8192, 3, 4
@@ -196,10 +196,11 @@ def mixed(documents: DataFrame, **options) -> DataFrame:
     first = (F.col("block") * options.get("block", BLOCK) + F.col("at") - F.col("start")).cast("int")
     got = pieces.join(slots.where("take > 0"), ["src", "block"]).select("src", "start", "epoch", first.alias("from"), n.cast("int").alias("n"))
     got = got.where("n > 0").groupBy("src", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("parts"), F.sum("n").alias("words"))
-    full = lay(documents).where("size > 0").join(got, ["src", "start"])
+    full = lay(wrapped(documents, "doc_id", "source", "text")).where("size > 0").join(got, ["src", "start"])
     found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(found, p["from"] + 1, p["n"]))), " ")
-    full = full.withColumn("text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(cut))
+    full = full.withColumn("mixed_", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(cut))
+    new = {"text": F.col("mixed_")}
     if "n_chars" in names:
-        full = full.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    return full.select(*[F.col(f"`{c}`") for c in names])
+        new["n_chars"] = F.char_length("mixed_").cast(documents.schema["n_chars"].dataType)
+    return unwrapped(full, names, **new)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CAPITALS, SMALL, drop, materialize
+from .common import CAPITALS, SMALL, materialize, unwrapped, wrapped
 from .components import components
 
 SHINGLE, BANDS, ROWS, LOW_BITS, SEED, NUM, DEN = 5, 32, 4, 4, 1, 75, 100
@@ -247,5 +247,6 @@ def near_duplicates(
 def without_copies(documents: DataFrame, **options) -> DataFrame:
     """documents, of each component the ones that stay: those of its smallest id. Rows alike in all columns stay alike."""
     kept = near_duplicates(documents, **options).where("kept").select(F.col("doc_id").alias("kept_id_"), F.col("tag").alias("kept_tag_")).distinct()
+    rows = wrapped(documents, "doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.xxhash64("text") == F.col("kept_tag_"))
-    return documents.join(kept, same, "left_semi")
+    return unwrapped(rows.join(kept, same, "left_semi"), documents.columns)

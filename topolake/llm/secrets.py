@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unwrapped, wrapped
+
 # The base patterns, then the weak parts that count only beside a complement.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -67,7 +69,8 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     scopes of its own number or the next ones (hashed intersections), and the distance is then taken exactly. No
     shuffle, no join between rows. Blobs within a base span are that span.
 
-    Defined cases: a null text is an empty one; repeated rows stay; very long texts are searched whole.
+    Defined cases: a null text is an empty one; repeated rows stay; very long texts are searched whole; columns of the
+    table named base_, weak_, strong_, keys_, near_access_, near_keys_ or secrets_ are replaced (redacted() keeps them).
     """
     t = F.coalesce(F.col(text), F.lit(""))
     values = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(1)), F.char_length)
@@ -129,9 +132,10 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with each found span replaced by the mark; n_chars, where there is such a column, set anew."""
-    found = scan(documents)
-    clean = found.withColumn("text", redact(F.col("text"), F.col("secrets_"), mark))
-    if "n_chars" in documents.columns:
-        size = F.char_length("text").cast(documents.schema["n_chars"].dataType)
-        clean = clean.withColumn("n_chars", F.when(F.size("secrets_") > 0, size).otherwise(F.col("n_chars")))
-    return clean.select(*[F.col(f"`{c}`") for c in documents.columns])
+    names = documents.columns
+    found = scan(wrapped(documents, "text")).withColumn("clean_", redact(F.col("text"), F.col("secrets_"), mark))
+    new = {"text": F.col("clean_")}
+    if "n_chars" in names:
+        size = F.char_length("clean_").cast(documents.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.size("secrets_") > 0, size).otherwise(F.col("row_.n_chars"))
+    return unwrapped(found, names, **new)

@@ -49,7 +49,8 @@ def exact_top_k(
     ties included, so the result is exact.
 
     Defined cases: null, empty or non-finite vectors and null ids take no part; vectors of another dimension are never
-    compared; scores beyond a long are held at its ends; ties go to the smaller id; an empty table gives no rows.
+    compared; scores beyond a long are held at its ends; ties go to the smaller id; of rows that repeat a
+    query's id, one is its own; an empty table gives no rows.
     """
 
     def prepare(rows: DataFrame) -> DataFrame:
