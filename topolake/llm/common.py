@@ -89,15 +89,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wrapped(df: DataFrame, *names: str) -> DataFrame:
-    """Some columns of df and the whole row as row_, so that no column of the table can clash with one computed."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_")
-    return df.select(whole, *[F.col(f"`{n}`") for n in names])
+def wrapped(df: DataFrame, *kept: str) -> DataFrame:
+    """df with its columns but those kept named by place, so that none can clash with one computed."""
+    return df.select(*[F.col(f"`{c}`").alias(c if c in kept else f"row_{i}_") for i, c in enumerate(df.columns)])
 
 
 def unwrapped(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
-    """The rows again, columns named in new replaced by it."""
-    return df.select(*[(new[n] if n in new else F.col(f"row_.`{n}`")).alias(n) for n in names])
+    """The rows under their names again, columns named in new replaced by it."""
+    placed = [f"row_{i}_" if f"row_{i}_" in df.columns else c for i, c in enumerate(names)]
+    return df.select(*[(new[c] if c in new else F.col(p)).alias(c) for c, p in zip(names, placed, strict=True)])
 
 
 def fold(doc_id: str | Column, parts: int, part: int) -> Column:

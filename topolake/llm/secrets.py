@@ -133,9 +133,9 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with each found span replaced by the mark; n_chars, where there is such a column, set anew."""
     names = documents.columns
-    found = scan(wrapped(documents, "text")).withColumn("clean_", redact(F.col("text"), F.col("secrets_"), mark))
+    found = scan(wrapped(documents, "text", "n_chars")).withColumn("clean_", redact(F.col("text"), F.col("secrets_"), mark))
     new = {"text": F.col("clean_")}
     if "n_chars" in names:
         size = F.char_length("clean_").cast(documents.schema["n_chars"].dataType)
-        new["n_chars"] = F.when(F.size("secrets_") > 0, size).otherwise(F.col("row_.n_chars"))
+        new["n_chars"] = F.when(F.size("secrets_") > 0, size).otherwise(F.col("n_chars"))
     return unwrapped(found, names, **new)
