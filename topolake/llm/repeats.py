@@ -165,7 +165,7 @@ class Windows:
         at = 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + self.sizes[stop] <= 1_000_000):
+            while stop < len(texts) and (stop == at or size + self.sizes[stop] <= 150_000):
                 size += int(self.sizes[stop])
                 stop += 1
             # One text beyond the place bits is cut; cuts overlap by a window less one byte.
