@@ -7,6 +7,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,7 +78,19 @@ def tidy(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside passes so many rows at a time to Python workers, for rows much longer than a document's."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Smaller Arrow batches than the default of 10,000 rows, which are tens of megabytes of text on both sides of a
     Python worker; a value that the session has been given stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

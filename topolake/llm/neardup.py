@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CAPITALS, SMALL, materialize, unwrapped, wrapped
+from .common import CAPITALS, SMALL, arrow_rows, materialize, unwrapped, wrapped
 from .components import components
 
 SHINGLE, BANDS, ROWS, LOW_BITS, SEED, NUM, DEN = 5, 32, 4, 4, 1, 75, 100
@@ -152,7 +152,7 @@ def near_duplicates(
     docs = documents.select("doc_id", "text")
     sketched = materialize(docs.select("doc_id", F.xxhash64("text").alias("tag"), sketch(F.col("text")).alias("s")).select("doc_id", "tag", "s.*"), "sketches")
     classes = materialize(
-        sketched.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")),
+        sketched.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("packed").alias("packed")),
         "classes",
     )
 
@@ -163,7 +163,7 @@ def near_duplicates(
     groups = materialize(components(star, "candidates"), "groups")
 
     # Blocks by set size (a class of sizes spans the threshold's ratio) and hash; small groups are one block.
-    sized = groups.join(classes.select(F.col("class_id").alias("node"), "size", "least"), "node")
+    sized = groups.join(classes.select(F.col("class_id").alias("node"), "size", "least", "packed"), "node")
     step = 1.001 * float(np.log(den / num)) if num < den else 1e-9
     sized = sized.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / step))
     total = sized.groupBy("root").agg(F.count("*").alias("total"))
@@ -188,19 +188,16 @@ def near_duplicates(
         F.sequence(F.lit(0), F.coalesce("below", F.lit(1)) - 1),
         lambda o: F.struct((F.col("band") - 1).alias("lb"), o.alias("l"), F.col("band").alias("rb"), F.col("block").alias("r"), F.lit(1).alias("side")),
     ))
-    units = placed.select("node", "root", "least", F.concat(own.cast(UNIT), up, down).alias("units"))
+    units = placed.select("node", "root", "least", "packed", F.concat(own.cast(UNIT), up, down).alias("units"))
     units = materialize(units, "units")
 
     # Whole sets, made again from the text of one document a class, only for classes in groups.
     wanted = units.select("node", "least").distinct()
 
-    @F.pandas_udf("class_id long, packed binary, shingles binary")
+    @F.pandas_udf("class_id long, shingles binary")
     def whole(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            s = shingle_set(t, words)
-            out.append((xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63, signature(s, odd, bands, rows, low_bits)[1] if len(s) else None, s.tobytes()))
-        return pd.DataFrame(out, columns=["class_id", "packed", "shingles"])
+        sets = [shingle_set(t, words).tobytes() for t in texts]
+        return pd.DataFrame({"class_id": [xxhash.xxh3_64_intdigest(s) - 2**63 for s in sets], "shingles": sets})
 
     chosen = docs.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     sets = chosen.select(whole(F.col("text")).alias("s")).select("s.*").dropDuplicates(["class_id"])
@@ -231,7 +228,8 @@ def near_duplicates(
         flush()
         yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    edges = work.mapInPandas(confirm, "a long, b long")
+    with arrow_rows(documents.sparkSession, 128):
+        edges = materialize(work.mapInPandas(confirm, "a long, b long"), "edges")
     joined = components(edges, "links")
     named = joined.join(classes.select(F.col("class_id").alias("node"), "least"), "node")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
