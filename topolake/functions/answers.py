@@ -44,11 +44,16 @@ def row_ref(ref: Column) -> Column:
     return F.when(text.rlike(spaced), made(spaced)).when(text.rlike(marked), made(marked)).otherwise(text)
 
 
-def set_scores(pred: Column, gold: Column) -> Column:
-    """struct(precision, recall, f1, exact) of two lists as sets of row references; an empty gold list is always met."""
-    empty = F.array().cast("array<string>")
-    p = F.array_distinct(F.transform(F.coalesce(pred, empty), row_ref))
-    g = F.array_distinct(F.transform(F.coalesce(gold, empty), row_ref))
+def as_set(items: Column) -> Column:
+    """Distinct row references of a list, a missing one empty."""
+    return F.array_distinct(F.transform(F.coalesce(items, F.array().cast("array<string>")), row_ref))
+
+
+def set_scores(p: Column, g: Column) -> Column:
+    """struct(precision, recall, f1, exact) of predicted and gold sets; an empty gold set is always met.
+
+    Both are used several times: give columns that hold as_set(), not the expression.
+    """
     hit, np_, ng = (F.size(x).cast("double") for x in (F.array_intersect(p, g), p, g))
     none = (ng == 0) | (np_ == 0)
     base = F.when(ng == 0, 1.0).otherwise(0.0)

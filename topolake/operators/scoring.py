@@ -14,13 +14,14 @@ def score(rows: DataFrame) -> DataFrame:
     """rows (answer_type, pred, pred_kind, gold, gold_kind, pred_list, gold_list) with exact_match, f1, precision, recall."""
     lists = F.col("answer_type").isin("list", "ordered_list")
     match = A.exact_match(*map(F.col, ("pred", "pred_kind", "gold", "gold_kind")))
-    s = A.set_scores(F.col("pred_list"), F.col("gold_list"))
+    rows = rows.withColumns({"p_": F.when(lists, A.as_set(F.col("pred_list"))), "g_": F.when(lists, A.as_set(F.col("gold_list")))})
+    s = A.set_scores(F.col("p_"), F.col("g_"))
     rows = rows.withColumn("set_", F.when(lists, s)).withColumn("hit_", F.when(~lists, match))
     return rows.withColumns({
         "exact_match": F.when(lists, F.col("set_.exact")).otherwise(F.col("hit_")),
         "f1": F.when(lists, F.col("set_.f1")).otherwise(F.col("hit_").cast("double")),
         "precision": F.col("set_.precision"), "recall": F.col("set_.recall"),
-    }).drop("set_", "hit_")
+    }).drop("set_", "hit_", "p_", "g_")
 
 
 def score_paths(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def score_paths(rows: DataFrame, edges: DataFrame) -> DataFrame:
     Exactness is set equality; order_correct tells equality in order. A prediction of the same length and ends whose
     every hop is a reference, either way, is a valid other path and scores in full.
     """
-    scored = rows.withColumn("s", A.set_scores(F.col("pred_list"), F.col("gold_list")))
+    scored = rows.withColumns({"p_": A.as_set(F.col("pred_list")), "g_": A.as_set(F.col("gold_list"))})
+    scored = scored.withColumn("s", A.set_scores(F.col("p_"), F.col("g_")))
     may = ~F.col("s.exact") & A.may_be_other_path(F.col("pred_list"), F.col("gold_list"))
     scored = scored.withColumn("may_", F.coalesce(may, F.lit(False)))
     hop = F.explode(F.zip_with(F.expr("slice(pred_list, 1, size(pred_list) - 1)"), F.expr("slice(pred_list, 2, size(pred_list) - 1)"), lambda a, b: F.struct(a.alias("src"), b.alias("dst"))))
