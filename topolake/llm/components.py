@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, materialize
 
-MAX_ROUNDS = 60
+MAX_ROUNDS, FILE_EDGES = 60, 250_000
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -19,6 +19,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     Edges are never collected; loops and repeats are harmless; no edges give no rows.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
+    # A file for each so many edges: rounds on few edges would otherwise spend their time on opening empty files.
+    files = max(1, -(-now.count() // FILE_EDGES))
     for _ in range(MAX_ROUNDS):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -26,7 +28,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        new = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), tag)
+        new = materialize(small.select("e.a", "e.b").where("a <> b").distinct().coalesce(files), tag)
         # A star forest in which no root is also a leaf is final.
         moving = new.select(F.col("b").alias("a")).distinct().join(new.select("a").distinct(), "a", "left_semi")
         stars = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
