@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +104,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], **kinds: str) -> DataFrame:
+    """A small table from the driver by way of Arrow: unlike a list of rows, it needs no Python worker to be read."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table({n: pa.array(list(c), k) for (n, k), c in zip(kinds.items(), columns, strict=True)}))
+
+
 def wrapped(df: DataFrame, *kept: str) -> DataFrame:
     """df with its columns but those kept named by place, so that none can clash with one computed."""
     return df.select(*[F.col(f"`{c}`").alias(c if c in kept else f"row_{i}_") for i, c in enumerate(df.columns)])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, unwrapped, wrapped
+from .common import WORD, local_table, materialize, unwrapped, wrapped
 
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), 1.5, 2
 BLOCK, SHARD_BLOCKS, MAX_SHARDS, RUN_DOCS, SEED, STEPS = 128, 4096, 10_000, 8192, 3, 4
@@ -118,9 +118,9 @@ def mix(
     sources.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes, spark = [r["size"] for r in sources], docs.sparkSession
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), limit)
-    facts = spark.createDataFrame(
-        [(i, r["source"], r["size"], t, 1 + r["n"] // RUN_DOCS) for i, (r, t) in enumerate(zip(sources, wanted, strict=True))],
-        "src int, name string, source_size long, target double, runs long",
+    facts = local_table(
+        spark, [(i, r["source"], r["size"], t, 1 + r["n"] // RUN_DOCS) for i, (r, t) in enumerate(zip(sources, wanted, strict=True))],
+        src="int32", name="string", source_size="int64", target="double", runs="int64",
     )
     # Runs end to end by a window over run totals.
     run = F.pmod(F.xxhash64("tag", F.lit(seed)), F.col("runs")).alias("run")
@@ -149,7 +149,7 @@ def mix(
             if n:
                 plan.append((shard, i, given[i], int(n), blocks[i], sizes[i], quota[i]))
                 given[i] += int(n)
-    planned = spark.createDataFrame(plan, "shard int, src int, first long, n long, blocks long, words long, quota long")
+    planned = local_table(spark, plan, shard="int32", src="int32", first="int64", n="int64", blocks="int64", words="int64", quota="int64")
     planned = planned.repartition(max(1, min(len(plan), 4 * spark.sparkContext.defaultParallelism)))
 
     def drawn(batches):
