@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import threading
 import zlib
 from array import array
-from itertools import filterfalse
+from collections.abc import Iterator
+from itertools import filterfalse, islice
 
 import numpy as np
 import pandas as pd
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import drop, materialize
 
 CAPACITY, END_ID, PART_TOKENS, ROUNDS = 2048, 0, 8_000_000, 4
-MAX_WORD, MAX_CACHED, MARKS = 64, 700_000, b".,;:!?"
+MAX_WORD, MAX_CACHED, MAX_KEPT, IDLE_SECONDS, MARKS = 64, 700_000, 150_000, 2.0, b".,;:!?"
 
 
 class WordTokenizer:
@@ -26,7 +30,7 @@ class WordTokenizer:
     after an ASCII letter is the rest and the mark. New parts of letters alone are one word each to the tokenizer; many
     are coded as one text and told apart by its tokens that end a word. Parts of over MAX_WORD bytes are not
     remembered; at MAX_CACHED parts those in use become the older half of the memory, and what is not asked for until
-    the next time goes.
+    the next time goes. Between tasks only the MAX_KEPT parts learnt first stay, mostly the frequent ones.
     """
 
     def __init__(self, path: str) -> None:
@@ -81,6 +85,9 @@ class WordTokenizer:
             self.known[w] = self.known[w[:-1]] + self.marks[w[-1:]]
         return passing
 
+    def rest(self) -> None:
+        self.known, self.older = dict(islice(self.known.items(), MAX_KEPT)), {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
@@ -99,33 +106,61 @@ class WordTokenizer:
 
 
 _tokenizers: dict[str, WordTokenizer] = {}  # of a Python worker, kept from task to task
+_asked = 0
 
 
 def tokenizer(path: str) -> WordTokenizer:
+    global _asked
+    _asked += 1
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
+def _rest() -> None:
+    """After a task: keep the frequent parts for the next; let all go if none comes, for the worker outlives the stage."""
+    for t in _tokenizers.values():
+        t.rest()
+    turn = _asked
+
+    def let_go() -> None:
+        if _asked == turn:
+            _tokenizers.clear()
+            gc.collect()
+            # Freed memory goes back to the system where the C library can do so.
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    timer = threading.Timer(IDLE_SECONDS, let_go)
+    timer.daemon = True
+    timer.start()
+
+
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and END_ID, cut only where longer than a sequence."""
     end = np.array([END_ID], "<u4").tobytes()
 
-    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        tok = tokenizer(tokenizer_path)
-        whole, out, at = [t if t is not None else "" for t in texts], [], 0
-        while at < len(whole):
+    def pieces_of(tok: WordTokenizer, texts: list[str]) -> list[list[dict]]:
+        out, at = [], 0
+        while at < len(texts):
             stop, size = at, 0
-            while stop < len(whole) and (stop == at or size < 4_000_000):
-                size += len(whole[stop])
+            while stop < len(texts) and (stop == at or size < 4_000_000):
+                size += len(texts[stop])
                 stop += 1
-            for ids in tok.encode(whole[at:stop]):
+            for ids in tok.encode(texts[at:stop]):
                 ids += end
                 parts = [(s, ids[4 * s : 4 * (s + capacity)]) for s in range(0, len(ids) // 4, capacity)]
                 out.append([{"piece": p, "start": s, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for p, (s, x) in enumerate(parts)])
             at = stop
-        return pd.Series(out)
+        return out
+
+    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tok = tokenizer(tokenizer_path)
+        for texts in batches:
+            yield pd.Series(pieces_of(tok, [t if t is not None else "" for t in texts]), dtype="object")
+        _rest()
 
     # Not to be evaluated again for the filter that Spark infers below a generator.
     cut = cut.asNondeterministic()
