@@ -10,7 +10,7 @@ from .common import drop, materialize
 MAX_ROUNDS, FILE_EDGES = 60, 250_000
 
 
-def components(edges: DataFrame, tag: str = "components") -> DataFrame:
+def components(edges: DataFrame, tag: str = "components", first_files: int | None = None) -> DataFrame:
     """(node, root) for all nodes on edges (a, b): root is the component's smallest node.
 
     Each round hangs a node's larger neighbours on its smallest (large star), then its smaller ones (small star), and
@@ -18,7 +18,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     where one node is hot; a component is never one task's. Rounds grow with the logarithm of a component's diameter.
     Edges are never collected; loops and repeats are harmless; no edges give no rows.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
+    start = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = materialize(start.coalesce(first_files) if first_files else start, tag)
     # A file for each so many edges: rounds on few edges would otherwise spend their time on opening empty files.
     files = max(1, -(-now.count() // FILE_EDGES))
     for _ in range(MAX_ROUNDS):

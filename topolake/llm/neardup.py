@@ -14,7 +14,7 @@ from .common import CAPITALS, SMALL, arrow_rows, materialize, unwrapped, wrapped
 from .components import components
 
 SHINGLE, BANDS, ROWS, LOW_BITS, SEED, NUM, DEN = 5, 32, 4, 4, 1, 75, 100
-BLOCK_DOCS, MARGIN = 256, 5.5
+BLOCK_DOCS, FILE_DOCS, MARGIN = 256, 50_000, 5.5
 UNIT = "array<struct<lb:bigint,l:int,rb:bigint,r:int,side:int>>"
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -151,8 +151,10 @@ def near_duplicates(
 
     docs = documents.select("doc_id", "text")
     sketched = materialize(docs.select("doc_id", F.xxhash64("text").alias("tag"), sketch(F.col("text")).alias("s")).select("doc_id", "tag", "s.*"), "sketches")
+    # A file for each so many documents: the small tables between steps need no more, each file costs a task.
+    files = max(1, -(-sketched.count() // FILE_DOCS))
     classes = materialize(
-        sketched.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("packed").alias("packed")),
+        sketched.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("packed").alias("packed")).coalesce(files),
         "classes",
     )
 
@@ -160,7 +162,7 @@ def near_duplicates(
     keyed = classes.select("class_id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub < last")
     star = keyed.join(hubs, "key").where("class_id <> hub").select(F.col("class_id").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = materialize(components(star, "candidates"), "groups")
+    groups = materialize(components(star, "candidates", files).coalesce(files), "groups")
 
     # Blocks by set size (a class of sizes spans the threshold's ratio) and hash; small groups are one block.
     sized = groups.join(classes.select(F.col("class_id").alias("node"), "size", "least", "packed"), "node")
@@ -189,7 +191,7 @@ def near_duplicates(
         lambda o: F.struct((F.col("band") - 1).alias("lb"), o.alias("l"), F.col("band").alias("rb"), F.col("block").alias("r"), F.lit(1).alias("side")),
     ))
     units = placed.select("node", "root", "least", "packed", F.concat(own.cast(UNIT), up, down).alias("units"))
-    units = materialize(units, "units")
+    units = materialize(units.coalesce(files), "units")
 
     # Whole sets, made again from the text of one document a class, only for classes in groups.
     wanted = units.select("node", "least").distinct()
@@ -230,7 +232,7 @@ def near_duplicates(
 
     with arrow_rows(documents.sparkSession, 128):
         edges = materialize(work.mapInPandas(confirm, "a long, b long"), "edges")
-    joined = components(edges, "links")
+    joined = components(edges, "links", files)
     named = joined.join(classes.select(F.col("class_id").alias("node"), "least"), "node")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(names, "root").select(F.col("node").alias("class_id"), F.col("component_id").alias("joined_"))
