@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import drop, materialize
 
 CAPACITY, END_ID, PART_TOKENS, ROUNDS = 2048, 0, 8_000_000, 4
-MAX_WORD, MAX_CACHED, MAX_KEPT, IDLE_SECONDS, MARKS = 64, 700_000, 150_000, 2.0, b".,;:!?"
+MAX_WORD, MAX_CACHED, MAX_KEPT, IDLE_SECONDS, MARKS = 64, 700_000, 400_000, 30.0, b".,;:!?"
 
 
 class WordTokenizer:
