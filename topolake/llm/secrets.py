@@ -46,14 +46,15 @@ def spans_of(text: Column, kind: str, pattern: str, size: Column | None = None)
     return F.transform(placed, lambda x: F.struct(x["start"], F.lit(KINDS.index(kind)).alias("kind"), x["end"]))
 
 
-def _bins(spans: Column, kinds: tuple[str, ...]) -> Column:
-    """Numbers of the scopes that hold a span of these kinds, each once."""
-    own = F.filter(spans, lambda x: x["kind"].isin([KINDS.index(k) for k in kinds]))
-    return F.array_distinct(F.transform(own, lambda x: F.floor(x["start"] / SCOPE).cast("int")))
+def _scopes(span: Column, margin: int = 0) -> Column:
+    """Numbers of all scopes that a span, widened on both sides by the margin, lies in."""
+    return F.sequence(F.floor((span["start"] - margin) / SCOPE).cast("int"), F.floor((span["end"] + margin) / SCOPE).cast("int"))
 
 
-def _around(bins: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(bins, lambda b: F.array(b - 1, b, b + 1))))
+def _held(spans: Column, kinds: tuple[str, ...], margin: int = 0) -> Column:
+    """Numbers of the scopes that hold a part of a span of these kinds, each once."""
+    own = F.filter(spans, lambda x: x["kind"].isin([KINDS.index(k) for k in kinds]))
+    return F.array_distinct(F.flatten(F.transform(own, lambda x: _scopes(x, margin))))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -65,8 +66,9 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
 
     Base spans (assign, access, hex) are always reported. A long blob counts as a secret only if an access identifier,
     and an endpoint only if an assigned, access or blob part, lies within SCOPE characters; a blob beside an endpoint
-    alone stays weak. The interval join runs in a row's own arrays: scopes are fixed windows, a weak part meets only
-    scopes of its own number or the next ones (hashed intersections), and the distance is then taken exactly. No
+    alone stays weak. The interval join runs in a row's own arrays: scopes are fixed windows, a span
+    lies in every window from its start to its end, a weak part meets only complements that lie in one of its windows
+    once widened by SCOPE (hashed intersections), and the distance, end to start, is then taken exactly. No
     shuffle, no join between rows. Blobs within a base span are that span.
 
     Defined cases: a null text is an empty one; repeated rows stay; very long texts are searched whole; columns of the
@@ -90,19 +92,19 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
         lambda x: (x["kind"] == has["endpoint"]) | ~F.exists("base_", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
     )
     df = df.withColumn("weak_", free)
-    df = df.withColumn("near_access_", F.array_intersect(_bins(F.col("weak_"), ("blob",)), _around(_bins(F.col("base_"), ("access",)))))
+    df = df.withColumn("near_access_", F.array_intersect(_held(F.col("weak_"), ("blob",)), _held(F.col("base_"), ("access",), SCOPE)))
     strong = F.filter(
         "weak_",
-        lambda x: (x["kind"] == has["blob"]) & F.array_contains("near_access_", F.floor(x["start"] / SCOPE).cast("int"))
+        lambda x: (x["kind"] == has["blob"]) & F.arrays_overlap("near_access_", _scopes(x))
         & F.exists(own["access"], lambda b: _near(x, b))
     )
     df = df.withColumn("strong_", strong)
     keys = F.concat(own["keys"], F.col("strong_"))
     df = df.withColumn("keys_", keys)
-    df = df.withColumn("near_keys_", F.array_intersect(_bins(F.col("weak_"), ("endpoint",)), _around(_bins(F.col("keys_"), ("assign", "access", "blob")))))
+    df = df.withColumn("near_keys_", F.array_intersect(_held(F.col("weak_"), ("endpoint",)), _held(F.col("keys_"), ("assign", "access", "blob"), SCOPE)))
     ends = F.filter(
         "weak_",
-        lambda x: (x["kind"] == has["endpoint"]) & F.array_contains("near_keys_", F.floor(x["start"] / SCOPE).cast("int"))
+        lambda x: (x["kind"] == has["endpoint"]) & F.arrays_overlap("near_keys_", _scopes(x))
         & F.exists("keys_", lambda b: _near(x, b))
     )
     return df.withColumn("secrets_", F.array_sort(F.concat("base_", "strong_", ends))).drop("weak_", "near_access_", "near_keys_", "keys_", "strong_")
