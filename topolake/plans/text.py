@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topolake.operators import contexts as C
+from topolake.operators import generate as G
 from topolake.operators import kernel as K
+from topolake.operators import provenance as P
 from topolake.operators import text as X
 from topolake.operators import topology as T
-from topolake.sources.graphs import graphs, load, sql_with
+from topolake.sources.graphs import graphs, load, load_dim, sql_with
 
 from .topology import _BOTH, _FK, _UFK, _dist
 
@@ -111,6 +114,50 @@ def t7_value_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(F.col("r_name").alias("silo")).agg(F.concat(F.lit("silo "), F.first("r_name"), F.lit(": "), F.count("*").cast("string"), F.lit(" nations, first "), F.min("n_name")).alias("context"))
 
 
+def _words_vector(text: str):
+    """64 counts of hashed words: stands where a model's embedding of the text would be an input column."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    cells = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(64)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
+
+
+@query(None)
+def t5_question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's nearest chunks of the star, and all its derivations."""
+    nodes, edges = (t.where("dataset = 'star'") for t in load(spark))
+    chunks = C.chunk_texts(nodes, edges).withColumn("vec", _words_vector("text"))
+    return C.retrieved(_questions(spark).withColumn("vec", _words_vector("text")), chunks, edges)
+
+
+@query(None)
+def t6_question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components, features, touching edges and paths around the tables that each question mentions."""
+    return C.surroundings(_questions(spark), *(t.where("dataset = 'star'") for t in load(spark)))
+
+
+_VALUE_QUESTIONS = [
+    (1, "Which rows feed row_3 of mart_delivery_performance?"), (2, "How many rows has dim_supplier, and what does mart_supplier_scorecard take from it?"), (3, "Which silos are isolated?"),
+]
+
+
+@query(None)
+def t7_question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silos, lineage chains, samples and row lineage of the layered schema; raw tables have no generator, so no sample."""
+    nodes, edges = (t.where("dataset = 'syn_cross'") for t in load(spark))
+    dim = load_dim(spark).join(nodes.select("name", F.col("node_id").alias("place")), "name")
+    edges = P.layered_rows(edges.where("edge_type = 'derived_from'"), dim)
+    # Sizes of a catalogue's tables.
+    sizes = {r["name"]: (r["kind"], r["rows"]) for r in G.row_counts(dim).collect()}
+    makes = {
+        "staging": lambda n: G.staging_rows(spark, n, G.RANGES["raw"][0]), "dim": lambda n: G.dimension_rows(spark, n), "fact": lambda n: G.fact_rows(spark, n, {}), "mart": lambda n: G.mart_rows(spark, n),
+    }
+    three = {k: make(3) for k, make in makes.items()}
+    texts = {k: [r[0] for r in df.orderBy(df.columns[0]).select(F.to_json(F.struct("*"))).collect()] for k, df in three.items()}
+    samples = spark.createDataFrame([(name, n, texts.get(kind, [])) for name, (kind, n) in sizes.items()], "table string, n_rows long, rows array<string>")
+    questions = spark.createDataFrame(_VALUE_QUESTIONS, "id int, text string")
+    return C.values(questions, dim, edges, samples)
+
+
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'The answer is ' || o_custkey || '.' WHEN 1 THEN 'Path of ' || o_orderpriority ELSE CASE WHEN o_totalprice > 150000 THEN 'They are connected.' ELSE 'They are not connected.' END END AS evidence FROM orders""")
 def t8_evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
