@@ -146,3 +146,17 @@ def test_append_once_repeats_nothing(spark, tmp_path):
         append_once(spark.readStream.schema("id long").parquet(source), sink, "id")
         spark.range(3, 7).write.mode("append").parquet(source)
     assert spark.read.parquet(sink).where(F.col("id") < 7).count() == 7
+
+
+def test_reach_goes_on_until_nothing_is_new(spark, way, monkeypatch):
+    monkeypatch.setattr(K, "MAX_ROUNDS", 3)
+    monkeypatch.setattr(K, "FOLDED_ROUNDS", 2, raising=False)
+    names = [chr(97 + i) for i in range(8)]
+    edges = spark.createDataFrame([("h", a, b) for a, b in zip(names, names[1:], strict=False)], "dataset string, src string, dst string")
+    seeds = spark.createDataFrame([("h", "a")], "dataset string, seed string")
+    found = K.reach(edges, seeds, paths=True)
+    assert {r["node"]: (r["depth"], r["path"]) for r in found.collect()} == {n: (i, names[: i + 1]) for i, n in enumerate(names)}
+    assert K.reach(edges, seeds, max_depth=2).count() == 3
+    nodes = spark.createDataFrame([("h", i, n) for i, n in enumerate(names)], "dataset string, node_id int, name string")
+    between = {r["name"]: r["betweenness"] for r in K.betweenness(nodes, edges).collect()}
+    assert all(abs(between[n] - i * (7 - i) / 42) < 1e-9 for i, n in enumerate(names))

@@ -7,6 +7,8 @@ Graphs counted to be small are searched whole, a dataset a task, instead (small.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from topolake.sources.storage import written
 
 from . import small
 
-MAX_ROUNDS = 200
+MAX_ROUNDS = 200  # of components(), whose rounds grow with the logarithm of the diameter
+FOLDED_ROUNDS = 50  # levels after which what was seen is written as one table
 
 
 def directed(edges: DataFrame, *kinds: str) -> DataFrame:
@@ -37,19 +40,19 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, star
     """(dataset, seed, node, depth[, path]) of what the seeds (dataset, seed) reach, at least depth.
 
     The start is row depth 0 unless start_on_cycle, when it is a row only if a cycle leads back to it. path is the
-    least one by names among the shortest, the start included. Frontier rows that were seen before are dropped, so
+    least one by names among the shortest, the start included. Without max_depth it goes on until nothing new is found. Frontier rows that were seen before are dropped, so
     each (seed, node) is expanded once, whatever the number of paths.
     """
     if small.fits(edges, seeds):
         node = edges.schema["src"].dataType.simpleString()
         schema = f"dataset string, seed {node}, node {node}, depth int" + (f", path array<{node}>" if paths else "")
-        run = small.reacher(max_depth or MAX_ROUNDS, start_on_cycle, paths)
+        run = small.reacher(max_depth, start_on_cycle, paths)
         return edges.groupBy("dataset").cogroup(seeds.distinct().groupBy("dataset")).applyInPandas(run, schema)
     step = edges.select("dataset", F.col("src").alias("node"), F.col("dst").alias("next"))
     first = seeds.select("dataset", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
     first = first.withColumn("path", F.array("seed")) if paths else first
     frontier, seen = first, None if start_on_cycle else first
-    for depth in range(1, (max_depth or MAX_ROUNDS) + 1):
+    for depth in range(1, max_depth + 1) if max_depth else count(1):
         new = frontier.drop("depth").join(step, ["dataset", "node"])
         keys = ["dataset", "seed", F.col("next").alias("node"), F.lit(depth).alias("depth")]
         if paths:
@@ -62,6 +65,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, star
         if frontier.isEmpty():
             break
         seen = frontier if seen is None else seen.unionByName(frontier)
+        if depth % FOLDED_ROUNDS == 0:
+            seen = written(seen, "seen")
     return frontier if seen is None else seen
 
 
@@ -124,13 +129,15 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     step = one.select("dataset", F.col("src").alias("node"), F.col("dst").alias("next"))
     pairs = nodes.select("dataset", F.col("name").alias("s"), F.col("name").alias("t"), F.lit(0).alias("d"), F.lit(1).cast("long").alias("n"))
     seen, frontier = pairs, pairs
-    for depth in range(1, MAX_ROUNDS):
+    for depth in count(1):
         new = frontier.join(step, (frontier.dataset == step.dataset) & (frontier.t == step.node)).select(frontier.dataset, "s", F.col("next").alias("t"), "n")
         new = new.groupBy("dataset", "s", "t").agg(F.sum("n").alias("n")).join(seen.select("dataset", "s", "t"), ["dataset", "s", "t"], "left_anti")
         frontier = written(new.select("dataset", "s", "t", F.lit(depth).alias("d"), "n"), "paths")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % FOLDED_ROUNDS == 0:
+            seen = written(seen, "seen")
     seen = seen.where("d > 0")
     left = seen.select("dataset", "s", F.col("t").alias("name"), F.col("d").alias("d1"), F.col("n").alias("n1"))
     right = seen.select("dataset", F.col("s").alias("name"), "t", F.col("d").alias("d2"), F.col("n").alias("n2"))

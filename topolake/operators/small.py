@@ -6,6 +6,7 @@ The kernel counts edges first and takes these up to LIMIT edges in all; beyond t
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ def _key(v):
     return tuple(v.values()) if isinstance(v, dict) else v
 
 
-def reacher(max_depth: int, start_on_cycle: bool, paths: bool):
+def reacher(max_depth: int | None, start_on_cycle: bool, paths: bool):
     """For cogrouped (edges, seeds) of one dataset: level-by-level search from every seed."""
 
     def run(edges: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
@@ -40,7 +41,7 @@ def reacher(max_depth: int, start_on_cycle: bool, paths: bool):
             level = {s: (s,)}
             if not start_on_cycle:
                 out.append((seed, s, 0, level[s]))
-            for depth in range(1, max_depth + 1):
+            for depth in range(1, max_depth + 1) if max_depth else count(1):
                 new: dict = {}
                 for node in sorted(level) if paths else level:
                     for nxt in after.get(node, ()):
