@@ -47,6 +47,18 @@ def test_large_integers_stay_exact(spark):
     assert got == {1: (256 * 1_000_000) ** 2 + 256 * 512, 2: 2**63 - 1}
 
 
+def test_small_tables_leave_no_query_short(spark):
+    rng = np.random.default_rng(8)
+    for dim in (2, 8, 64):
+        rows = [(50 * i, v.tolist()) for i, v in enumerate(rng.normal(size=(6, dim)))] + [(1000 + i, rng.normal(size=dim + 1).tolist()) for i in range(3)]
+        found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        same = {i for i, _ in rows if i < 1000}
+        assert {q: s for q, s in got.items() if q < 1000} == {q: same - {q} for q in same}
+
+
 def test_nearest_recall_and_scores(spark, vectors):
     rows = _usable(vectors, False)
     hits = total = 0

@@ -41,7 +41,8 @@ def nearest(
 
     Every vector is indexed, in `tables` hash tables of floor((a.x + b) / width), a normal, on the unit sphere; a query
     visits `probes` buckets a table in order of estimated success, and the union of what they hold is ranked by exact
-    cosine in double precision on the original vectors. No bucket is capped. The tables are per shard of fixed size,
+    cosine in double precision on the original vectors. A query whose buckets hold fewer than it asks for is ranked
+    against its whole shard instead. No bucket is capped. The tables are per shard of fixed size,
     so recall does not change with the number of rows.
 
     Defined cases: null, zero, empty or non-finite vectors and null ids take no part; vectors of another dimension are
@@ -77,6 +78,8 @@ def nearest(
         out = []
         for q in range(len(qs)):
             rows = np.flatnonzero(found[q])
+            if shard.counts[rows].sum() < keep:
+                rows = np.arange(len(xs))
             if len(rows):
                 score = (xs[rows] @ qs[q]) / (nx[rows] * nq[q])
                 if len(rows) > keep:
