@@ -76,6 +76,19 @@ def test_near_duplicates_defined_cases(spark, odd_docs, no_docs):
     assert neardup.without_copies(no_docs).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark, words):
+    a, b, c, d = (words(60, 200 + k) for k in range(4))
+    rows = [(None, a, "1"), (None, a, "2"), (None, a + " tail", "3"), (1, b, "4"), (1, b, "4"), (1, b.upper(), "5"), (2, c, "6"), (2, c, "7"), (3, c, "8"), (None, c, "9"), (None, d, "10"), (7, "", "11"), (7, "", "11"), (None, None, "12")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string").withColumn("m", F.create_map("tag", "tag"))
+    kept = neardup.without_copies(df)
+    out = _rows(kept, "doc_id", "text", "tag")
+    assert kept.columns == df.columns and set(out) <= set(rows) and all(r["m"] == {r["tag"]: r["tag"]} for r in kept.collect())
+    low = lambda t: (t or "").lower()
+    for group, ids in (((a, a + " tail"), {None}), ((b,), {1}), ((c,), {2}), ((d,), {None})):
+        assert [x[0] for x in out if low(x[1]) in group] == list(ids)
+    assert sorted(x[2] for x in out if not x[1]) == ["11", "11", "12"]
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(0)
     odd = neardup.multipliers(32, 4, 1)

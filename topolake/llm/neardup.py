@@ -119,11 +119,16 @@ def forest(left: list, right: list | None, low_bits: int, num: int, den: int, ma
     return out
 
 
-def near_duplicates(
+def near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, tag) for every document, as grouped() finds them."""
+    return grouped(documents, **options).drop("group_")
+
+
+def grouped(
     documents: DataFrame, words: int = SHINGLE, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS,
     low_bits: int = LOW_BITS, block_docs: int = BLOCK_DOCS, margin: float = MARGIN, seed: int = SEED,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, tag) for every document: components of links of at least num / den.
+    """(doc_id, n_shingles, component_id, kept, tag, group_) for every document: components of links of at least num / den.
 
     One pass makes each document's set size, class (a hash of its set; equal sets are one class), band keys and packed
     low bits. Classes that share a band key with another form candidate groups; a band of four minima misses a pair at
@@ -135,7 +140,7 @@ def near_duplicates(
 
     Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer words is
     one shingle; repeated rows and ids share a class, so all rows of a smallest id are kept; null ids are larger than
-    others, and a component of null ids alone has a null component_id and keeps them; very long texts are whole; an
+    others, and a component of null ids alone has a null component_id and keeps them; group_ tells components apart whatever their ids, null where a text has no shingles; very long texts are whole; an
     empty table gives no rows.
     """
     odd = multipliers(bands, rows, seed)
@@ -235,18 +240,32 @@ def near_duplicates(
     joined = components(edges, "links", files)
     named = joined.join(classes.select(F.col("class_id").alias("node"), "least"), "node")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(names, "root").select(F.col("node").alias("class_id"), F.col("component_id").alias("joined_"))
+    named = joined.join(names, "root").select(F.col("node").alias("class_id"), "root", F.col("component_id").alias("joined_"))
     # A class without links is its own component, named by its own smallest document.
-    label = classes.select("class_id", "least").join(named, "class_id", "left").select("class_id", F.coalesce("joined_", "least").alias("component_id"))
+    label = classes.select("class_id", "least").join(named, "class_id", "left").select("class_id", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("joined_")).alias("component_id"), F.coalesce("root", "class_id").alias("group_"))
     out = sketched.select("doc_id", "tag", "n_shingles", "class_id").join(label, "class_id", "left")
     own_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.col("doc_id").eqNullSafe(own_id).alias("kept"), "tag")
-
+    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.col("doc_id").eqNullSafe(own_id).alias("kept"), "tag", "group_")
 
 
 def without_copies(documents: DataFrame, **options) -> DataFrame:
-    """documents, of each component the ones that stay: those of its smallest id. Rows alike in all columns stay alike."""
-    kept = near_duplicates(documents, **options).where("kept").select(F.col("doc_id").alias("kept_id_"), F.col("tag").alias("kept_tag_")).distinct()
+    """documents, of each component one row: the least by id, a null id last, then by hash of text, then of the row.
+
+    Texts without shingles are copies of nothing and all stay. Rows that share id and text cannot be told apart by key;
+    only where such a key is chosen are its rows compared as wholes.
+    """
+    found = grouped(documents, **options)
+    alone = found.where("group_ IS NULL").select(F.col("doc_id").alias("kept_id_"), F.col("tag").alias("kept_tag_"), F.lit(1).cast("long").alias("rows_")).distinct()
+    keys = found.where("group_ IS NOT NULL").groupBy("group_", "doc_id", "tag").agg(F.count("*").alias("rows_"))
+    least = keys.groupBy("group_").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "rows_")).alias("k"))
+    kept = materialize(alone.unionByName(least.select(F.col("k.doc_id").alias("kept_id_"), F.col("k.tag").alias("kept_tag_"), F.col("k.rows_").alias("rows_"))), "kept")
     rows = wrapped(documents, "doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.xxhash64("text") == F.col("kept_tag_"))
-    return unwrapped(rows.join(kept, same, "left_semi"), documents.columns)
+    out = rows.join(kept.where("rows_ = 1"), same, "left_semi")
+    repeated = kept.where("rows_ > 1")
+    if not repeated.isEmpty():
+        alike = rows.join(repeated, same, "left_semi")
+        other = [F.col(f.name) for f in alike.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+        one = alike.groupBy("doc_id", F.xxhash64("text").alias("tag_")).agg(F.min_by(F.struct(*alike.columns), F.xxhash64(*other)).alias("row_"))
+        out = out.unionByName(one.select("row_.*"))
+    return unwrapped(out, documents.columns)
