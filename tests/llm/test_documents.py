@@ -360,6 +360,20 @@ def test_packing_round_trip(spark, odd_docs, no_docs, tokenizer_path):
     assert packing.pack_documents(no_docs, tokenizer_path).count() == 0
 
 
+def test_packing_equals_the_tokenizer_at_its_defaults(spark, odd_docs, tokenizer_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path)
+    spelt = ["a <|endoftext|> b", "x<|endoftext|>. y<|startoftext|>", "<|ENDOFTEXT|> q", "<|endoftext|><|startoftext|>Z", " <|endoftext|>  <|endoftext|> ", "e<|endoftext|>\u0301 <|endof text|>", "o" * 5000 + "<|endoftext|>"]
+    rows = [(i, t) for i, (_, t) in enumerate(_rows(odd_docs, "doc_id", "text") + [(0, t) for t in spelt])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = []
+    for i, t in rows:
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [0]
+        want += [(i, s, zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for s in range(0, len(ids), 2048)]
+    assert sorted(_rows(packing.pieces(df, tokenizer_path, special=True), "doc_id", "start", "ids_crc32")) == sorted(want)
+
+
 def test_packing_by_partitions_is_near_its_bound(spark):
     r = random.Random(7)
     items = [(i, 0, 0, r.choice([r.randint(1, 2048), r.randint(600, 1100)]), i) for i in range(4000)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import threading
 import zlib
 from array import array
@@ -31,15 +32,22 @@ class WordTokenizer:
     are coded as one text and told apart by its tokens that end a word. Parts of over MAX_WORD bytes are not
     remembered; at MAX_CACHED parts those in use become the older half of the memory, and what is not asked for until
     the next time goes. Between tasks only the MAX_KEPT parts learnt first stay, mostly the frequent ones.
+
+    With `special`, the tokenizer's special tokens where a text spells them are single ids, as in the tokenizer left at
+    its defaults, which cuts a text at them before all else; without it they are text like any other.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         # A worker has one core; the library's own threads would compete for it.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # What lies between special tokens never holds one, but lower-casing can spell one, and that is text.
         self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder() if special else {}
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items() if t.special}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -90,6 +98,14 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not any(m in t for m in self.special for t in texts):
+            return self._plain(texts)
+        # Every second part is a special token.
+        parts = [self.cut.split(t) for t in texts]
+        coded = iter(self._plain([p for ps in parts for p in ps[::2]]))
+        return [b"".join(self.special[p] if i % 2 else next(coded) for i, p in enumerate(ps)) for ps in parts]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(self.known) > MAX_CACHED:
             self.known, self.older = {}, self.known
@@ -105,16 +121,16 @@ class WordTokenizer:
         return [b"".join(passing[w] if len(w) > MAX_WORD else get(w) for w in words) for words in split]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}  # of a Python worker, kept from task to task
+_tokenizers: dict[tuple[str, bool], WordTokenizer] = {}  # of a Python worker, kept from task to task
 _asked = 0
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, special: bool = False) -> WordTokenizer:
     global _asked
     _asked += 1
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    if (path, special) not in _tokenizers:
+        _tokenizers[path, special] = WordTokenizer(path, special)
+    return _tokenizers[path, special]
 
 
 def _rest() -> None:
@@ -137,7 +153,7 @@ def _rest() -> None:
     timer.start()
 
 
-def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and END_ID, cut only where longer than a sequence."""
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -157,7 +173,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
 
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tok = tokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path, special)
         for texts in batches:
             yield pd.Series(pieces_of(tok, [t if t is not None else "" for t in texts]), dtype="object")
         _rest()
@@ -258,14 +274,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_tokens: int = PART_TOK
     return out.withColumn("doc_id", F.when(~F.col("no_id_"), F.col("doc_id"))).drop("no_id_")
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS, special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all documents.
 
     Texts are tokenised once and only sizes are kept. Defined cases: a null or empty text is the end id alone; a text
     longer than a sequence is cut into whole pieces and a rest; repeated rows and ids are packed one by one; a null id
-    stays null; an empty table gives no rows. tokenizer_path must exist on every executor.
+    stays null; an empty table gives no rows; special tokens spelt in a text are single ids only with `special`, as op7 and
+    the pipeline have it. tokenizer_path must exist on every executor.
     """
-    cut = materialize(pieces(documents, tokenizer_path, capacity), "pieces")
+    cut = materialize(pieces(documents, tokenizer_path, capacity, special), "pieces")
     packed = pack(cut, capacity, part_tokens)
     drop(cut)
     return packed

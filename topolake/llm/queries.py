@@ -64,7 +64,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of at most 2048 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer_path(), special=True)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
