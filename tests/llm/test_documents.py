@@ -262,10 +262,13 @@ def test_redaction_keeps_the_rest(odd_docs, no_docs):
 # Toxicity
 
 def test_toxic_hits():
-    a = toxicity.automaton({"idiot": 2.0, "trash": 1.0, "loser": 1.0})
-    found = lambda t: [t[s:e] for s, e, _ in toxicity.hits(t, a)]
+    weights = {"idiot": 2.0, "trash": 1.0, "loser": 1.0, "grumpf*": 3.0, "grumpfen": 1.0, "mild": 0.0}
+    a = toxicity.automaton(weights)
+    found = lambda t: [t[s:e] for s, e, _ in toxicity.hits(t, a, weights.__getitem__)]
     assert found("an IDIOT, id1ot and іdiot l0ser") == ["IDIOT", "id1ot", "іdiot", "l0ser"]
     assert found("the trash can is full; idiotic") == [] and found("trash, can") == ["trash"] and found("") == []
+    assert found("Grumpfen GRUMPF9 gгumpf grumpf1er agrumpf") == ["Grumpf", "GRUMPF", "grumpf"] and found("mild grump") == []
+    assert toxicity.rate("grumpf " * 100, toxicity.hits("grumpf " * 100, a, weights.__getitem__), weights.__getitem__) == pytest.approx(3 / 2**0.5)
 
 
 def test_toxicity_learns_and_leaves_clean_texts(spark, odd_docs, no_docs, words):

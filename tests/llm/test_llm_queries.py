@@ -1,6 +1,9 @@
 """Registered queries: against SQL where there is some, else their shape; and the pipeline by stages."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from topolake.llm.queries import oracle_sql, queries
 
@@ -22,11 +25,15 @@ def test_query_covers_its_table(name, spark, sf_dir):
         assert found.count() > 0
 
 
-def test_held_out_toxicity_beats_the_base_rate(spark, sf_dir):
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = queries()["op5_toxicity"](spark, sf_dir).join(labels, "doc_id")
-    assert found.where("toxic = 0 AND predicted = 1").count() == 0
-    assert found.where("toxic = 1 AND predicted = 1").count() > 0
+def test_held_out_toxicity_is_caught_in_each_language(spark):
+    larger = "/root/testdata/sf0.1"
+    if not os.path.isdir(larger):
+        pytest.skip(f"{larger} is not there")
+    labels = spark.read.parquet(f"{larger}/labels.parquet").join(spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    found = queries()["op5_toxicity"](spark, larger).where("held_out").join(labels, "doc_id").groupBy("lang", "toxic").agg(F.avg("predicted"), F.count("*")).collect()
+    assert len(found) >= 8
+    for lang, toxic, caught, n in found:
+        assert caught >= 0.9 if toxic else caught <= 0.02, (lang, toxic, caught, n)
 
 
 def test_held_out_language(spark, sf_dir):

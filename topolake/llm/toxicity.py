@@ -1,13 +1,14 @@
-"""Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length, with exceptions."""
+"""Toxicity: a weighted lexicon, part of it learned, matched by Aho-Corasick on folded text, normalised by length, with exceptions."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Abusive words that every fit starts from, and harmless phrases that hold one of them.
@@ -30,7 +31,10 @@ HOMOGLYPHS = {
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 ACCENTS = {"áàâäãå": "a", "éèêë": "e", "íìîï": "i", "óòôöõ": "o", "úùûü": "u", "ñ": "n", "ç": "c"}
 
-MAX_FIT_DOCS, MAX_LEARNED, LEARN_SHARE, LEARN_PRECISION, FLOOR = 20_000, 2_000, 0.05, 0.9, 1.0
+# Rows of a fit at most, about; toxic texts that an entry must stand in; its least log-odds; the fixed lexicon's least weight.
+MAX_FIT_DOCS, SUPPORT, LEAST_ODDS, FLOOR = 20_000, 5, 2.0, 1.0
+# Lengths of learned beginnings of words, and entries up to which they are broadcast.
+BEGINNING, LONGEST, BROADCAST_ENTRIES = 5, 16, 500_000
 
 
 def _table() -> dict[int, str]:
@@ -52,42 +56,52 @@ def fold(text: str) -> str:
     return text.translate(FOLD)
 
 
-def automaton(weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
-    a = ahocorasick.Automaton()
-    for word, weight in weights.items():
-        a.add_word(fold(word), (len(word), weight))
+def automaton(entries: Iterable[str], exceptions: tuple[str, ...] = EXCEPTIONS):
+    """Finds the entries, whole words or, with a star at the end, beginnings of words, and exception phrases."""
+    values: dict[str, list] = {}
+    for entry in entries:
+        begins = entry.endswith("*")
+        values.setdefault(fold(entry.rstrip("*")), [None, None, False])[begins] = entry
     for phrase in exceptions:
-        a.add_word(fold(phrase), (len(phrase), None))
+        values.setdefault(fold(phrase), [None, None, False])[2] = True
+    a = ahocorasick.Automaton()
+    for text, (whole, begins, spared) in values.items():
+        a.add_word(text, (len(text), whole, begins, spared))
     a.make_automaton()
     return a
 
 
-def hits(text: str, a) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of whole-word matches outside exception phrases.
+def hits(text: str, a, weight: Callable[[str], float]) -> list[tuple[int, int, str]]:
+    """(start, end, entry) of the heaviest entry at each start of a word, outside exception phrases.
 
-    A match is whole if the characters beside it are not letters; digits and signs beside it are no part of a word.
+    A word starts where no letter stands before, and a whole one has none after it; digits and signs beside it are no
+    part of a word. Entries without a positive weight are no hits.
     """
-    words, spared = [], []
-    for last, (size, weight) in a.iter(fold(text)):
+    best, spared = {}, []
+    for last, (size, whole, begins, exception) in a.iter(fold(text)):
         start, end = last - size + 1, last + 1
-        if (start and text[start - 1].isalpha()) or (end < len(text) and text[end].isalpha()):
+        if start and text[start - 1].isalpha():
             continue
-        (spared if weight is None else words).append((start, end, weight))
+        ended = end == len(text) or not text[end].isalpha()
+        if exception and ended:
+            spared.append((start, end))
+        for entry in (begins, whole if ended else None):
+            if entry is not None and (w := weight(entry)) > best.get(start, (0, 0.0, ""))[1]:
+                best[start] = (end, w, entry)
     reach, j, out = -1, 0, []
     spared.sort()
-    for start, end, weight in sorted(words):
+    for start, (end, _, entry) in sorted(best.items()):
         while j < len(spared) and spared[j][0] <= start:
             reach = max(reach, spared[j][1])
             j += 1
         if reach < end:
-            out.append((start, end, weight))
+            out.append((start, end, entry))
     return out
 
 
-def features(text: str, a) -> tuple[float, float]:
-    """Found weight per square root of a hundred words, and whether anything was found."""
-    found = sum(w for _, _, w in hits(text, a))
-    return (found / math.sqrt(1 + len(text.split()) / 100), float(found > 0)) if found else (0.0, 0.0)
+def rate(text: str, found: list[tuple[int, int, str]], weight: Callable[[str], float]) -> float:
+    """Weight of the distinct entries found, by the square root of a hundred words."""
+    return sum(map(weight, {entry for _, _, entry in found})) / math.sqrt(1 + len(text.split()) / 100) if found else 0.0
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -100,59 +114,95 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _entries(text: Column) -> Column:
+    """Distinct words of the folded text, and their beginnings of BEGINNING to LONGEST letters with a star."""
+    chars = {chr(k): v for k, v in FOLD.items()}
+    words = F.array_distinct(F.split(F.translate(text, "".join(chars), "".join(chars.values())), r"[^\p{L}]+"))
+    words = F.filter(words, lambda w: F.length(w) >= 3)
+    lengths = lambda w: F.sequence(F.lit(BEGINNING), F.least(F.length(w), F.lit(LONGEST)))
+    begun = F.transform(F.filter(words, lambda w: F.length(w) >= BEGINNING), lambda w: F.transform(lengths(w), lambda n: F.concat(w.substr(F.lit(1), n), F.lit("*"))))
+    return F.array_distinct(F.concat(words, F.flatten(begun)))
+
+
 def fit(train_rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """Lexicon weights and the logistic's weights from rows (text, toxic), at most about MAX_FIT_DOCS of them.
 
-    A word's weight is its smoothed log-odds over distinct texts, at least FLOOR for the fixed lexicon. Words outside
-    it join if they stand in LEARN_SHARE of the toxic texts and are toxic in LEARN_PRECISION of theirs.
+    An entry is a folded word or beginning of words; its weight is its smoothed log-odds over distinct texts. It joins the
+    fixed lexicon, whose words weigh at least FLOOR, if SUPPORT toxic texts have it and its log-odds reach LEAST_ODDS. There
+    is no other bound on them: a text's entries are about its length, and each entry learned stands in SUPPORT texts. The
+    logistic is fitted on rates in which each text's own part in the weights is taken back, so that it meets texts as
+    unseen ones.
     """
     rows = train_rows.where(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select("text", "toxic")
     rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).cache()
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-    seen = rows.select(word, "toxic").groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
-    likely = (F.col("p") >= max(5, LEARN_SHARE * pos)) & (F.col("p") >= LEARN_PRECISION * F.col("n")) & (F.length("word") >= 4)
-    found = seen.where(likely | F.col("word").isin(list(LEXICON))).orderBy(F.desc("p"), "word").limit(MAX_LEARNED).collect()
-    odds = {r["word"]: math.log((r["p"] + 0.5) / (pos + 1)) - math.log((r["n"] - r["p"] + 0.5) / (n - pos + 1)) for r in found}
-    weights = {w: max(FLOOR, odds.get(w, FLOOR)) for w in LEXICON} | {w: max(FLOOR, x) for w, x in odds.items()}
+    fixed = {fold(w) for w in LEXICON}
+
+    def odds(p: int, own: int, out: int = 0, out_toxic: int = 0) -> float:
+        """Log-odds of an entry in own texts, p of them toxic, with out texts, out_toxic of them toxic, taken back."""
+        return math.log((p - out_toxic + 0.5) / (pos - out_toxic + 1)) - math.log((own - p - out + out_toxic + 0.5) / (n - pos - out + out_toxic + 1))
+
+    # Beginnings and words of toxic texts first: all texts are then searched for these alone.
+    toxic = rows.where("toxic > 0").select(F.explode(_entries(F.col("text"))).alias("entry")).groupBy("entry").agg(F.count("*").alias("p")).where(F.col("p") >= SUPPORT).cache()
+    few = toxic.count() <= BROADCAST_ENTRIES
+    clean = rows.where("toxic = 0").select(F.explode(_entries(F.col("text"))).alias("entry"))
+    clean = clean.join(F.broadcast(toxic.select("entry")) if few else toxic.select("entry"), "entry", "left_semi").groupBy("entry").agg(F.count("*").alias("c"))
+    likely = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.coalesce("c", F.lit(0)) + 0.5) / (n - pos + 1)) >= LEAST_ODDS
+    found = toxic.join(clean, "entry", "left").where(likely | F.col("entry").isin(list(fixed))).select("entry", "p", F.coalesce("c", F.lit(0)).alias("c")).collect()
+    counts = {r["entry"]: (r["p"], r["p"] + r["c"]) for r in found}
+    toxic.unpersist()
+    floor = lambda entry: FLOOR if entry in fixed else 0.0
+    weights = dict.fromkeys(fixed, FLOOR) | {e: max(floor(e), odds(*c)) for e, c in counts.items()}
     a = automaton(weights)
 
+    def unseen(toxic: int) -> Callable[[str], float]:
+        """Weights without a text of that label; what is no entry without it has none."""
+
+        def weight(entry: str) -> float:
+            if entry not in counts:
+                return floor(entry)
+            p, own = counts[entry]
+            value = odds(p, own, 1, toxic)
+            return max(floor(entry), value if p - toxic >= SUPPORT and value >= LEAST_ODDS else 0.0)
+
+        return weight
+
     def measured(batches):
+        weigh = unseen(0), unseen(1)
         for pdf in batches:
-            both = [features(t, a) for t in pdf["text"]]
-            yield pd.DataFrame({"rate": [x[0] for x in both], "any": [x[1] for x in both], "toxic": pdf["toxic"].to_numpy()})
+            pairs = [(t, weigh[int(y > 0)]) for t, y in zip(pdf["text"], pdf["toxic"], strict=True)]
+            yield pd.DataFrame({"rate": [rate(t, hits(t, a, w), w) for t, w in pairs], "toxic": (pdf["toxic"] > 0).astype("int32")})
 
-    got = rows.mapInPandas(measured, "rate double, any double, toxic int").toPandas()
+    got = rows.mapInPandas(measured, "rate double, toxic int").toPandas()
     rows.unpersist()
-    # Two priors: clean text without a word of the lexicon, toxic text with one.
-    x = np.vstack([got[["rate", "any"]].to_numpy(float), [[0.0, 0.0]] * 5, [[2.0, 1.0]] * 5])
+    # Two priors: clean text without a hit, toxic text with some.
+    x = np.concatenate([got["rate"].to_numpy(float), [0.0] * 5, [2.0] * 5])
     y = np.concatenate([got["toxic"].to_numpy(float), [0.0] * 5, [1.0] * 5])
-    return weights, _logistic(x, y)
+    return weights, _logistic(x[:, None], y)
 
 
 def score(documents: DataFrame, weights: dict[str, float], logistic: np.ndarray) -> DataFrame:
     """documents with toxicity (0 to 1) and n_toxic_hits; other columns stay.
 
-    The automaton is built from at most MAX_LEARNED words and the fixed lexicon, so what is shipped is bounded. Null
-    and empty texts have no match and score as such a text does; very long texts are matched whole.
+    The automaton is built from what fit() gives, whose size its bounded rows bound. Null and empty texts have no match
+    and score as such a text does; very long texts are matched whole.
     """
     plain = {str(k): float(v) for k, v in weights.items()}
-    w = [float(x) for x in logistic]
+    slope, intercept = (float(x) for x in logistic)
     built: dict[str, object] = {}
 
     @F.pandas_udf("score double, hits int")
-    def rate(texts: pd.Series) -> pd.DataFrame:
+    def rated(texts: pd.Series) -> pd.DataFrame:
         a = built.get("a") or built.setdefault("a", automaton(plain))
         out = []
         for t in texts:
-            found = hits(t, a) if t else []
-            total = sum(x for _, _, x in found)
-            z = w[0] * total / math.sqrt(1 + len(t.split()) / 100) + w[1] + w[2] if found else w[2]
+            found = hits(t, a, plain.__getitem__) if t else []
+            z = slope * rate(t, found, plain.__getitem__) + intercept if found else intercept
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(found)))
         return pd.DataFrame(out, columns=["score", "hits"])
 
     keep = [F.col(f"`{c}`") for c in documents.columns if c not in ("toxicity", "n_toxic_hits")]
-    return documents.withColumn("rated_", rate(F.col("text"))).select(
+    return documents.withColumn("rated_", rated(F.col("text"))).select(
         *keep, F.col("rated_.score").alias("toxicity"), F.col("rated_.hits").alias("n_toxic_hits")
     )
 
