@@ -15,7 +15,14 @@ from .common import materialize, tidy
 
 LENGTH, ANCHOR, GROUP_BYTES, BUCKET_BYTES, CHUNK_SEGMENTS = 50, 24, 6_000_000, 10_000_000, 5_000
 _PLACE = np.uint64((1 << 26) - 1)
-_NEVER = np.uint64(2**64 - 1)
+_FIRST, _FACTOR, _OVER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xC4CEB9FE1A85EC53)
+# Kinds of blobs: distinct anchors, those shared, or marks of a group's runs; least holders of windows.
+ANCHORS, WINDOWS, MARKS = 0, 1, 2
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
 
 
 class Columns:
@@ -152,16 +159,51 @@ class Windows:
     """Some texts' windows of `length` bytes, each in the run of windows that share its anchor.
 
     The anchor of a window is its ANCHOR-byte string of least hash, the leftmost of equal ones, so equal windows have
-    equal anchors wherever they stand. Runs: first window, number of windows, anchor hash, document.
+    equal anchors wherever they stand. Runs: first window, number of windows, anchor hash, document. `marks`, what
+    marks() gave of the same texts before, saves the search: two bytes a run, from which anchors are hashed where they stand.
     """
 
-    def __init__(self, texts: list[bytes], length: int, anchor: int) -> None:
+    def __init__(self, texts: list[bytes], length: int, anchor: int, marks: bytes | None = None) -> None:
         self.length = length
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        found = [np.empty((0, 3), np.int64)]
-        hashes = [np.empty(0, np.uint64)]
+        if marks is None:
+            self._search(texts, anchor)
+        else:
+            self._recall(np.frombuffer(marks, np.uint8).reshape(2, -1), anchor)
+        # Anchors have small hashes; another product spreads them over the buckets.
+        self.anchors *= _OVER
+
+    def marks(self) -> bytes:
+        """Each run's number of windows and its anchor's distance from its first window."""
+        return np.stack([self.runs[:, 1], self.offsets]).astype(np.uint8).tobytes()
+
+    def _recall(self, marks: np.ndarray, anchor: int) -> None:
+        count = marks[0].astype(np.int64)
+        first, windows = np.cumsum(count) - count, np.maximum(self.sizes - self.length + 1, 0)
+        ends = np.cumsum(windows)
+        doc = np.searchsorted(ends, first, "right")
+        start = first + (self.starts - (ends - windows))[doc]
+        self.runs, self.anchors = np.column_stack([start, count, doc]), np.empty(len(count), np.uint64)
+        for low in range(0, len(count), 1 << 14):
+            own = slice(low, low + (1 << 14))
+            self.anchors[own] = self._hash_at(start[own] + marks[1][own], anchor)
+
+    def _hash_at(self, place: np.ndarray, anchor: int) -> np.ndarray:
+        """The hash that _runs() gives the strings at some places, from the parts alone that make it up."""
+        parts = [(self.data[place + i].astype(np.uint64) + np.uint64(1)) * _FIRST for i in range(anchor)]
+        power, h = 1, np.zeros(len(place), np.uint64)
+        while parts:
+            if anchor & power:
+                h = h * _FACTOR + parts.pop(0)
+                h ^= h >> np.uint64(31)
+            parts = [a * _FACTOR + (b ^ (b >> np.uint64(29))) for a, b in zip(parts[::2], parts[1::2], strict=True)]
+            power *= 2
+        return _spread(h)
+
+    def _search(self, texts: list[bytes], anchor: int) -> None:
+        found, hashes, offsets = [np.empty((0, 3), np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         at = 0
         while at < len(texts):
             stop, size = at, 0
@@ -170,37 +212,36 @@ class Windows:
                 stop += 1
             # One text beyond the place bits is cut; cuts overlap by a window less one byte.
             base = int(self.starts[at])
-            for low in range(0, max(1, size - length + 1), 1 << 25):
-                runs, h = self._runs(base + low, min(base + size, base + low + (1 << 25) + length - 1), at, stop, anchor)
+            for low in range(0, max(1, size - self.length + 1), 1 << 25):
+                runs, h, offset = self._runs(base + low, min(base + size, base + low + (1 << 25) + self.length - 1), at, stop, anchor)
                 found.append(runs)
                 hashes.append(h)
+                offsets.append(offset)
             at = stop
-        self.runs, self.anchors = np.concatenate(found), np.concatenate(hashes)
+        self.runs, self.anchors, self.offsets = np.concatenate(found), np.concatenate(hashes), np.concatenate(offsets)
 
-    def _runs(self, low: int, high: int, first: int, last: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-        none = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
+    def _runs(self, low: int, high: int, first: int, last: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.empty((0, 3), np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
         n, span = high - low, self.length - anchor + 1
         if n < self.length:
             return none
         # The string's hash by doubling: parts of 1, 2, 4, ... bytes joined as anchor's binary digits ask.
-        part = (self.data[low:high].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        part = (self.data[low:high].astype(np.uint64) + np.uint64(1)) * _FIRST
         power, done, h = 1, 0, np.zeros(n, np.uint64)
-        factor = np.uint64(0xD1342543DE82EF95)
         with np.errstate(over="ignore"):
             while True:
                 if anchor & power:
                     tail = np.zeros(n, np.uint64)
                     tail[: n - done] = part[done:]
-                    h = h * factor + tail
+                    h = h * _FACTOR + tail
                     h ^= h >> np.uint64(31)
                     done += power
                 if done >= anchor:
                     break
-                nxt = part * factor
+                nxt = part * _FACTOR
                 nxt[: n - power] += part[power:] ^ (part[power:] >> np.uint64(29))
                 part, power = nxt, power * 2
-            h *= np.uint64(0xFF51AFD7ED558CCD)
-            h ^= h >> np.uint64(33)
+            h = _spread(h)
         least = (h & ~_PLACE) | np.arange(n, dtype=np.uint64)
         width = 1
         while width * 2 <= span:
@@ -220,8 +261,7 @@ class Windows:
         new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
         heads = np.flatnonzero(new)
         counts = np.diff(np.append(heads, len(at)))
-        # Anchors have small hashes; another product spreads them over the buckets.
-        return np.column_stack([low + at[heads], counts, doc[at[heads]]]), h[place[heads]] * np.uint64(0xC4CEB9FE1A85EC53)
+        return np.column_stack([low + at[heads], counts, doc[at[heads]]]), h[place[heads]], place[heads] - at[heads]
 
 
 def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -317,8 +357,8 @@ def remove_repeats(
 
     The column-wise transform needs a round for each symbol of its longest member, so members are short: runs of
     windows that share an anchor, at most 2 * length - anchor bytes, each window of a text in just one. Documents are
-    dealt by hash into groups of about group_bytes; a group asks the bucket of each anchor hash whether another
-    document has it (8 bytes a distinct anchor), sends runs of such anchors, each distinct text once with its least
+    dealt by hash into groups of about group_bytes; a group finds its runs once (two bytes a run are kept for the later
+    passes), asks the bucket of each anchor hash whether another document has it (8 bytes a distinct anchor), sends runs of such anchors, each distinct text once with its least
     document, and is told the least document of every window. A bucket, about bucket_bytes of text, builds the
     transform of its distinct runs chunk by chunk; windows with a common prefix of `length` are equal. Passages that
     many documents share are one run a group, so no task meets all copies.
@@ -335,22 +375,28 @@ def remove_repeats(
         F.col("doc_id").cast("string").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("at"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
-    blob = "bucket int, g int, blob binary"
+    blob = "bucket int, g int, kind int, blob binary"
+    names = ["bucket", "g", "kind", "blob"]
 
-    def opened(pdf: pd.DataFrame) -> tuple[pd.DataFrame, Windows]:
+    def opened(pdf: pd.DataFrame, answers: pd.DataFrame | None = None) -> tuple[pd.DataFrame, Windows]:
         pdf = pdf.sort_values(["at", "text"], ignore_index=True)
-        return pdf, Windows(list(pdf["text"]), length, anchor)
+        marks = None if answers is None else b"".join(map(zstandard.decompress, answers.loc[answers["kind"] == MARKS, "blob"]))
+        return pdf, Windows(list(pdf["text"]), length, anchor, marks)
 
     def shared_of(answers: pd.DataFrame) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(zstandard.decompress(x), np.uint64) for x in answers["blob"])])
+        found = answers.loc[answers["kind"] == ANCHORS, "blob"]
+        return np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(zstandard.decompress(x), np.uint64) for x in found)])
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = int(pdf["g"].iloc[0])
-        h, many, cuts = _anchors(opened(pdf)[1], buckets)
-        rows = [(b, g, _squeeze(h[i:j], many[i:j].astype(np.uint8))) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-        return pd.DataFrame(rows, columns=["bucket", "g", "blob"])
+        g, w = int(pdf["g"].iloc[0]), opened(pdf)[1]
+        h, many, cuts = _anchors(w, buckets)
+        rows = [(b, g, ANCHORS, _squeeze(h[i:j], many[i:j].astype(np.uint8))) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+        return pd.DataFrame([*rows, (g % buckets, g, MARKS, zstandard.compress(w.marks(), 3))], columns=names)
 
     def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        marks, pdf = pdf[pdf["kind"] == MARKS], pdf[pdf["kind"] == ANCHORS]
+        if pdf.empty:
+            return marks
         hs, many = [], []
         for x in pdf["blob"]:
             raw = zstandard.decompress(x)
@@ -361,7 +407,7 @@ def remove_repeats(
         docs = np.bincount(at, 1 + np.concatenate(many), len(distinct)) >= 2
         cuts = np.cumsum([0, *map(len, hs)])
         blobs = [_squeeze(h[docs[at[i:j]]]) for h, i, j in zip(hs, cuts, cuts[1:], strict=False)]
-        return pd.DataFrame({"bucket": pdf["bucket"].to_numpy(), "g": pdf["g"].to_numpy(), "blob": blobs})
+        return pd.concat([pdf.assign(blob=blobs), marks])
 
     asked = rows.groupBy("g").applyInPandas(ask, blob)
     shared = materialize(asked.groupBy("bucket").applyInPandas(tell, blob), "anchors")
@@ -369,7 +415,7 @@ def remove_repeats(
 
     def send(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         g = int(pdf["g"].iloc[0])
-        pdf, w = opened(pdf)
+        pdf, w = opened(pdf, answers)
         s = Segments(w, shared_of(answers), buckets)
         least = np.full(len(s.texts), 2**63 - 1, np.int64)
         np.minimum.at(least, s.of, pdf["at"].to_numpy(np.int64)[s.runs[:, 2]])
@@ -378,25 +424,25 @@ def remove_repeats(
         for b, (i, j) in enumerate(zip(s.cuts, s.cuts[1:], strict=False)):
             if j > i:
                 text = np.frombuffer(b"".join(s.texts[i:j]), np.uint8)
-                out.append((b, g, _squeeze(np.array([j - i], np.int64), s.anchors[i:j], least[i:j], sizes[i:j], text)))
-        return pd.DataFrame(out, columns=["bucket", "g", "blob"])
+                out.append((b, g, WINDOWS, _squeeze(np.array([j - i], np.int64), s.anchors[i:j], least[i:j], sizes[i:j], text)))
+        return pd.DataFrame(out, columns=names)
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(pdf["bucket"].iloc[0])
         got = _resolve(list(zip(pdf["g"], pdf["blob"], strict=True)), length, chunk)
-        return pd.DataFrame([(b, g, x) for g, x in got], columns=["bucket", "g", "blob"])
+        return pd.DataFrame([(b, g, WINDOWS, x) for g, x in got], columns=names)
 
     sent = rows.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(send, blob)
     told = materialize(sent.groupBy("bucket").applyInPandas(answer, blob), "windows")
     tidy(spark)
 
     def cut(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        pdf, w = opened(pdf)
-        s = Segments(w, shared_of(answers[answers["kind"] == 0]), buckets)
+        pdf, w = opened(pdf, answers)
+        s = Segments(w, shared_of(answers), buckets)
         least = np.empty(int(s.windows.sum()), np.int64)
         first = np.cumsum(s.windows) - s.windows
         bounds = np.append(first, len(least))[s.cuts]
-        for b, x in zip(*answers.loc[answers["kind"] == 1, ["bucket", "blob"]].to_numpy().T, strict=True):
+        for b, x in zip(*answers.loc[answers["kind"] == WINDOWS, ["bucket", "blob"]].to_numpy().T, strict=True):
             least[bounds[b] : bounds[b + 1]] = np.frombuffer(zstandard.decompress(x), np.int64)
         count = s.runs[:, 1]
         inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -414,7 +460,6 @@ def remove_repeats(
             out.append((n, int(own.sum()), runs, w.data[i : i + n][~own].tobytes() if runs else w.data[i : i + n].tobytes()))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"]).assign(key=pdf["key"])
 
-    answers = shared.withColumn("kind", F.lit(0)).unionByName(told.withColumn("kind", F.lit(1)))
-    done = rows.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(cut, "key string, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = rows.groupBy("g").cogroup(shared.unionByName(told).groupBy("g")).applyInPandas(cut, "key string, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.select(F.col("key").cast(id_type).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
