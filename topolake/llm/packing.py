@@ -2,99 +2,96 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import re
-import threading
 import zlib
-from array import array
-from collections.abc import Iterator
-from itertools import filterfalse, islice
+from collections.abc import Iterable, Iterator
+from itertools import count, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import drop, materialize
+from .parts import parts_of
 
-CAPACITY, END_ID, PART_TOKENS, ROUNDS = 2048, 0, 8_000_000, 4
-MAX_WORD, MAX_CACHED, MAX_KEPT, IDLE_SECONDS, MARKS = 64, 700_000, 400_000, 30.0, b".,;:!?"
+CAPACITY, END_ID, PART_TOKENS = 2048, 0, 8_000_000
+MAX_WORD, MAX_CACHED = 64, 700_000
+
+
+def _ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... count[0] of them, then those of first[1], and so on."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class WordTokenizer:
     """Token ids of whole texts, by memory of what stands between ASCII white space.
 
     The tokenizer drops white space, lowers capitals and never joins text across white space, so a text's ids are those
-    of its parts, lower-cased, in turn. Nor does it join a letter and a mark after it: a part that ends in one of MARKS
-    after an ASCII letter is the rest and the mark. New parts of letters alone are one word each to the tokenizer; many
-    are coded as one text and told apart by its tokens that end a word. Parts of over MAX_WORD bytes are not
-    remembered; at MAX_CACHED parts those in use become the older half of the memory, and what is not asked for until
-    the next time goes. Between tasks only the MAX_KEPT parts learnt first stay, mostly the frequent ones.
+    of its parts, lower-cased, in turn. Nor does it join a letter and a mark after it: one of MARKS at the end of a part,
+    after an ASCII letter, is a part of its own. A slice's distinct parts are found by a hash of all of them at once,
+    compared byte by byte, and only they are looked up. New parts of letters alone are one word each to the tokenizer;
+    many are coded as one text and told apart by its tokens that end a word. Parts of over MAX_WORD bytes are not
+    remembered, and at MAX_CACHED parts the memory is begun anew.
 
     With `special`, the tokenizer's special tokens where a text spells them are single ids, as in the tokenizer left at
     its defaults, which cuts a text at them before all else; without it they are text like any other.
     """
 
     def __init__(self, path: str, special: bool = False) -> None:
-        # A worker has one core; the library's own threads would compete for it.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        # What lies between special tokens never holds one, but lower-casing can spell one, and that is text.
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.ends = _loaded(path)
         added = self.tokenizer.get_added_tokens_decoder() if special else {}
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items() if t.special}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.marks = {bytes([c]): self._each([chr(c)])[0] for c in MARKS}
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [array("I", c.ids).tobytes() for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _words(self, words: list[str], together: int = 100) -> list[bytes]:
-        """Ids of each of some words of letters."""
-        parts = [words[i : i + together] for i in range(0, len(words), together)]
-        out: list[bytes] = []
-        for part, coded in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part) or cuts[-1] != len(ids):
-                out += self._each(part)
-                continue
-            raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            out += [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
-        return out
-
-    def _learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new parts; what is short enough is remembered."""
-        passing, ended = {}, []
-        plain, other = {}, {}
-        for w in parts:
-            if w[-1:] in self.marks and w[-2:-1].isalpha() and len(w) <= MAX_WORD:
-                ended.append(w)
-                w = w[:-1]
-                if w in self.known:
-                    continue
-            text = w.decode("utf-8", "replace")
-            (plain if text.isalpha() and len(w) <= MAX_WORD else other)[w] = text
-        for found, code, step in ((plain, self._words, 20_000), (other, self._each, 5_000)):
-            names, texts = list(found), list(found.values())
-            for at in range(0, len(names), step):
-                for w, ids in zip(names[at : at + step], code(texts[at : at + step]), strict=True):
-                    (self.known if len(w) <= MAX_WORD else passing)[w] = ids
-        for w in ended:
-            self.known[w] = self.known[w[:-1]] + self.marks[w[-1:]]
-        return passing
-
-    def rest(self) -> None:
-        self.known, self.older = dict(islice(self.known.items(), MAX_KEPT)), {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.first, self.count = np.empty(1 << 20, "<u4"), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.used = self.parts = 0
+
+    def _keep(self, ids: np.ndarray, count: np.ndarray) -> int:
+        """Appends the ids of some parts; the number of the first of them."""
+        for name, at, n in (("flat", self.used, len(ids)), ("first", self.parts, len(count)), ("count", self.parts, len(count))):
+            old = getattr(self, name)
+            if at + n > len(old):
+                grown = np.empty(max(at + n, 2 * len(old)), old.dtype)
+                grown[:at] = old[:at]
+                setattr(self, name, grown)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.count[self.parts : self.parts + len(count)] = count
+        self.first[self.parts : self.parts + len(count)] = self.used + np.cumsum(count) - count
+        number = self.parts
+        self.used, self.parts = self.used + len(ids), self.parts + len(count)
+        return number
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [c.ids for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], "<u4"), np.array([len(x) for x in ids], np.int64)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words of letters, and how many each has."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) and cuts[-1] == len(ids) else self._each(words)
+
+    def _learn(self, parts: list[bytes]) -> np.ndarray:
+        """Numbers of new parts; what is short enough is remembered."""
+        texts = [w.decode("utf-8", "replace") for w in parts]
+        short = np.fromiter(map(len, parts), np.int64, len(parts)) <= MAX_WORD
+        plain = np.fromiter(map(str.isalpha, texts), bool, len(parts)) & short
+        numbers = np.empty(len(parts), np.int64)
+        for mine, code, step in ((plain, self._words, 100), (~plain & short, self._each, 1000), (~short, self._each, 100)):
+            at = np.flatnonzero(mine)
+            for i in range(0, len(at), step):
+                own = at[i : i + step]
+                numbers[own] = self._keep(*code([texts[k] for k in own.tolist()])) + np.arange(len(own))
+        at = np.flatnonzero(short)
+        self.known.update(zip([parts[k] for k in at.tolist()], numbers[at].tolist(), strict=True))
+        return numbers
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -106,81 +103,85 @@ class WordTokenizer:
         return [b"".join(self.special[p] if i % 2 else next(coded) for i, p in enumerate(ps)) for ps in parts]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        if len(self.known) > MAX_CACHED:
-            self.known, self.older = {}, self.known
-        new: set[bytes] = set()
-        for words in split:
-            new.update(filterfalse(self.known.__contains__, words))
-        for w in new & self.older.keys():
-            self.known[w] = self.older[w]
-        passing = self._learn(new.difference(self.known))
-        get = self.known.__getitem__
-        if not passing:
-            return [b"".join(map(get, words)) for words in split]
-        return [b"".join(passing[w] if len(w) > MAX_WORD else get(w) for w in words) for words in split]
-
-
-_tokenizers: dict[tuple[str, bool], WordTokenizer] = {}  # of a Python worker, kept from task to task
-_asked = 0
-
-
-def tokenizer(path: str, special: bool = False) -> WordTokenizer:
-    global _asked
-    _asked += 1
-    if (path, special) not in _tokenizers:
-        _tokenizers[path, special] = WordTokenizer(path, special)
-    return _tokenizers[path, special]
-
-
-def _rest() -> None:
-    """After a task: keep the frequent parts for the next; let all go if none comes, for the worker outlives the stage."""
-    for t in _tokenizers.values():
-        t.rest()
-    turn = _asked
-
-    def let_go() -> None:
-        if _asked == turn:
-            _tokenizers.clear()
-            gc.collect()
-            # Freed memory goes back to the system where the C library can do so.
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
-
-    timer = threading.Timer(IDLE_SECONDS, let_go)
-    timer.daemon = True
-    timer.start()
+        found, cuts, n = [np.empty(0, "<u4")], [np.zeros(1, np.int64)], 0
+        for of, parts, ends in parts_of([t.encode("utf-8", "surrogatepass").lower() for t in texts], marks=True):
+            ids, count = self._coded(of, parts)
+            cuts.append(n + np.append(0, np.cumsum(count))[ends])
+            found.append(ids)
+            n += len(ids)
+        raw, cut = np.concatenate(found).tobytes(), (4 * np.concatenate(cuts)).tolist()
+        return [raw[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+
+    def _coded(self, of: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a slice's parts in turn, and how many each has."""
+        if self.parts > MAX_CACHED:
+            self._forget()
+        number = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(number < 0)
+        number[new] = self._learn([parts[i] for i in new.tolist()])
+        own = number[of]
+        count = self.count[own]
+        ids = self.flat[_ragged(self.first[own], count)]
+        if self.parts > len(self.known):
+            # Long parts came last and are let go.
+            self.parts = len(self.known)
+            self.used = int(self.first[self.parts])
+        return ids, count
+
+
+_tokenizers: dict[str, tuple] = {}  # of a Python worker: the library's tokenizer as loaded, without what a task learns
+
+
+def _loaded(path: str) -> tuple:
+    """The tokenizer of a file and, by id, whether a token ends a word."""
+    # A worker has one core; the library's own threads would compete for it.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    if path not in _tokenizers:
+        made = Tokenizer.from_file(path)
+        # What lies between special tokens never holds one, but lower-casing can spell one, and that is text.
+        made.encode_special_tokens = True
+        ends = np.zeros(made.get_vocab_size() + 1, bool)
+        for token, i in made.get_vocab().items():
+            ends[i] = token.endswith("</w>")
+        _tokenizers[path] = made, ends
+    return _tokenizers[path]
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and END_ID, cut only where longer than a sequence."""
     end = np.array([END_ID], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def pieces_of(tok: WordTokenizer, texts: list[str]) -> list[list[dict]]:
-        out, at = [], 0
+    def groups(texts: list[str]) -> Iterator[list[str]]:
+        at = 0
         while at < len(texts):
             stop, size = at, 0
             while stop < len(texts) and (stop == at or size < 4_000_000):
                 size += len(texts[stop])
                 stop += 1
-            for ids in tok.encode(texts[at:stop]):
-                ids += end
-                parts = [(s, ids[4 * s : 4 * (s + capacity)]) for s in range(0, len(ids) // 4, capacity)]
-                out.append([{"piece": p, "start": s, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for p, (s, x) in enumerate(parts)])
+            yield texts[at:stop]
             at = stop
-        return out
 
-    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tok = tokenizer(tokenizer_path, special)
-        for texts in batches:
-            yield pd.Series(pieces_of(tok, [t if t is not None else "" for t in texts]), dtype="object")
-        _rest()
-
-    # Not to be evaluated again for the filter that Spark infers below a generator.
-    cut = cut.asNondeterministic()
-    return documents.select("doc_id", cut(F.col("text")).alias("cut_")).select("doc_id", F.inline("cut_"))
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = WordTokenizer(tokenizer_path, special)
+        for batch in batches:
+            row, made = 0, []
+            for texts in groups([t if t is not None else "" for t in batch.column(1).to_pylist()]):
+                for ids in tok.encode(texts):
+                    ids += end
+                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                        part = ids[4 * start : 4 * (start + capacity)]
+                        made.append((row, piece, start, len(part) // 4, zlib.crc32(part)))
+                    row += 1
+            rows, *rest = np.array(made, np.int64).reshape(-1, 5).T
+            rest = [pa.array(x, pa.int32() if i == 0 else pa.int64()) for i, x in enumerate(rest)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *rest], names=names)
+
+    longs = [StructField(n, LongType()) for n in names[2:]]
+    schema = StructType([documents.schema["doc_id"], StructField("piece", IntegerType()), *longs])
+    return documents.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -225,14 +226,15 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS) -> DataFrame:
     """items with sequence_id and offset.
 
     Each partition, of about part_tokens tokens and chosen by a hash of the item, packs its own documents best fit
     decreasing and compares its bins with its lower bound. A partition without a gap is certified optimal and done.
-    Partitions with gaps keep their full bins and exchange the documents of the others: these are dealt over fewer
-    partitions and packed again, for some rounds or until at most one partition is left to do. Only items move, never
-    text; a partition's size does not grow with the table.
+    Partitions with gaps keep their full bins and exchange the documents of the others: these are dealt over new
+    partitions, as large as before and thus fewer, and packed again, until all are certified, one partition is left or
+    a round settles less than half of what it was given; what is left then stays as it was packed. Only items move,
+    never text; a partition's size does not grow with the table.
     """
     total = items.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     parts = max(1, round(total / part_tokens))
@@ -241,16 +243,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_tokens: int = PART_TOK
     names = items.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields)
     done, pool, used = [], items, 0
-    for turn in range(rounds):
+    for turn in count():
         # Pickled by materialize() within this turn, so the names below are this turn's.
-        base, last = used, turn == rounds - 1 or parts == 1
+        base = used
 
         def fill(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
             size = pdf["length"].to_numpy(np.int64)
             bins, places, n = best_fit(size, capacity)
             full = np.bincount(bins, size, n) == capacity
-            settled = np.ones(len(pdf), bool) if last or n <= lower_bound(size, capacity) else full[bins]
+            settled = np.ones(len(pdf), bool) if n <= lower_bound(size, capacity) else full[bins]
             out = pdf[names].copy()
             out["sequence_id"] = (base + int(pdf["part_"].iloc[0])) << 32 | bins
             out["offset"] = places
@@ -259,15 +261,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_tokens: int = PART_TOK
 
         keyed = pool.select(*names).withColumn("part_", F.pmod(F.xxhash64(*names, F.lit(turn)), F.lit(parts)))
         filled = materialize(keyed.groupBy("part_").applyInPandas(fill, schema + ", sequence_id long, offset long, settled_ boolean"), "packed")
-        done.append(filled.where("settled_").drop("settled_"))
         used += parts
-        if last:
+        left = filled.where("NOT settled_").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        if not left or parts == 1 or 2 * left > total:
+            done.append(filled.drop("settled_"))
             break
-        pool = filled.where("NOT settled_")
-        left = pool.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-        if not left:
-            break
-        parts = max(1, min(parts // 4, round(left / part_tokens)))
+        done.append(filled.where("settled_").drop("settled_"))
+        pool, total, parts = filled.where("NOT settled_"), left, max(1, round(left / part_tokens))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
