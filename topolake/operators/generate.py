@@ -54,6 +54,27 @@ def mart_rows(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("metric_key"), (d("dim") % 500).alias("dimension_key"), F.round(d("kpi") % 100000 / 100.0, 2).alias("kpi_value"), F.concat(F.lit("2024-"), F.lpad((d("m") % 12 + 1).cast("string"), 2, "0")).alias("period"))
 
 
+# Sources of a row by its table's kind: least and most.
+FAN_IN = {"staging": (1, 3), "dim": (1, 3), "fact": (1, 2), "mart": (5, 25)}
+
+
+def row_lineage(edges: DataFrame, counts: DataFrame, seed: int = 42) -> DataFrame:
+    """(src_table, src_row, dst_table, dst_row) for every derivation (src, dst) and target row, by counts (name, kind, rows).
+
+    A row has a number of sources within the range of its table's kind, none twice: they start at a digest and lie a
+    digest's step apart, so short that the last does not come round to the first.
+    """
+    src = counts.select(F.col("name").alias("src"), F.col("rows").alias("n"))
+    dst = counts.select(F.col("name").alias("dst"), F.col("kind"), F.col("rows").alias("m"))
+    low, most = (F.create_map(*[F.lit(x) for k, v in FAN_IN.items() for x in (k, v[i])]) for i in (0, 1))
+    rows = edges.select("src", "dst").distinct().join(src, "src").join(dst, "dst").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    d = lambda what: digest(F.col("dst"), F.col("k"), F.col("src"), F.lit(what), F.lit(seed))
+    rows = rows.withColumn("fan", F.least(low[F.col("kind")] + d("fan") % (most[F.col("kind")] - low[F.col("kind")] + 1), F.col("n")))
+    rows = rows.withColumns({"start": d("start") % F.col("n"), "step": 1 + d("step") % F.greatest(F.lit(1), F.floor(F.col("n") / F.col("fan")))})
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)))
+    return rows.select(F.col("src").alias("src_table"), ((F.col("start") + F.col("j") * F.col("step")) % F.col("n")).alias("src_row"), F.col("dst").alias("dst_table"), F.col("k").alias("dst_row"))
+
+
 def stratified(rows: DataFrame, bucket: str, key: str, per_bucket: int, total: int, seed: int = 42) -> DataFrame:
     """per_bucket rows of each bucket by hashed order, filled up to total from the rest."""
     from pyspark.sql import Window

@@ -48,7 +48,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, star
         schema = f"dataset string, seed {node}, node {node}, depth int" + (f", path array<{node}>" if paths else "")
         run = small.reacher(max_depth, start_on_cycle, paths)
         return edges.groupBy("dataset").cogroup(seeds.distinct().groupBy("dataset")).applyInPandas(run, schema)
-    step = edges.select("dataset", F.col("src").alias("node"), F.col("dst").alias("next"))
+    # Written once: what makes the edges is not made again each round.
+    step = written(edges.select("dataset", F.col("src").alias("node"), F.col("dst").alias("next")), "edges")
     first = seeds.select("dataset", "seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
     first = first.withColumn("path", F.array("seed")) if paths else first
     frontier, seen = first, None if start_on_cycle else first
@@ -103,14 +104,14 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         return nodes.select("dataset", "name").groupBy("dataset").cogroup(both.groupBy("dataset")).applyInPandas(small.ranker(damping, rounds), "dataset string, name string, rank double")
     out = both.groupBy("dataset", F.col("src").alias("name")).agg(F.count("*").alias("deg"))
     total = nodes.groupBy("dataset").agg(F.count("*").alias("n"))
-    base = nodes.select("dataset", "name").join(F.broadcast(total), "dataset").join(out, ["dataset", "name"], "left")
+    base = nodes.select("dataset", "name").join(total, "dataset").join(out, ["dataset", "name"], "left")
     base = written(base.withColumn("deg", F.coalesce("deg", F.lit(0))), "rank-base")
     rank = base.select("dataset", "name", "n", "deg", (F.lit(1.0) / F.col("n")).alias("rank"))
     for turn in range(rounds):
         share = rank.where("deg > 0").select("dataset", F.col("name").alias("src"), (F.col("rank") / F.col("deg")).alias("give"))
         got = both.join(share, ["dataset", "src"]).groupBy("dataset", F.col("dst").alias("name")).agg(F.sum("give").alias("got"))
         idle = rank.groupBy("dataset").agg(F.coalesce(F.sum(F.when(F.col("deg") == 0, F.col("rank"))), F.lit(0.0)).alias("idle"))
-        rank = base.join(got, ["dataset", "name"], "left").join(F.broadcast(idle), "dataset").select(
+        rank = base.join(got, ["dataset", "name"], "left").join(idle, "dataset").select(
             "dataset", "name", "n", "deg",
             ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("idle") / F.col("n"))).alias("rank"),
         )
@@ -122,29 +123,45 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(dataset, name, betweenness), directed and normalised by (n - 1)(n - 2).
 
-    From all pairs' shortest distances and path counts: v lies between s and t where d(s,v) + d(v,t) = d(s,t), with
-    the share n(s,v) n(v,t) / n(s,t) of the paths. Joins only; the pairs are bounded by the graphs' squared sizes.
+    Forward, level by level: distances and path counts from every node. Backward, from the farthest level: a node
+    gives each node one step nearer to the start the share of its paths that come through it, times one and what it
+    has itself been given. Rows are pairs of a start and an edge, never pairs of pairs. A dataset counted to be small is
+    one task's.
     """
     one = directed(edges).where("src <> dst")
-    step = one.select("dataset", F.col("src").alias("node"), F.col("dst").alias("next"))
-    pairs = nodes.select("dataset", F.col("name").alias("s"), F.col("name").alias("t"), F.lit(0).alias("d"), F.lit(1).cast("long").alias("n"))
-    seen, frontier = pairs, pairs
+    if small.fits(nodes, one):
+        part = nodes.select("dataset", "name").groupBy("dataset").cogroup(one.groupBy("dataset")).applyInPandas(small.between, "dataset string, name string, part double")
+        return _of_pairs(nodes, part)
+    step = written(one.select("dataset", F.col("src").alias("t"), F.col("dst").alias("next")), "edges")
+    start = nodes.select("dataset", F.col("name").alias("s"), F.col("name").alias("t"), F.lit(1).cast("double").alias("n"))
+    levels, seen = [start], start.select("dataset", "s", "t")
     for depth in count(1):
-        new = frontier.join(step, (frontier.dataset == step.dataset) & (frontier.t == step.node)).select(frontier.dataset, "s", F.col("next").alias("t"), "n")
-        new = new.groupBy("dataset", "s", "t").agg(F.sum("n").alias("n")).join(seen.select("dataset", "s", "t"), ["dataset", "s", "t"], "left_anti")
-        frontier = written(new.select("dataset", "s", "t", F.lit(depth).alias("d"), "n"), "paths")
-        if frontier.isEmpty():
+        new = levels[-1].join(step, ["dataset", "t"]).groupBy("dataset", "s", F.col("next").alias("t")).agg(F.sum("n").alias("n"))
+        level = written(new.join(seen, ["dataset", "s", "t"], "left_anti"), "paths")
+        if level.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        levels.append(level)
+        seen = seen.unionByName(level.select("dataset", "s", "t"))
         if depth % FOLDED_ROUNDS == 0:
             seen = written(seen, "seen")
-    seen = seen.where("d > 0")
-    left = seen.select("dataset", "s", F.col("t").alias("name"), F.col("d").alias("d1"), F.col("n").alias("n1"))
-    right = seen.select("dataset", F.col("s").alias("name"), "t", F.col("d").alias("d2"), F.col("n").alias("n2"))
-    via = left.join(right, ["dataset", "name"]).where("s <> t").join(seen.select("dataset", "s", "t", "d", "n"), ["dataset", "s", "t"]).where("d1 + d2 = d")
-    part = via.groupBy("dataset", "name").agg(F.sum(F.col("n1") * F.col("n2") / F.col("n")).alias("part"))
+    back, given, parts = step.select("dataset", "t", F.col("next").alias("far")), None, []
+    for level, below in zip(levels[:0:-1], levels[-2::-1], strict=True):
+        far = level if given is None else level.join(given, ["dataset", "s", "t"], "left")
+        got = F.lit(0.0) if given is None else F.coalesce("got", F.lit(0.0))
+        far = far.select("dataset", "s", F.col("t").alias("far"), ((1 + got) / F.col("n")).alias("unit"))
+        share = far.join(back, ["dataset", "far"]).join(below, ["dataset", "s", "t"])
+        given = written(share.groupBy("dataset", "s", "t").agg(F.sum(F.col("n") * F.col("unit")).alias("got")), "given")
+        parts.append(given.where("s <> t").groupBy("dataset", F.col("t").alias("name")).agg(F.sum("got").alias("part")))
+    part = nodes.select("dataset", "name", F.lit(0.0).alias("part")).where("false")
+    for more in parts:
+        part = part.unionByName(more)
+    return _of_pairs(nodes, part.groupBy("dataset", "name").agg(F.sum("part").alias("part")))
+
+
+def _of_pairs(nodes: DataFrame, part: DataFrame) -> DataFrame:
+    """Shares of paths through each node by the number of pairs of others."""
     total = nodes.groupBy("dataset").agg(F.count("*").alias("size"))
-    pairs_of = F.greatest(F.lit(1), (F.col("size") - 1) * (F.col("size") - 2))
-    return nodes.select("dataset", "name").join(F.broadcast(total), "dataset").join(part, ["dataset", "name"], "left").select(
-        "dataset", "name", (F.coalesce("part", F.lit(0.0)) / pairs_of).alias("betweenness")
+    pairs = F.greatest(F.lit(1), (F.col("size") - 1) * (F.col("size") - 2))
+    return nodes.select("dataset", "name").join(total, "dataset").join(part, ["dataset", "name"], "left").select(
+        "dataset", "name", (F.coalesce("part", F.lit(0.0)) / pairs).alias("betweenness")
     )

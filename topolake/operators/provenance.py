@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from topolake.sources.storage import written
+
 from . import kernel as K
 
 ROW_EDGES = "src_table string, src_row bigint, dst_table string, dst_row bigint"
@@ -87,11 +89,25 @@ def rows_of(edges: DataFrame) -> DataFrame:
 
 
 def cascade(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed_table, seed_row, table, n_rows): distinct descendants by table; the total where table is null."""
-    return trace(edges, seeds, upstream=False).groupBy("seed_table", "seed_row", F.col("table").alias("t")).agg(F.count("*").alias("n")).groupBy(
-        "seed_table", "seed_row").agg(F.collect_list(F.struct("t", "n")).alias("all"), F.sum("n").alias("total")).select(
-        "seed_table", "seed_row", F.explode(F.concat("all", F.array(F.struct(F.lit(None).cast("string").alias("t"), F.col("total").alias("n"))))).alias("x")).select(
-        "seed_table", "seed_row", F.col("x.t").alias("table"), F.col("x.n").alias("n_rows"))
+    """(seed_table, seed_row, table, n_rows): distinct descendants by table; the total where table is null.
+
+    Rows that nothing is made of, most of a warehouse's, are not followed or kept: the search goes through the others
+    alone, and the last step to rows without descendants is one join and one count of distinct ones.
+    """
+    pairs = written(edges.select(
+        F.struct(F.col("src_table").alias("table"), F.col("src_row").alias("row")).alias("src"), F.struct(F.col("dst_table").alias("table"), F.col("dst_row").alias("row")).alias("dst"),
+    ).distinct(), "row-edges").withColumn("dataset", F.lit("rows"))
+    made = pairs.select(F.col("src").alias("dst")).distinct()
+    starts = seeds.select(F.lit("rows").alias("dataset"), F.struct("table", "row").alias("seed")).distinct()
+    found = K.reach(pairs.join(made, "dst", "left_semi").select("dataset", "src", "dst"), starts, start_on_cycle=True).select("seed", "node")
+    last = pairs.join(made, "dst", "left_anti").select(F.col("src").alias("node"), F.col("dst").alias("leaf"))
+    leaves = found.unionByName(starts.select("seed", F.col("seed").alias("node"))).distinct().join(last, "node").select("seed", F.col("leaf").alias("node"))
+    # Nothing is both: a leaf is never on the way. Leaves can be met by several ways, and are counted once.
+    counts = found.groupBy("seed", F.col("node.table").alias("t")).agg(F.count("*").alias("n")).unionByName(
+        leaves.groupBy("seed", F.col("node.table").alias("t")).agg(F.countDistinct("node").alias("n")))
+    return counts.groupBy("seed", "t").agg(F.sum("n").alias("n")).groupBy("seed").agg(F.collect_list(F.struct("t", "n")).alias("all"), F.sum("n").alias("total")).select(
+        "seed", F.explode(F.concat("all", F.array(F.struct(F.lit(None).cast("string").alias("t"), F.col("total").alias("n"))))).alias("x")).select(
+        F.col("seed.table").alias("seed_table"), F.col("seed.row").alias("seed_row"), F.col("x.t").alias("table"), F.col("x.n").alias("n_rows"))
 
 
 def depths(edges: DataFrame, seeds: DataFrame) -> DataFrame:

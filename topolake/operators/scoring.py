@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,15 +51,13 @@ def score_paths(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def metrics(scored: DataFrame, *extra: str) -> DataFrame:
     """(extra.., level, key, total, exact_match, avg_f1): one pass of grouping sets over type, difficulty, subtype and all."""
     levels = ("type", "difficulty", "subtype")
-    scored.createOrReplaceTempView("scored_")
-    own = "".join(f"{e}, " for e in extra)
-    sets = ", ".join(f"({own}{lv})" for lv in levels) + f", ({own.rstrip(', ')})"
-    level = "CASE " + " ".join(f"WHEN grouping({lv}) = 0 THEN '{lv}'" for lv in levels) + " ELSE 'micro' END"
-    key = "coalesce(" + ", ".join(f"CASE WHEN grouping({lv}) = 0 THEN {lv} END" for lv in levels) + ", 'all')"
-    return scored.sparkSession.sql(
-        f"SELECT {own}{level} AS level, {key} AS key, count(*) AS total, round(avg(CAST(CAST(exact_match AS INT) AS DOUBLE)), 4) AS exact_match, round(avg(f1), 4) AS avg_f1 "
-        f"FROM scored_ GROUP BY GROUPING SETS ({sets})"
+    first = lambda c, other: F.coalesce(*[F.when(F.grouping(lv) == 0, c(lv)) for lv in levels], F.lit(other))
+    mean = lambda c: F.round(F.avg(c), 4)
+    got = scored.groupingSets([*[[*extra, lv] for lv in levels], list(extra)], *extra, *levels).agg(
+        first(F.lit, "micro").alias("level"), first(F.col, "all").alias("key"), F.count("*").alias("total"),
+        mean(F.col("exact_match").cast("int").cast("double")).alias("exact_match"), mean(F.col("f1")).alias("avg_f1"),
     )
+    return got.select(*extra, "level", "key", "total", "exact_match", "avg_f1")
 
 
 def macro(scored: DataFrame) -> DataFrame:
@@ -66,24 +66,38 @@ def macro(scored: DataFrame) -> DataFrame:
     return one.agg(F.round(F.avg("exact_match"), 4).alias("macro_em"), F.round(F.avg("avg_f1"), 4).alias("macro_f1"))
 
 
-def bootstrap(scored: DataFrame, by: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """(by, em, low, high): a 95 % interval of the mean exact match by Poisson resampling.
+# Chances of a unit Poisson number to be above 0, 1, 2, ... in 32 bits.
+POISSON = [int(sum(exp(-1) / factorial(j) for j in range(k + 1)) * 2**32) for k in range(12)]
+
+
+def bootstrap(scored: DataFrame, by: str, key: str = "id", resamples: int = 2000, bags: int = 100, seed: int = 42) -> DataFrame:
+    """(by, em, low, high): a 95 % interval of the mean exact match by Poisson resampling of bags.
 
-    Matches are 0 or 1, so a resample is told by the Poisson-weighted counts of each: the draws are made per group and
-    resample from two counts, not per row, and cost the same at any number of rows.
+    A group's rows are dealt into bags by md5 of their key; each resample weighs every bag by a unit Poisson number, the
+    inverse of its distribution at a hash of group, bag, resample and seed. Rows are read once, and the draws cost the
+    same however many there are.
     """
-    counts = scored.groupBy(by).agg(F.count_if("exact_match").alias("hits"), F.count("*").alias("n"))
+    number = lambda text, digits: F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
+    bag = number(F.concat(F.col(key).cast("string"), F.lit(":bag")), 4) % bags
+    counts = scored.groupBy(by, bag.alias("bag")).agg(F.count_if("exact_match").alias("hits"), F.count("*").alias("n"))
     draw = counts.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    u = number(F.concat_ws(":", by, "bag", "i", F.lit(str(seed))), 8)
+    draw = draw.withColumn("u", u).withColumn("w", sum((F.col("u") >= t).cast("long") for t in POISSON))
+    means = draw.groupBy(by, "i").agg(F.sum(F.col("w") * F.col("hits")).alias("a"), F.sum(F.col("w") * F.col("n")).alias("b")).where("b > 0")
+    spread = means.groupBy(by).agg(F.percentile(F.col("a") / F.col("b"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    whole = counts.groupBy(by).agg((F.sum("hits") / F.sum("n")).alias("em"))
+    return whole.join(spread, by).select(by, F.round("em", 6).alias("em"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+
+
+def rescore(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, stored, rescored) where a stored exact match is not what scoring the row again gives."""
+    fresh = score(rows).select("id", F.col("exact_match").alias("rescored"))
+    return stored.select("id", F.col("exact_match").alias("stored")).join(fresh, "id").where(~F.col("stored").eqNullSafe(F.col("rescored")))
 
-    def around(n, salt: int):
-        # A sum of n unit Poisson weights, by the normal law: n counts are large or the interval is wide anyway.
-        u = lambda k: (F.pmod(F.xxhash64(F.col(by), "i", F.lit(seed), F.lit(salt + k)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-        return F.greatest(F.lit(0.0), n + F.sqrt(n) * F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1)))
 
-    hits, misses = around(F.col("hits"), 0), around(F.col("n") - F.col("hits"), 10)
-    draw = draw.select(by, "hits", "n", hits.alias("a"), misses.alias("b")).withColumn("m", F.col("a") / F.greatest(F.col("a") + F.col("b"), F.lit(1e-9)))
-    return draw.groupBy(by).agg(F.first(F.col("hits") / F.col("n")).alias("em"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(
-        by, "em", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+def without_target(rows: DataFrame, target: str) -> DataFrame:
+    """rows (pred_list, gold_list, target) without the node that a question names in either list."""
+    return rows.withColumns({c: F.array_remove(c, F.col(target)) for c in ("pred_list", "gold_list")})
 
 
 def best_baseline(rates: DataFrame) -> DataFrame:

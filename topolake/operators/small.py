@@ -6,6 +6,8 @@ The kernel counts edges first and takes these up to LIMIT edges in all; beyond t
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
@@ -17,7 +19,18 @@ LIMIT = 50_000
 
 def fits(*tables: DataFrame) -> bool:
     """Whether all tables have at most LIMIT rows; reads no more than that of each."""
-    return all(t.limit(LIMIT + 1).count() <= LIMIT for t in tables)
+    return LIMIT >= 0 and all(t.limit(LIMIT + 1).count() <= LIMIT for t in tables)
+
+
+@contextmanager
+def never() -> Iterator[None]:
+    """Within, no graph counts as small: the kernel goes round by round."""
+    global LIMIT
+    before, LIMIT = LIMIT, -1
+    try:
+        yield
+    finally:
+        LIMIT = before
 
 
 def _key(v):
@@ -94,3 +107,28 @@ def ranker(damping: float, rounds: int):
         return pd.DataFrame({"dataset": nodes["dataset"], "name": nodes["name"], "rank": rank})
 
     return run
+
+
+def between(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """(dataset, name, part) of one dataset: each node's share of the shortest paths between others, summed."""
+    after = defaultdict(set)
+    for a, b in zip(edges["src"], edges["dst"], strict=True):
+        after[a].add(b)
+    part = dict.fromkeys(nodes["name"], 0.0)
+    for s in nodes["name"]:
+        depth, paths, before, order = {s: 0}, defaultdict(float, {s: 1.0}), defaultdict(list), [s]
+        for v in order:
+            for w in sorted(after[v]):
+                if w not in depth:
+                    depth[w] = depth[v] + 1
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] += paths[v]
+                    before[w].append(v)
+        got = defaultdict(float)
+        for w in reversed(order[1:]):
+            for v in before[w]:
+                got[v] += paths[v] / paths[w] * (1 + got[w])
+            if w in part:
+                part[w] += got[w]
+    return pd.DataFrame({"dataset": nodes["dataset"], "name": nodes["name"], "part": [part[x] for x in nodes["name"]]})

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 
-MENTION_LIMIT = 10_000
-
-
 def lines(rows: DataFrame, by: list[str], text: Column, order: list, name: str) -> DataFrame:
     """Each group's texts in order, one a line."""
     held = F.array_sort(F.collect_list(F.struct(*order, text.alias("line"))))
@@ -38,36 +35,83 @@ def chunks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("dataset", "name").join(held, ["dataset", "name"], "left").select("dataset", "name", F.concat("name", F.lit(": "), F.coalesce("text", F.lit("isolated"))).alias("text"))
 
 
+def _trie(names: list[str]) -> str:
+    """A pattern of all names that tries the longest first; its cost at a place is a name's length, however many there are."""
+    root: dict = {}
+    for name in names:
+        at = root
+        for c in name:
+            at = at.setdefault(c, {})
+        at[""] = {}
+    # Depth first without recursion: names may be long.
+    done: dict[int, str] = {}
+    stack = [root]
+    while stack:
+        node = stack[-1]
+        todo = [n for c, n in node.items() if c and id(n) not in done]
+        if todo:
+            stack += todo
+            continue
+        stack.pop()
+        ways = [re.escape(c) + done[id(n)] for c, n in sorted(node.items()) if c]
+        own = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})" + ("?" if "" in node else "") if ways else ""
+        done[id(node)] = own
+    return done[id(root)]
+
+
 def _alternation(names: list[str]) -> str:
     """One pattern of all names, the longest first, whole words only; a guard character before is part of the match."""
-    ordered = sorted(set(names), key=lambda x: (-len(x), x))
-    return "(^|[^A-Za-z0-9_.])(" + "|".join(re.escape(n) for n in ordered) + ")(?![A-Za-z0-9_])"
+    return "(^|[^A-Za-z0-9_.])(" + _trie(sorted(set(names))) + ")(?![A-Za-z0-9_])"
 
 
 def mentions(texts: DataFrame, names: list[str], text: str = "text") -> DataFrame:
-    """texts with `mentioned`: names found, longest first and each place used once, in order, without repeats.
-
-    The names are a catalogue; more than MENTION_LIMIT of them would make a slow pattern and raise.
-    """
-    if len(names) > MENTION_LIMIT:
-        raise ValueError(f"{len(names)} names; at most {MENTION_LIMIT} fit one pattern")
-    return texts.withColumn("mentioned", F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_alternation(names)), F.lit(2))))
+    """texts with `mentioned`: names found, longest first and each place used once, in order, without repeats."""
+    found = F.regexp_extract_all(F.col(text), F.lit(_alternation(names)), F.lit(2)) if names else F.array().cast("array<string>")
+    return texts.withColumn("mentioned", F.array_distinct(found))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, bound: int = 10_000) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = 10_000) -> DataFrame:
     """(q, position, id, similarity): the k rows of largest cosine for each query (q, vec) against rows (id, vec).
 
-    Queries are counted, broadcast up to `bound`, and scored in one pass over the rows; only k a query and task move on.
+    Queries are dealt into blocks of about `block`, counted before one is broadcast; each block is scored in one pass
+    over the rows, and only k a query and task move on.
     """
-    if queries.count() > bound:
-        raise ValueError(f"more than {bound} queries; split them into blocks")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    q, v = F.col("q_vec"), F.col("vec")
-    both = rows.join(F.broadcast(queries.withColumnRenamed("vec", "q_vec")), F.size("vec") == F.size("q_vec"))
-    sim = dot(q, v) / F.sqrt(dot(q, q)) / F.sqrt(dot(v, v))
-    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
-    scored = both.select("q", "id", F.round(sim, 6).alias("similarity"))
-    return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k).select("q", "position", "id", "similarity")
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.select("q", F.col("vec").alias("q_vec"), F.pmod(F.xxhash64("q", "vec"), F.lit(blocks)).alias("block_"))
+    q, v, w = F.col("q_vec"), F.col("vec"), Window.partitionBy("q").orderBy(F.desc("similarity"), "id")
+    out = None
+    for turn in range(blocks):
+        both = rows.join(F.broadcast(dealt.where(F.col("block_") == turn)), F.size("vec") == F.size("q_vec"))
+        scored = both.select("q", "id", F.round(dot(q, v) / F.sqrt(dot(q, q)) / F.sqrt(dot(v, v)), 6).alias("similarity"))
+        best = scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out.select("q", "position", "id", "similarity")
+
+
+def leakage(texts: DataFrame, marks: DataFrame, words: int = 4, least: int = 5, block: int = 5_000) -> DataFrame:
+    """(doc_id, item_id) of texts (doc_id, text) that hold a mark (item_id, text) of `least` characters or more whole.
+
+    A mark's words but its first and last stand in a text that holds it as words too, between the same blanks. One run
+    of `words` of them, the one of least hash, is its anchor: texts are met by the hashes of their runs, and only those
+    that share an anchor are searched. Marks too short to have one are searched for in blocks of `block`, in every
+    text. Null texts hold nothing; rows that repeat each count.
+    """
+    split = lambda text: F.split(F.col(text), " ", -1)
+    run = lambda at: F.xxhash64(*[F.get("words_", at + i) for i in range(words)])
+    every = lambda first, last: F.transform(F.sequence(first, last), run)
+    held = marks.where(F.length("text") >= least).groupBy("item_id", F.col("text").alias("mark")).agg(F.count("*").alias("times")).withColumn("words_", split("mark"))
+    long = held.where(F.size("words_") >= words + 2).withColumn("anchor", F.array_min(every(F.lit(1), F.size("words_") - 1 - words))).drop("words_")
+    runs = texts.where("text IS NOT NULL").select("doc_id", split("text").alias("words_")).where(F.size("words_") >= words + 2)
+    runs = runs.select("doc_id", F.explode(F.array_distinct(every(F.lit(1), F.size("words_") - 1 - words))).alias("anchor"))
+    met = runs.join(long, "anchor").select("doc_id", "item_id", "mark", "times").distinct()
+    out = texts.withColumnRenamed("doc_id", "id_").join(met, F.col("id_").eqNullSafe(F.col("doc_id"))).where(F.contains("text", "mark")).select("doc_id", "item_id", "times")
+    short = held.where(F.size("words_") < words + 2).select("item_id", "mark", "times", F.xxhash64("mark").alias("h_"))
+    blocks = -(-short.count() // block)
+    for turn in range(blocks):
+        part = F.broadcast(short.where(F.pmod("h_", F.lit(blocks)) == turn))
+        out = out.unionByName(texts.join(part, F.contains("text", "mark")).select("doc_id", "item_id", "times"))
+    return out.select("doc_id", "item_id", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time_")).drop("time_")
 
 
 def _balanced(text: str, depth: int = 3) -> list[str]:

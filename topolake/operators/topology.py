@@ -112,7 +112,7 @@ def hop_counts(nodes: DataFrame, edges: DataFrame, *kinds: str, seeds: Column |
 def direct(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(dataset, s, t, is_direct) for ordered pairs: whether s refers to t."""
     fk = K.directed(edges, FK).select("dataset", F.col("src").alias("s"), F.col("dst").alias("t"), F.lit(True).alias("hit"))
-    return _all_pairs(nodes).where("s <> t").join(F.broadcast(fk), ["dataset", "s", "t"], "left").select("dataset", "s", "t", F.coalesce("hit", F.lit(False)).alias("is_direct"))
+    return _all_pairs(nodes).where("s <> t").join(fk, ["dataset", "s", "t"], "left").select("dataset", "s", "t", F.coalesce("hit", F.lit(False)).alias("is_direct"))
 
 
 def dim_pairs(dim: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,6 +126,14 @@ def dim_pairs(dim: DataFrame, edges: DataFrame) -> DataFrame:
     return both.groupBy("silo", "s", "t").agg(F.min_by("src", "rank").alias("via")).select("silo", "via", "s", "t")
 
 
+def fact_paths(dim: DataFrame, edges: DataFrame) -> DataFrame:
+    """(silo, s, t, path): each fact table, each dimension that it refers to, and the one hop between."""
+    fk = K.directed(edges, FK)
+    facts = dim.where(F.col("name").startswith("fact")).select("silo", F.col("name").alias("src"))
+    dims = dim.where(F.col("name").startswith("dim")).select(F.col("name").alias("dst"))
+    return fk.join(facts, "src").join(dims, "dst").select("silo", F.col("src").alias("s"), F.col("dst").alias("t"), F.array("src", "dst").alias("path"))
+
+
 def neighbours(nodes: DataFrame, edges: DataFrame, hops: int, *kinds: str) -> DataFrame:
     """(dataset, seed, node, depth) within so many hops, the start left out."""
     return K.reach(K.undirected(edges, *kinds), nodes.select("dataset", F.col("name").alias("seed")), hops).where("depth > 0")
@@ -135,5 +143,5 @@ def valid_paths(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, is_valid) for (id, path): every hop is a reference in one direction or the other."""
     hops = paths.select("id", F.explode(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("a"), F.expr("slice(path, 2, size(path))").alias("b"))).alias("h")).where("h.a IS NOT NULL AND h.b IS NOT NULL")
     both = K.undirected(edges, FK).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    hit = hops.select("id", "h.a", "h.b").join(F.broadcast(both), ["a", "b"]).groupBy("id").agg(F.count("*").alias("n"))
+    hit = hops.select("id", "h.a", "h.b").join(both, ["a", "b"]).groupBy("id").agg(F.count("*").alias("n"))
     return paths.join(hit, "id", "left").select("id", (F.coalesce("n", F.lit(0)) == F.size("path") - 1).alias("is_valid"))

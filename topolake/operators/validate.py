@@ -19,6 +19,18 @@ def graph_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lost("src").union(lost("dst")).union(loops).union(again).union(opposed)
 
 
+def closure_differences(edges: DataFrame, others: DataFrame) -> DataFrame:
+    """(dataset, n_pairs, n_differing): what the ends of edges reach downstream, against what others reach upstream.
+
+    b is downstream of a just where a is upstream of b; over the same edges no pair is in one closure only.
+    """
+    walk = lambda e: K.reach(e, e.select("dataset", F.col("src").alias("seed")).distinct()).where("depth > 0")
+    down = walk(edges).select("dataset", F.col("seed").alias("a"), F.col("node").alias("b"), F.lit(1).alias("d"))
+    up = walk(K.flipped(others)).select("dataset", F.col("node").alias("a"), F.col("seed").alias("b"), F.lit(1).alias("u"))
+    both = down.join(up, ["dataset", "a", "b"], "full").where("a <> b")
+    return both.groupBy("dataset").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("d").isNull() | F.col("u").isNull()).alias("n_differing"))
+
+
 def count_findings(counts: DataFrame, official: DataFrame) -> DataFrame:
     """(dataset, what, n, official) where a count differs from the official one."""
     return counts.join(official, ["dataset", "what"]).where("n <> official")

@@ -153,6 +153,28 @@ def v12_cross_silo_reachability(spark: SparkSession) -> DataFrame:
     return pairs.join(hit, ["from_silo", "to_silo"], "left").select("from_silo", "to_silo", F.coalesce("hit", F.lit(False)).alias("reachable"))
 
 
+@query(sql_with(_LAYERED, _UP, _CACHE) + """SELECT a.name AS source, a.silo AS from_silo, b.name AS mart, b.silo AS to_silo, h.source IS NOT NULL AS reachable FROM dim a JOIN dim b ON a.layer = 'raw' AND b.layer = 'mart' AND a.silo <> b.silo
+  LEFT JOIN hit h ON h.source = a.name AND h.mart = b.name""")
+def v12_cross_silo_tables(spark: SparkSession) -> DataFrame:
+    """Every raw table and every mart of another silo, catalogue entries: whether the mart's first row goes back to it."""
+    dim = load_dim(spark)
+    raw = dim.where("layer = 'raw'").select(F.col("name").alias("source"), F.col("silo").alias("from_silo"))
+    mart = dim.where("layer = 'mart'").select(F.col("name").alias("mart"), F.col("silo").alias("to_silo"))
+    hit = mart_sources(spark).withColumn("hit", F.lit(True))
+    return raw.crossJoin(mart).where("from_silo <> to_silo").join(hit, ["source", "mart"], "left").select("source", "from_silo", "mart", "to_silo", F.coalesce("hit", F.lit(False)).alias("reachable"))
+
+
+@query(sql_with(_LAYERED, _UP, _CACHE) + """SELECT a.silo AS from_silo, m.mart, bool_or(h.source IS NOT NULL) AS reachable FROM dim a JOIN (SELECT DISTINCT mart FROM hit) m ON a.layer = 'raw'
+  LEFT JOIN hit h ON h.source = a.name AND h.mart = m.mart GROUP BY ALL""")
+def v12_schema_to_mart(spark: SparkSession) -> DataFrame:
+    """The variant that asks of a source schema and a mart, whatever the mart's own schema."""
+    raw = load_dim(spark).where("layer = 'raw'").select(F.col("name").alias("source"), F.col("silo").alias("from_silo"))
+    found = mart_sources(spark)
+    hit = found.join(raw, "source").select("from_silo", "mart", F.lit(True).alias("hit")).distinct()
+    grid = raw.select("from_silo").distinct().crossJoin(found.select("mart").distinct())
+    return grid.join(hit, ["from_silo", "mart"], "left").select("from_silo", "mart", F.coalesce("hit", F.lit(False)).alias("reachable"))
+
+
 @query(sql_with(_LAYERED, _UP, _CACHE) + f"""SELECT a.mart AS mart_a, b.mart AS mart_b, {_j('a.source')} AS shared FROM hit a JOIN hit b ON a.source = b.source AND a.mart < b.mart WHERE a.source LIKE 'raw%' GROUP BY ALL""")
 def v13_shared_source(spark: SparkSession) -> DataFrame:
     raw = mart_sources(spark).where(F.col("source").startswith("raw"))
@@ -230,3 +252,19 @@ def v21_isolated_silos(spark: SparkSession) -> DataFrame:
     hit = mart_sources(spark).join(dim.withColumnsRenamed({"name": "source", "silo": "other"}), "source").join(dim.withColumnRenamed("name", "mart"), "mart")
     n = F.countDistinct(F.when(F.col("other") != F.col("silo"), F.col("other")))
     return hit.groupBy("silo").agg(n.alias("n_foreign_silos"), (n == 0).alias("is_isolated"))
+
+
+@query(sql_with(_LAYERED, _UP, _CACHE) + """, te_silo AS (SELECT DISTINCT a.silo AS from_silo, b.silo AS to_silo FROM edges e JOIN dim a ON a.name = e.src JOIN dim b ON b.name = e.dst WHERE e.dataset = 'syn_cross' AND e.edge_type = 'derived_from' AND a.silo <> b.silo),
+met AS (SELECT DISTINCT a.silo AS from_silo, b.silo AS to_silo FROM hit h JOIN dim a ON a.name = h.source JOIN dim b ON b.name = h.mart WHERE a.silo <> b.silo)
+SELECT from_silo, to_silo, x.from_silo IS NOT NULL AS is_met, true AS is_expected FROM te_silo LEFT JOIN (SELECT from_silo, to_silo FROM met) x USING (from_silo, to_silo)
+UNION ALL SELECT from_silo, to_silo, true, false FROM met WHERE (from_silo, to_silo) NOT IN (SELECT (from_silo, to_silo) FROM te_silo)""")
+def v21_expected_silo_pairs(spark: SparkSession) -> DataFrame:
+    """Pairs of silos that tables' derivations cross, against those that marts' rows go back across."""
+    dim = load_dim(spark).select("name", "silo")
+    silo = lambda name, of: dim.select(F.col("name").alias(name), F.col("silo").alias(of))
+    apart = lambda df: df.where("from_silo <> to_silo").select("from_silo", "to_silo").distinct()
+    table = load(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'")
+    expected = apart(table.join(silo("src", "from_silo"), "src").join(silo("dst", "to_silo"), "dst")).withColumn("is_expected", F.lit(True))
+    met = apart(mart_sources(spark).join(silo("source", "from_silo"), "source").join(silo("mart", "to_silo"), "mart")).withColumn("is_met", F.lit(True))
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return expected.join(met, ["from_silo", "to_silo"], "full").select("from_silo", "to_silo", no("is_met"), no("is_expected"))

@@ -311,3 +311,89 @@ def k6_k8_resume_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, stale = every.where("id % 2 = 0").withColumn("origin", F.lit("old")), every.where("id % 5 = 0")
     left = FI.resume(old.join(stale, "id", "left_anti"), every).withColumn("origin", F.lit("new"))
     return FI.merge(old, left, stale)
+
+
+_TABLE_ROWS = ("orders", "nation", "region")
+
+
+@query("""SELECT 'orders' AS "table", CAST(count(*) AS BIGINT) AS rows, 6 AS columns, 'fact' AS layer FROM orders UNION ALL SELECT 'nation', count(*), 3, 'dim' FROM nation UNION ALL SELECT 'region', count(*), 2, 'dim' FROM region""")
+def s11_k2_manifest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables written as CSV, their manifest as a JSON file, and that read again."""
+    path = _folder(spark, "manifest")
+    rows = FI.write_tables({n: _t(spark, sf_dir, n) for n in _TABLE_ROWS}, f"{path}/tables")
+    FI.write_manifest(rows.withColumns({"layer": F.when(F.col("table") == "orders", "fact").otherwise("dim"), "silo": F.lit("star")}), f"{path}/manifest")
+    return FI.read_manifest(spark, f"{path}/manifest").select("table", "rows", "columns", "layer")
+
+
+@query(sql_with() + """SELECT 'FK_' || e.src || '_' || e.dst AS fk, e.src AS child, e.dst AS parent, n.dataset AS child_schema FROM (SELECT DISTINCT dataset, src, dst FROM edges WHERE edge_type = 'fk_to' AND dataset = 'tpc_di') e
+  JOIN nodes n ON n.dataset = e.dataset AND n.name = e.src JOIN nodes m ON m.dataset = e.dataset AND m.name = e.dst""")
+def s5_k3_catalogue_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema's catalogue files written and read, each reference with both its tables in them."""
+    path = _folder(spark, "catalogue")
+    nodes, edges = (t.where("dataset = 'tpc_di'") for t in load(spark))
+    FI.write_catalogue(nodes, edges.select("dataset", "src", "dst", "edge_type").distinct(), path)
+    tables, keys = FI.read_catalogue(spark, path)
+    child = keys.join(tables, keys.ChildTable == tables.TABLE_NAME).select(F.col("ForeignKeyName").alias("fk"), F.col("ChildTable").alias("child"), F.col("ParentTable").alias("parent"), F.col("TABLE_SCHEMA").alias("child_schema"))
+    return child.join(tables.select(F.col("TABLE_NAME").alias("parent")), "parent", "left_semi").select("fk", "child", "parent", "child_schema")
+
+
+@query("SELECT o_orderstatus AS baseline, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_custkey) AS BIGINT) AS s FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+def s13_k5_consolidated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in a folder a baseline, those of two baselines found by a pattern, told by file name and written as one."""
+    path = _folder(spark, "all-results")
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("gold"), F.col("o_orderstatus").alias("baseline"), F.lit("original").alias("condition"), F.lit("star").alias("dataset"), F.lit("m").alias("model"))
+    FI.write_results(rows, f"{path}/each")
+    found = FI.consolidated(spark, f"{path}/each/baseline=[FO]/condition=*/dataset=*/model=*/*.json", "id bigint, gold bigint")
+    found.select("id", "gold", F.regexp_extract("file", "baseline=([^/]+)/", 1).alias("baseline")).write.json(f"{path}/one")
+    return FI.read_results(spark, f"{path}/one", "id bigint, gold bigint, baseline string").groupBy("baseline").agg(F.count("*").alias("n"), F.sum("gold").alias("s"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def k8_subset_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _t(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return _t(spark, sf_dir, "orders").join(ids, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query(sql_with() + "SELECT d.layer, CAST(count(*) AS BIGINT) AS n_edges FROM (SELECT DISTINCT dst FROM edges WHERE dataset = 'syn_cross' AND edge_type = 'derived_from') e JOIN dim d ON d.name = e.dst GROUP BY 1")
+def p7_layer_by_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = load(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'").select(F.col("dst").alias("name")).distinct()
+    return targets.join(load_dim(spark).select("name", "layer"), "name").groupBy("layer").agg(F.count("*").alias("n_edges"))
+
+
+@query(sql_with() + "SELECT DISTINCT dst AS name FROM edges WHERE dataset = 'syn_cross' AND edge_type = 'derived_from' AND dst NOT LIKE 'stg%' AND dst IN (SELECT name FROM dim WHERE layer = 'mart')")
+def j6_unmapped_in_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineage targets without a mapping that the manifest has; staging tables are the mapped ones here."""
+    dim = load_dim(spark)
+    targets = load(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'").select(F.col("dst").alias("name")).distinct()
+    return targets.join(dim.where(F.col("name").startswith("stg")).select("name"), "name", "left_anti").join(dim.where("layer = 'mart'").select("name"), "name", "left_semi")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'no source' WHEN o_orderkey % 3 = 0 THEN 'other' ELSE 'same' END AS verdict FROM orders")
+def j8_normalised_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored gold, in capitals and with blanks, or wrong for every third order, against the source's, which only odd orders have."""
+    o, key = _t(spark, sf_dir, "orders"), F.col("o_orderpriority")
+    stored = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "none").otherwise(F.concat(F.lit(" "), F.upper(key))).alias("gold"))
+    source = o.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("id"), key.alias("answer_key"))
+    plain = lambda c: F.lower(F.trim(c))
+    return stored.join(source, "id", "left").select("id", F.when(F.col("answer_key").isNull(), "no source").when(plain("gold") == plain("answer_key"), "same").otherwise("other").alias("verdict"))
+
+
+@query(sql_with() + """SELECT n.name AS "table", CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT 'orders:row_' || o_orderkey AS r FROM orders UNION ALL SELECT 'customer:row_' || c_custkey FROM customer UNION ALL SELECT 'nowhere:row_1') x
+  JOIN nodes n ON n.dataset = 'star' AND n.name = split_part(x.r, ':', 1) GROUP BY 1""")
+def j19_row_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = lambda table, key: _t(spark, sf_dir, table).select(F.concat(F.lit(f"{table}:row_"), key).alias("r"))
+    rows = ref("orders", "o_orderkey").union(ref("customer", "c_custkey")).union(spark.createDataFrame([("nowhere:row_1",)], "r string"))
+    tables = load(spark)[0].where("dataset = 'star'").select(F.col("name").alias("table"))
+    return rows.withColumn("table", F.split_part("r", F.lit(":"), F.lit(1))).join(tables, "table").groupBy("table").agg(F.count("*").alias("n_rows"))
+
+
+@query(sql_with() + r"""SELECT name, regexp_extract(name, '^(?:raw|stg|dim|fact|mart)_([a-z]+)', 1) AS silo_word,
+  replace(replace(replace('foreign key of ' || name || ', key', 'foreign key', '@1@'), 'key', 'handle'), '@1@', 'foreign key') AS kept_phrase, CAST(ordinal AS BIGINT) AS row, printf('%.3f', ordinal / 7.0) AS third FROM dim""")
+def scalar_names_and_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A silo's word from a name, words replaced but for a protected phrase, a printed dictionary read back, three places."""
+    text = F.concat(F.lit("foreign key of "), "name", F.lit(", key"))
+    swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    printed = F.concat(F.lit("{'table': '"), "name", F.lit("', 'row': "), "ordinal", F.lit("}"))
+    return load_dim(spark).select(
+        "name", F.regexp_extract("name", "^(?:raw|stg|dim|fact|mart)_([a-z]+)", 1).alias("silo_word"), swap(swap(swap(text, "foreign key", "@1@"), "key", "handle"), "@1@", "foreign key").alias("kept_phrase"),
+        F.from_json(printed, "table string, row bigint", {"allowSingleQuotes": "true"})["row"].alias("row"), F.format_string("%.3f", F.col("ordinal") / 7.0).alias("third"))

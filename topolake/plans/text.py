@@ -215,11 +215,8 @@ def t13_obfuscate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON len(b.text) >= 5 AND contains(d.text, b.text)")
 def t14_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark text whole; the benchmark is counted before it is broadcast."""
-    marks = _t(spark, sf_dir, "benchmark").where("length(text) >= 5")
-    if marks.count() > 100_000:
-        raise ValueError("the benchmark is too long for one pass; split it into blocks")
-    return _t(spark, sf_dir, "documents").join(F.broadcast(marks.withColumnRenamed("text", "mark")), F.contains("text", "mark")).select("doc_id", "item_id")
+    """Documents that hold a benchmark text whole."""
+    return X.leakage(_t(spark, sf_dir, "documents").select("doc_id", "text"), _t(spark, sf_dir, "benchmark"))
 
 
 @query("SELECT vec_id, CAST(64 + 2 AS INTEGER) AS width, label AS tail FROM embeddings")

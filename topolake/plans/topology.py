@@ -126,6 +126,11 @@ def g8_multi_source(spark: SparkSession) -> DataFrame:
     return found.select("dataset", "name", F.array_join("sources", ",").alias("sources"), "n_sources")
 
 
+@query(sql_with(_LIN) + f"SELECT dataset, dst AS name, {_J.format('src')} AS sources, CAST(count(DISTINCT src) AS BIGINT) AS n_sources FROM lin GROUP BY ALL HAVING count(DISTINCT src) >= 3")
+def g8_multi_source_base(spark: SparkSession) -> DataFrame:
+    return T.multi_source(load(spark)[1]).withColumn("sources", F.array_join("sources", ","))
+
+
 @query(sql_with(_BOTH, _COMP) + "SELECT dataset, name, CAST(dense_rank() OVER (PARTITION BY dataset ORDER BY comp) - 1 AS INTEGER) AS silo FROM comp")
 def g9_components(spark: SparkSession) -> DataFrame:
     return T.silos(*load(spark)).select("dataset", "name", "silo")
@@ -192,10 +197,9 @@ def g20_no_path(spark: SparkSession) -> DataFrame:
 
 
 @query(sql_with(_FK, _UFK, _dist("ufk"), _paths("ufk")) + """SELECT a.dataset, a.name AS s, b.name AS t, array_to_string(coalesce(p.nodes_, []), '>') AS path
-  FROM nodes a JOIN nodes b ON a.dataset = b.dataset LEFT JOIN path p ON p.dataset = a.dataset AND p.s = a.name AND p.t = b.name WHERE a.dataset IN ('star', 'tpc_di', 'omop_cdm')""")
+  FROM nodes a JOIN nodes b ON a.dataset = b.dataset LEFT JOIN path p ON p.dataset = a.dataset AND p.s = a.name AND p.t = b.name""")
 def g21_join_path(spark: SparkSession) -> DataFrame:
-    nodes, edges = load(spark)
-    found = T.join_paths(nodes.where("dataset IN ('star', 'tpc_di', 'omop_cdm')"), edges, "fk_to")
+    found = T.join_paths(*load(spark), "fk_to")
     return found.select("dataset", "s", "t", F.array_join("path", ">").alias("path"))
 
 
@@ -237,6 +241,11 @@ def g27_dim_to_dim(spark: SparkSession) -> DataFrame:
     return T.dim_pairs(load_dim(spark), load(spark)[1].where("dataset = 'syn_logistics'"))
 
 
+@query(sql_with(_FK) + """SELECT d.silo, f.src AS s, f.dst AS t, f.src || '>' || f.dst AS path FROM fk f JOIN dim d ON d.name = f.src AND d.name LIKE 'fact%' JOIN dim e ON e.name = f.dst AND e.name LIKE 'dim%' WHERE f.dataset = 'syn_logistics'""")
+def g27_fact_to_dim(spark: SparkSession) -> DataFrame:
+    return T.fact_paths(load_dim(spark), load(spark)[1].where("dataset = 'syn_logistics'")).withColumn("path", F.array_join("path", ">"))
+
+
 @query(sql_with(_FK, _UFK, _dist("ufk", 3)) + f"SELECT dataset, s AS name, CAST(k AS INTEGER) AS k, {_J.format('t')} AS near FROM dist JOIN (VALUES (1), (2), (3)) h(k) ON d BETWEEN 1 AND k GROUP BY ALL")
 def g28_k_hop(spark: SparkSession) -> DataFrame:
     found = T.neighbours(*load(spark), 3, "fk_to").withColumn("k", F.explode(F.sequence("depth", F.lit(3))))

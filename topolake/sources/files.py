@@ -46,6 +46,31 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return one.select("table", "m.*")
 
 
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """rows (table, rows, columns, layer, silo, file) as one JSON object by table, as read_manifest() takes it."""
+    entry = F.struct("table", F.struct("rows", "columns", "layer", "silo", "file"))
+    rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_catalogue(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A schema's tables and references as the two catalogue files, with headers."""
+    tables = nodes.select(F.col("name").alias("TABLE_NAME"), F.col("dataset").alias("TABLE_SCHEMA"), F.lit("BASE TABLE").alias("TABLE_TYPE"))
+    keys = edges.where("edge_type = 'fk_to'").select(
+        F.concat_ws("_", F.lit("FK"), "src", "dst").alias("ForeignKeyName"), F.col("src").alias("ChildTable"), F.concat("dst", F.lit("_id")).alias("ChildColumn"), F.col("dst").alias("ParentTable"), F.lit("id").alias("ParentColumn"))
+    for name, df in (("tables", tables), ("relations", keys)):
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(tables, relations) of the two catalogue files."""
+    return read_csv(spark, f"{path}/tables", TABLES_CSV), read_csv(spark, f"{path}/relations", RELATIONS_CSV)
+
+
+def consolidated(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """All JSON line files that match a pattern, each row with the file that it came from."""
+    return spark.read.schema(schema).json(pattern).withColumn("file", F.input_file_name())
+
+
 def read_lineage_map(spark: SparkSession, path: str) -> DataFrame:
     """Row edges of a nested lineage map file."""
     from topolake.operators.provenance import flatten_map

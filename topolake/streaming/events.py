@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +43,12 @@ def append_once(df: DataFrame, path: str, key: str) -> None:
     spark = df.sparkSession
 
     def put(batch: DataFrame, _: int) -> None:
-        try:
-            seen = spark.read.parquet(path).select(key)
-        except Exception:  # noqa: BLE001  nothing written yet
-            batch.write.parquet(path)
-            return
-        batch.dropDuplicates([key]).join(seen, key, "left_anti").write.mode("append").parquet(path)
-
-    checkpoint = os.path.join(shared_dir(spark), f"stream-{abs(hash(path))}")
+        new = batch.dropDuplicates([key])
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            new = new.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti")
+        new.write.mode("append").parquet(path)
+
+    # The same folder for the same path in every process, so that a stream goes on where it was.
+    checkpoint = os.path.join(shared_dir(spark), f"stream-{hashlib.md5(path.encode()).hexdigest()}")
     df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

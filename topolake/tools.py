@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topolake.operators import kernel as K
+from topolake.operators import provenance as P
 from topolake.operators import topology as T
-from topolake.sources.graphs import load
+from topolake.sources.graphs import load, load_dim
 
 
 class UnknownToolError(KeyError):
@@ -80,3 +81,65 @@ def silo_of(spark: SparkSession, dataset: str, table: str) -> DataFrame:
 @TOOLS.register
 def neighbours(spark: SparkSession, dataset: str, table: str, hops: int = 1) -> DataFrame:
     return K.reach(K.undirected(_of(spark, dataset)[1], "fk_to"), _seed(spark, dataset, table), hops).where("depth > 0").select("node", "depth")
+
+
+@TOOLS.register
+def connected_components(spark: SparkSession, dataset: str) -> DataFrame:
+    """(silo, n_tables, members) over references and derivations."""
+    return T.silos(*_of(spark, dataset)).groupBy("silo").agg(F.count("*").alias("n_tables"), F.array_sort(F.collect_list("name")).alias("members"))
+
+
+@TOOLS.register
+def silo_size(spark: SparkSession, dataset: str, table: str) -> DataFrame:
+    comp = T.silos(*_of(spark, dataset))
+    return comp.join(comp.where(F.col("name") == table).select("silo"), "silo").groupBy("silo").agg(F.count("*").alias("n_tables"))
+
+
+# Tools on rows: row edges are an argument, (src_table, src_row, dst_table, dst_row), by default the layered schema's.
+
+def _row_edges(spark: SparkSession, edges: DataFrame | None) -> DataFrame:
+    return P.layered_rows(load(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'"), load_dim(spark)) if edges is None else edges
+
+
+def _row(spark: SparkSession, table: str, row: int) -> DataFrame:
+    return spark.createDataFrame([(table, row)], "table string, row bigint")
+
+
+@TOOLS.register
+def query_table(spark: SparkSession, sf_dir: str, table: str, columns: list[str] | None = None, where: str | None = None, limit: int = 50) -> DataFrame:
+    """Some columns of the first rows that a condition keeps."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return (df.where(where) if where else df).select(*(columns or ["*"])).limit(limit)
+
+
+@TOOLS.register
+def get_table_info(spark: SparkSession, sf_dir: str, table: str, samples: int = 3) -> DataFrame:
+    """(table, n_rows, n_columns, columns, samples): what a manifest has, and some rows as JSON."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    few = [r[0] for r in df.select(F.to_json(F.struct("*"))).limit(samples).collect()]
+    return df.agg(F.count("*").alias("n_rows")).select(F.lit(table).alias("table"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), F.lit(df.columns).alias("columns"), F.lit(few).cast("array<string>").alias("samples"))
+
+
+@TOOLS.register
+def trace_row_lineage(spark: SparkSession, table: str, row: int, direction: str = "backward", edges: DataFrame | None = None, shown: int = 50) -> DataFrame:
+    """backward: (table, rows) of direct sources; forward: the first `shown` targets and how many there are."""
+    found = _row_edges(spark, edges)
+    if direction == "backward":
+        own = found.where((F.col("dst_table") == table) & (F.col("dst_row") == row))
+        return own.groupBy(F.col("src_table").alias("table")).agg(F.sort_array(F.collect_list("src_row")).alias("rows"))
+    own = found.where((F.col("src_table") == table) & (F.col("src_row") == row))
+    refs = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("dst_table", "dst_row"))), 1, shown), lambda x: F.concat_ws(":row_", x["dst_table"], x["dst_row"]))
+    return own.agg(refs.alias("targets"), F.count("*").alias("n_targets"))
+
+
+@TOOLS.register
+def get_cascade_count(spark: SparkSession, table: str, row: int, edges: DataFrame | None = None) -> DataFrame:
+    """(table, n_rows) of distinct rows downstream; the total where table is null."""
+    return P.cascade(_row_edges(spark, edges), _row(spark, table, row)).select("table", "n_rows")
+
+
+@TOOLS.register
+def get_row_provenance(spark: SparkSession, table: str, row: int, edges: DataFrame | None = None) -> DataFrame:
+    """(table, rows) of all rows upstream."""
+    found = P.trace(_row_edges(spark, edges), _row(spark, table, row), upstream=True)
+    return found.groupBy("table").agg(F.sort_array(F.collect_list("row")).alias("rows"))
