@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from itertools import count
 
@@ -14,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CAPITALS, SMALL, materialize, tidy
+from .parts import parts_of
 
 GROUP_BYTES, BUCKET_BYTES = 6_000_000, 24_000_000
 BUCKETS, LEVELS, LOG_LOW, LOG_STEP = 16, 4096, -15.0, 0.01
 EM_ROUNDS = 200
 
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(CAPITALS.encode(), SMALL.encode())
 _END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds white space
 
@@ -38,13 +37,16 @@ class Group:
 
     def __init__(self, texts: list[str | None], buckets: int) -> None:
         seen: dict[bytes, int] = defaultdict(count(1).__next__)
-        parts, sizes = [], []
-        for t in texts:
-            found = _WORDS.findall((t or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-            parts.append(np.fromiter(map(seen.__getitem__, found), np.int64, len(found)))
-            parts.append(np.zeros(1, np.int64))
-            sizes.append(len(found) + 1)
-        raw = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        numbers, ends, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for of, parts, cuts in parts_of([(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]):
+            numbers.append(np.fromiter(map(seen.__getitem__, parts), np.int64, len(parts))[of])
+            ends.append(n + cuts)
+            n += len(of)
+        ends = np.concatenate(ends) + np.arange(len(texts))
+        raw = np.zeros(n + len(texts), np.int64)
+        word = np.ones(len(raw), bool)
+        word[ends] = False
+        raw[word] = np.concatenate(numbers)
         hashes = np.empty(len(seen) + 1, np.uint64)
         hashes[0] = _END
         hashes[1:] = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
@@ -57,7 +59,7 @@ class Group:
         self.contexts = np.empty_like(self.tokens)
         self.contexts[1:] = self.tokens[:-1]
         self.contexts[:1] = place[0]
-        self.sizes = np.array(sizes, np.int64)
+        self.sizes = np.diff(ends, prepend=-1)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.pairs, self.pair_of = np.unique(self.contexts * len(order) + self.tokens, return_inverse=True)
         self.word_cuts = np.searchsorted(self.bucket, np.arange(buckets + 1))
@@ -77,7 +79,7 @@ def _request(g: int, group: Group, train: np.ndarray, buckets: int):
         w, p = slice(*group.word_cuts[b : b + 2]), slice(*group.pair_cuts[b : b + 2])
         if group.word_cuts[b + 1] > group.word_cuts[b]:
             head = np.array([w.stop - w.start, p.stop - p.start], np.int64)
-            low, high = follower[p].astype(np.uint32), (follower[p] >> np.uint64(32)).astype(np.uint8)
+            low, high = follower[p].astype(np.uint32), (follower[p] >> np.uint64(32)).astype(np.uint16)
             rows.append((b, g, _squeeze(head, group.words[w], uni[w], followers[w], low, two[p], high)))
     return rows
 
@@ -89,7 +91,7 @@ def _sum_bucket(blobs: list[tuple[int, bytes]]):
         raw = zstandard.decompress(blob)
         nw, np_ = np.frombuffer(raw, np.int64, 2)
         at, took = 16, []
-        for kind, n in ((np.uint64, nw), (np.uint32, nw), (np.uint32, nw), (np.uint32, np_), (np.uint32, np_), (np.uint8, np_)):
+        for kind, n in ((np.uint64, nw), (np.uint32, nw), (np.uint32, nw), (np.uint32, np_), (np.uint32, np_), (np.uint16, np_)):
             took.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
         words.append(took[0])
@@ -100,8 +102,14 @@ def _sum_bucket(blobs: list[tuple[int, bytes]]):
         marks.append((nw, np_))
     distinct, at_word = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at_word, np.concatenate(uni), len(distinct)).astype(np.int64)
-    key = at_word[np.concatenate(context)] << 40 | np.concatenate(follow)
-    _, at_pair = np.unique(key, return_inverse=True)
+    # Pairs in order of (context, follower), by two sorts of one number each.
+    context, follow = at_word[np.concatenate(context)], np.concatenate(follow)
+    by = np.argsort(follow, kind="stable")
+    by = by[np.argsort(context[by], kind="stable")]
+    new = np.ones(len(by), bool)
+    new[1:] = (context[by][1:] != context[by][:-1]) | (follow[by][1:] != follow[by][:-1])
+    at_pair = np.empty(len(by), np.int64)
+    at_pair[by] = np.cumsum(new) - 1
     pair_total = np.bincount(at_pair, np.concatenate(two)).astype(np.int64)
     w = p = 0
     for (g, _), (nw, np_) in zip(blobs, marks, strict=True):
@@ -150,10 +158,10 @@ def score_texts(
     Counting: documents are dealt by hash into groups of about group_bytes of text. A group sends each bucket of words
     one blob, its distinct words and the distinct pairs that start with them, with training counts; a bucket, of about
     bucket_bytes of text, adds them up and answers each group in the group's own order, so hashes travel once and no
-    row is made for a token. Frequent words are one entry a group, however frequent. The second pass makes the same
-    numbers from the texts again and keeps 16 bits a token: context bucket and the log of p2 / p1 to one in a hundred,
-    from which the mixture is learnt (sums of counts by level) and the score made. Followers are told apart by 40 bits
-    beneath a word's 64.
+    row is made for a token. Frequent words are one entry a group, however frequent. Two more passes make the same
+    numbers from the texts again: one counts the deleted training tokens by context bucket and log of p2 / p1, to one in
+    a hundred, which is all that the mixture is learnt from; the other makes the scores, from the counts themselves.
+    Followers are told apart by 48 bits beneath a word's 64.
 
     Defined cases: a null or empty text is its end token alone; very long texts are whole, in one group; repeated rows
     each count; without training rows N and V are 0 and every token has probability 1; an empty table gives no rows.
@@ -188,7 +196,8 @@ def score_texts(
 
     n, v = totals.where("g < 0").select(counted(F.col("blob")).alias("s")).agg(F.coalesce(F.sum("s.n"), F.lit(0)), F.coalesce(F.sum("s.v"), F.lit(0))).first()
 
-    def look(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def counts(pdf: pd.DataFrame, answers: pd.DataFrame) -> tuple[pd.DataFrame, Group, np.ndarray, np.ndarray, np.ndarray]:
+        """A group's documents and, for every token, the counts of it, of its context and of both."""
         pdf = pdf.sort_values(by_group, ignore_index=True)
         group = Group(list(pdf["text"]), buckets)
         uni, two = np.zeros(len(group.words)), np.zeros(len(group.pairs))
@@ -196,43 +205,40 @@ def score_texts(
             w, p = group.word_cuts[b : b + 2], group.pair_cuts[b : b + 2]
             got = np.frombuffer(zstandard.decompress(blob), np.uint64)
             uni[w[0] : w[1]], two[p[0] : p[1]] = got[: w[1] - w[0]], got[w[1] - w[0] :]
-        c, c1, c2 = uni[group.tokens], uni[group.contexts], two[group.pair_of]
-        all_ = n + 0.5 * (v + 1)
-        p1 = (c + 0.5) / all_ if n else np.ones(len(c))
-        event = _frequency(c1) * LEVELS + _levels(np.divide(c2, c1, out=np.zeros(len(c1)), where=c1 > 0), p1)
-        known, base = np.add.reduceat((c > 0).astype(np.int64), group.starts), np.add.reduceat(np.log10(p1), group.starts)
+        return pdf, group, uni[group.tokens], uni[group.contexts], two[group.pair_of]
+
+    all_ = n + 0.5 * (v + 1)
+
+    def learn(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        pdf, group, c, c1, c2 = counts(pdf, answers)
         # Deleted counts: a training token's own occurrence is taken out.
         mine = np.repeat(pdf["train"].to_numpy(bool), group.sizes) & (c1 > 1)
         c, c1, c2 = c[mine] - 1, c1[mine] - 1, c2[mine] - 1
         cell = _frequency(c1) * LEVELS + _levels(c2 / c1, (c + 0.5) / (all_ - 1))
         hist = np.bincount(cell, minlength=BUCKETS * LEVELS).astype(np.int64)
-        blobs = [_squeeze(event[s : s + k].astype(np.uint16)) for s, k in zip(group.starts, group.sizes, strict=True)]
-        out = pd.DataFrame({"kind": 0, "key": pdf["key"], "train": pdf["train"], "n_tokens": group.sizes, "n_known": known, "base_score": base, "blob": blobs})
-        extra = pd.DataFrame({"kind": [1], "key": [None], "train": [False], "n_tokens": [0], "n_known": [0], "base_score": [0.0], "blob": [_squeeze(hist)]})
-        return pd.concat([out, extra])
-
-    answers = totals.where("g >= 0")
-    seen = rows.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(
-        look, "kind int, key string, train boolean, n_tokens long, n_known long, base_score double, blob binary"
-    )
-    seen = materialize(seen, "events")
-    tidy(spark)
+        return pd.DataFrame({"part": [int(pdf["g"].iloc[0]) % 64], "blob": [_squeeze(hist)]})
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in pdf["blob"])
         return pd.DataFrame({"blob": [_squeeze(total)]})
 
-    some = seen.where("kind = 1").select((F.pmod(F.xxhash64("blob"), F.lit(64))).alias("part"), "blob")
-    parts = some.groupBy("part").applyInPandas(add_up, "blob binary").collect()
+    answers = totals.where("g >= 0")
+    learnt = rows.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(learn, "part int, blob binary")
+    parts = learnt.groupBy("part").applyInPandas(add_up, "blob binary").collect()
+    tidy(spark)
     held = sum((np.frombuffer(zstandard.decompress(r["blob"]), np.int64) for r in parts), np.zeros(BUCKETS * LEVELS, np.int64))
     lam = mixture(held.reshape(BUCKETS, LEVELS))
-    gain = np.log10(1 - lam[:, None] + lam[:, None] * RATIOS).ravel()
 
-    @F.pandas_udf("double")
-    def gained(blobs: pd.Series) -> pd.Series:
-        return pd.Series([float(gain[np.frombuffer(zstandard.decompress(x), np.uint16)].sum()) for x in blobs], dtype="float64")
+    def score(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        pdf, group, c, c1, c2 = counts(pdf, answers)
+        p1 = (c + 0.5) / all_ if n else np.ones(len(c))
+        p2 = np.divide(c2, c1, out=np.zeros(len(c1)), where=c1 > 0)
+        share = np.where(c1 > 0, lam[_frequency(c1)], 0.0)
+        known, base = np.add.reduceat((c > 0).astype(np.int64), group.starts), np.add.reduceat(np.log10(p1), group.starts)
+        found = np.add.reduceat(np.log10(share * p2 + (1 - share) * p1), group.starts)
+        return pd.DataFrame({"key": pdf["key"], "train": pdf["train"], "n_tokens": group.sizes, "n_known": known, "base_score": base, "score": found})
 
-    return seen.where("kind = 0").select(
-        F.col("key").cast(id_type).alias("doc_id"), "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        "base_score", (F.col("base_score") + gained(F.col("blob"))).alias("score"),
+    seen = rows.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(
+        score, "key string, train boolean, n_tokens long, n_known long, base_score double, score double"
     )
+    return seen.select(F.col("key").cast(id_type).alias("doc_id"), "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
