@@ -35,7 +35,7 @@ def _numbers(cells: np.ndarray) -> np.ndarray:
 
 def nearest(
     embeddings: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", vec: str = "embedding",
-    tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, seed: int = SEED,
+    tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, seed: int = SEED, **sizes: int,
 ) -> DataFrame:
     """The k rows of largest cosine for each row whose id is divisible by `every`.
 
@@ -53,7 +53,7 @@ def nearest(
     def prepare(rows: DataFrame) -> DataFrame:
         return rows.where(F.exists("vec", lambda x: x != 0))
 
-    def rank(shard: Block, chunk: Block, keep: int) -> list:
+    def rank(shard: Block, chunk: Block, keep: int, floors: np.ndarray) -> list:
         dim = shard.vecs.shape[1]
         rng = np.random.default_rng([seed, dim])
         norm = lambda v: v / np.abs(v).max(1, keepdims=True)  # noqa: E731  against overflow and underflow of squares
@@ -88,4 +88,4 @@ def nearest(
                 out.append((q, *shard.expand(rows, score, keep)))
         return out
 
-    return search(embeddings, rank, k, every, vec_id, vec, prepare, "double")
+    return search(embeddings, rank, k, every, vec_id, vec, prepare, "double", **sizes)

@@ -9,6 +9,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,10 +25,12 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named (tests)."""
+    """The cluster's shared folder; a local one only where none is named and all executors are on this machine (tests)."""
     global _own_dir
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     _own_dir = _own_dir or tempfile.mkdtemp(prefix="topolake-")
     return _own_dir
 
@@ -104,7 +107,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def local_table(spark: SparkSession, rows: list[tuple], **kinds: str) -> DataFrame:
+def local_table(spark: SparkSession, rows: list[tuple], **kinds: str | pa.DataType) -> DataFrame:
     """A small table from the driver by way of Arrow: unlike a list of rows, it needs no Python worker to be read."""
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
     return spark.createDataFrame(pa.table({n: pa.array(list(c), k) for (n, k), c in zip(kinds.items(), columns, strict=True)}))
@@ -133,13 +136,22 @@ def usable(vec: str) -> Column:
     return F.coalesce(F.col(vec).isNotNull() & (F.size(vec) > 0) & ok, F.lit(False))
 
 
-def vector_classes(rows: DataFrame, keep: int, every: int) -> DataFrame:
+def vector_keys(rows: DataFrame) -> Column:
+    """A 64-bit hash of `vec` that no two different vectors of rows share: seeds are tried until one is found."""
+    for seed in count(1):
+        key = F.xxhash64("vec", F.lit(seed))
+        shared = rows.groupBy(key.alias("ck")).agg(F.min("vec").alias("least"), F.max("vec").alias("most")).where("least <> most")
+        if shared.isEmpty():
+            return key
+
+
+def vector_classes(rows: DataFrame, key: Column, keep: int, every: int) -> DataFrame:
     """(vec_id, vec) to one row per distinct vec: ck, vec, its `keep` smallest ids, whether a query is in it.
 
     Copies of one vector score alike, so no answer of `keep`-1 rows needs more of its ids. The ranking is cut before
     the shuffle (window group limit), so a vector that a third of all rows share stays a few rows a task.
     """
-    keyed = rows.withColumn("ck", F.xxhash64("vec"))
+    keyed = rows.withColumn("ck", key)
     w = Window.partitionBy("ck").orderBy("vec_id")
     ids = (
         keyed.select("ck", "vec", "vec_id").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
