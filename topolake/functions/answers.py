@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that stand for true and false.
+# Words that stand for true and false, and the two spellings of a row reference.
 TRUE_WORDS, FALSE_WORDS = ("yes", "true"), ("no", "false")
+ROW_IN_BRACKETS = r"(\w+)[\s:]+rows?\s*[\[\(]?(\d+)"
+ROW_BY_NAME = r"(\w+)\s+row_(\d+)"
 
 
 def truth(text: Column) -> Column:
@@ -39,9 +41,8 @@ def exact_match(pred: Column, pred_kind: Column, gold: Column, gold_kind: Column
 def row_ref(ref: Column) -> Column:
     """`table: rows [N]`, `table row_N` and the like as table:row_N; anything else as it is."""
     text = F.trim(ref)
-    spaced, marked = r"(\w+)[\s:]+rows?\s*[\[\(]?(\d+)", r"(\w+)\s+row_(\d+)"
     made = lambda p: F.concat(F.regexp_extract(text, p, 1), F.lit(":row_"), F.regexp_extract(text, p, 2))
-    return F.when(text.rlike(spaced), made(spaced)).when(text.rlike(marked), made(marked)).otherwise(text)
+    return F.when(text.rlike(ROW_IN_BRACKETS), made(ROW_IN_BRACKETS)).when(text.rlike(ROW_BY_NAME), made(ROW_BY_NAME)).otherwise(text)
 
 
 def as_set(items: Column) -> Column:

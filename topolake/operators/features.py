@@ -15,7 +15,7 @@ def degrees(nodes: DataFrame, edges: DataFrame, *kinds: str) -> DataFrame:
     out = one.groupBy("dataset", F.col("src").alias("name")).agg(F.count("*").alias("out_deg"))
     zero = F.lit(0).cast("bigint")
     total = nodes.groupBy("dataset").agg(F.count("*").alias("n"))
-    both = nodes.select("dataset", "name").join(F.broadcast(total), "dataset").join(into, ["dataset", "name"], "left").join(out, ["dataset", "name"], "left")
+    both = nodes.select("dataset", "name").join(total, "dataset").join(into, ["dataset", "name"], "left").join(out, ["dataset", "name"], "left")
     both = both.withColumns({"in_deg": F.coalesce("in_deg", zero), "out_deg": F.coalesce("out_deg", zero)})
     return both.select("dataset", "name", "in_deg", "out_deg", ((F.col("in_deg") + F.col("out_deg")) / F.greatest(F.col("n") - 1, F.lit(1))).alias("degree_c"))
 
@@ -31,7 +31,7 @@ def approximated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rows = rows.join(n(kind, end, name), ["dataset", "name"], "left")
     rows = rows.fillna(0, ["out_deg", "in_deg", "lo", "li"])
     total = rows.groupBy("dataset").agg(F.greatest(F.max("out_deg"), F.max("in_deg"), F.lit(1)).alias("most"), F.count("*").alias("n"), F.sum(F.col("out_deg") + F.col("lo")).alias("e"))
-    rows = rows.join(F.broadcast(total), "dataset")
+    rows = rows.join(total, "dataset")
     norm = (F.col("out_deg") + F.col("in_deg")) / F.col("most")
     return rows.select("dataset", "name", "out_deg", "in_deg", norm.alias("norm"), (F.col("lo") + F.col("li")).alias("lineage_deg"), (norm / 2).alias("betweenness"), ((F.col("in_deg") + 1) / (F.col("e") + F.col("n"))).alias("rank"))
 

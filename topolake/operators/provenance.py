@@ -53,7 +53,7 @@ def layered_rows(edges: DataFrame, dim: DataFrame) -> DataFrame:
     fan = F.create_map(*[F.lit(x) for kv in FAN_IN.items() for x in kv])
     src = dim.select(F.col("name").alias("src"), rows[F.col("layer")].alias("n"))
     dst = dim.select(F.col("name").alias("dst"), rows[F.col("layer")].alias("m"), fan[F.col("layer")].alias("fan"))
-    picked = edges.select("src", "dst").distinct().join(F.broadcast(src), "src").join(F.broadcast(dst), "dst")
+    picked = edges.select("src", "dst").distinct().join(src, "src").join(dst, "dst")
     picked = picked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
     return picked.select(
         F.col("src").alias("src_table"), F.pmod(F.col("k") * 7 + F.col("j") * 3 + F.length("src"), F.col("n")).cast("bigint").alias("src_row"),

@@ -128,12 +128,17 @@ def _balanced(text: str, depth: int = 3) -> list[str]:
     return sorted(found, key=len, reverse=True)
 
 
+# Where a reply's thinking, fenced parts, cut lists and stated answers lie, and how much of it is kept.
+THINKING, FENCED, CUT_LIST, QUOTED = r"(?s)<think>.*?</think>", r"(?s)```(?:json)?\s*(.*?)```", r'(?s)"answer_list"\s*:\s*\[(.*)', r'"([^"]+)"'
+STATED, STATED_LENGTH, RAW_LENGTH = r"(?i)\banswer\s*(?:is|:)\s*(\S[^\n]*)", 200, 300
+
+
 def recover_json(text: str | None) -> str | None:
     """The JSON object in a reply: itself, fenced, the longest braced part, a list cut short, a stated answer, or raw text."""
     if text is None:
         return None
-    body = re.sub(r"(?s)<think>.*?</think>", "", text).strip()
-    fenced = re.findall(r"(?s)```(?:json)?\s*(.*?)```", body)
+    body = re.sub(THINKING, "", text).strip()
+    fenced = re.findall(FENCED, body)
     for part in [body, *fenced, *_balanced(body)]:
         try:
             value = json.loads(part)
@@ -141,11 +146,11 @@ def recover_json(text: str | None) -> str | None:
             continue
         if isinstance(value, dict):
             return json.dumps(value, sort_keys=True)
-    if cut := re.search(r'(?s)"answer_list"\s*:\s*\[(.*)', body):
-        return json.dumps({"answer_list": re.findall(r'"([^"]+)"', cut[1])})
-    if said := re.search(r"(?i)\banswer\s*(?:is|:)\s*(\S[^\n]*)", body):
-        return json.dumps({"answer": said[1].strip().rstrip(".")[:200]})
-    return json.dumps({"answer": body[:300]})
+    if cut := re.search(CUT_LIST, body):
+        return json.dumps({"answer_list": re.findall(QUOTED, cut[1])})
+    if said := re.search(STATED, body):
+        return json.dumps({"answer": said[1].strip().rstrip(".")[:STATED_LENGTH]})
+    return json.dumps({"answer": body[:RAW_LENGTH]})
 
 
 def recovered(text: str) -> Column:

@@ -50,4 +50,4 @@ def integrity(results: DataFrame, expected: DataFrame) -> DataFrame:
     """(baseline, dataset, n, n_ids, expected, verdict) of result sets."""
     got = results.groupBy("baseline", "dataset").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
     verdict = F.when(F.col("n") != F.col("n_ids"), "repeated ids").when(F.col("n") != F.col("expected"), "wrong count").otherwise("ok")
-    return got.join(F.broadcast(expected), "dataset").withColumn("verdict", verdict)
+    return got.join(expected, "dataset").withColumn("verdict", verdict)

@@ -78,7 +78,7 @@ def g4_ancestors(spark: SparkSession) -> DataFrame:
 def g5_raw_upstream(spark: SparkSession) -> DataFrame:
     up = T.closure(load(spark)[1].where("dataset = 'syn_cross'"), upstream=True, max_depth=10)
     raw = load_dim(spark).where("layer = 'raw'").select(F.col("name").alias("node"))
-    return _joined(up.join(F.broadcast(raw), "node", "left_semi"), ["seed"], "node", "raw_sources").withColumnRenamed("seed", "name")
+    return _joined(up.join(raw, "node", "left_semi"), ["seed"], "node", "raw_sources").withColumnRenamed("seed", "name")
 
 
 @query(sql_with(_LIN, _CLOSE) + f"""SELECT seed AS name, {_J.format('node')} AS marts FROM reach
@@ -162,7 +162,7 @@ def g13_membership(spark: SparkSession) -> DataFrame:
 @query(sql_with() + "SELECT name, silo FROM dim")
 def g14_silo_of_table(spark: SparkSession) -> DataFrame:
     nodes = load(spark)[0].where("dataset = 'syn_logistics'").select("name")
-    return nodes.join(F.broadcast(load_dim(spark).select("name", "silo")), "name")
+    return nodes.join(load_dim(spark).select("name", "silo"), "name")
 
 
 @query(sql_with(_BOTH, _COMP) + """SELECT a.dataset, a.name AS a, b.name AS b, a.comp = b.comp AS is_connected, a.comp <> b.comp AS is_isolated
