@@ -152,8 +152,59 @@ def test_transform_orders_all_suffixes(tmp_path):
     assert prefix.tolist() == [0] + [common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:], strict=False)]
 
 
+def test_likely_pairs_keep_groups_together():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**63, (3, 8), np.uint64)
+    which = np.array([0, 1, 0, 2, 2, 2, 1, 0] * 6)
+    sig, unit = base[which].copy(), np.sort(np.array([1, 2, 2, 3] * 12))
+    sig[5] = r.integers(0, 2**63, 8, np.uint64)
+    size = np.full(48, 100)
+    size[7] = 10
+    least = neardup.least_estimate(128, 4, 75, 100, 5.5)
+    a, b = neardup.likely(unit, np.arange(48), size, sig, 4, 75, 100, least)
+    part = list(range(48))
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        part[max(root(x), root(y))] = min(root(x), root(y))
+    alike = lambda x, y: unit[x] == unit[y] and which[x] == which[y] and 5 not in (x, y) and 7 not in (x, y)
+    assert all((root(x) == root(y)) == (x == y or alike(x, y)) for x in range(48) for y in range(48))
+
+
+def test_crowded_classes_and_keys_are_whole(spark, words):
+    texts = [words(60, 1)] * 40 + [words(60, 1) + f" tail{i}" for i in range(30)] + [words(50, 100 + i) for i in range(30)] + [None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = neardup.near_duplicates(df, least_hot=5, block_docs=4)
+    assert sorted(_rows(found, "doc_id", "n_shingles", "component_id"), key=str) == _components(list(enumerate(texts)))
+
+
 # Mixing
 
+def test_draws_are_multinomial_and_end_at_their_slots():
+    slots = [40_000, 20_000, 5_000, 0]
+    got = np.array(list(mixing.draws(slots, [1] * 50, 3)))
+    assert got.sum(0).tolist() == slots and set(got.sum(1).tolist()) == {1300}
+    assert 12 < got[:25, 0].std() < 24 and np.array(list(mixing.draws(slots, [3, 1, 1], 3))).sum(1).tolist() == [39_000, 13_000, 13_000]
+
+
+def test_mix_of_many_shards_equals_its_plain_form(spark, words, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
+    rows = [(i, words(20 + i % 50, i), ["b", None, "a", "ü"][i % 4]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = _rows(mixing.taken(df, shard_blocks=2, block=16), "doc_id", "size", "source_size", "target", "taken")
+    sizes = Counter()
+    for i, t, s in rows:
+        sizes[s] += len(WORD.findall(t))
+    order = ["a", "b", "ü", None]
+    targets = dict(zip(order, mixing.targets([sizes[s] for s in order], [3, 1, 2, 3], 1.5 * sum(sizes.values())), strict=True))
+    assert all(source_size == sizes[rows[i][2]] and target == targets[rows[i][2]] for i, _, source_size, target, _ in found)
+    assert all(abs(sum(x[4] for x in found if rows[x[0]][2] == s) - targets[s]) <= 1 for s in order)
+
+
 def test_targets_reshare_what_is_above_the_limit():
     t = mixing.targets([100, 100, 10], [3, 1, 2], 315)
     assert t[2] == 20 and t[0] == 200 and math.isclose(sum(t), 315)
@@ -319,6 +370,28 @@ def test_lm_base_equals_counts_and_score_is_learned(spark, odd_docs, no_docs):
     found = ngram_lm.score_texts(df, "train", group_bytes=20_000, bucket_bytes=50_000)
     got = sorted((str(a), b, k, m, round(s, 6)) for a, b, k, m, s in _rows(found, "doc_id", "n_tokens", "n_known", "train_tokens", "base_score"))
     assert got == want
+    # The bigram model from counts alone: deleted counts for the mixture, then every token's probability.
+    pairs, heads, one = Counter(), Counter(), ngram_lm._levels
+    for (i, t), y in zip(all_rows, train, strict=True):
+        for a, b in zip([None, *tokens(t)], tokens(t), strict=False):
+            pairs[a, b] += y
+    heads.update(c)
+    hist, total = np.zeros((ngram_lm.BUCKETS, ngram_lm.LEVELS)), n + 0.5 * (v + 1)
+    bucket = lambda k: int(ngram_lm._frequency(np.array([k]))[0])
+    for (a, b), k in pairs.items():
+        if k and heads[a] > 1:
+            p2, p1 = np.array([(k - 1) / (heads[a] - 1)]), np.array([(c[b] - 0.5) / (total - 1)])
+            hist[bucket(heads[a] - 1), one(p2, p1)[0]] += k
+    lam = ngram_lm.mixture(hist)
+
+    def logp(t):
+        out = 0.0
+        for a, b in zip([None, *tokens(t)], tokens(t), strict=False):
+            share = lam[bucket(heads[a])] if heads[a] else 0.0
+            out += math.log10(share * (pairs[a, b] / heads[a] if heads[a] else 0) + (1 - share) * (c[b] + 0.5) / total)
+        return out
+
+    assert sorted((str(i), round(logp(t), 6)) for i, t in all_rows) == sorted((str(i), round(s, 6)) for i, s in _rows(found, "doc_id", "score"))
     held = [(s, b) for t, s, b, i in _rows(found, "train", "score", "base_score", "doc_id") if not t and i is not None and i >= 20]
     assert held and sum(s for s, _ in held) > sum(b for _, b in held)
     assert ngram_lm.score_texts(no_docs.withColumn("train", F.lit(True)), "train").count() == 0

@@ -74,6 +74,34 @@ def test_nearest_recall_and_scores(spark, vectors):
     assert hits / total >= 0.9
 
 
+def test_many_shards_and_chunks(spark):
+    """Clustered vectors over several shards and chunks: exact, and most ranges are skipped."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 3
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.05).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vecs = np.array([v for _, v in rows])
+    whole = np.floor(256 * vecs)
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    exact = near = 0
+    top = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_top_k(df, shard_rows=150, chunk_rows=7).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, shard_rows=150, chunk_rows=7).collect()}
+    for q in range(0, 1200, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:5]
+        exact += sum(top[q, k + 1] == (i, -s) for k, (s, i) in enumerate(best))
+        near += sum((q, i) in found for i in [i for i in np.argsort(-(unit @ unit[q]), kind="stable") if i != q][:5])
+    assert exact == 120 and near >= 108
+    scored = [done for _, _, _, done in topk.ranked(whole, whole[::50], 6, np.full(24, -np.inf), 8)]
+    assert max(scored) <= 0.25 * (1200 / 8)
+
+
+def test_floors_never_stand_above_a_score():
+    from topolake.llm.vector_blocks import floor_of
+
+    scores = np.array([5, 2**53 + 1, -(2**60) - 1, 2**62 + 3], np.int64)
+    assert all(int(f) <= int(s) for f, s in zip(floor_of(scores), scores, strict=True)) and floor_of(scores)[0] == 5
+
+
 def test_empty_and_single(spark, vectors):
     assert ann.nearest(vectors.where("false")).count() == 0 and topk.exact_top_k(vectors.where("false")).count() == 0
     assert ann.nearest(vectors.where("vec_id = 100")).count() == 0

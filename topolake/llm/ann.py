@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .vector_blocks import Block, search
 
-TABLES, PROJECTIONS, WIDTH, PROBES, SEED = 12, 4, 1.0, 45, 20
+TABLES, PROJECTIONS, WIDTH, PROBES, SEED = 12, 4, 1.0, 30, 20
 
 
 def probe_order(frac: np.ndarray, probes: int) -> np.ndarray:

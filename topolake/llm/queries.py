@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, langid, mixing, neardup, ngram_lm, packing, repeats, secrets, topk, toxicity
 from .common import fold, table
-from .sql import ORACLE
+from .sql import ORACLE, PARTS
 
 
 def _tokenizer_path() -> str:
@@ -88,9 +88,24 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def mix_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 mixes from each source, as SQL can state it: its size and target."""
+    placed = mixing.mix(table(spark, sf_dir, "documents"))[0]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source").distinct()
+    found = placed.join(docs, "doc_id").groupBy("source").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"))
+    return found.select("source", "source_size", F.round("target", 6).alias("target"))
+
+
+def lm_base_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's base model with every document to learn from, as SQL can state it."""
+    found = ngram_lm.score_texts(table(spark, sf_dir, "documents").withColumn("train", F.lit(True)), "train")
+    return found.select("doc_id", "n_tokens", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_repeat_removal, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op9_lm_scoring, op10_exact_top_k)}
+    ops = (op1_near_duplicates, op2_repeat_removal, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op9_lm_scoring, op10_exact_top_k)
+    return {f.__name__: f for f in (*ops, mix_source_targets, lm_base_of_all)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | PARTS

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import secrets
-
 _TOP_K = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
@@ -16,11 +14,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+# The contract's patterns, written out here on their own so that an error in the operator's cannot hide.
+_EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = "(" + _EITHER + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_BLOB, _ENDPOINT, _SCOPE = r"[A-Za-z0-9+/]{40,}", r"(?:https?|s3|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9][A-Za-z0-9.:@_/-]+", 256
+_ORDER = ("assign", "access", "hex", "blob", "endpoint")
+
+
 def _found(kind: str, pattern: str, group: int) -> str:
     """Spans of one kind: lengths of gaps and matches in turn give the places."""
     p = pattern.replace("'", "''")
     return f"""
-  SELECT rid, '{kind}' AS kind, {secrets.KINDS.index(kind)} AS k, s AS start, s + len(m) AS fin, m, v FROM (
+  SELECT rid, '{kind}' AS kind, {_ORDER.index(kind)} AS k, s AS start, s + len(m) AS fin, m, v FROM (
     SELECT rid, unnest(ms) AS m, unnest(vs) AS v,
            unnest(list_transform(range(1, len(ms) + 1), lambda i: CAST(coalesce(list_sum(list_transform(gs[1:i], lambda x: len(x))), 0)
                   + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: len(x))), 0) AS BIGINT))) AS s
@@ -30,15 +35,15 @@ def _found(kind: str, pattern: str, group: int) -> str:
 
 _SECRETS = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-base AS (SELECT * FROM ({_found("assign", secrets.ASSIGN, 1)}) WHERE len(v) >= 8
-  UNION ALL {_found("access", secrets.ACCESS, 0)} UNION ALL {_found("hex", secrets.HEX, 0)}),
-w AS (SELECT * FROM ({_found("blob", secrets.BLOB, 0)}) b
+base AS (SELECT * FROM ({_found("assign", _ASSIGN, 2)}) WHERE len(v) >= 8
+  UNION ALL SELECT * FROM ({_found("access", "AKIA[A-Z0-9]+", 0)}) WHERE len(v) >= 16 UNION ALL SELECT * FROM ({_found("hex", "[0-9a-f]+", 0)}) WHERE len(v) >= 32),
+w AS (SELECT * FROM ({_found("blob", _BLOB, 0)}) b
       WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = b.rid AND x.start <= b.start AND x.fin >= b.fin)
         AND EXISTS (SELECT 1 FROM base x WHERE x.rid = b.rid AND x.kind = 'access'
-                    AND b.start - x.fin <= {secrets.SCOPE} AND x.start - b.fin <= {secrets.SCOPE})),
-e AS (SELECT * FROM ({_found("endpoint", secrets.ENDPOINT, 0)}) b
+                    AND b.start - x.fin <= {_SCOPE} AND x.start - b.fin <= {_SCOPE})),
+e AS (SELECT * FROM ({_found("endpoint", _ENDPOINT, 0)}) b
       WHERE EXISTS (SELECT 1 FROM (SELECT rid, start, fin FROM base WHERE kind IN ('assign', 'access') UNION ALL SELECT rid, start, fin FROM w) x
-                    WHERE x.rid = b.rid AND b.start - x.fin <= {secrets.SCOPE} AND x.start - b.fin <= {secrets.SCOPE})),
+                    WHERE x.rid = b.rid AND b.start - x.fin <= {_SCOPE} AND x.start - b.fin <= {_SCOPE})),
 s AS (SELECT * FROM base UNION ALL SELECT * FROM w UNION ALL SELECT * FROM e),
 g AS (SELECT rid, string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, k) AS spans,
              string_agg(CASE WHEN k < 3 THEN kind || ':' || start || ':' || fin END, ',' ORDER BY start, k) AS base,
@@ -79,4 +84,22 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
 FROM d LEFT JOIN t USING (rid)
 """
 
+# What of op3 and op9 SQL can state, as queries of their own: sizes and targets; the base model with all documents to learn from.
+_TARGETS = r"""
+WITH d AS (SELECT source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS n, (CASE (row_number() OVER (ORDER BY source IS NULL, source COLLATE C) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END) AS w FROM d GROUP BY source),
+o AS (SELECT *, 2.0 * n / w AS r FROM s WHERE n > 0),
+u AS (SELECT *, (1.5 * sum(n) OVER () - coalesce(sum(2.0 * n) OVER (ORDER BY r, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
+                (sum(w) OVER (ORDER BY r, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS unit FROM o),
+f AS (SELECT min(unit) AS unit FROM (SELECT unit, row_number() OVER (ORDER BY r, source) AS k, min(CASE WHEN unit <= r THEN rn END) OVER () AS first FROM (SELECT *, row_number() OVER (ORDER BY r, source) AS rn FROM u)) WHERE k = first)
+SELECT s.source, CAST(s.n AS BIGINT) AS source_size, round(CASE WHEN s.n = 0 THEN 0.0 WHEN f.unit IS NULL THEN 2.0 * s.n ELSE least(2.0 * s.n, f.unit * s.w) END, 6) AS target FROM s, (SELECT max(unit) AS unit FROM f) f
+"""
+_BASE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(list_append(ws, chr(10))) AS w FROM t), c AS (SELECT w, count(*) AS c FROM x GROUP BY w),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((c + 0.5) / (n + 0.5 * (v + 1)))), 5) AS base_score FROM x JOIN c USING (w), n GROUP BY doc_id
+"""
+
+PARTS = {"mix_source_targets": _TARGETS, "lm_base_of_all": _BASE}
 ORACLE = {"op1_near_duplicates": _NEAR, "op2_repeat_removal": _REPEATS, "op4_secret_scans": _SECRETS, "op10_exact_top_k": _TOP_K}
