@@ -319,7 +319,9 @@ def test_toxic_hits():
     assert found("an IDIOT, id1ot and іdiot l0ser") == ["IDIOT", "id1ot", "іdiot", "l0ser"]
     assert found("the trash can is full; idiotic") == [] and found("trash, can") == ["trash"] and found("") == []
     assert found("Grumpfen GRUMPF9 gгumpf grumpf1er agrumpf") == ["Grumpf", "GRUMPF", "grumpf"] and found("mild grump") == []
-    assert toxicity.rate("grumpf " * 100, toxicity.hits("grumpf " * 100, a, weights.__getitem__), weights.__getitem__) == pytest.approx(3 / 2**0.5)
+    text = "Grumpf grumpfig grumpf loser " * 25
+    rate, top = toxicity.features(text, toxicity.hits(text, a, weights.__getitem__), weights.__getitem__)
+    assert rate == pytest.approx((3 + 1) / 2**0.5) and top == pytest.approx(3 / 2**0.25) and toxicity.features("", [], weights.__getitem__) == (0, 0)
 
 
 def test_toxicity_learns_and_leaves_clean_texts(spark, odd_docs, no_docs, words):

@@ -99,9 +99,15 @@ def hits(text: str, a, weight: Callable[[str], float]) -> list[tuple[int, int, s
     return out
 
 
-def rate(text: str, found: list[tuple[int, int, str]], weight: Callable[[str], float]) -> float:
-    """Weight of the distinct entries found, by the square root of a hundred words."""
-    return sum(map(weight, {entry for _, _, entry in found})) / math.sqrt(1 + len(text.split()) / 100) if found else 0.0
+def features(text: str, found: list[tuple[int, int, str]], weight: Callable[[str], float]) -> tuple[float, float]:
+    """Weight of the distinct entries found by the root of the text's length, and the heaviest one's by the fourth root.
+
+    Lengths are in hundreds of words, one more than there are. Clean text has more chance hits the longer it is, but
+    each of them is a light one.
+    """
+    each = [weight(entry) for entry in {entry for _, _, entry in found}]
+    length = 1 + len(text.split()) / 100
+    return (sum(each) / length**0.5, max(each) / length**0.25) if each else (0.0, 0.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -130,8 +136,8 @@ def fit(train_rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     An entry is a folded word or beginning of words; its weight is its smoothed log-odds over distinct texts. It joins the
     fixed lexicon, whose words weigh at least FLOOR, if SUPPORT toxic texts have it and its log-odds reach LEAST_ODDS. There
     is no other bound on them: a text's entries are about its length, and each entry learned stands in SUPPORT texts. The
-    logistic is fitted on rates in which each text's own part in the weights is taken back, so that it meets texts as
-    unseen ones.
+    logistic, of a text's rate and of its heaviest entry, is fitted with each text's own part in the weights taken back, so
+    that it meets texts as unseen ones.
     """
     rows = train_rows.where(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select("text", "toxic")
     rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).cache()
@@ -171,14 +177,15 @@ def fit(train_rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
         weigh = unseen(0), unseen(1)
         for pdf in batches:
             pairs = [(t, weigh[int(y > 0)]) for t, y in zip(pdf["text"], pdf["toxic"], strict=True)]
-            yield pd.DataFrame({"rate": [rate(t, hits(t, a, w), w) for t, w in pairs], "toxic": (pdf["toxic"] > 0).astype("int32")})
+            both = [features(t, hits(t, a, w), w) for t, w in pairs]
+            yield pd.DataFrame({"rate": [x[0] for x in both], "top": [x[1] for x in both], "toxic": (pdf["toxic"] > 0).astype("int32")})
 
-    got = rows.mapInPandas(measured, "rate double, toxic int").toPandas()
+    got = rows.mapInPandas(measured, "rate double, top double, toxic int").toPandas()
     rows.unpersist()
     # Two priors: clean text without a hit, toxic text with some.
-    x = np.concatenate([got["rate"].to_numpy(float), [0.0] * 5, [2.0] * 5])
+    x = np.vstack([got[["rate", "top"]].to_numpy(float), [[0.0, 0.0]] * 5, [[2.0, 2.0]] * 5])
     y = np.concatenate([got["toxic"].to_numpy(float), [0.0] * 5, [1.0] * 5])
-    return weights, _logistic(x[:, None], y)
+    return weights, _logistic(x, y)
 
 
 def score(documents: DataFrame, weights: dict[str, float], logistic: np.ndarray) -> DataFrame:
@@ -188,7 +195,7 @@ def score(documents: DataFrame, weights: dict[str, float], logistic: np.ndarray)
     and score as such a text does; very long texts are matched whole.
     """
     plain = {str(k): float(v) for k, v in weights.items()}
-    slope, intercept = (float(x) for x in logistic)
+    of_rate, of_top, intercept = (float(x) for x in logistic)
     built: dict[str, object] = {}
 
     @F.pandas_udf("score double, hits int")
@@ -197,7 +204,8 @@ def score(documents: DataFrame, weights: dict[str, float], logistic: np.ndarray)
         out = []
         for t in texts:
             found = hits(t, a, plain.__getitem__) if t else []
-            z = slope * rate(t, found, plain.__getitem__) + intercept if found else intercept
+            rate, top = features(t, found, plain.__getitem__) if found else (0.0, 0.0)
+            z = of_rate * rate + of_top * top + intercept
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(found)))
         return pd.DataFrame(out, columns=["score", "hits"])
 
