@@ -14,7 +14,7 @@ from .common import CAPITALS, SMALL, arrow_rows, materialize, unwrapped, wrapped
 from .components import components
 
 SHINGLE, BANDS, ROWS, LOW_BITS, SEED, NUM, DEN = 5, 32, 4, 4, 1, 75, 100
-BLOCK_DOCS, FILE_DOCS, MARGIN = 256, 50_000, 5.5
+BLOCK_DOCS, FILE_DOCS, MARGIN, HOT, HOT_DOCS = 256, 50_000, 5.5, 10_000, 500
 UNIT = "array<struct<lb:bigint,l:int,rb:bigint,r:int,side:int>>"
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -62,18 +62,58 @@ def estimates(packed: np.ndarray, others: np.ndarray, low_bits: int) -> np.ndarr
     Values agree where all their low bits do: the XOR's bits of a value are united and counted; unlike values agree in
     2**-low_bits of cases, which (agreement - c) / (1 - c) takes out.
     """
-    x = packed.view("<u8")[:, None, :] ^ others.view("<u8")[None, :, :]
-    step = 1
+    return estimated(packed.view("<u8")[:, None, :] ^ others.view("<u8")[None, :, :], low_bits)
+
+
+def estimated(x: np.ndarray, low_bits: int) -> np.ndarray:
+    """Similarity from the XOR of packed signatures, 64 bits a word in the last dimension."""
+    step, values = 1, x.shape[-1] * 64 // low_bits
     while step < low_bits:
-        x |= x >> np.uint64(step)
+        x = x | (x >> np.uint64(step))
         step *= 2
     mask = np.uint64(sum(1 << i for i in range(0, 64, low_bits)))
-    values = packed.shape[1] * 8 // low_bits
-    differing = np.bitwise_count(x & mask).sum(2, dtype=np.int64)
+    differing = np.bitwise_count(x & mask).sum(-1, dtype=np.int64)
     chance = 2.0**-low_bits
     return ((1 - differing / values) - chance) / (1 - chance)
 
 
+def least_estimate(values: int, low_bits: int, num: int, den: int, margin: float) -> float:
+    """The estimate that lies margin deviations below the threshold."""
+    share, chance = num / den, 2.0**-low_bits
+    p = share + (1 - share) * chance
+    return share - margin * (p * (1 - p) / values) ** 0.5 / (1 - chance)
+
+
+def likely(unit: np.ndarray, node: np.ndarray, size: np.ndarray, sig: np.ndarray, low_bits: int, num: int, den: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that keep together what is likely alike within a unit; rows stand in order of units.
+
+    Rows of a small unit are compared with the next ones, those of a larger one all with all, and each of its rows is
+    then paired with the first row that it hangs together with.
+    """
+    heads = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])) if len(unit) else np.empty(0, np.int64)
+    many = np.diff(np.append(heads, len(unit)))
+    ends, left, right = np.repeat(heads + many, many), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    fits = lambda a, b: np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num
+    few = np.repeat(many <= 8, many)
+    for step in range(1, 8):
+        a = np.flatnonzero(few & (np.arange(len(unit)) + step < ends))
+        a = a[fits(a, a + step)]
+        close = estimated(sig[a] ^ sig[a + step], low_bits) >= least
+        left.append(node[a[close]])
+        right.append(node[a[close] + step])
+    for head, n in zip(heads[many > 8].tolist(), many[many > 8].tolist(), strict=True):
+        own = np.arange(head, head + n)
+        near = fits(own[:, None], own[None, :])
+        for row in range(0, n, 32):
+            near[row : row + 32] &= estimated(sig[own[row : row + 32], None, :] ^ sig[own][None, :, :], low_bits) >= least
+        label, before = np.arange(n), None
+        while before is None or (label != before).any():
+            before, label = label, np.where(near, label[None, :], n).min(1)
+        left.append(node[own[label != np.arange(n)]])
+        right.append(node[own[label[label != np.arange(n)]]])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     low, high = sorted((len(a), len(b)))
     if den * low < num * high:
@@ -93,13 +133,10 @@ def forest(left: list, right: list | None, low_bits: int, num: int, den: int, ma
     members = left + (right or [])
     sig = np.stack([np.frombuffer(m[1], np.uint8) for m in members])
     est = estimates(sig, sig, low_bits) if right is None else estimates(sig[: len(left)], sig[len(left) :], low_bits)
-    share, chance, values = num / den, 2.0**-low_bits, sig.shape[1] * 8 // low_bits
-    p = share + (1 - share) * chance
-    least = share - margin * (p * (1 - p) / values) ** 0.5 / (1 - chance)
-    likely = est >= least
+    near = est >= least_estimate(sig.shape[1] * 8 // low_bits, low_bits, num, den, margin)
     if right is None:
-        likely &= np.triu(np.ones_like(likely), 1)
-    i, j = np.nonzero(likely)
+        near &= np.triu(np.ones_like(near), 1)
+    i, j = np.nonzero(near)
     order = np.argsort(-est[i, j], kind="stable")
     i, j = i[order], j[order] + (0 if right is None else len(left))
     parent = list(range(len(members)))
@@ -126,17 +163,19 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
 
 def grouped(
     documents: DataFrame, words: int = SHINGLE, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS,
-    low_bits: int = LOW_BITS, block_docs: int = BLOCK_DOCS, margin: float = MARGIN, seed: int = SEED,
+    low_bits: int = LOW_BITS, block_docs: int = BLOCK_DOCS, margin: float = MARGIN, seed: int = SEED, least_hot: int = HOT_DOCS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, tag, group_) for every document: components of links of at least num / den.
 
     One pass makes each document's set size, class (a hash of its set; equal sets are one class), band keys and packed
-    low bits. Classes that share a band key with another form candidate groups; a band of four minima misses a pair at
-    the threshold in 0.684 of cases, all 32 bands in 5 of a million, and most copies have more than one partner. A group
-    is dealt into blocks of about block_docs classes by set size and hash; each pair of blocks whose sizes can link is
-    one unit of work that holds two blocks' sets, so neither a hot group of copies (one class) nor one of near copies
-    (many blocks) meets in one task, and only spanning links are emitted, never all pairs. Each link is confirmed on
-    full sets.
+    low bits. A band of four minima misses a pair at the threshold in 0.684 of cases, all 32 bands in 5 of a million, and
+    most copies have more than one partner. Classes of one band key, a common key's in pairs of blocks of about
+    block_docs, are compared by their packed bits, and what is likely alike, by an estimate `margin` deviations below the
+    threshold at least, is a candidate pair; of those a key gives only what holds its groups together. A group of
+    candidates is dealt into blocks of about block_docs classes by set size and hash; each pair of blocks whose sizes
+    can link is one unit of work that holds two blocks' sets, so neither a hot group of copies (one class) nor one of near
+    copies (many blocks) meets in one task, and only spanning links are emitted, never all pairs. Each link is confirmed
+    on full sets.
 
     Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer words is
     one shingle; repeated rows and ids share a class, so all rows of a smallest id are kept; null ids are larger than
@@ -157,17 +196,44 @@ def grouped(
     docs = documents.select("doc_id", "text")
     sketched = materialize(docs.select("doc_id", F.xxhash64("text").alias("tag"), sketch(F.col("text")).alias("s")).select("doc_id", "tag", "s.*"), "sketches")
     # A file for each so many documents: the small tables between steps need no more, each file costs a task.
-    files = max(1, -(-sketched.count() // FILE_DOCS))
+    total_docs = sketched.count()
+    files = max(1, -(-total_docs // FILE_DOCS))
     classes = materialize(
         sketched.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("packed").alias("packed")).coalesce(files),
         "classes",
     )
 
-    # Candidate groups: a band key's classes all hang on its smallest one.
+    # Candidates: classes that share a band key and whose signatures are likely alike, a common key's in pairs of blocks.
     keyed = classes.select("class_id", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub < last")
-    star = keyed.join(hubs, "key").where("class_id <> hub").select(F.col("class_id").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = materialize(components(star, "candidates", files).coalesce(files), "groups")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    keyed = keyed.join(shared, "key").join(classes.select("class_id", "size", "packed"), "class_id")
+    blocks, block = F.ceil(F.col("held") / block_docs).cast("int"), F.pmod(F.xxhash64("class_id"), F.ceil(F.col("held") / block_docs)).cast("int")
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda o: (blocks == 1) | (o != block))
+    keyed = keyed.select("key", "class_id", "size", "packed", F.explode(F.transform(others, lambda o: F.struct(F.least(block, o).alias("l"), F.greatest(block, o).alias("r")))).alias("u"))
+    parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = keyed.select(F.xxhash64("key", "u.l", "u.r").alias("unit"), "class_id", "size", "packed").repartition(parts, "unit").sortWithinPartitions("unit")
+    least = least_estimate(bands * rows, low_bits, num, den, margin)
+
+    def compare(batches):
+        def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+            sig = np.frombuffer(b"".join(pdf["packed"]), "<u8").reshape(len(pdf), -1)
+            a, b = likely(pdf["unit"].to_numpy(), pdf["class_id"].to_numpy(), pdf["size"].to_numpy(), sig, low_bits, num, den, least)
+            return pd.DataFrame({"a": a, "b": b})
+
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf])
+            unit = pdf["unit"].to_numpy()
+            # The last unit may go on in the next batch.
+            cut = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
+            rest = pdf.iloc[cut:]
+            if cut:
+                yield pairs(pdf.iloc[:cut])
+        if rest is not None and len(rest):
+            yield pairs(rest)
+
+    near = keyed.mapInPandas(compare, "a long, b long")
+    groups = materialize(components(near, "candidates", files).coalesce(files), "groups")
 
     # Blocks by set size (a class of sizes spans the threshold's ratio) and hash; small groups are one block.
     sized = groups.join(classes.select(F.col("class_id").alias("node"), "size", "least", "packed"), "node")
@@ -210,7 +276,6 @@ def grouped(
     sets = chosen.select(whole(F.col("text")).alias("s")).select("s.*").dropDuplicates(["class_id"])
     work = units.join(sets, F.col("node") == F.col("class_id")).select("root", "node", "packed", "shingles", F.explode("units").alias("u"))
     unit = F.xxhash64("root", "u.lb", "u.l", "u.rb", "u.r")
-    parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     work = work.select(unit.alias("unit"), F.col("u.side").alias("side"), "node", "packed", "shingles").repartition(parts, "unit").sortWithinPartitions("unit")
 
     def confirm(batches):
@@ -243,7 +308,12 @@ def grouped(
     named = joined.join(names, "root").select(F.col("node").alias("class_id"), "root", F.col("component_id").alias("joined_"))
     # A class without links is its own component, named by its own smallest document.
     label = classes.select("class_id", "least").join(named, "class_id", "left").select("class_id", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("joined_")).alias("component_id"), F.coalesce("root", "class_id").alias("group_"))
-    out = sketched.select("doc_id", "tag", "n_shingles", "class_id").join(label, "class_id", "left")
+    # A class of more than a HOT-th of all documents would be one task's rows: there are at most HOT of them, broadcast.
+    crowd = classes.select("class_id", "copies").where(F.col("copies") > max(least_hot, total_docs // HOT)).select("class_id")
+    crowd = label.join(crowd, "class_id").select("class_id", F.col("component_id").alias("hot_id"), F.col("group_").alias("hot_group"), F.lit(True).alias("hot"))
+    rows = sketched.select("doc_id", "tag", "n_shingles", "class_id").join(F.broadcast(crowd), "class_id", "left")
+    alone = rows.where("hot OR n_shingles = 0").withColumnsRenamed({"hot_id": "component_id", "hot_group": "group_"}).drop("hot")
+    out = rows.where("hot IS NULL AND n_shingles > 0").drop("hot", "hot_id", "hot_group").join(label, "class_id", "left").unionByName(alone)
     own_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.col("doc_id").eqNullSafe(own_id).alias("kept"), "tag", "group_")
 
