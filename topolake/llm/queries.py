@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, neardup, ngram_lm, packing, repeats, secrets, topk, toxicity
+from . import ann, dialogues, langid, mixing, neardup, ngram_lm, packing, repeats, secrets, topk, toxicity
 from .common import fold, table
 from .sql import ORACLE, PARTS
+from .sql_more import MORE
 
 
 def _tokenizer_path() -> str:
@@ -88,6 +89,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest edits and a digest of what they leave."""
+    return dialogues.repair(table(spark, sf_dir, "conversations"))
+
+
 def mix_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 mixes from each source, as SQL can state it: its size and target."""
     placed = mixing.mix(table(spark, sf_dir, "documents"))[0]
@@ -103,9 +109,9 @@ def lm_base_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_near_duplicates, op2_repeat_removal, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op9_lm_scoring, op10_exact_top_k)
+    ops = (op1_near_duplicates, op2_repeat_removal, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op9_lm_scoring, op10_exact_top_k, op13_conversation_repair)
     return {f.__name__: f for f in (*ops, mix_source_targets, lm_base_of_all)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | PARTS
+    return ORACLE | PARTS | MORE
