@@ -1,4 +1,4 @@
-"""What stands between ASCII white space in many texts, its distinct parts found without a look at each one's string."""
+"""What stands between ASCII white space, or other given bytes, in many texts, its distinct parts found without a look at each one's string."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ def _of(chars: bytes) -> np.ndarray:
     return out
 
 
-_IS_WHITE, _IS_MARK, _IS_LETTER, _GAP = _of(WHITE), _of(MARKS), _of(bytes(range(97, 123))), re.compile(b"[" + WHITE + b"]")
+_IS_MARK, _IS_LETTER = _of(MARKS), _of(bytes(range(97, 123)))
 _SPREAD = np.random.default_rng(0).integers(1, 2**63, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _made: list[np.ndarray] = []
@@ -37,8 +37,8 @@ def _powers(n: int) -> list[np.ndarray]:
     return _made
 
 
-def distinct_parts(data: bytes, marks: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Where each part begins, which of the distinct parts it is, and these.
+def distinct_parts(data: bytes, marks: bool = False, gaps: bytes = WHITE) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Where each part between gaps begins, which of the distinct parts it is, and these.
 
     Parts are told apart by a polynomial hash, and each is then compared with the first of its hash byte by byte; if any
     differs, they are told apart as strings. With `marks`, one of MARKS at the end of a part, after a small ASCII letter,
@@ -46,7 +46,7 @@ def distinct_parts(data: bytes, marks: bool = False) -> tuple[np.ndarray, np.nda
     """
     raw = np.frombuffer(data, np.uint8)
     inked = np.zeros(len(raw) + 2, bool)
-    inked[1:-1] = ~_IS_WHITE[raw]
+    inked[1:-1] = ~_of(gaps)[raw]
     before, here, after = inked[:-2], inked[1:-1], inked[2:]
     cut = np.zeros(len(raw) + 1, bool)
     if marks:
@@ -72,17 +72,17 @@ def distinct_parts(data: bytes, marks: bool = False) -> tuple[np.ndarray, np.nda
     return starts, of, list(seen)
 
 
-def parts_of(texts: list[bytes], marks: bool = False) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """Texts in slices cut at white space: each part's number among the slice's distinct parts, these, and for every
+def parts_of(texts: list[bytes], marks: bool = False, gaps: bytes = WHITE) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """Texts in slices cut at gaps, of which a line feed must be one: each part's number among the slice's distinct parts, these, and for every
     text that ends in the slice, how many of the slice's parts stand before its end."""
     data, ends = b"\n".join(texts), np.cumsum([len(t) + 1 for t in texts])
-    at = 0
+    at, any_gap = 0, re.compile(b"[" + re.escape(gaps) + b"]")
     while at < len(data):
         stop = len(data)
         if at + SLICE < stop:
-            gap = _GAP.search(data, at + SLICE)
+            gap = any_gap.search(data, at + SLICE)
             stop = gap.start() if gap else stop
-        starts, of, parts = distinct_parts(data[at:stop], marks)
+        starts, of, parts = distinct_parts(data[at:stop], marks, gaps)
         mine = ends[(ends > at) & ((ends <= stop) | (stop == len(data)))]
         yield of, parts, np.searchsorted(starts, mine - at)
         at = stop
