@@ -143,8 +143,8 @@ def _counter(leaves: int, piece: int):
         def emptied() -> Iterator[pd.DataFrame]:
             known = list(names)
             for lang, trie in tries.items():
-                for piece in _pieces(lang, trie, known, piece):
-                    yield pd.DataFrame([piece])
+                for part in _pieces(lang, trie, known, piece):
+                    yield pd.DataFrame([part])
             tries.clear()
 
         for pdf in batches:
@@ -239,8 +239,6 @@ def _comparer(chunk: int):
     """One range's terms and two tiles of a language's sources: sums of pairs, and each source's best terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of one range's terms and two tiles of a language's sources: sums of pairs, and each source's best terms."""
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 sources = [x["source"] for x in row.groups]
