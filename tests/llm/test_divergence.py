@@ -3,7 +3,9 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from topolake.llm import divergence, parts
@@ -57,30 +59,38 @@ def test_audit_equals_plain_counting(spark):
     checked(spark, texts(1))
 
 
-def test_many_ranges_pieces_and_tiles(spark, monkeypatch):
+def test_many_ranges_tries_and_tiles(spark, monkeypatch):
     monkeypatch.setattr(divergence, "SAMPLE", 30)
-    checked(spark, texts(2, 200), tile=2, leaves=100, piece=7, chunk=5, size=40)
+    checked(spark, texts(2, 200), tile=2, leaves=100, chunk=5, size=2000)
 
 
 def test_texts_longer_than_a_slice(spark, monkeypatch):
     monkeypatch.setattr(parts, "SLICE", 64)
-    trie, rows = divergence.Trie(), [t or "" for _, _, t in texts(3, 60)] + ["same word " * 100]
-    divergence._count([t.encode().lower() for t in rows], trie, 0)
-    want = Counter(w for t in rows for w in TERM.findall(t.translate(FOLD)))
+    counts, rows = divergence._Counts(), [t or "" for _, _, t in texts(3, 60)] + ["same word " * 100]
+    counts.add([t.encode().lower() for t in rows], np.arange(len(rows)) % 2)
+    trie = counts.trie(["even", "odd"])
+    want = [Counter(w for t in rows[i::2] for w in TERM.findall(t.translate(FOLD))) for i in range(2)]
     docs = Counter(w for t in rows for w in set(TERM.findall(t.translate(FOLD))))
-    assert {t.decode(): c[0] for t, c in trie.walk()} == {t: [docs[t], want[t]] for t in want}
+    assert dict(zip((t.decode() for t in trie.terms), trie.docs.tolist(), strict=True)) == docs
+    keys = zip(np.repeat(np.arange(len(trie.terms)), trie.width).tolist(), trie.source_no.tolist(), trie.times.tolist(), strict=True)
+    assert {(trie.terms[t].decode(), s): n for t, s, n in keys} == {(t, s): n for s in range(2) for t, n in want[s].items()}
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_trie_walks_in_order_of_bytes(seed):
+def test_tries_merge_and_come_back_from_rows(seed):
     r = random.Random(seed)
-    words = [bytes(r.choices(range(97, 100), k=r.randint(1, 9))) for _ in range(500)]
-    trie = divergence.Trie()
-    for w in words:
-        trie.add(w, len(w) % 2, 1, 1)
-    found = [(t, sum(c[1] for c in own.values())) for t, own in trie.walk()]
-    assert found == sorted(Counter(words).items())
-    assert trie.leaves == len(found)
+    word = lambda: bytes(r.choices(range(97, 100), k=r.choice([1, 2, 5, 31, 32, 33, 40, 80])))
+    made, total = [], Counter()
+    for _ in range(4):
+        words = [w for w in {word() for _ in range(200)}]
+        n = np.array([r.randint(1, 5) for _ in words])
+        total.update(dict(zip(words, n.tolist(), strict=True)))
+        names = r.sample(["x", "y", "z"], 2)
+        made.append(divergence.Trie.of(names, words, n, np.arange(len(words)), np.arange(len(words)) % 2, n))
+    rows = [SimpleNamespace(**t.between(0, len(t.terms))) for t in made]
+    both = divergence.Trie.merged([divergence.Trie.read(x) for x in rows])
+    assert both.terms == sorted(total) and both.docs.tolist() == [total[t] for t in both.terms]
+    assert both.times.sum() == sum(total.values()) and both.width.sum() == len(both.times)
 
 
 def test_no_rows(spark):
@@ -88,7 +98,5 @@ def test_no_rows(spark):
 
 
 def test_shares_stay_exact():
-    import numpy as np
-
     for count, size in ((0, 5), (10**15, 10**15 + 2), (123456789012, 987654321098765), (1, 3)):
         assert int(divergence.shares(np.array([count]), np.int64(size))[0]) == 1 + 10**9 * (count + 2) // size

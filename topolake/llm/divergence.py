@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,207 +17,195 @@ from .parts import parts_of
 GAPS = bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 THOUSANDS, ADDED, LEAST_DOCS, TOP = 3, 2, 10, 10
 
-LEAVES, PIECE, RANGE, SAMPLE, EDGE, TILE, CHUNK = 300_000, 8192, 250_000, 20_000, 64, 256, 2048
-_COUNTED = "sources array<string>, shared array<int>, sizes array<int>, tails binary, width array<int>, source_no array<int>, docs array<long>, times array<long>"
-_PIECE = f"lang string, first binary, last binary, leaves long, {_COUNTED}"
+LEAVES, RANGE, SAMPLE, EDGE, WIDE, TILE, CHUNK = 1_500_000, 400_000, 2_000, 64, 32, 256, 2048
+_COLUMNS = ("sources", "shared", "sizes", "tails", "docs", "width", "source_no", "times")
+_PACKED = "sources array<string>, shared array<int>, sizes array<int>, tails binary, docs array<long>, width array<int>, source_no array<int>, times array<long>"
+
+
+def _shared(terms: list[bytes]) -> np.ndarray:
+    """How many bytes each of the terms, in order, has in common with the one before."""
+    if not terms:
+        return np.zeros(0, np.int32)
+    sizes = np.array([len(t) for t in terms])
+    heads = np.array(terms, f"S{WIDE}") if sizes.max() <= WIDE else np.array([t[:WIDE] for t in terms], f"S{WIDE}")
+    heads = heads.view(np.uint8).reshape(-1, WIDE)
+    same = heads[1:] == heads[:-1]
+    out = np.where(same.all(1), WIDE, same.argmin(1))
+    out = np.minimum(out, np.minimum(sizes[1:], sizes[:-1]))
+    for i in np.flatnonzero((out == WIDE) & (sizes[1:] > WIDE) & (sizes[:-1] > WIDE)).tolist():
+        out[i] = _common(terms[i], terms[i + 1])
+    return np.concatenate([[0], out]).astype(np.int32)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """By halves, as terms can be long."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+    return low
 
 
 class Trie:
-    """Terms by their bytes: a node is (label, children by first byte, counters); a leaf counter is source: [documents, times].
-
-    Labels hold whole runs of bytes that no term leaves, so a node has counters, several children, or both.
+    """A radix trie of terms' bytes, laid out in preorder: each term is the depth at which its path leaves the path of the
+    one before, and the bytes of its own edge from there. A leaf has the number of documents that its term is in, and a
+    counter of occurrences for each source that has it.
     """
 
-    def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
-        self.leaves = 0
-
-    def at(self, term: bytes) -> dict[int, list[int]]:
-        """The counters of a term, its path made where it is not there yet."""
-        node, i, n = self.root, 0, len(term)
-        while i < n:
-            children = node[1]
-            child = children.get(term[i])
-            if child is None:
-                child = children[term[i]] = [term[i:], {}, None]
-                i = n
-            else:
-                label = child[0]
-                if term.startswith(label, i):
-                    i += len(label)
-                else:
-                    k = _common(label, term, i)
-                    children[term[i]] = split = [label[:k], {label[k]: child}, None]
-                    child[0] = label[k:]
-                    child, i = split, i + k
-            node = child
-        if node[2] is None:
-            node[2] = {}
-        return node[2]
-
-    def add(self, term: bytes, source: int, docs: int, times: int) -> None:
-        own = self.at(term)
-        if (c := own.get(source)) is None:
-            own[source] = [docs, times]
-            self.leaves += 1
-        else:
-            c[0] += docs
-            c[1] += times
-
-    def walk(self) -> Iterator[tuple[bytes, dict[int, list[int]]]]:
-        """Terms and their counters in the order of their UTF-8 bytes."""
-        stack = [(b"", self.root)]
-        while stack:
-            path, node = stack.pop()
-            if node[2]:
-                yield path, node[2]
-            stack += [(path + child[0], child) for _, child in sorted(node[1].items(), reverse=True)]
-
-
-def _common(label: bytes, term: bytes, at: int) -> int:
-    """How many bytes label and term from `at` on share: by halves, as labels can be long."""
-    low, high = 1, min(len(label), len(term) - at)
-    while low < high:
-        mid = (low + high + 1) // 2
-        if term.startswith(label[:mid], at):
-            low = mid
-        else:
-            high = mid - 1
-    return low
+    def __init__(self, sources: list[str], terms: list[bytes], docs: np.ndarray, width: np.ndarray, source_no: np.ndarray, times: np.ndarray) -> None:
+        self.sources, self.terms, self.docs, self.width, self.source_no, self.times = sources, terms, docs, width, source_no, times
+
+    @classmethod
+    def of(cls, sources: list[str], terms: list[bytes], docs: np.ndarray, leaf_term: np.ndarray, leaf_source: np.ndarray, times: np.ndarray) -> Trie:
+        """From terms in any order and counters (term number, source number, times), which may repeat."""
+        order = sorted(range(len(terms)), key=terms.__getitem__)
+        place = np.empty(len(terms), np.int64)
+        place[order] = np.arange(len(terms))
+        keys, times = _added(place[leaf_term] * max(1, len(sources)) + leaf_source, times)
+        at, source_no = np.divmod(keys, max(1, len(sources)))
+        return cls(sources, [terms[i] for i in order], docs[order] if len(order) else docs, np.bincount(at, minlength=len(terms)), source_no, times)
+
+    @classmethod
+    def merged(cls, tries: list[Trie]) -> Trie:
+        """One trie with the paths and the counters of all."""
+        sources, terms = {}, {}
+        docs, leaf_term, leaf_source, times = [], [], [], []
+        for t in tries:
+            mine = np.array([sources.setdefault(s, len(sources)) for s in t.sources], np.int64)
+            own = np.array([terms.setdefault(x, len(terms)) for x in t.terms], np.int64)
+            docs.append((own, t.docs))
+            leaf_term.append(np.repeat(own, t.width))
+            leaf_source.append(mine[t.source_no])
+            times.append(t.times)
+        total = np.zeros(len(terms), np.int64)
+        for own, n in docs:
+            total[own] += n
+        joined = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+        return cls.of(list(sources), list(terms), total, joined(leaf_term), joined(leaf_source), joined(times))
+
+    def between(self, low: int, high: int) -> dict:
+        """The terms from one place to another as columns of a row."""
+        first = np.concatenate([[0], np.cumsum(self.width)])
+        terms, inside = self.terms[low:high], slice(first[low], first[high])
+        shared = _shared(terms)
+        used, no = np.unique(self.source_no[inside], return_inverse=True)
+        return {
+            "sources": [self.sources[s] for s in used], "shared": shared, "sizes": np.array([len(t) for t in terms], np.int32) - shared,
+            "tails": b"".join([t[k:] for t, k in zip(terms, shared.tolist(), strict=True)]), "docs": self.docs[low:high], "width": self.width[low:high].astype(np.int32),
+            "source_no": no.astype(np.int32), "times": self.times[inside],
+        }
+
+    @classmethod
+    def read(cls, row) -> Trie:
+        """From a row with these columns."""
+        at, term, tails, terms = 0, b"", bytes(row.tails), []
+        for k, n in zip(row.shared.tolist(), row.sizes.tolist(), strict=True):
+            term = term[:k] + tails[at : at + n]
+            terms.append(term)
+            at += n
+        return cls(list(row.sources), terms, row.docs, row.width, row.source_no, row.times)
+
+
+def _added(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the exact sums of their times."""
+    if not len(keys):
+        return keys, times
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(times[order], first)
+
+
+class _Counts:
+    """One language's terms and counters so far."""
 
-
-def _packed(entries: list[tuple[bytes, dict]], names: list[str]) -> dict:
-    """Entries in order as columns: of each term what it does not share with the one before, and its counters."""
-    shared, tails, before = [], [], b""
-    used = sorted({s for _, own in entries for s in own})
-    new = {s: i for i, s in enumerate(used)}
-    for term, _ in entries:
-        k = _common(term, before, 0) if before and term[:1] == before[:1] else 0
-        shared.append(k)
-        tails.append(term[k:])
-        before = term
-    flat = [(new[s], *c) for _, own in entries for s, c in sorted(own.items())]
-    column = lambda i: np.array([x[i] for x in flat], np.int64)
-    return {
-        "sources": [names[s] for s in used], "shared": np.array(shared, np.int32), "sizes": np.array([len(t) for t in tails], np.int32), "tails": b"".join(tails),
-        "width": np.array([len(own) for _, own in entries], np.int32), "source_no": column(0).astype(np.int32), "docs": column(1), "times": column(2),
-    }
-
-
-def _terms(row) -> Iterator[bytes]:
-    """The terms of a packed row in order."""
-    at, term, tails = 0, b"", bytes(row.tails)
-    for k, n in zip(row.shared.tolist(), row.sizes.tolist(), strict=True):
-        term = term[:k] + tails[at : at + n]
-        at += n
-        yield term
-
-
-def _entries(row) -> Iterator[tuple[bytes, dict[int, list[int]]]]:
-    """The terms and counters of a packed row, sources by their numbers in that row."""
-    source, docs, times, at = row.source_no.tolist(), row.docs.tolist(), row.times.tolist(), 0
-    for term, n in zip(_terms(row), row.width.tolist(), strict=True):
-        yield term, {source[i]: [docs[i], times[i]] for i in range(at, at + n)}
-        at += n
-
-
-def _pieces(lang: str, trie: Trie, names: list[str], most: int) -> Iterator[dict]:
-    held, size = [], 0
-    for term, own in trie.walk():
-        held.append((term, own))
-        size += len(own)
-        if size >= most:
-            yield {"lang": lang, "first": held[0][0], "last": term, "leaves": size} | _packed(held, names)
-            held, size = [], 0
-    if held:
-        yield {"lang": lang, "first": held[0][0], "last": held[-1][0], "leaves": size} | _packed(held, names)
-
-
-def _counter(leaves: int, piece: int):
-    """Tries of a partition's terms, one a language, in pieces; given out and begun anew when they hold so many counters."""
+    def __init__(self) -> None:
+        self.terms: dict[bytes, int] = {}
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.leaves: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, texts: list[bytes], sources: np.ndarray) -> None:
+        """Counts the texts of sources with these numbers; a text that goes through several slices is one document."""
+        open_terms: set[bytes] = set()  # of the text that the last slice left unfinished
+        done = 0
+        for of, parts, ends in parts_of(texts, gaps=GAPS):
+            n = max(1, len(parts))
+            doc = np.searchsorted(ends, np.arange(len(of)), side="right")
+            pairs, times = np.unique(doc * n + of, return_counts=True)
+            where, which = np.divmod(pairs, n)
+            docs = np.bincount(which, minlength=len(parts))
+            if open_terms:
+                for i in which[where == 0].tolist():
+                    docs[i] -= parts[i] in open_terms
+            if len(ends):
+                open_terms = set()
+            open_terms |= {parts[i] for i in which[where == len(ends)].tolist()}
+            keys, times = _added(sources[np.minimum(done + where, len(sources) - 1)] * n + which, times)
+            mine = np.array([self.terms.setdefault(t, len(self.terms)) for t in parts], np.int64)
+            self.docs.append((mine, docs))
+            self.leaves.append((mine[keys % n], keys // n, times))
+            self.size += len(keys)
+            done += len(ends)
+
+    def trie(self, sources: list[str]) -> Trie:
+        docs = np.zeros(len(self.terms), np.int64)
+        for mine, n in self.docs:
+            docs[mine] += n
+        return Trie.of(sources, list(self.terms), docs, *[np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*self.leaves, strict=True)])
+
+
+def _counter(edges: list[tuple[bytes, bytes]], leaves: int):
+    """Tries of a partition's terms, one a language, cut at the edges of ranges; given out and begun anew at so many counters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tries: dict[str, Trie] = {}
+        counts: dict[str, _Counts] = {}
         names: dict[str, int] = {}
 
         def emptied() -> Iterator[pd.DataFrame]:
-            known = list(names)
-            for lang, trie in tries.items():
-                for part in _pieces(lang, trie, known, piece):
-                    yield pd.DataFrame([part])
-            tries.clear()
+            for lang, own in counts.items():
+                trie = own.trie(list(names))
+                key = lang.encode()
+                at = [i for i, (x, _) in enumerate(edges) if x == key]
+                cuts = [0, *[bisect_left(trie.terms, edges[i][1]) for i in at], len(trie.terms)]
+                first = bisect_left(edges, (key, b""))
+                for i, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if low < high:
+                        yield pd.DataFrame([{"range": first + i, "lang": lang} | trie.between(low, high)])
+            counts.clear()
+            names.clear()
 
         for pdf in batches:
-            for (lang, source), own in pdf.groupby(["lang", "source"], sort=True):
-                trie, no = tries.setdefault(lang, Trie()), names.setdefault(source, len(names))
-                _count([t.encode().lower() for t in own["text"]], trie, no)
-                if sum(t.leaves for t in tries.values()) >= leaves:
-                    yield from emptied()
-                    names.clear()
+            for lang, own in pdf.groupby("lang", sort=True):
+                numbers = np.array([names.setdefault(s, len(names)) for s in own["source"]], np.int64)
+                counts.setdefault(lang, _Counts()).add([t.encode().lower() for t in own["text"]], numbers)
+            if sum(c.size for c in counts.values()) >= leaves:
+                yield from emptied()
         yield from emptied()
 
     return run
 
 
-def _count(texts: list[bytes], trie: Trie, source: int) -> None:
-    """Adds one source's texts: times a term occurs, and documents it is in, also where a text goes through several slices."""
-    open_terms: set[bytes] = set()  # of the text that the last slice left unfinished
-    for of, parts, ends in parts_of(texts, gaps=GAPS):
-        times = np.bincount(of, minlength=len(parts))
-        doc = np.searchsorted(ends, np.arange(len(of)), side="right")
-        doc_terms = np.unique(doc * max(1, len(parts)) + of)
-        where, which = np.divmod(doc_terms, max(1, len(parts)))
-        docs = np.bincount(which, minlength=len(parts))
-        if open_terms:
-            for i in which[where == 0].tolist():
-                docs[i] -= parts[i] in open_terms
-        for term, d, t in zip(parts, docs.tolist(), times.tolist(), strict=True):
-            trie.add(term, source, d, t)
-        if len(ends):
-            open_terms = set()
-        open_terms |= {parts[i] for i in which[where == len(ends)].tolist()}
-
-
-def _cutter(edges: list[tuple[bytes, bytes]]):
-    """Pieces by range: one that lies in a single range goes as it is, any other is cut at the edges."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                lang = row.lang.encode()
-                low, high = (bisect_right(edges, (lang, bytes(x))) for x in (row.first, row.last))
-                if low == high:
-                    yield pd.DataFrame([{"range": low, "lang": row.lang} | {c: getattr(row, c) for c in _COLUMNS}])
-                    continue
-                held: dict[int, list] = {}
-                for term, own in _entries(row):
-                    held.setdefault(bisect_right(edges, (lang, term)), []).append((term, own))
-                for place, entries in held.items():
-                    yield pd.DataFrame([{"range": place, "lang": row.lang} | _packed(entries, list(row.sources))])
-
-    return cut
-
-
-_COLUMNS = [x.split()[0] for x in _COUNTED.split(", ")]
+def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Some two hundred of each text's distinct terms, evenly spaced in their order, and no more of each than an edge needs."""
+    for pdf in batches:
+        for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+            terms = sorted({p for _, parts, _ in parts_of([text.encode().lower()], gaps=GAPS) for p in parts})
+            yield pd.DataFrame({"lang": lang, "term": [t[:EDGE] for t in terms[:: 1 + len(terms) // 200]]})
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One range's pieces as one trie a language; terms of too few documents go."""
+    """One range's tries as one a language; terms of too few documents go."""
     out = []
     for lang, own in pdf.groupby("lang", sort=True):
-        trie, names = Trie(), {}
-        for row in own.itertuples(index=False):
-            mine = [names.setdefault(s, len(names)) for s in row.sources]
-            for term, counts in _entries(row):
-                for s, (docs, times) in counts.items():
-                    trie.add(term, mine[s], docs, times)
-        kept = [(term, counts) for term, counts in trie.walk() if sum(c[0] for c in counts.values()) >= LEAST_DOCS]
-        if kept:
-            row = _packed(kept, list(names))
-            times = np.bincount(row["source_no"], row["times"], len(row["sources"])) if row["times"].max() < 1 << 21 else None
-            if times is None:  # beyond what a float holds exactly
-                times = [int(row["times"][row["source_no"] == i].sum()) for i in range(len(row["sources"]))]
-            out.append({"lang": lang, "kept": len(kept), "sums": np.asarray(times, np.int64)} | row)
+        trie = Trie.merged([Trie.read(row) for row in own.itertuples(index=False)])
+        kept = trie.docs >= LEAST_DOCS
+        leaf = np.repeat(kept, trie.width)
+        less = Trie(trie.sources, [t for t, k in zip(trie.terms, kept.tolist(), strict=True) if k], trie.docs[kept], trie.width[kept], trie.source_no[leaf], trie.times[leaf])
+        if less.terms:
+            row = less.between(0, len(less.terms))
+            _, sums = _added(row["source_no"], row["times"])
+            out.append({"lang": lang, "kept": len(less.terms), "sums": sums} | row)
     return pd.DataFrame(out, columns=["lang", "kept", "sums", *_COLUMNS])
 
 
@@ -249,7 +237,7 @@ def _comparer(chunk: int):
                 if row.tails is not None:
                     place = {s: i for i, s in enumerate(sources)}
                     mine = np.array([place[s] for s in row.sources])
-                    terms, first = list(_terms(row)), np.concatenate([[0], np.cumsum(row.width)])
+                    terms, first = Trie.read(row).terms, np.concatenate([[0], np.cumsum(row.width)])
                     best: list[list[tuple[int, bytes]]] = [[] for _ in tiles[0]]
                     for at in range(0, len(terms), chunk):
                         end = min(at + chunk, len(terms))
@@ -287,32 +275,33 @@ def _comparer(chunk: int):
     return run
 
 
-def audit(documents: DataFrame, tile: int = TILE, leaves: int = LEAVES, piece: int = PIECE, chunk: int = CHUNK, size: int = RANGE) -> DataFrame:
+def audit(documents: DataFrame, tile: int = TILE, leaves: int = LEAVES, size: int = RANGE, chunk: int = CHUNK) -> DataFrame:
     """(lang, source, part, item, value, rank): how far the sources of each language are apart, and by which terms.
 
-    Each partition counts terms in byte tries, one a language, with a counter of documents and occurrences a source. A
-    trie leaves in pieces in order; edges of ranges are quantiles of a bounded sample of the pieces' first terms, which
-    decide balance and nothing else. Each range is merged as one trie, and terms in at least 10 documents of the
-    language stay; a second pass over these alone, in the order of their UTF-8 bytes, adds up every pair of sources and
-    keeps ten terms a source and range, whose order is settled by value and then bytes. Sources are compared in tiles.
+    Each partition counts terms into radix tries, one a language, whose leaves count documents and, by source,
+    occurrences. Tries are cut at the edges of ranges of prefixes, which are quantiles of the terms of a bounded sample of
+    documents and decide balance and nothing else. Each range is merged as one trie, and terms in at least 10
+    documents of the language stay; a second pass over these alone, in the order of their UTF-8 bytes, adds up every
+    pair of sources and keeps ten terms a source and range, whose order is settled by value and then bytes. Sources are
+    compared in tiles.
 
-    A term that a third of all words are is one counter a partition. Defined cases: null text, lang and source are
-    empty strings; a language without terms, or without any in 10 documents, has pairs of value 0 and no terms; a
-    repeated row is a document of its own; an empty table gives no rows; other columns do not matter.
+    A term that a third of all words are is one leaf a partition. Defined cases: null text, lang and source are empty
+    strings; a language without terms, or without any in 10 documents, has pairs of value 0 and no terms; a repeated row
+    is a document of its own; an empty table gives no rows; other columns do not matter.
     """
     spark = documents.sparkSession
     docs = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    pieces = materialize(docs.mapInPandas(_counter(leaves, piece), _PIECE), "tries")
-    n, total = pieces.agg(F.count("*"), F.coalesce(F.sum("leaves"), F.lit(0))).first()
-    heads = pieces.select("lang", F.substring("first", 1, EDGE).alias("first"))
+    n = docs.count()
+    some = docs.select("lang", "text")
     if n > SAMPLE:
-        heads = heads.where(F.pmod(F.xxhash64("lang", "first", F.lit(1)), F.lit(1 << 20)) < (SAMPLE << 20) // n)
-    firsts = sorted((r["lang"].encode(), bytes(r["first"])) for r in heads.limit(2 * SAMPLE).collect())
-    ranges = max(1, min(-(-total // size), len(firsts)))
-    edges = sorted({firsts[len(firsts) * i // ranges] for i in range(1, ranges)})
+        some = some.where(F.pmod(F.xxhash64("lang", "text", F.lit(1)), F.lit(1 << 30)) < max(1, (SAMPLE << 30) // n))
+    terms = sorted({(r["lang"].encode(), bytes(r["term"])) for r in some.limit(2 * SAMPLE).mapInPandas(_sampled, "lang string, term binary").distinct().collect()})
+    ranges = max(1, min(4096, len(terms), n * 200 // size))
+    edges = sorted({terms[len(terms) * i // ranges] for i in range(1, ranges)})
+    with arrow_rows(spark, 500):
+        parts = materialize(docs.mapInPandas(_counter(edges, leaves), f"range int, lang string, {_PACKED}"), "tries")
     with arrow_rows(spark, 16):
-        parts = materialize(pieces.mapInPandas(_cutter(edges), f"range int, lang string, {_COUNTED}"), "trie-ranges")
-        kept = materialize(parts.groupBy("range").applyInPandas(_merged, f"lang string, kept long, sums array<long>, {_COUNTED}"), "merged-tries")
+        kept = materialize(parts.groupBy("range").applyInPandas(_merged, f"lang string, kept long, sums array<long>, {_PACKED}"), "merged-tries")
     sums = kept.select("lang", F.explode(F.arrays_zip("sources", "sums")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.sums").alias("n"))
     groups = docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
     langs = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("groups")).join(kept.groupBy("lang").agg(F.sum("kept").alias("v")), "lang", "left")
@@ -323,7 +312,7 @@ def audit(documents: DataFrame, tile: int = TILE, leaves: int = LEAVES, piece: i
     rows = rows.withColumn("i", F.explode(tiles)).withColumn("j", F.explode(F.filter(tiles, lambda x: x >= F.col("i")))).withColumn("tile", F.lit(tile))
     with arrow_rows(spark, 4):
         found = materialize(rows.repartition(max(1, min(4096, 2 * len(edges) + 2)), F.xxhash64("lang", "i", "j", "tails")).mapInPandas(_comparer(chunk), "lang string, source string, part string, item string, value long"), "divergences")
-    for done in (pieces, parts, kept, langs):
+    for done in (parts, kept, langs):
         drop(done)
     w = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(w))
