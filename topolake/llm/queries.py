@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, dialogues, divergence, langid, mixing, neardup, ngram_lm, packing, repeats, secrets, topk, toxicity
+from . import ann, dialogues, divergence, htmltext, langid, mixing, neardup, ngram_lm, packing, repeats, secrets, topk, toxicity
 from .common import fold, table
 from .sql import ORACLE, PARTS
 from .sql_more import MORE
@@ -89,6 +89,13 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by a labeller learnt from the table's own plain markup and from made pages."""
+    pages = table(spark, sf_dir, "pages")
+    found = htmltext.extract(pages.select("page_id", "url", "html"), htmltext.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language, and the terms that set a source apart from its language."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -114,7 +121,7 @@ def lm_base_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_near_duplicates, op2_repeat_removal, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op9_lm_scoring, op10_exact_top_k, op12_source_divergence, op13_conversation_repair)
+    ops = (op1_near_duplicates, op2_repeat_removal, op3_source_mixing, op4_secret_scans, op5_toxicity, op6_nearest_neighbours, op7_best_fit_packing, op8_language_id, op9_lm_scoring, op10_exact_top_k, op11_html_extraction, op12_source_divergence, op13_conversation_repair)
     return {f.__name__: f for f in (*ops, mix_source_targets, lm_base_of_all)}
 
 
