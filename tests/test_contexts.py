@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from topolake.operators import contexts as C
 from topolake.plans import text as queries
-from topolake.sources.graphs import graphs, load
+from topolake.sources.graphs import graphs, published
 
 
 def _graph(spark, dataset):
-    nodes, edges = (t.where(F.col("dataset") == dataset) for t in load(spark))
+    nodes, edges = (t.where(F.col("dataset") == dataset) for t in published(spark))
     names = [n for d, _, n in sorted(graphs()[0], key=lambda r: r[1]) if d == dataset]
     return nodes, edges, names, [(a, b, k) for d, a, b, k in graphs()[1] if d == dataset]
 

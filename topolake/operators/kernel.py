@@ -71,13 +71,118 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, star
     return frontier if seen is None else seen
 
 
+MASK = 63  # seeds that one long has a bit for
+
+
+def reach_masks(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the seeds reach over one or more edges, many seeds a row: ((dataset, node, chunk, mask), (dataset, seed, chunk, bit)).
+
+    Seeds are numbered and take a bit each of a row's mask; a round joins the frontier with the edges and combines masks
+    by OR before the shuffle, so seeds that share what they reach share its rows. Only bits that are new to a node go
+    on. Without shared ground a row has one bit, as in reach(). Depths are not kept.
+    """
+    step = written(edges.select("dataset", F.col("src").alias("node"), F.col("dst").alias("next")), "edges")
+    # Places in the files of what is written: unlike for any two seeds, and close together within a file.
+    placed = written(seeds.select("dataset", "seed").distinct(), "seeds").withColumn("place", F.monotonically_increasing_id())
+    placed = written(placed.select("dataset", "seed", F.expr(f"place div {MASK}").alias("chunk"), (F.col("place") % MASK).cast("int").alias("bit")), "seeds")
+    own = placed.select("dataset", F.col("seed").alias("node"), "chunk", F.expr("shiftleft(1L, bit)").alias("mask"))
+    frontier, levels = own, []
+    for depth in count(1):
+        new = frontier.join(step, ["dataset", "node"]).groupBy("dataset", F.col("next").alias("node"), "chunk").agg(F.bit_or("mask").alias("mask"))
+        if levels:
+            seen = levels[0]
+            for more in levels[1:]:
+                seen = seen.unionByName(more)
+            seen = seen.groupBy("dataset", "node", "chunk").agg(F.bit_or("mask").alias("had"))
+            left = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+            new = new.join(seen, ["dataset", "node", "chunk"], "left").select("dataset", "node", "chunk", left.alias("mask")).where("mask <> 0")
+        frontier = written(new, "masks")
+        if frontier.isEmpty():
+            break
+        levels.append(frontier)
+        if depth % FOLDED_ROUNDS == 0:
+            whole = levels[0]
+            for more in levels[1:]:
+                whole = whole.unionByName(more)
+            levels = [written(whole.groupBy("dataset", "node", "chunk").agg(F.bit_or("mask").alias("mask")), "seen")]
+    whole = frontier
+    for more in levels:
+        whole = whole.unionByName(more)
+    return whole.groupBy("dataset", "node", "chunk").agg(F.bit_or("mask").alias("mask")), placed
+
+
+def by_seed(masks: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows with a mask, one a seed in it: `seed` in the place of `chunk` and `mask`."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda b: F.call_function("shiftright", F.col("mask"), b).bitwiseAND(F.lit(1)) == 1)
+    return masks.withColumn("bit", F.explode(bits)).join(placed, ["dataset", "chunk", "bit"]).drop("chunk", "mask", "bit")
+
+
+def longest(edges: DataFrame) -> DataFrame:
+    """(dataset, node, depth) of a graph without cycles: the length of the longest path that ends in each node.
+
+    Nodes without sources are peeled off round by round; a node's round is its depth. What is left when nothing can be
+    peeled lies on a cycle or behind one, which raises a ValueError that names some of it.
+    """
+    left = written(edges.select("dataset", "src", "dst").distinct(), "peel")
+    found = None
+    nodes = written(left.select("dataset", F.col("src").alias("node")).union(left.select("dataset", "dst")).distinct(), "peel-nodes")
+    for depth in count():
+        held = left.select("dataset", F.col("dst").alias("node")).distinct()
+        ready = written(nodes.join(held, ["dataset", "node"], "left_anti").withColumn("depth", F.lit(depth)), "peeled")
+        found = ready if found is None else found.unionByName(ready)
+        if left.isEmpty():
+            return found
+        if ready.isEmpty():
+            some = [tuple(r) for r in nodes.limit(5).collect()]
+            raise ValueError(f"the graph has a cycle: {some}")
+        gone = ready.select("dataset", F.col("node").alias("src"))
+        left = written(left.join(gone, ["dataset", "src"], "left_anti").select("dataset", "src", "dst"), "peel")
+        nodes = written(held, "peel-nodes")
+
+
+def paths_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, path) for (dataset, pair, s, t): the least by names of the shortest paths from s to t; no row if there is none.
+
+    Searched from both ends: each round moves the smaller frontier one level on, and a pair is done, its frontiers
+    dropped, as soon as they meet. All shortest paths cross the meeting level in one node each, so the least path is
+    the least of the least halves there.
+    """
+    step = written(edges.select("dataset", "src", "dst").distinct(), "edges")
+    ways = (step.select("dataset", F.col("src").alias("node"), F.col("dst").alias("next")), step.select("dataset", F.col("dst").alias("node"), F.col("src").alias("next")))
+    starts = written(pairs.select("dataset", "pair", "s", "t").distinct(), "pairs")
+    fronts = [starts.select("dataset", "pair", F.col(x).alias("node"), F.array(x).alias("path")) for x in "st"]
+    seen, sizes, found = list(fronts), [0, 0], []
+    for turn in count():
+        f, b = fronts
+        met = f.join(b.select("pair", "node", F.col("path").alias("rest")), ["pair", "node"])
+        met = written(met.groupBy("pair").agg(F.min(F.concat("path", F.slice("rest", 2, F.size("rest")))).alias("path")), "met")
+        found.append(met)
+        fronts = [x.join(met, "pair", "left_anti") for x in fronts]
+        # A pair one of whose frontiers has ended has no path.
+        fronts = [written(x.join(y, "pair", "left_semi"), "front") for x, y in (fronts, fronts[::-1])]
+        sizes = [x.count() for x in fronts]
+        if not min(sizes):
+            break
+        i = int(sizes[1] < sizes[0])
+        least = F.min(F.concat("path", F.array("next")) if i == 0 else F.concat(F.array("next"), F.col("path")))
+        new = fronts[i].join(ways[i], ["dataset", "node"]).groupBy("dataset", "pair", F.col("next").alias("node")).agg(least.alias("path"))
+        fronts[i] = written(new.join(seen[i].select("pair", "node"), ["pair", "node"], "left_anti"), "front")
+        seen[i] = seen[i].select("pair", "node").unionByName(fronts[i].select("pair", "node"))
+        if turn % FOLDED_ROUNDS == FOLDED_ROUNDS - 1:
+            seen = [written(x.select("pair", "node"), "seen") for x in seen]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(dataset, name, comp): comp is the least node number of the component; nodes without edges are their own.
 
     Each round takes the least label of a node's neighbourhood and then its label's label, so rounds grow with the
     logarithm of the diameter on the fixtures' shapes; it ends when no label changes.
     """
-    if small.fits(nodes, edges):
+    if small.fits(edges) and small.fits(nodes):
         known = directed(edges)
         return nodes.select("dataset", "name", "node_id").groupBy("dataset").cogroup(known.groupBy("dataset")).applyInPandas(small.united, "dataset string, name string, comp int")
     both = undirected(edges)
@@ -100,7 +205,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 60) -> DataFrame:
     """(dataset, name, rank) by power iteration on the undirected edges, dangling mass spread evenly; ranks sum to 1."""
     both = undirected(edges)
-    if small.fits(nodes, both):
+    if small.fits(both) and small.fits(nodes):
         return nodes.select("dataset", "name").groupBy("dataset").cogroup(both.groupBy("dataset")).applyInPandas(small.ranker(damping, rounds), "dataset string, name string, rank double")
     out = both.groupBy("dataset", F.col("src").alias("name")).agg(F.count("*").alias("deg"))
     total = nodes.groupBy("dataset").agg(F.count("*").alias("n"))
@@ -129,7 +234,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     one task's.
     """
     one = directed(edges).where("src <> dst")
-    if small.fits(nodes, one):
+    if small.fits(one, nodes):
         part = nodes.select("dataset", "name").groupBy("dataset").cogroup(one.groupBy("dataset")).applyInPandas(small.between, "dataset string, name string, part double")
         return _of_pairs(nodes, part)
     step = written(one.select("dataset", F.col("src").alias("t"), F.col("dst").alias("next")), "edges")

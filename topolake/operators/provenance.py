@@ -5,9 +5,10 @@ Row edges are (src_table, src_row, dst_table, dst_row), the source feeding the t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topolake.sources import sales
 from topolake.sources.storage import written
 
 from . import kernel as K
@@ -26,8 +27,7 @@ def flatten_map(maps: DataFrame, column: str) -> DataFrame:
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row edges of the driver's star, parent row to child row; a line's number counts within its order."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    line = t("lineitem").select("*", (F.col("l_orderkey") * 1000 + F.row_number().over(w)).alias("row"))
+    line = sales.lines(spark, sf_dir)
 
     def one(df: DataFrame, parent: str, key: str, child: str, row: str) -> DataFrame:
         return df.select(F.lit(parent).alias("src_table"), F.col(key).cast("bigint").alias("src_row"), F.lit(child).alias("dst_table"), F.col(row).cast("bigint").alias("dst_row"))
@@ -92,24 +92,35 @@ def cascade(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed_table, seed_row, table, n_rows): distinct descendants by table; the total where table is null.
 
     Rows that nothing is made of, most of a warehouse's, are not followed or kept: the search goes through the others
-    alone, and the last step to rows without descendants is one join and one count of distinct ones.
+    alone, many seeds a row as bits of a mask, and rows without descendants join once: those of one parent as a count.
     """
     pairs = written(edges.select(
         F.struct(F.col("src_table").alias("table"), F.col("src_row").alias("row")).alias("src"), F.struct(F.col("dst_table").alias("table"), F.col("dst_row").alias("row")).alias("dst"),
     ).distinct(), "row-edges").withColumn("dataset", F.lit("rows"))
     made = pairs.select(F.col("src").alias("dst")).distinct()
     starts = seeds.select(F.lit("rows").alias("dataset"), F.struct("table", "row").alias("seed")).distinct()
-    found = K.reach(pairs.join(made, "dst", "left_semi").select("dataset", "src", "dst"), starts, start_on_cycle=True).select("seed", "node")
-    last = pairs.join(made, "dst", "left_anti").select(F.col("src").alias("node"), F.col("dst").alias("leaf"))
-    leaves = found.unionByName(starts.select("seed", F.col("seed").alias("node"))).distinct().join(last, "node").select("seed", F.col("leaf").alias("node"))
-    # Nothing is both: a leaf is never on the way. Leaves can be met by several ways, and are counted once.
-    counts = found.groupBy("seed", F.col("node.table").alias("t")).agg(F.count("*").alias("n")).unionByName(
-        leaves.groupBy("seed", F.col("node.table").alias("t")).agg(F.countDistinct("node").alias("n")))
+    masks, placed = K.reach_masks(pairs.join(made, "dst", "left_semi").select("dataset", "src", "dst"), starts)
+    masks = written(masks.select("node", "chunk", "mask"), "cascade")
+    own = placed.select(F.col("seed").alias("node"), "chunk", F.expr("shiftleft(1L, bit)").alias("mask"))
+    # A leaf of one parent is counted with it, before the join; only leaves of several are combined after it.
+    last = pairs.join(made, "dst", "left_anti")
+    parents = last.groupBy("dst").agg(F.count("*").alias("n"), F.first("src").alias("node"))
+    ways = masks.unionByName(own).groupBy("node", "chunk").agg(F.bit_or("mask").alias("mask"))
+    single = parents.where("n = 1").groupBy("node", F.col("dst.table").alias("t")).agg(F.count("*").alias("n")).join(ways, "node").select("chunk", "mask", "t", "n")
+    several = last.join(parents.where("n > 1").select("dst"), "dst", "left_semi").select("dst", F.col("src").alias("node"))
+    several = several.join(ways, "node").groupBy("dst", "chunk").agg(F.bit_or("mask").alias("mask"))
+    rows = masks.select("chunk", "mask", F.col("node.table").alias("t"), F.lit(1).cast("long").alias("n")).unionByName(single).unionByName(several.select("chunk", "mask", F.col("dst.table").alias("t"), F.lit(1).cast("long").alias("n")))
+    counts = K.by_seed(rows.groupBy("chunk", "mask", "t").agg(F.sum("n").alias("n")).withColumn("dataset", F.lit("rows")), placed)
     return counts.groupBy("seed", "t").agg(F.sum("n").alias("n")).groupBy("seed").agg(F.collect_list(F.struct("t", "n")).alias("all"), F.sum("n").alias("total")).select(
         "seed", F.explode(F.concat("all", F.array(F.struct(F.lit(None).cast("string").alias("t"), F.col("total").alias("n"))))).alias("x")).select(
         F.col("seed.table").alias("seed_table"), F.col("seed.row").alias("seed_row"), F.col("x.t").alias("table"), F.col("x.n").alias("n_rows"))
 
 
+def longest_depths(edges: DataFrame) -> DataFrame:
+    """(table, row, depth): the longest chain of rows that each row is made by; a cycle raises a ValueError."""
+    return K.longest(_nodes(edges, upstream=False)).select("node.table", "node.row", "depth")
+
+
 def depths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed_table, seed_row, depth): the largest least distance to an ancestor."""
     return trace(edges, seeds, upstream=True).groupBy("seed_table", "seed_row").agg(F.max("depth").alias("depth"))

@@ -1,6 +1,7 @@
 """Whole-graph routines for graphs that one task can hold: a schema's tables and references, not a warehouse's rows.
 
-The kernel counts edges first and takes these up to LIMIT edges in all; beyond that it runs its joins round by round.
+The kernel counts first: a search goes this way up to WORK starts times edges, other routines up to ROWS edges; beyond that
+the kernel runs its joins round by round.
 """
 
 from __future__ import annotations
@@ -8,29 +9,36 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-LIMIT = 50_000
+ROWS, WORK = 50_000, 5_000_000
+_off: ContextVar[bool] = ContextVar("off", default=False)
 
 
-def fits(*tables: DataFrame) -> bool:
-    """Whether all tables have at most LIMIT rows; reads no more than that of each."""
-    return LIMIT >= 0 and all(t.limit(LIMIT + 1).count() <= LIMIT for t in tables)
+def fits(edges: DataFrame, starts: DataFrame | None = None, rows: int = ROWS, work: int = WORK) -> bool:
+    """Whether edges are at most `rows` and, searched from every start, at most `work`; reads no more than that of each."""
+    if _off.get():
+        return False
+    n = edges.limit(rows + 1).count()
+    if n > rows or starts is None:
+        return n <= rows
+    most = work // max(1, n)
+    return starts.limit(most + 1).count() <= most
 
 
 @contextmanager
 def never() -> Iterator[None]:
-    """Within, no graph counts as small: the kernel goes round by round."""
-    global LIMIT
-    before, LIMIT = LIMIT, -1
+    """Within, in this thread, no graph counts as small: the kernel goes round by round."""
+    token = _off.set(True)
     try:
         yield
     finally:
-        LIMIT = before
+        _off.reset(token)
 
 
 def _key(v):

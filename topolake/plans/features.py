@@ -18,7 +18,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str):
     def add(f):
-        Q[f.__name__], SQL[f.__name__] = lambda spark, sf_dir: f(spark), sql
+        Q[f.__name__], SQL[f.__name__] = f, sql
         return f
 
     return add
@@ -30,8 +30,8 @@ _DEG = """deg AS (SELECT n.dataset, n.name, (SELECT count(*) FROM e WHERE e.data
 
 
 @query(sql_with(_E, _DEG) + "SELECT dataset, name, CAST(in_deg AS BIGINT) AS in_deg, CAST(out_deg AS BIGINT) AS out_deg, round((in_deg + out_deg) / (n - 1.0), 6) AS degree_c FROM deg")
-def f1_f2_degrees(spark: SparkSession) -> DataFrame:
-    return X.degrees(*load(spark), "fk_to").withColumn("degree_c", F.round("degree_c", 6))
+def f1_f2_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.degrees(*load(spark, sf_dir), "fk_to").withColumn("degree_c", F.round("degree_c", 6))
 
 
 @query(sql_with("e AS (SELECT DISTINCT dataset, src, dst FROM edges WHERE src <> dst)", """p_(dataset, s, t, d, n) AS (SELECT dataset, src, dst, 1, count(*) FROM e GROUP BY ALL)""") + """,
@@ -43,8 +43,8 @@ route(dataset, s, t, d, p) AS (SELECT dataset, src, dst, 1, src || '>' || dst FR
 cnt AS (SELECT dataset, s, t, d, count(*) AS n FROM route GROUP BY ALL),
 via AS (SELECT a.dataset, a.t AS name, sum(a.n * b.n / c.n::DOUBLE) AS part FROM cnt a JOIN cnt b ON a.dataset = b.dataset AND a.t = b.s AND a.s <> b.t JOIN cnt c ON c.dataset = a.dataset AND c.s = a.s AND c.t = b.t AND c.d = a.d + b.d GROUP BY ALL)
 SELECT n.dataset, n.name, round(coalesce(part, 0) / greatest(1, (m - 1) * (m - 2)), 6) AS betweenness FROM nodes n JOIN (SELECT dataset, count(*) AS m FROM nodes GROUP BY 1) z USING (dataset) LEFT JOIN via v ON v.dataset = n.dataset AND v.name = n.name""")
-def f3_betweenness(spark: SparkSession) -> DataFrame:
-    return K.betweenness(*load(spark)).withColumn("betweenness", F.round("betweenness", 6))
+def f3_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.betweenness(*load(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query(sql_with(_BOTH, "deg AS (SELECT dataset, a, count(*) AS k FROM both_ GROUP BY ALL)", "size_ AS (SELECT dataset, count(*) AS n FROM nodes GROUP BY 1)",
@@ -53,14 +53,14 @@ def f3_betweenness(spark: SparkSession) -> DataFrame:
     SELECT x.turn, x.dataset, x.name, s.n, (SELECT sum(y.r / d.k) FROM rank_ y JOIN both_ b ON b.dataset = y.dataset AND b.a = y.name JOIN deg d ON d.dataset = y.dataset AND d.a = y.name WHERE b.dataset = x.dataset AND b.b = x.name) AS got,
       coalesce((SELECT sum(z.r) FROM rank_ z LEFT JOIN deg d ON d.dataset = z.dataset AND d.a = z.name WHERE z.dataset = x.dataset AND d.k IS NULL), 0) AS idle
     FROM rank_ x JOIN size_ s ON s.dataset = x.dataset WHERE x.turn < 60))""") + "SELECT dataset, name, round(r, 6) AS rank FROM rank_ WHERE turn = 60")
-def f4_page_rank(spark: SparkSession) -> DataFrame:
-    return K.page_rank(*load(spark)).withColumn("rank", F.round("rank", 6))
+def f4_page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.page_rank(*load(spark, sf_dir)).withColumn("rank", F.round("rank", 6))
 
 
 @query(sql_with("both_(dataset, a, b) AS (SELECT dataset, src, dst FROM edges WHERE edge_type = 'fk_to' UNION SELECT dataset, dst, src FROM edges WHERE edge_type = 'fk_to')", _COMP)
        + "SELECT dataset, name, CAST(dense_rank() OVER (PARTITION BY dataset ORDER BY comp) - 1 AS INTEGER) AS silo_id FROM comp")
-def f5_silo_feature(spark: SparkSession) -> DataFrame:
-    nodes, edges = load(spark)
+def f5_silo_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = load(spark, sf_dir)
     return T.silos(nodes, edges.where("edge_type = 'fk_to'")).select("dataset", "name", F.col("silo").alias("silo_id"))
 
 
@@ -69,13 +69,13 @@ def f5_silo_feature(spark: SparkSession) -> DataFrame:
   (SELECT count(*) FROM edges e WHERE e.dataset = n.dataset) AS e, (SELECT count(*) FROM nodes m WHERE m.dataset = n.dataset) AS n FROM nodes n),
 m AS (SELECT *, greatest(max(o) OVER w, max(i) OVER w, 1) AS most FROM d WINDOW w AS (PARTITION BY dataset))
 SELECT dataset, name, CAST(o AS BIGINT) AS out_deg, CAST(i AS BIGINT) AS in_deg, round((o + i) / most::DOUBLE, 6) AS norm, CAST(l AS BIGINT) AS lineage_deg, round((o + i) / most::DOUBLE / 2, 6) AS betweenness, round((i + 1) / (e + n)::DOUBLE, 6) AS rank FROM m""")
-def f6_approximated_features(spark: SparkSession) -> DataFrame:
-    return X.approximated(*load(spark)).withColumns({c: F.round(c, 6) for c in ("norm", "betweenness", "rank")})
+def f6_approximated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.approximated(*load(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("norm", "betweenness", "rank")})
 
 
 @query(sql_with(_E, _DEG) + "SELECT dataset, CAST(position AS INTEGER) AS position, name, CAST(degree AS BIGINT) AS degree FROM (SELECT dataset, name, in_deg + out_deg AS degree, row_number() OVER (PARTITION BY dataset ORDER BY in_deg + out_deg DESC, name) AS position FROM deg) WHERE position <= 5")
-def f7_top_degree(spark: SparkSession) -> DataFrame:
-    return X.top_degree(*load(spark))
+def f7_top_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.top_degree(*load(spark, sf_dir))
 
 
 Q["f8_feature_concat"] = lambda spark, sf_dir: feature_concat(spark, sf_dir)

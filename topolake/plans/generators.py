@@ -33,7 +33,7 @@ _SPAN = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v[1] - v[0] + 1}" for k, v in
 
 @query(sql_with() + f"SELECT name, kind, CAST({_LOW} + {_d('name', chr(39) + '42' + chr(39))} % {_SPAN} AS BIGINT) AS rows FROM (SELECT name, {_KIND} AS kind FROM dim)")
 def r3_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.row_counts(load_dim(spark))
+    return G.row_counts(load_dim(spark, sf_dir))
 
 
 _FAN = lambda i: "CASE d.kind " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in G.FAN_IN.items()) + " END"
@@ -41,13 +41,13 @@ _OF = lambda what: _d("dst", "k", "src", f"'{what}'", "'42'")
 
 
 @query(sql_with(f"c AS (SELECT name, kind, CAST({_LOW} + {_d('name', chr(39) + '42' + chr(39))} % {_SPAN} AS BIGINT) AS rows FROM (SELECT name, {_KIND} AS kind FROM dim))",
-    "e AS (SELECT DISTINCT src, dst FROM edges WHERE dataset = 'syn_cross' AND edge_type = 'derived_from')",
+    "e AS (SELECT DISTINCT src, dst FROM edges WHERE dataset = 'sales' AND edge_type = 'derived_from')",
     f"t AS (SELECT src, dst, n, k, start, fan, 1 + {_OF('step')} % greatest(1, n // fan) AS step FROM (SELECT src, dst, s.rows AS n, k, {_OF('start')} % s.rows AS start, least({_FAN(0)} + {_OF('fan')} % ({_FAN(1)} - {_FAN(0)} + 1), s.rows) AS fan FROM e JOIN c s ON s.name = src JOIN c d ON d.name = dst, range(0, 10000) r(k) WHERE k < d.rows))")
        + """SELECT dst AS "table", src AS source, CAST(count(DISTINCT k) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_edges, CAST(count(DISTINCT k * 100000 + r) AS BIGINT) AS n_pairs, CAST(min(fan) AS BIGINT) AS least, CAST(max(fan) AS BIGINT) AS most, CAST(sum((k + 1) * r) AS BIGINT) AS total
   FROM (SELECT src, dst, k, fan, (start + j * step) % n AS r FROM t, range(0, 25) x(j) WHERE j < fan) GROUP BY ALL""")
 def r6_row_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row edges of the whole layered schema at its generated row counts, told by pair of tables."""
-    edges = G.row_lineage(load(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'"), G.row_counts(load_dim(spark)))
+    edges = G.row_lineage(load(spark, sf_dir)[1].where("dataset = 'sales' AND edge_type = 'derived_from'"), G.row_counts(load_dim(spark, sf_dir)))
     one = edges.groupBy("dst_table", "src_table", "dst_row").agg(F.count("*").alias("fan"), F.countDistinct("src_row").alias("own"), F.sum("src_row").alias("s"))
     return one.groupBy(F.col("dst_table").alias("table"), F.col("src_table").alias("source")).agg(
         F.count("*").alias("n_rows"), F.sum("fan").alias("n_edges"), F.sum("own").alias("n_pairs"), F.min("fan").alias("least"), F.max("fan").alias("most"), F.sum((F.col("dst_row") + 1) * F.col("s")).alias("total"))
@@ -97,13 +97,13 @@ def r2_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT DISTINCT f.dataset, 'opposed', f.src || '>' || f.dst FROM edges f JOIN edges d ON f.edge_type = 'fk_to' AND d.edge_type = 'derived_from' AND f.dataset = d.dataset AND f.src = d.dst AND f.dst = d.src
 UNION ALL SELECT dataset, 'loop', src FROM edges WHERE src = dst""")
 def x1_x9_graph_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.graph_findings(*load(spark))
+    return V.graph_findings(*load(spark, sf_dir))
 
 
 @query(sql_with() + """SELECT c.dataset, c.what, CAST(c.n AS BIGINT) AS n, CAST(o.official AS BIGINT) AS official FROM (SELECT dataset, 'tables' AS what, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT dataset, edge_type, count(*) FROM edges GROUP BY 1, 2) c
 JOIN (VALUES ('tpc_ds', 'tables', 24), ('tpc_ds', 'fk_to', 70), ('omop_cdm', 'fk_to', 74), ('omop_cdm', 'derived_from', 21), ('tpc_di', 'fk_to', 29), ('syn_logistics', 'fk_to', 96)) o(dataset, what, official) USING (dataset, what) WHERE c.n <> o.official""")
 def x7_official_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = load(spark)
+    nodes, edges = load(spark, sf_dir)
     counts = nodes.groupBy("dataset").agg(F.count("*").alias("n")).withColumn("what", F.lit("tables")).select("dataset", "what", "n").union(edges.groupBy("dataset", "edge_type").agg(F.count("*").alias("n")))
     official = [("tpc_ds", "tables", 24), ("tpc_ds", "fk_to", 70), ("omop_cdm", "fk_to", 74), ("omop_cdm", "derived_from", 21), ("tpc_di", "fk_to", 29), ("syn_logistics", "fk_to", 96)]
     return V.count_findings(counts, spark.createDataFrame(official, "dataset string, what string, official bigint"))
@@ -119,7 +119,7 @@ def x2_x4_duality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descendants of all tables against ancestors of all tables where one derivation a dataset has been lost."""
     from topolake.operators import kernel as K
 
-    edges = load(spark)[1].where("edge_type = 'derived_from'")
+    edges = load(spark, sf_dir)[1].where("edge_type = 'derived_from'")
     pair = F.concat("src", F.lit(">"), "dst")
     cut = edges.withColumn("lost", F.min(pair).over(Window.partitionBy("dataset"))).where(pair != F.col("lost"))
     return V.closure_differences(K.directed(edges), K.directed(cut))
@@ -143,7 +143,7 @@ def x5_obfuscation_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that name a table after obfuscation, counted. Every text gets two names, every seventh one that the map lacks."""
     from topolake.operators import text as X
 
-    names = X.obfuscation(load(spark)[0].where("dataset = 'omop_cdm'")).collect()
+    names = X.obfuscation(load(spark, sf_dir)[0].where("dataset = 'omop_cdm'")).collect()
     mapping = {r["original"]: r["obfuscated"] for r in names}
     put = F.concat(F.lit("drug_exposure visit_occurrence "), F.when(F.col("doc_id") % 7 == 0, "person ").otherwise(""), "text")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", put.alias("text"))

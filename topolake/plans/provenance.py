@@ -1,18 +1,20 @@
-"""Queries on row lineage: the driver's star, and the layered schema's rows made by rule."""
+"""Queries on row lineage: of the given star, and of the warehouse that it makes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topolake.operators import kernel as K
 from topolake.operators import provenance as P
+from topolake.sources import sales
 from topolake.sources.graphs import load, load_dim, sql_with
+from topolake.sources.storage import written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
 
-_LINES = """line AS (SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS row FROM lineitem)"""
-_STAR = _LINES + """,
+_STAR = sales.LINES_SQL + """,
 re(src_table, src_row, dst_table, dst_row) AS (SELECT 'region', CAST(n_regionkey AS BIGINT), 'nation', CAST(n_nationkey AS BIGINT) FROM nation
   UNION ALL SELECT 'nation', c_nationkey, 'customer', c_custkey FROM customer UNION ALL SELECT 'customer', o_custkey, 'orders', o_orderkey FROM orders
   UNION ALL SELECT 'orders', l_orderkey, 'lineitem', row FROM line)"""
@@ -20,25 +22,22 @@ _UP = """up(t0, r0, t, r) AS (SELECT dst_table, dst_row, src_table, src_row FROM
   UNION SELECT u.t0, u.r0, e.src_table, e.src_row FROM up u JOIN re e ON e.dst_table = u.t AND e.dst_row = u.r)"""
 _DOWN = """down(t0, r0, t, r) AS (SELECT src_table, src_row, dst_table, dst_row FROM re
   UNION SELECT u.t0, u.r0, e.dst_table, e.dst_row FROM down u JOIN re e ON e.src_table = u.t AND e.src_row = u.r)"""
-_CASE = lambda d: "CASE layer " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in d.items()) + " END"
-_LAYERED = f"""size_ AS (SELECT name, {_CASE(P.LAYER_ROWS)} AS n, {_CASE(P.FAN_IN)} AS fan FROM dim),
-te AS (SELECT DISTINCT src, dst FROM edges WHERE dataset = 'syn_cross' AND edge_type = 'derived_from'),
-re(src_table, src_row, dst_table, dst_row) AS (SELECT DISTINCT te.src, CAST((k * 7 + j * 3 + len(te.src)) % s.n AS BIGINT), te.dst, CAST(k AS BIGINT)
-  FROM te JOIN size_ s ON s.name = te.src JOIN size_ d ON d.name = te.dst, range(0, 40) a(k), range(0, 5) b(j) WHERE k < d.n AND j < d.fan)"""
+_LAYERED = f"""{sales.ROWS_SQL},
+te AS (SELECT DISTINCT src_table AS src, dst_table AS dst FROM re)"""
 _S = "WITH RECURSIVE "
 
 
-def query(sql: str, star: bool = False):
+def query(sql: str):
     def add(f):
-        Q[f.__name__] = (lambda spark, sf_dir: f(spark, sf_dir)) if star else (lambda spark, sf_dir: f(spark))
-        SQL[f.__name__] = sql
+        Q[f.__name__], SQL[f.__name__] = f, sql
         return f
 
     return add
 
 
-def layered(spark: SparkSession) -> DataFrame:
-    return P.layered_rows(load(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'"), load_dim(spark))
+def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row edges of the warehouse that the given star makes, written once."""
+    return written(sales.row_edges(spark, sf_dir), "sales-rows")
 
 
 def _j(x: str) -> str:
@@ -53,32 +52,32 @@ _H3 = '{"s": {"row_0": {"sources": [{"table": "t", "rows": [0, 1]}]}, "row_1": {
 
 
 @query("SELECT * FROM (VALUES ('t', 0::BIGINT, 's', 0::BIGINT), ('t', 1, 's', 0), ('t', 1, 's', 1), ('s', 0, 'm', 0), ('s', 1, 'm', 0)) v(src_table, src_row, dst_table, dst_row)")
-def v1_flatten_lineage_map(spark: SparkSession) -> DataFrame:
+def v1_flatten_lineage_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.flatten_map(spark.createDataFrame([(_H3,)], "lineage string"), "lineage")
 
 
 @query(sql_with(_LAYERED) + """SELECT dst_table AS "table", dst_row AS "row", array_to_string(list(src_table || ':row_' || src_row ORDER BY src_table || ':row_' || src_row), ',') AS sources, CAST(count(*) AS BIGINT) AS n_sources FROM re GROUP BY ALL""")
-def v2_row_provenance(spark: SparkSession) -> DataFrame:
-    return P.sources(layered(spark)).withColumn("sources", F.array_join("sources", ","))
+def v2_row_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.sources(layered(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
 
 
 @query(sql_with(_LAYERED, _UP) + f"""SELECT t0 AS seed_table, r0 AS seed_row, t AS "table", array_to_string(list(r ORDER BY r), ',') AS rows FROM up GROUP BY ALL""")
-def v3_full_provenance(spark: SparkSession) -> DataFrame:
-    edges = layered(spark)
+def v3_full_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = layered(spark, sf_dir)
     found = P.trace(edges, P.rows_of(edges), upstream=True)
     return found.groupBy("seed_table", "seed_row", "table").agg(F.array_join(F.sort_array(F.collect_list("row")), ",").alias("rows"))
 
 
 @query(sql_with(_LAYERED, _DOWN) + f"""SELECT t0 AS seed_table, r0 AS seed_row, t AS "table", array_to_string(list(r ORDER BY r), ',') AS rows FROM down GROUP BY ALL""")
-def v4_full_impact(spark: SparkSession) -> DataFrame:
-    edges = layered(spark)
+def v4_full_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = layered(spark, sf_dir)
     found = P.trace(edges, P.rows_of(edges), upstream=False)
     return found.groupBy("seed_table", "seed_row", "table").agg(F.array_join(F.sort_array(F.collect_list("row")), ",").alias("rows"))
 
 
 @query(_S + _STAR + """, down(t0, r0, t, r) AS (SELECT src_table, src_row, dst_table, dst_row FROM re WHERE src_table IN ('region', 'nation')
   UNION SELECT u.t0, u.r0, e.dst_table, e.dst_row FROM down u JOIN re e ON e.src_table = u.t AND e.src_row = u.r)
-SELECT t0 AS seed_table, r0 AS seed_row, t AS "table", CAST(count(*) AS BIGINT) AS n_rows FROM down GROUP BY GROUPING SETS ((t0, r0, t), (t0, r0))""", star=True)
+SELECT t0 AS seed_table, r0 AS seed_row, t AS "table", CAST(count(*) AS BIGINT) AS n_rows FROM down GROUP BY GROUPING SETS ((t0, r0, t), (t0, r0))""")
 def v5_cascade_count_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = P.star_edges(spark, sf_dir)
     seeds = P.rows_of(edges.where("src_table IN ('region', 'nation')")).where("table IN ('region', 'nation')")
@@ -86,20 +85,35 @@ def v5_cascade_count_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql_with(_LAYERED, _DOWN) + """SELECT t0 AS seed_table, r0 AS seed_row, t AS "table", CAST(count(*) AS BIGINT) AS n_rows FROM down GROUP BY GROUPING SETS ((t0, r0, t), (t0, r0))""")
-def v5_cascade_count_layered(spark: SparkSession) -> DataFrame:
-    edges = layered(spark)
+def v5_cascade_count_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = layered(spark, sf_dir)
     return P.cascade(edges, P.rows_of(edges))
 
 
+@query(sql_with(_LAYERED) + """, d(t, r, d) AS (SELECT src_table, src_row, 0 FROM re WHERE (src_table, src_row) NOT IN (SELECT (dst_table, dst_row) FROM re)
+  UNION SELECT e.dst_table, e.dst_row, u.d + 1 FROM d u JOIN re e ON e.src_table = u.t AND e.src_row = u.r)
+SELECT t AS "table", r AS "row", CAST(max(d) AS INTEGER) AS depth FROM d GROUP BY ALL""")
+def v6_longest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.longest_depths(layered(spark, sf_dir))
+
+
+@query(sql_with("lin AS (SELECT DISTINCT dataset, src, dst FROM edges WHERE edge_type = 'derived_from' AND dataset IN ('sales', 'syn_logistics', 'omop_cdm'))") + """, d(dataset, t, d) AS (SELECT dataset, src, 0 FROM lin WHERE (dataset, src) NOT IN (SELECT (dataset, dst) FROM lin)
+  UNION SELECT e.dataset, e.dst, u.d + 1 FROM d u JOIN lin e ON e.dataset = u.dataset AND e.src = u.t)
+SELECT dataset, t AS name, CAST(max(d) AS INTEGER) AS depth FROM d GROUP BY ALL""")
+def v6_longest_path_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = load(spark, sf_dir)[1].where("edge_type = 'derived_from' AND dataset IN ('sales', 'syn_logistics', 'omop_cdm')")
+    return K.longest(edges.select("dataset", "src", "dst")).withColumnRenamed("node", "name")
+
+
 @query(sql_with(_LAYERED) + """, d(t0, r0, t, r, d) AS (SELECT dst_table, dst_row, src_table, src_row, 1 FROM re UNION SELECT u.t0, u.r0, e.src_table, e.src_row, u.d + 1 FROM d u JOIN re e ON e.dst_table = u.t AND e.dst_row = u.r),
 m AS (SELECT t0, r0, t, r, min(d) AS d FROM d GROUP BY ALL) SELECT t0 AS seed_table, r0 AS seed_row, CAST(max(d) AS INTEGER) AS depth FROM m GROUP BY ALL""")
-def v6_lineage_depth(spark: SparkSession) -> DataFrame:
-    edges = layered(spark)
+def v6_lineage_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = layered(spark, sf_dir)
     return P.depths(edges, P.rows_of(edges))
 
 
-def _tables(spark: SparkSession, seed: str, upstream: bool, keep: str, least: int) -> DataFrame:
-    edges = layered(spark)
+def _tables(spark: SparkSession, sf_dir: str, seed: str, upstream: bool, keep: str, least: int) -> DataFrame:
+    edges = layered(spark, sf_dir)
     found = P.trace(edges, P.rows_of(edges).where(F.col("table").startswith(seed)), upstream).where(F.col("table").startswith(keep))
     return found.groupBy("seed_table", "seed_row").agg(_js("table").alias("tables"), F.countDistinct("table").alias("n")).where(F.col("n") >= least).drop("n")
 
@@ -113,90 +127,91 @@ for _name, _args in {
     "v7_value_origin": ("mart", True, "raw", 1), "v8_multi_hop_trace_staging": ("mart", True, "stg", 1), "v8_multi_hop_trace_all": ("mart", True, "", 3),
     "v9_row_impact_marts": ("raw", False, "mart", 1), "v9_row_impact_all": ("stg", False, "", 2),
 }.items():
-    Q[_name] = lambda spark, sf_dir, a=_args: _tables(spark, *a)
+    Q[_name] = lambda spark, sf_dir, a=_args: _tables(spark, sf_dir, *a)
     SQL[_name] = _tables_sql(*_args)
 
 _CACHE = """seed AS (SELECT dst_table AS t, min(dst_row) AS r FROM re WHERE starts_with(dst_table, 'mart') GROUP BY ALL),
 hit AS (SELECT DISTINCT t0 AS mart, up.t AS source FROM up JOIN seed ON seed.t = t0 AND seed.r = r0)"""
 
 
-def mart_sources(spark: SparkSession) -> DataFrame:
+def mart_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(mart, source): tables in the provenance of each mart's first row."""
-    edges = layered(spark)
+    edges = layered(spark, sf_dir)
     found = P.trace(edges, P.first_rows(edges, "mart"), upstream=True)
     return found.select(F.col("seed_table").alias("mart"), F.col("table").alias("source")).distinct()
 
 
 @query(sql_with(_LAYERED, _UP, _CACHE) + f"SELECT mart, {_j('source')} AS tables FROM hit GROUP BY mart")
-def v10_mart_sources(spark: SparkSession) -> DataFrame:
-    return mart_sources(spark).groupBy("mart").agg(_js("source").alias("tables"))
+def v10_mart_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mart_sources(spark, sf_dir).groupBy("mart").agg(_js("source").alias("tables"))
 
 
 @query(sql_with(_LAYERED, _UP, _CACHE) + """SELECT a.name AS source, b.name AS mart, h.source IS NOT NULL AS propagates FROM dim a JOIN dim b ON a.layer = 'raw' AND b.layer = 'mart'
   LEFT JOIN hit h ON h.source = a.name AND h.mart = b.name""")
-def v11_value_propagation(spark: SparkSession) -> DataFrame:
-    dim = load_dim(spark)
+def v11_value_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dim = load_dim(spark, sf_dir)
     # Catalogue entries, not rows: every raw table by every mart, two short lists.
     raw, mart = dim.where("layer = 'raw'").select(F.col("name").alias("source")), dim.where("layer = 'mart'").select(F.col("name").alias("mart"))
-    hit = mart_sources(spark).withColumn("hit", F.lit(True))
+    hit = mart_sources(spark, sf_dir).withColumn("hit", F.lit(True))
     return raw.crossJoin(mart).join(hit, ["source", "mart"], "left").select("source", "mart", F.coalesce("hit", F.lit(False)).alias("propagates"))
 
 
 @query(sql_with(_LAYERED, _UP, _CACHE) + """SELECT a.silo AS from_silo, b.silo AS to_silo, bool_or(h.source IS NOT NULL) AS reachable FROM dim a JOIN dim b ON b.layer = 'mart' AND a.silo <> b.silo
   LEFT JOIN hit h ON h.source = a.name AND h.mart = b.name GROUP BY ALL""")
-def v12_cross_silo_reachability(spark: SparkSession) -> DataFrame:
-    dim = load_dim(spark).select("name", "silo")
-    hit = mart_sources(spark).join(dim.withColumnsRenamed({"name": "source", "silo": "from_silo"}), "source").join(dim.withColumnsRenamed({"name": "mart", "silo": "to_silo"}), "mart")
+def v12_cross_silo_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = load_dim(spark, sf_dir)
+    dim = every.select("name", "silo")
+    hit = mart_sources(spark, sf_dir).join(dim.withColumnsRenamed({"name": "source", "silo": "from_silo"}), "source").join(dim.withColumnsRenamed({"name": "mart", "silo": "to_silo"}), "mart")
     hit = hit.select("from_silo", "to_silo", F.lit(True).alias("hit")).distinct()
-    silo = dim.select("silo").distinct()
-    pairs = silo.select(F.col("silo").alias("from_silo")).crossJoin(silo.select(F.col("silo").alias("to_silo"))).where("from_silo <> to_silo")
+    to = every.where("layer = 'mart'").select(F.col("silo").alias("to_silo")).distinct()
+    pairs = dim.select(F.col("silo").alias("from_silo")).distinct().crossJoin(to).where("from_silo <> to_silo")
     return pairs.join(hit, ["from_silo", "to_silo"], "left").select("from_silo", "to_silo", F.coalesce("hit", F.lit(False)).alias("reachable"))
 
 
 @query(sql_with(_LAYERED, _UP, _CACHE) + """SELECT a.name AS source, a.silo AS from_silo, b.name AS mart, b.silo AS to_silo, h.source IS NOT NULL AS reachable FROM dim a JOIN dim b ON a.layer = 'raw' AND b.layer = 'mart' AND a.silo <> b.silo
   LEFT JOIN hit h ON h.source = a.name AND h.mart = b.name""")
-def v12_cross_silo_tables(spark: SparkSession) -> DataFrame:
+def v12_cross_silo_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every raw table and every mart of another silo, catalogue entries: whether the mart's first row goes back to it."""
-    dim = load_dim(spark)
+    dim = load_dim(spark, sf_dir)
     raw = dim.where("layer = 'raw'").select(F.col("name").alias("source"), F.col("silo").alias("from_silo"))
     mart = dim.where("layer = 'mart'").select(F.col("name").alias("mart"), F.col("silo").alias("to_silo"))
-    hit = mart_sources(spark).withColumn("hit", F.lit(True))
+    hit = mart_sources(spark, sf_dir).withColumn("hit", F.lit(True))
     return raw.crossJoin(mart).where("from_silo <> to_silo").join(hit, ["source", "mart"], "left").select("source", "from_silo", "mart", "to_silo", F.coalesce("hit", F.lit(False)).alias("reachable"))
 
 
 @query(sql_with(_LAYERED, _UP, _CACHE) + """SELECT a.silo AS from_silo, m.mart, bool_or(h.source IS NOT NULL) AS reachable FROM dim a JOIN (SELECT DISTINCT mart FROM hit) m ON a.layer = 'raw'
   LEFT JOIN hit h ON h.source = a.name AND h.mart = m.mart GROUP BY ALL""")
-def v12_schema_to_mart(spark: SparkSession) -> DataFrame:
+def v12_schema_to_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variant that asks of a source schema and a mart, whatever the mart's own schema."""
-    raw = load_dim(spark).where("layer = 'raw'").select(F.col("name").alias("source"), F.col("silo").alias("from_silo"))
-    found = mart_sources(spark)
+    raw = load_dim(spark, sf_dir).where("layer = 'raw'").select(F.col("name").alias("source"), F.col("silo").alias("from_silo"))
+    found = mart_sources(spark, sf_dir)
     hit = found.join(raw, "source").select("from_silo", "mart", F.lit(True).alias("hit")).distinct()
     grid = raw.select("from_silo").distinct().crossJoin(found.select("mart").distinct())
     return grid.join(hit, ["from_silo", "mart"], "left").select("from_silo", "mart", F.coalesce("hit", F.lit(False)).alias("reachable"))
 
 
 @query(sql_with(_LAYERED, _UP, _CACHE) + f"""SELECT a.mart AS mart_a, b.mart AS mart_b, {_j('a.source')} AS shared FROM hit a JOIN hit b ON a.source = b.source AND a.mart < b.mart WHERE a.source LIKE 'raw%' GROUP BY ALL""")
-def v13_shared_source(spark: SparkSession) -> DataFrame:
-    raw = mart_sources(spark).where(F.col("source").startswith("raw"))
+def v13_shared_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = mart_sources(spark, sf_dir).where(F.col("source").startswith("raw"))
     a, b = raw.withColumnRenamed("mart", "mart_a"), raw.withColumnRenamed("mart", "mart_b")
     return a.join(b, "source").where("mart_a < mart_b").groupBy("mart_a", "mart_b").agg(_js("source").alias("shared"))
 
 
 @query(sql_with(_LAYERED) + """SELECT src_table AS "table", src_row AS "row", array_to_string(list(dst_table || ':row_' || dst_row ORDER BY dst_table, dst_row)[:50], ',') AS targets, CAST(count(*) AS BIGINT) AS n_targets FROM re GROUP BY ALL""")
-def v14_trace_row_forward(spark: SparkSession) -> DataFrame:
+def v14_trace_row_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("dst_table", "dst_row"))), 1, 50), lambda x: F.concat_ws(":row_", x["dst_table"], x["dst_row"]))
-    return layered(spark).groupBy(F.col("src_table").alias("table"), F.col("src_row").alias("row")).agg(F.array_join(ref, ",").alias("targets"), F.count("*").alias("n_targets"))
+    return layered(spark, sf_dir).groupBy(F.col("src_table").alias("table"), F.col("src_row").alias("row")).agg(F.array_join(ref, ",").alias("targets"), F.count("*").alias("n_targets"))
 
 
 @query(sql_with(_LAYERED) + """SELECT dst_table AS "table", dst_row AS "row", src_table AS source, array_to_string(list(src_row ORDER BY src_row)[:10], ',') || CASE WHEN count(*) > 10 THEN ',...' ELSE '' END AS rows FROM re GROUP BY ALL""")
-def v14_v17_trace_row_backward(spark: SparkSession) -> DataFrame:
+def v14_v17_trace_row_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array_join(F.slice(F.sort_array(F.collect_list("src_row")), 1, 10), ",")
-    return layered(spark).groupBy(F.col("dst_table").alias("table"), F.col("dst_row").alias("row"), F.col("src_table").alias("source")).agg(
+    return layered(spark, sf_dir).groupBy(F.col("dst_table").alias("table"), F.col("dst_row").alias("row"), F.col("src_table").alias("source")).agg(
         F.concat(rows, F.when(F.count("*") > 10, ",...").otherwise("")).alias("rows"))
 
 
 @query("""SELECT 'nation' AS "table", CAST(count(*) AS BIGINT) AS n_rows, array_to_string(list(n_name ORDER BY n_nationkey)[:3], ',') AS samples FROM nation
-UNION ALL SELECT 'region', count(*), array_to_string(list(r_name ORDER BY r_regionkey)[:3], ',') FROM region UNION ALL SELECT 'supplier', count(*), array_to_string(list(s_name ORDER BY s_suppkey)[:3], ',') FROM supplier""", star=True)
+UNION ALL SELECT 'region', count(*), array_to_string(list(r_name ORDER BY r_regionkey)[:3], ',') FROM region UNION ALL SELECT 'supplier', count(*), array_to_string(list(s_name ORDER BY s_suppkey)[:3], ',') FROM supplier""")
 def v15_table_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, key, col in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"), ("supplier", "s_suppkey", "s_name")):
@@ -208,14 +223,14 @@ def v15_table_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql_with(_LAYERED) + f"""SELECT a.dst AS "table", {_j('a.src')} AS direct, coalesce({_j('b.src')}, '') AS second FROM te a LEFT JOIN te b ON b.dst = a.src GROUP BY a.dst""")
-def v16_table_lineage(spark: SparkSession) -> DataFrame:
+def v16_table_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    return P.table_lineage(layered(spark)).select("table", F.array_join("direct", ",").alias("direct"), F.array_join(F.coalesce("second", none), ",").alias("second"))
+    return P.table_lineage(layered(spark, sf_dir)).select("table", F.array_join("direct", ",").alias("direct"), F.array_join(F.coalesce("second", none), ",").alias("second"))
 
 
 @query(_S + _STAR + """, g AS (SELECT 'belongs_to' AS edge_type, 'orders' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'belongs_to', 'customer', count(*) FROM customer
   UNION ALL SELECT 'fk_ref', 'orders', count(*) FROM orders UNION ALL SELECT 'fk_ref', 'customer', count(*) FROM customer UNION ALL SELECT 'derived_from_row', dst_table, count(*) FROM re GROUP BY dst_table)
-SELECT edge_type, kind, CAST(n AS BIGINT) AS n_edges FROM g""", star=True)
+SELECT edge_type, kind, CAST(n AS BIGINT) AS n_edges FROM g""")
 def v18_row_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     tables = {"orders": (t("orders"), "o_orderkey", {"o_custkey": "customer"}), "customer": (t("customer"), "c_custkey", {"c_nationkey": "nation"})}
@@ -224,7 +239,7 @@ def v18_row_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey AS row, round(('0x' || substr(md5(c_name), 1, 8))::BIGINT / 4294967295.0, 9) AS x1, round(('0x' || substr(md5(CAST(c_nationkey AS VARCHAR)), 1, 8))::BIGINT / 4294967295.0, 9) AS x2,
-  round(('0x' || substr(md5(c_mktsegment), 1, 8))::BIGINT / 4294967295.0, 9) AS x3, 0.0::DOUBLE AS x4 FROM customer""", star=True)
+  round(('0x' || substr(md5(c_mktsegment), 1, 8))::BIGINT / 4294967295.0, 9) AS x3, 0.0::DOUBLE AS x4 FROM customer""")
 def v19_row_hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = P.hash_features(["c_name", "c_nationkey", "c_mktsegment"])
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("row"), x.alias("x")).select(
@@ -233,7 +248,7 @@ def v19_row_hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_S + _STAR + """, n AS (SELECT 'orders' AS t, o_orderkey AS r FROM orders UNION ALL SELECT 'customer', c_custkey FROM customer UNION ALL SELECT 'nation', n_nationkey FROM nation UNION ALL SELECT 'region', r_regionkey FROM region UNION ALL SELECT 'lineitem', row FROM line)
 SELECT src_table, dst_table, CAST(count(*) AS BIGINT) AS n_edges, CAST(count(*) FILTER (a.t IS NULL) AS BIGINT) AS no_source, CAST(count(*) FILTER (b.t IS NULL) AS BIGINT) AS no_target FROM re
-  LEFT JOIN n a ON a.t = src_table AND a.r = src_row LEFT JOIN n b ON b.t = dst_table AND b.r = dst_row GROUP BY ALL""", star=True)
+  LEFT JOIN n a ON a.t = src_table AND a.r = src_row LEFT JOIN n b ON b.t = dst_table AND b.r = dst_row GROUP BY ALL""")
 def v20_row_graph_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = P.star_edges(spark, sf_dir)
     keys = {"orders": "o_orderkey", "customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey"}
@@ -247,24 +262,24 @@ def v20_row_graph_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_with(_LAYERED, _UP, _CACHE) + """SELECT b.silo, CAST(count(DISTINCT a.silo) FILTER (a.silo <> b.silo) AS BIGINT) AS n_foreign_silos, count(DISTINCT a.silo) FILTER (a.silo <> b.silo) = 0 AS is_isolated
   FROM hit h JOIN dim a ON a.name = h.source JOIN dim b ON b.name = h.mart GROUP BY ALL""")
-def v21_isolated_silos(spark: SparkSession) -> DataFrame:
-    dim = load_dim(spark).select("name", "silo")
-    hit = mart_sources(spark).join(dim.withColumnsRenamed({"name": "source", "silo": "other"}), "source").join(dim.withColumnRenamed("name", "mart"), "mart")
+def v21_isolated_silos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dim = load_dim(spark, sf_dir).select("name", "silo")
+    hit = mart_sources(spark, sf_dir).join(dim.withColumnsRenamed({"name": "source", "silo": "other"}), "source").join(dim.withColumnRenamed("name", "mart"), "mart")
     n = F.countDistinct(F.when(F.col("other") != F.col("silo"), F.col("other")))
     return hit.groupBy("silo").agg(n.alias("n_foreign_silos"), (n == 0).alias("is_isolated"))
 
 
-@query(sql_with(_LAYERED, _UP, _CACHE) + """, te_silo AS (SELECT DISTINCT a.silo AS from_silo, b.silo AS to_silo FROM edges e JOIN dim a ON a.name = e.src JOIN dim b ON b.name = e.dst WHERE e.dataset = 'syn_cross' AND e.edge_type = 'derived_from' AND a.silo <> b.silo),
+@query(sql_with(_LAYERED, _UP, _CACHE) + """, te_silo AS (SELECT DISTINCT a.silo AS from_silo, b.silo AS to_silo FROM edges e JOIN dim a ON a.name = e.src JOIN dim b ON b.name = e.dst WHERE e.dataset = 'sales' AND e.edge_type = 'derived_from' AND a.silo <> b.silo),
 met AS (SELECT DISTINCT a.silo AS from_silo, b.silo AS to_silo FROM hit h JOIN dim a ON a.name = h.source JOIN dim b ON b.name = h.mart WHERE a.silo <> b.silo)
 SELECT from_silo, to_silo, x.from_silo IS NOT NULL AS is_met, true AS is_expected FROM te_silo LEFT JOIN (SELECT from_silo, to_silo FROM met) x USING (from_silo, to_silo)
 UNION ALL SELECT from_silo, to_silo, true, false FROM met WHERE (from_silo, to_silo) NOT IN (SELECT (from_silo, to_silo) FROM te_silo)""")
-def v21_expected_silo_pairs(spark: SparkSession) -> DataFrame:
+def v21_expected_silo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of silos that tables' derivations cross, against those that marts' rows go back across."""
-    dim = load_dim(spark).select("name", "silo")
+    dim = load_dim(spark, sf_dir).select("name", "silo")
     silo = lambda name, of: dim.select(F.col("name").alias(name), F.col("silo").alias(of))
     apart = lambda df: df.where("from_silo <> to_silo").select("from_silo", "to_silo").distinct()
-    table = load(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'")
+    table = load(spark, sf_dir)[1].where("dataset = 'sales' AND edge_type = 'derived_from'")
     expected = apart(table.join(silo("src", "from_silo"), "src").join(silo("dst", "to_silo"), "dst")).withColumn("is_expected", F.lit(True))
-    met = apart(mart_sources(spark).join(silo("source", "from_silo"), "source").join(silo("mart", "to_silo"), "mart")).withColumn("is_met", F.lit(True))
+    met = apart(mart_sources(spark, sf_dir).join(silo("source", "from_silo"), "source").join(silo("mart", "to_silo"), "mart")).withColumn("is_met", F.lit(True))
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     return expected.join(met, ["from_silo", "to_silo"], "full").select("from_silo", "to_silo", no("is_met"), no("is_expected"))

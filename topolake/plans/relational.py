@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topolake.operators import kernel as K
+from topolake.operators.ordinals import dense_ranked, numbered
 from topolake.sources import files as FI
 from topolake.sources.graphs import load, load_dim, sql_with
 from topolake.sources.storage import shared_dir
@@ -69,8 +70,8 @@ _LAYER = "CASE WHEN name LIKE 'raw\\_%' ESCAPE '\\' THEN 'raw' WHEN name LIKE 's
 def p6_p9_layer_silo_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("name")
     layer = F.when(n.startswith("raw_"), "raw").when(n.startswith("stg_"), "staging").when(n.startswith("dim_") | n.startswith("fact_"), "core").when(n.startswith("mart_"), "mart").otherwise("unknown")
-    silo = load_dim(spark).select("name", "silo")
-    return load(spark)[0].join(F.broadcast(silo), "name", "left").select("dataset", "name", layer.alias("layer"), F.coalesce("silo", F.lit("unknown")).alias("silo"), F.split("name", r"\.")[0].alias("schema"))
+    silo = load_dim(spark, sf_dir).select("name", "silo")
+    return load(spark, sf_dir)[0].join(F.broadcast(silo), "name", "left").select("dataset", "name", layer.alias("layer"), F.coalesce("silo", F.lit("unknown")).alias("silo"), F.split("name", r"\.")[0].alias("schema"))
 
 
 @query("SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) <= 2 THEN 'easy' WHEN count(*) <= 3 THEN 'medium' ELSE 'hard' END AS difficulty, CASE WHEN count(*) >= 5 THEN 'long' WHEN count(*) >= 3 THEN 'mid' WHEN count(*) = 2 THEN 'short' ELSE 'none' END AS bucket FROM lineitem GROUP BY 1")
@@ -94,7 +95,7 @@ def p11_p14_group_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_with() + "SELECT e.dataset, a.node_id AS src_id, b.node_id AS dst_id, e.edge_type FROM edges e JOIN nodes a ON a.dataset = e.dataset AND a.name = e.src JOIN nodes b ON b.dataset = e.dataset AND b.name = e.dst")
 def j1_name_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = load(spark)
+    nodes, edges = load(spark, sf_dir)
     a = nodes.select("dataset", F.col("name").alias("src"), F.col("node_id").alias("src_id"))
     b = nodes.select("dataset", F.col("name").alias("dst"), F.col("node_id").alias("dst_id"))
     return edges.join(a, ["dataset", "src"]).join(b, ["dataset", "dst"]).select("dataset", "src_id", "dst_id", "edge_type")
@@ -156,7 +157,7 @@ def j13_j14_group_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_with() + "SELECT a.dataset, a.name AS s, b.name AS t FROM nodes a JOIN nodes b ON a.dataset = b.dataset AND a.name <> b.name WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.dataset = a.dataset AND e.edge_type = 'fk_to' AND e.src = a.name AND e.dst = b.name)")
 def j15_non_fk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = load(spark)
+    nodes, edges = load(spark, sf_dir)
     a, b = nodes.select("dataset", F.col("name").alias("s")), nodes.select("dataset", F.col("name").alias("t"))
     return a.join(b, "dataset").where("s <> t").join(K.directed(edges, "fk_to").toDF("dataset", "s", "t"), ["dataset", "s", "t"], "left_anti")
 
@@ -221,6 +222,20 @@ def w10_s9_top_five(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT o_orderkey, 'ord_' || CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS VARCHAR) AS seq_id FROM orders")
+def w1_sequential_ids_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinals over the whole table, by ranges and counted offsets."""
+    placed = numbered(_t(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"])
+    return placed.select("o_orderkey", F.concat(F.lit("ord_"), (F.col("place") + 1).cast("string")).alias("seq_id"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(dense_rank() OVER (ORDER BY l_shipdate, l_returnflag) AS BIGINT) AS ordinal FROM lineitem")
+def w5_dense_ordinals_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense ordinals of all lines: equal keys share one, whichever ranges they fall in."""
+    ranked = dense_ranked(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_returnflag"), ["l_shipdate", "l_returnflag"], "ordinal")
+    return ranked.select("l_orderkey", "l_linenumber", "l_partkey", "ordinal")
+
+
 # Sets
 
 @query("""SELECT 'union' AS kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')
@@ -262,7 +277,7 @@ def scalar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql_with() + "SELECT dataset, CAST(count(*) AS BIGINT) AS n_edges, CAST(count(*) FILTER (edge_type = 'fk_to') AS BIGINT) AS n_fk FROM edges GROUP BY 1")
 def s1_k1_graph_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "graph")
-    FI.save_graph(*load(spark), path)
+    FI.save_graph(*load(spark, sf_dir), path)
     return FI.load_graph(spark, path)[1].groupBy("dataset").agg(F.count("*").alias("n_edges"), F.count_if(F.col("edge_type") == "fk_to").alias("n_fk"))
 
 
@@ -273,6 +288,16 @@ def s5_s7_k2_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.with_row_id(FI.read_csv(spark, f"{path}/nation")).select("row_id", "n_nationkey", "n_name")
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderkey % 7, o_orderkey) - 1 AS row_id, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM orders")
+def s7_row_ids_of_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of rows in seven CSV files of unlike sizes, in order of file name and line."""
+    path = _folder(spark, "many")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey")
+    for i in range(7):
+        rows.where(F.col("o_orderkey") % 7 == i).orderBy("o_orderkey").coalesce(1).write.option("header", True).csv(f"{path}/part{i}")
+    return FI.with_row_id(FI.read_csv(spark, f"{path}/part*")).select("row_id", "o_orderkey")
+
+
 @query("""SELECT 'orders' AS "table", CAST(count(*) AS BIGINT) AS rows, 6 AS columns FROM orders UNION ALL SELECT 'nation', count(*), 3 FROM nation""")
 def s11_k2_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "tables")
@@ -330,7 +355,7 @@ def s11_k2_manifest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s5_k3_catalogue_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A schema's catalogue files written and read, each reference with both its tables in them."""
     path = _folder(spark, "catalogue")
-    nodes, edges = (t.where("dataset = 'tpc_di'") for t in load(spark))
+    nodes, edges = (t.where("dataset = 'tpc_di'") for t in load(spark, sf_dir))
     FI.write_catalogue(nodes, edges.select("dataset", "src", "dst", "edge_type").distinct(), path)
     tables, keys = FI.read_catalogue(spark, path)
     child = keys.join(tables, keys.ChildTable == tables.TABLE_NAME).select(F.col("ForeignKeyName").alias("fk"), F.col("ChildTable").alias("child"), F.col("ParentTable").alias("parent"), F.col("TABLE_SCHEMA").alias("child_schema"))
@@ -354,17 +379,17 @@ def k8_subset_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").join(ids, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query(sql_with() + "SELECT d.layer, CAST(count(*) AS BIGINT) AS n_edges FROM (SELECT DISTINCT dst FROM edges WHERE dataset = 'syn_cross' AND edge_type = 'derived_from') e JOIN dim d ON d.name = e.dst GROUP BY 1")
+@query(sql_with() + "SELECT d.layer, CAST(count(*) AS BIGINT) AS n_edges FROM (SELECT DISTINCT dst FROM edges WHERE dataset = 'sales' AND edge_type = 'derived_from') e JOIN dim d ON d.name = e.dst GROUP BY 1")
 def p7_layer_by_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = load(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'").select(F.col("dst").alias("name")).distinct()
-    return targets.join(load_dim(spark).select("name", "layer"), "name").groupBy("layer").agg(F.count("*").alias("n_edges"))
+    targets = load(spark, sf_dir)[1].where("dataset = 'sales' AND edge_type = 'derived_from'").select(F.col("dst").alias("name")).distinct()
+    return targets.join(load_dim(spark, sf_dir).select("name", "layer"), "name").groupBy("layer").agg(F.count("*").alias("n_edges"))
 
 
-@query(sql_with() + "SELECT DISTINCT dst AS name FROM edges WHERE dataset = 'syn_cross' AND edge_type = 'derived_from' AND dst NOT LIKE 'stg%' AND dst IN (SELECT name FROM dim WHERE layer = 'mart')")
+@query(sql_with() + "SELECT DISTINCT dst AS name FROM edges WHERE dataset = 'sales' AND edge_type = 'derived_from' AND dst NOT LIKE 'stg%' AND dst IN (SELECT name FROM dim WHERE layer = 'mart')")
 def j6_unmapped_in_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineage targets without a mapping that the manifest has; staging tables are the mapped ones here."""
-    dim = load_dim(spark)
-    targets = load(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'").select(F.col("dst").alias("name")).distinct()
+    dim = load_dim(spark, sf_dir)
+    targets = load(spark, sf_dir)[1].where("dataset = 'sales' AND edge_type = 'derived_from'").select(F.col("dst").alias("name")).distinct()
     return targets.join(dim.where(F.col("name").startswith("stg")).select("name"), "name", "left_anti").join(dim.where("layer = 'mart'").select("name"), "name", "left_semi")
 
 
@@ -383,7 +408,7 @@ def j8_normalised_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j19_row_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = lambda table, key: _t(spark, sf_dir, table).select(F.concat(F.lit(f"{table}:row_"), key).alias("r"))
     rows = ref("orders", "o_orderkey").union(ref("customer", "c_custkey")).union(spark.createDataFrame([("nowhere:row_1",)], "r string"))
-    tables = load(spark)[0].where("dataset = 'star'").select(F.col("name").alias("table"))
+    tables = load(spark, sf_dir)[0].where("dataset = 'star'").select(F.col("name").alias("table"))
     return rows.withColumn("table", F.split_part("r", F.lit(":"), F.lit(1))).join(tables, "table").groupBy("table").agg(F.count("*").alias("n_rows"))
 
 
@@ -394,6 +419,6 @@ def scalar_names_and_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("foreign key of "), "name", F.lit(", key"))
     swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
     printed = F.concat(F.lit("{'table': '"), "name", F.lit("', 'row': "), "ordinal", F.lit("}"))
-    return load_dim(spark).select(
+    return load_dim(spark, sf_dir).select(
         "name", F.regexp_extract("name", "^(?:raw|stg|dim|fact|mart)_([a-z]+)", 1).alias("silo_word"), swap(swap(swap(text, "foreign key", "@1@"), "key", "handle"), "@1@", "foreign key").alias("kept_phrase"),
         F.from_json(printed, "table string, row bigint", {"allowSingleQuotes": "true"})["row"].alias("row"), F.format_string("%.3f", F.col("ordinal") / 7.0).alias("third"))

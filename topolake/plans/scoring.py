@@ -108,7 +108,7 @@ def c4_ordered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold is the least two-hop path by names, the prediction the greatest: another path counts if its hops are keys."""
     from topolake.operators import kernel as K
 
-    edges = load(spark)[1]
+    edges = load(spark, sf_dir)[1]
     both = K.undirected(edges, "fk_to").where("src <> dst")
     x = both.select("dataset", F.col("src").alias("s"), F.col("dst").alias("mid"))
     two = x.join(both.select("dataset", F.col("src").alias("mid"), F.col("dst").alias("t")), ["dataset", "mid"]).where("s <> t")

@@ -36,13 +36,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query(sql_with() + """, l AS (SELECT dataset, 0 AS part, 'TABLE ' || name AS line FROM nodes UNION ALL SELECT DISTINCT dataset, CASE edge_type WHEN 'fk_to' THEN 1 ELSE 2 END,
   CASE edge_type WHEN 'fk_to' THEN src || ' FK_TO ' || dst ELSE dst || ' DERIVED_FROM ' || src END FROM edges) SELECT dataset, string_agg(line, chr(10) ORDER BY part, line) AS text FROM l GROUP BY 1""")
 def t1_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.schema_text(*load(spark))
+    return X.schema_text(*load(spark, sf_dir))
 
 
 @query(sql_with(_FK) + """, l AS (SELECT DISTINCT dataset, src AS name, 'references ' || dst AS line FROM fk UNION SELECT DISTINCT dataset, dst, 'referenced by ' || src FROM fk)
 SELECT n.dataset, n.name, n.name || ': ' || coalesce((SELECT string_agg(line, '; ' ORDER BY line) FROM l WHERE l.dataset = n.dataset AND l.name = n.name), 'isolated') AS text FROM nodes n""")
 def t2_table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.chunks(*load(spark))
+    return X.chunks(*load(spark, sf_dir))
 
 
 @query("""WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS x FROM u GROUP BY ALL),
@@ -63,7 +63,7 @@ def t5_retrieval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some chunks and all derivations of the dataset."""
     from pyspark.sql import Window
 
-    nodes, edges = load(spark)
+    nodes, edges = load(spark, sf_dir)
     few = nodes.withColumn("r", F.row_number().over(Window.partitionBy("dataset").orderBy("name"))).where("r <= 15").groupBy("dataset").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("chunks"))
     lineage = K.directed(edges, "derived_from").groupBy("dataset").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(">", "src", "dst"))), ",").alias("all"))
     return few.join(lineage, "dataset", "left").select("dataset", F.concat("chunks", F.lit("|"), F.coalesce("all", F.lit(""))).alias("context"))
@@ -76,7 +76,7 @@ _QV = "q(id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _QUESTIO
 _HIT = """hit AS (SELECT DISTINCT q.id, n.name FROM (SELECT id, unnest(string_split_regex(text, '[^A-Za-z0-9_.]+')) AS w FROM q) q JOIN nodes n ON n.dataset = 'star' AND n.name = q.w)"""
 
 
-def _questions(spark: SparkSession) -> DataFrame:
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_QUESTIONS, "id int, text string")
 
 
@@ -86,21 +86,21 @@ def _star_names() -> list[str]:
 
 @query(sql_with(_QV, _HIT) + "SELECT q.id, coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM hit h WHERE h.id = q.id), '') AS tables FROM q")
 def j16_longest_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.mentions(_questions(spark), _star_names()).select("id", F.array_join(F.array_sort("mentioned"), ",").alias("tables"))
+    return X.mentions(_questions(spark, sf_dir), _star_names()).select("id", F.array_join(F.array_sort("mentioned"), ",").alias("tables"))
 
 
 @query(sql_with(_QV) + "SELECT q.id, n.name FROM q JOIN nodes n ON n.dataset = 'star' AND contains(lower(q.text), lower(n.name))")
 def j17_contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = load(spark)[0].where("dataset = 'star'").select("name")
-    return _questions(spark).join(F.broadcast(names), F.contains(F.lower("text"), F.lower("name"))).select("id", "name")
+    names = load(spark, sf_dir)[0].where("dataset = 'star'").select("name")
+    return _questions(spark, sf_dir).join(F.broadcast(names), F.contains(F.lower("text"), F.lower("name"))).select("id", "name")
 
 
 @query(sql_with(_FK, _UFK, _dist("ufk", 3), _QV, _HIT) + """, near AS (SELECT DISTINCT h.id, d.t AS name FROM hit h JOIN dist d ON d.dataset = 'star' AND d.s = h.name AND d.d <= 3)
 SELECT n.id, string_agg(n.name, ',' ORDER BY n.name) AS tables, (SELECT string_agg(DISTINCT f.src || '>' || f.dst, ',' ORDER BY f.src || '>' || f.dst) FROM fk f WHERE f.dataset = 'star' AND f.src IN (SELECT name FROM near m WHERE m.id = n.id) AND f.dst IN (SELECT name FROM near m WHERE m.id = n.id)) AS edges FROM near n GROUP BY n.id""")
 def t6_graph_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables within three hops of the mentioned ones, and the references among them."""
-    edges = load(spark)[1].where("dataset = 'star'")
-    hit = X.mentions(_questions(spark), _star_names()).select("id", F.explode("mentioned").alias("seed"))
+    edges = load(spark, sf_dir)[1].where("dataset = 'star'")
+    hit = X.mentions(_questions(spark, sf_dir), _star_names()).select("id", F.explode("mentioned").alias("seed"))
     walk = K.reach(K.undirected(edges, "fk_to"), hit.select(F.lit("star").alias("dataset"), "seed").distinct(), max_depth=3)
     near = hit.join(walk.select("seed", F.col("node").alias("name")), "seed").select("id", "name").distinct()
     fk = K.directed(edges, "fk_to").select("src", "dst")
@@ -124,15 +124,15 @@ def _words_vector(text: str):
 @query(None)
 def t5_question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question's nearest chunks of the star, and all its derivations."""
-    nodes, edges = (t.where("dataset = 'star'") for t in load(spark))
+    nodes, edges = (t.where("dataset = 'star'") for t in load(spark, sf_dir))
     chunks = C.chunk_texts(nodes, edges).withColumn("vec", _words_vector("text"))
-    return C.retrieved(_questions(spark).withColumn("vec", _words_vector("text")), chunks, edges)
+    return C.retrieved(_questions(spark, sf_dir).withColumn("vec", _words_vector("text")), chunks, edges)
 
 
 @query(None)
 def t6_question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components, features, touching edges and paths around the tables that each question mentions."""
-    return C.surroundings(_questions(spark), *(t.where("dataset = 'star'") for t in load(spark)))
+    return C.surroundings(_questions(spark, sf_dir), *(t.where("dataset = 'star'") for t in load(spark, sf_dir)))
 
 
 _VALUE_QUESTIONS = [
@@ -143,8 +143,8 @@ _VALUE_QUESTIONS = [
 @query(None)
 def t7_question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silos, lineage chains, samples and row lineage of the layered schema; raw tables have no generator, so no sample."""
-    nodes, edges = (t.where("dataset = 'syn_cross'") for t in load(spark))
-    dim = load_dim(spark).join(nodes.select("name", F.col("node_id").alias("place")), "name")
+    nodes, edges = (t.where("dataset = 'sales'") for t in load(spark, sf_dir))
+    dim = load_dim(spark, sf_dir).join(nodes.select("name", F.col("node_id").alias("place")), "name")
     edges = P.layered_rows(edges.where("edge_type = 'derived_from'"), dim)
     # Sizes of a catalogue's tables.
     sizes = {r["name"]: (r["kind"], r["rows"]) for r in G.row_counts(dim).collect()}
@@ -200,7 +200,7 @@ _MAP = """m AS (SELECT dataset, name AS original, 'Table_' || chr(CAST(65 + i %
 
 @query(sql_with(_MAP) + "SELECT * FROM m")
 def t12_obfuscation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.obfuscation(load(spark)[0])
+    return X.obfuscation(load(spark, sf_dir)[0])
 
 
 @query(sql_with(_MAP) + """SELECT 1 AS id, 'How do ' || (SELECT obfuscated FROM m WHERE dataset = 'star' AND original = 'lineitem') || ' and ' || (SELECT obfuscated FROM m WHERE dataset = 'star' AND original = 'customer') || ' join?' AS text
@@ -209,8 +209,8 @@ def t12_obfuscation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 4, 'Is customer_address not ' || (SELECT obfuscated FROM m WHERE dataset = 'star' AND original = 'customer') || '?' UNION ALL SELECT 5, 'Nothing here'""")
 def t13_obfuscate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The mapping of one schema: its table names, a catalogue.
-    rows = X.obfuscation(load(spark)[0].where("dataset = 'star'")).collect()
-    return X.obfuscate(_questions(spark), {r["original"]: r["obfuscated"] for r in rows})
+    rows = X.obfuscation(load(spark, sf_dir)[0].where("dataset = 'star'")).collect()
+    return X.obfuscate(_questions(spark, sf_dir), {r["original"]: r["obfuscated"] for r in rows})
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON len(b.text) >= 5 AND contains(d.text, b.text)")
@@ -235,4 +235,4 @@ def t16_solvability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_with(_BOTH, _dist("both_", 14)) + "SELECT dataset, CAST(max(d) AS INTEGER) AS diameter FROM dist GROUP BY dataset")
 def t6_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.hop_counts(*load(spark)).groupBy("dataset").agg(F.max("hops").alias("diameter"))
+    return T.hop_counts(*load(spark, sf_dir)).groupBy("dataset").agg(F.max("hops").alias("diameter"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from topolake.operators.provenance import LINEAGE_MAP
 
-from .storage import written
 
 TABLES_CSV = "TABLE_NAME string, TABLE_SCHEMA string, TABLE_TYPE string"
 RELATIONS_CSV = "ForeignKeyName string, ChildTable string, ChildColumn string, ParentTable string, ParentColumn string"
@@ -22,12 +21,17 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """df with row_id, the 0-based position in scan order: places within a partition after the sizes of those before."""
-    spot = F.monotonically_increasing_id()
-    held = written(df.select("*", F.shiftright(spot, 33).alias("part_"), spot.bitwiseAND(F.lit((1 << 33) - 1)).alias("place_")), "rows")
-    sizes = held.groupBy("part_").agg(F.count("*").alias("n_"))
-    first = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return held.join(F.broadcast(sizes.select("part_", first.alias("first_"))), "part_").withColumn("row_id", F.col("first_") + F.col("place_")).drop("part_", "place_", "first_", "n_")
+    """df, read from files and at most filtered or narrowed since, with row_id: its 0-based place by file name and line.
+
+    Spark deals splits of files to tasks by size, so places follow each row's own file and block instead: rows of a block are
+    read in order by one task, and blocks are counted and put in order of file name and start. The rows are not
+    written again; what is gathered and sorted is one row a block.
+    """
+    held = df.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("start_"), F.monotonically_increasing_id().alias("spot_"))
+    blocks = held.groupBy("file_", "start_").agg(F.count("*").alias("n_"), F.min("spot_").alias("least_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("file_", "start_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file_", "start_", "least_", before.alias("before_"))
+    return held.join(blocks, ["file_", "start_"]).withColumn("row_id", F.col("spot_") - F.col("least_") + F.col("before_")).select(*[f"`{c}`" for c in df.columns], "row_id")
 
 
 def read_lineage(spark: SparkSession, path: str) -> DataFrame:

@@ -1,12 +1,17 @@
-"""Warehouse schema graphs as data: published schemas, the star of the driver tables, and a layered synthetic one.
+"""Warehouse schema graphs: the tables that the given star makes, and published and synthetic schemas as data.
 
 Edges are stored in data-flow direction: fk_to from child to parent, derived_from from source to target.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from . import sales
+from .storage import written
+
+SALES = "sales"  # the dataset that the given star makes
 NODE_SCHEMA = "dataset string, node_id int, name string"
 EDGE_SCHEMA = "dataset string, src string, dst string, edge_type string"
 DIM_SCHEMA = "name string, silo string, layer string, ordinal int"
@@ -214,13 +219,32 @@ def graphs() -> tuple[list[tuple], list[tuple]]:
     return nodes, edges
 
 
-def load(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """The fixtures as (nodes, edges): local relations of fixed size."""
+def published(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The published schemas as (nodes, edges): local relations of fixed size."""
     nodes, edges = graphs()
     return spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA)
 
 
-def load_dim(spark: SparkSession) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the published schemas and, as dataset `sales`, of the tables that the given star makes.
+
+    The latter's edges are drawn from all order lines and written once; numbers of its tables follow their names.
+    """
+    nodes, edges = published(spark)
+    drawn = written(sales.table_edges(spark, sf_dir), "sales-edges").select(F.lit(SALES).alias("dataset"), "src", "dst", "edge_type")
+    # A catalogue: seven tables a region.
+    place = (F.row_number().over(Window.orderBy("name")) - 1).cast(nodes.schema["node_id"].dataType)
+    own = sales.tables(spark, sf_dir).select(F.lit(SALES).alias("dataset"), place.alias("node_id"), "name")
+    return nodes.unionByName(own), edges.unionByName(drawn)
+
+
+def load_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, silo, layer, ordinal) of the tables that the given star makes."""
+    return sales.tables(spark, sf_dir)
+
+
+def published_dim(spark: SparkSession) -> DataFrame:
+    """The same of the layered schema that is published."""
     return spark.createDataFrame(table_dim(), DIM_SCHEMA)
 
 
@@ -229,10 +253,11 @@ def _values(rows: list[tuple]) -> str:
 
 
 def sql_with(*more: str) -> str:
-    """WITH clause of nodes, edges and dim for SQL on the same fixtures, then further named queries."""
+    """WITH clause of nodes, edges and dim for SQL on the same tables, then further named queries."""
     nodes, edges = graphs()
     return (
-        f"WITH RECURSIVE nodes(dataset, node_id, name) AS (VALUES {_values(nodes)}),\n"
-        f"edges(dataset, src, dst, edge_type) AS (VALUES {_values(edges)}),\n"
-        f"dim(name, silo, layer, ordinal) AS (VALUES {_values(table_dim())})" + "".join(f",\n{m}" for m in more) + "\n"
+        f"WITH RECURSIVE {sales.PLACES_SQL},\n{sales.TABLES_SQL},\n{sales.EDGES_SQL},\n"
+        f"nodes(dataset, node_id, name) AS MATERIALIZED (SELECT * FROM (VALUES {_values(nodes)}) UNION ALL SELECT '{SALES}', CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER), name FROM sales_tables),\n"
+        f"edges(dataset, src, dst, edge_type) AS MATERIALIZED (SELECT * FROM (VALUES {_values(edges)}) UNION ALL SELECT '{SALES}', src, dst, edge_type FROM sales_edges),\n"
+        f"dim(name, silo, layer, ordinal) AS (SELECT name, silo, layer, ordinal FROM sales_tables)" + "".join(f",\n{m}" for m in more) + "\n"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from topolake.operators import kernel as K
 from topolake.operators import provenance as P
 from topolake.operators import topology as T
-from topolake.sources.graphs import load, load_dim
+from topolake.sources.graphs import published, published_dim
 
 
 class UnknownToolError(KeyError):
@@ -40,7 +40,7 @@ TOOLS = ToolRegistry()
 
 
 def _of(spark: SparkSession, dataset: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(t.where(F.col("dataset") == dataset) for t in load(spark))
+    return tuple(t.where(F.col("dataset") == dataset) for t in published(spark))
 
 
 def _seed(spark: SparkSession, dataset: str, table: str) -> DataFrame:
@@ -55,8 +55,8 @@ def list_tables(spark: SparkSession, dataset: str) -> DataFrame:
 @TOOLS.register
 def find_shortest_path(spark: SparkSession, dataset: str, source: str, target: str) -> DataFrame:
     """path, [] where there is none, over references and derivations."""
-    found = K.reach(K.undirected(_of(spark, dataset)[1]), _seed(spark, dataset, source), paths=True).where(F.col("node") == target)
-    return found.agg(F.coalesce(F.first("path"), F.array().cast("array<string>")).alias("path"))
+    pair = spark.createDataFrame([(dataset, 0, source, target)], "dataset string, pair int, s string, t string")
+    return K.paths_between(K.undirected(_of(spark, dataset)[1]), pair).agg(F.coalesce(F.first("path"), F.array().cast("array<string>")).alias("path"))
 
 
 @TOOLS.register
@@ -98,7 +98,7 @@ def silo_size(spark: SparkSession, dataset: str, table: str) -> DataFrame:
 # Tools on rows: row edges are an argument, (src_table, src_row, dst_table, dst_row), by default the layered schema's.
 
 def _row_edges(spark: SparkSession, edges: DataFrame | None) -> DataFrame:
-    return P.layered_rows(load(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'"), load_dim(spark)) if edges is None else edges
+    return P.layered_rows(published(spark)[1].where("dataset = 'syn_cross' AND edge_type = 'derived_from'"), published_dim(spark)) if edges is None else edges
 
 
 def _row(spark: SparkSession, table: str, row: int) -> DataFrame:
