@@ -15,6 +15,7 @@ from .parts import parts_of
 
 # What stands between terms, the scale and smoothing of shares, the documents a term needs, ranks of terms.
 GAPS = bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+FOLDED = bytes.maketrans(GAPS + bytes(range(0x41, 0x5B)), b"\n" * len(GAPS) + bytes(range(0x61, 0x7B)))  # gaps as white space, A-Z as a-z
 THOUSANDS, ADDED, LEAST_DOCS, TOP = 3, 2, 10, 10
 
 LEAVES, RANGE, SAMPLE, EDGE, WIDE, TILE, CHUNK = 1_500_000, 400_000, 2_000, 64, 32, 256, 2048
@@ -126,10 +127,10 @@ class _Counts:
         self.size = 0
 
     def add(self, texts: list[bytes], sources: np.ndarray) -> None:
-        """Counts the texts of sources with these numbers; a text that goes through several slices is one document."""
+        """Counts the folded texts of sources with these numbers; a text that goes through several slices is one document."""
         open_terms: set[bytes] = set()  # of the text that the last slice left unfinished
         done = 0
-        for of, parts, ends in parts_of(texts, gaps=GAPS):
+        for of, parts, ends in parts_of(texts):
             n = max(1, len(parts))
             doc = np.searchsorted(ends, np.arange(len(of)), side="right")
             pairs, times = np.unique(doc * n + of, return_counts=True)
@@ -178,7 +179,7 @@ def _counter(edges: list[tuple[bytes, bytes]], leaves: int):
         for pdf in batches:
             for lang, own in pdf.groupby("lang", sort=True):
                 numbers = np.array([names.setdefault(s, len(names)) for s in own["source"]], np.int64)
-                counts.setdefault(lang, _Counts()).add([t.encode().lower() for t in own["text"]], numbers)
+                counts.setdefault(lang, _Counts()).add([t.encode().translate(FOLDED) for t in own["text"]], numbers)
             if sum(c.size for c in counts.values()) >= leaves:
                 yield from emptied()
         yield from emptied()
@@ -190,7 +191,7 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Some two hundred of each text's distinct terms, evenly spaced in their order, and no more of each than an edge needs."""
     for pdf in batches:
         for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-            terms = sorted({p for _, parts, _ in parts_of([text.encode().lower()], gaps=GAPS) for p in parts})
+            terms = sorted({p for _, parts, _ in parts_of([text.encode().translate(FOLDED)]) for p in parts})
             yield pd.DataFrame({"lang": lang, "term": [t[:EDGE] for t in terms[:: 1 + len(terms) // 200]]})
 
 
