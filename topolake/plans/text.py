@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from topolake.operators import contexts as C
 from topolake.operators import generate as G
 from topolake.operators import kernel as K
+from topolake.operators import names as N
 from topolake.operators import provenance as P
 from topolake.operators import text as X
 from topolake.operators import topology as T
@@ -236,3 +237,47 @@ def t16_solvability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql_with(_BOTH, _dist("both_", 14)) + "SELECT dataset, CAST(max(d) AS INTEGER) AS diameter FROM dist GROUP BY dataset")
 def t6_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.hop_counts(*load(spark, sf_dir)).groupBy("dataset").agg(F.max("hops").alias("diameter"))
+
+
+# Every document with the customer and the part of its number put before and after its text; names of three tables and words of one.
+_NAMED = "named AS (SELECT doc_id, concat_ws(' ', c_name, text, p_name) AS text FROM documents LEFT JOIN customer ON c_custkey = doc_id LEFT JOIN part ON p_partkey = doc_id)"
+_NAMES = "known AS (SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part UNION SELECT unnest(string_split(p_name, ' ')) FROM part)"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, customer, part = (_t(spark, sf_dir, n) for n in ("documents", "customer", "part"))
+    both = docs.join(customer.select(F.col("c_custkey").alias("doc_id"), "c_name"), "doc_id", "left").join(part.select(F.col("p_partkey").alias("doc_id"), "p_name"), "doc_id", "left")
+    return both.select("doc_id", F.concat_ws(" ", "c_name", "text", "p_name").alias("text"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part").select("p_name").distinct()
+    out = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).union(_t(spark, sf_dir, "supplier").select("s_name"))
+    return out.union(part).union(part.select(F.explode(F.split("p_name", " ")))).distinct()
+
+
+@query(f"WITH {_NAMED}, {_NAMES} SELECT doc_id, name FROM named JOIN known ON contains(lower(text), lower(name))")
+def j17_names_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of a customer, supplier or part, or word of a part's, that a document contains."""
+    return N.contained(_named(spark, sf_dir), _names(spark, sf_dir), id="doc_id").select(F.col("id").alias("doc_id"), "name")
+
+
+@query(f"""WITH RECURSIVE {_NAMED}, {_NAMES}, hit AS (SELECT doc_id, lower(text) AS low, name FROM named JOIN known ON contains(lower(text), lower(name))),
+spot AS (SELECT doc_id, low, name, CAST(strpos(low, lower(name)) AS BIGINT) AS p FROM hit
+  UNION ALL SELECT doc_id, low, name, p + strpos(substr(low, p + 1), lower(name)) FROM spot WHERE strpos(substr(low, p + 1), lower(name)) > 0),
+one AS (SELECT doc_id, p - 1 AS s, p - 1 + length(name) AS e, name FROM spot),
+free AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM one)
+SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", name FROM free WHERE e > before""")
+def j16_names_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the names stand, the longest first; here places lie within one another or apart, so the SQL keeps the outermost."""
+    return N.places(_named(spark, sf_dir), _names(spark, sf_dir), id="doc_id").withColumnRenamed("id", "doc_id")
+
+
+@query("""WITH n AS (SELECT c_name AS name FROM customer UNION SELECT p_name FROM part), m AS (SELECT name, 'N_' || left(md5(name), 12) AS new FROM n),
+d AS (SELECT doc_id, text, c_name, p_name FROM documents LEFT JOIN customer ON c_custkey = doc_id LEFT JOIN part ON p_partkey = doc_id)
+SELECT doc_id, md5(concat_ws(' ', a.new, text, b.new)) AS text_md5 FROM d LEFT JOIN m a ON a.name = c_name LEFT JOIN m b ON b.name = p_name""")
+def t13_names_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with names of customers and parts replaced by made ones; the SQL puts the made ones in from the start."""
+    names = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("original")).union(_t(spark, sf_dir, "part").select("p_name")).distinct()
+    new = N.replaced(_named(spark, sf_dir), names.withColumn("obfuscated", F.concat(F.lit("N_"), F.substring(F.md5("original"), 1, 12))), id="doc_id")
+    return new.select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"))
