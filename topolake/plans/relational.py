@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from topolake.operators import kernel as K
 from topolake.operators.ordinals import dense_ranked, numbered
+from topolake.sources import batches as B
 from topolake.sources import files as FI
 from topolake.sources.graphs import load, load_dim, sql_with
 from topolake.sources.storage import shared_dir
@@ -338,6 +339,25 @@ def k6_k8_resume_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.merge(old, left, stale)
 
 
+@query("SELECT o_orderkey AS id, o_orderstatus || ':' || o_custkey AS answer FROM orders")
+def k6_committed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders answered in about eight batches by a run that fails at its fourth and is started again."""
+    every = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_custkey")
+    target, size = B.Target(spark, _folder(spark, "answers")), max(1, every.count() // 8)
+    answered = lambda rows: rows.select("id", F.concat_ws(":", "o_orderstatus", "o_custkey").alias("answer"))
+
+    def failing(rows: DataFrame) -> DataFrame:
+        if len(target.committed()) == 3:
+            raise RuntimeError("stopped")
+        return answered(rows)
+
+    try:
+        B.run(target, every, failing, "id", size)
+    except RuntimeError:
+        B.run(target, every, answered, "id", size)
+    return target.read("id bigint, answer string").drop("batch_")
+
+
 _TABLE_ROWS = ("orders", "nation", "region")
 
 

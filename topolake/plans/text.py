@@ -10,6 +10,7 @@ from topolake.operators import generate as G
 from topolake.operators import kernel as K
 from topolake.operators import names as N
 from topolake.operators import provenance as P
+from topolake.operators import replies as R
 from topolake.operators import text as X
 from topolake.operators import topology as T
 from topolake.sources.graphs import graphs, load, load_dim, sql_with
@@ -281,3 +282,24 @@ def t13_names_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("original")).union(_t(spark, sf_dir, "part").select("p_name")).distinct()
     new = N.replaced(_named(spark, sf_dir), names.withColumn("obfuscated", F.concat(F.lit("N_"), F.substring(F.md5("original"), 1, 12))), id="doc_id")
     return new.select(F.col("id").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, (conv_id + turn) % 8 AS f FROM conversations)
+SELECT conv_id, turn, CASE WHEN f IN (3, 4) THEN NULL WHEN f = 1 THEN 'integer' WHEN f = 5 THEN 'boolean' WHEN f = 6 THEN 'null' ELSE 'string' END AS kind,
+  CASE f WHEN 0 THEN text WHEN 1 THEN CAST(conv_id AS VARCHAR) WHEN 2 THEN role WHEN 5 THEN CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END WHEN 7 THEN left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 300) END AS answer,
+  CASE f WHEN 3 THEN array_to_string(list_sort(['conversations:row_' || turn, role]), ',') WHEN 4 THEN role END AS listed
+FROM c WHERE f IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL""")
+def d15_t10_t11_variant_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message as a reply in one of eight forms: an object, fenced, stated after thoughts, braced in prose, cut short, true or false, null, and as it is."""
+    c = _t(spark, sf_dir, "conversations").withColumn("f", (F.col("conv_id") + F.col("turn")) % 8).where("f IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL")
+    said = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    listed = F.concat(F.lit('{"answer_list": ['), F.concat(F.lit('"'), "role", F.lit('", ')), said(table=F.lit("conversations"), row=F.col("turn")), F.lit("]}"))
+    forms = [
+        said(answer=F.col("text")), F.concat(F.lit("Sure:\n```json\n"), said(answer=F.col("conv_id")), F.lit("\n```")), F.concat(F.lit('<think>{"answer": 1}</think>The answer is '), "role", F.lit(".")),
+        F.concat(F.lit("so "), listed, F.lit(" or {}")), F.concat(F.lit('{"answer_list": ["'), "role", F.lit('", "x')), said(answer=F.col("turn") % 2 == 0), F.lit('{"answer": null}'), F.col("text"),
+    ]
+    reply = F.when(F.col("f") == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        reply = reply.when(F.col("f") == i, form)
+    read = c.withColumn("v", R.recovered(reply)).withColumn("t", R.typed(F.col("v"), F.lit("list")))
+    return read.select("conv_id", "turn", F.col("t.kind").alias("kind"), F.col("t.text").alias("answer"), F.array_join("t.list", ",").alias("listed"))
