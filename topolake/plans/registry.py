@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, generators, provenance, rederived, relational, rounds, scoring, streams, text, topology
+from . import features, functions, generators, provenance, rederived, relational, rounds, scoring, streams, text, topology
 
-_MODULES = (topology, features, provenance, scoring, relational, text, generators, streams, rederived, rounds)
+_MODULES = (topology, features, provenance, scoring, relational, text, generators, streams, rederived, rounds, functions)
 
 
 def queries() -> dict:
