@@ -335,6 +335,12 @@ def test_toxicity_learns_and_leaves_clean_texts(spark, odd_docs, no_docs, words)
     assert again[14] >= 0.5 > again[1]
 
 
+def test_toxicity_learns_with_hits_inside_folded_words(spark, words):
+    rows = [(words(40, i) + (" grumpfen" if i % 4 == 0 else " 5grumpfen" if i % 4 == 1 else ""), int(i % 4 == 0)) for i in range(80)]
+    weights, logistic = toxicity.fit(spark.createDataFrame(rows + [("a grumpfen of label -1", -1)], "text string, toxic int"))
+    assert weights["grumpfen"] > 2 and len(logistic) == 3
+
+
 def test_labelled_takes_one_label_an_id(spark, odd_docs):
     labels = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (2, None, None), (None, 1, 1)], "doc_id long, toxic int, quality int")
     assert _rows(toxicity.labelled(odd_docs, labels), "toxic") == [(1,)]

@@ -120,11 +120,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _entries(text: Column) -> Column:
-    """Distinct words of the folded text, and their beginnings of BEGINNING to LONGEST letters with a star."""
+def _words(text: Column) -> Column:
+    """Distinct words of three letters and more of the folded text."""
     chars = {chr(k): v for k, v in FOLD.items()}
     words = F.array_distinct(F.split(F.translate(text, "".join(chars), "".join(chars.values())), r"[^\p{L}]+"))
-    words = F.filter(words, lambda w: F.length(w) >= 3)
+    return F.filter(words, lambda w: F.length(w) >= 3)
+
+
+def _entries(text: Column) -> Column:
+    """Those words, and their beginnings of BEGINNING to LONGEST letters with a star."""
+    words = _words(text)
     lengths = lambda w: F.sequence(F.lit(BEGINNING), F.least(F.length(w), F.lit(LONGEST)))
     begun = F.transform(F.filter(words, lambda w: F.length(w) >= BEGINNING), lambda w: F.transform(lengths(w), lambda n: F.concat(w.substr(F.lit(1), n), F.lit("*"))))
     return F.array_distinct(F.concat(words, F.flatten(begun)))
@@ -140,7 +145,7 @@ def fit(train_rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     that it meets texts as unseen ones.
     """
     rows = train_rows.where(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select("text", "toxic")
-    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).cache()
+    rows = rows.groupBy("text").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).cache()
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     fixed = {fold(w) for w in LEXICON}
 
@@ -161,26 +166,30 @@ def fit(train_rows: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     weights = dict.fromkeys(fixed, FLOOR) | {e: max(floor(e), odds(*c)) for e, c in counts.items()}
     a = automaton(weights)
 
-    def unseen(toxic: int) -> Callable[[str], float]:
-        """Weights without a text of that label; what is no entry without it has none."""
+    def unseen(toxic: int, words: str) -> Callable[[str], float]:
+        """Weights without a text of that label and these words, each between spaces; what is no entry without it has none.
+
+        A hit may begin inside a folded word, after a digit or a sign; the text is then not among that entry's own.
+        """
 
         def weight(entry: str) -> float:
             if entry not in counts:
                 return floor(entry)
             p, own = counts[entry]
-            value = odds(p, own, 1, toxic)
-            return max(floor(entry), value if p - toxic >= SUPPORT and value >= LEAST_ODDS else 0.0)
+            out = int((f" {entry[:-1]}" if entry.endswith("*") else f" {entry} ") in words)
+            value = odds(p, own, out, out * toxic)
+            return max(floor(entry), value if p - out * toxic >= SUPPORT and value >= LEAST_ODDS else 0.0)
 
         return weight
 
     def measured(batches):
-        weigh = unseen(0), unseen(1)
         for pdf in batches:
-            pairs = [(t, weigh[int(y > 0)]) for t, y in zip(pdf["text"], pdf["toxic"], strict=True)]
+            pairs = ((t, unseen(int(y), w)) for t, y, w in zip(pdf["text"], pdf["toxic"], pdf["words"], strict=True))
             both = [features(t, hits(t, a, w), w) for t, w in pairs]
-            yield pd.DataFrame({"rate": [x[0] for x in both], "top": [x[1] for x in both], "toxic": (pdf["toxic"] > 0).astype("int32")})
+            yield pd.DataFrame({"rate": [x[0] for x in both], "top": [x[1] for x in both], "toxic": pdf["toxic"].astype("int32")})
 
-    got = rows.mapInPandas(measured, "rate double, top double, toxic int").toPandas()
+    spaced = F.concat(F.lit(" "), F.array_join(_words(F.col("text")), " "), F.lit(" "))
+    got = rows.withColumn("words", spaced).mapInPandas(measured, "rate double, top double, toxic int").toPandas()
     rows.unpersist()
     # Two priors: clean text without a hit, toxic text with some.
     x = np.vstack([got[["rate", "top"]].to_numpy(float), [[0.0, 0.0]] * 5, [[2.0, 2.0]] * 5])
