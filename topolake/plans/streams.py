@@ -25,8 +25,7 @@ SQL["stream_windowed_counts"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"sessions_{uuid.uuid4().hex}"
-    got = E.run_once(E.sessions(E.read(spark, sf_dir)), name)
+    got = E.run_written(E.sessions(E.read(spark, sf_dir)), "sessions")
     return got.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))
 
 

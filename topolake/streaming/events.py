@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolake.sources.storage import shared_dir
+from topolake.sources.storage import place, shared_dir
 
 
 def read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,20 @@ def run_once(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def run_written(df: DataFrame, tag: str) -> DataFrame:
+    """All that is there now, through the stream, written by the executors: each batch's whole result replaces the last one."""
+    spark = df.sparkSession
+    path, log = place(spark, tag), place(spark, f"{tag}-log")
+    # Without any file there is no batch, and the result is this.
+    spark.createDataFrame([], df.schema).write.parquet(path)
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def append_once(df: DataFrame, path: str, key: str) -> None:
     """Appends rows whose key is not in path yet: a batch that is delivered again adds nothing."""
     spark = df.sparkSession
