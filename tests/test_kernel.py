@@ -160,3 +160,16 @@ def test_reach_goes_on_until_nothing_is_new(spark, way, monkeypatch):
     nodes = spark.createDataFrame([("h", i, n) for i, n in enumerate(names)], "dataset string, node_id int, name string")
     between = {r["name"]: r["betweenness"] for r in K.betweenness(nodes, edges).collect()}
     assert all(abs(between[n] - i * (7 - i) / 42) < 1e-9 for i, n in enumerate(names))
+
+
+def test_reach_by_parts_is_reach(spark):
+    # Layers, an edge that skips one, a cycle between two tables and one within a table, a repeated edge, a null table.
+    pairs = [("a1", "b1"), ("a1", "b1"), ("b1", "c1"), ("a1", "c1"), ("c1", "d1"), ("b1", "d2"), ("d2", "b2"), ("b2", "d2"), ("c1", "c2"), ("c2", "c1"), ("e1", "a1"), ("_1", "a2")]
+    node = lambda x: (None if x[0] == "_" else x[0], int(x[1]))
+    edges = spark.createDataFrame([("g", node(a), node(b)) for a, b in pairs], "dataset string, src struct<table:string,row:bigint>, dst struct<table:string,row:bigint>")
+    seeds = edges.select("dataset", F.col("src").alias("seed")).union(edges.select("dataset", "dst")).where("seed.table IS NOT NULL").distinct()
+    rows = lambda df: sorted((tuple(r["seed"]), tuple(r["node"]), r["depth"]) for r in df.collect())
+    for on_cycle in (True, False):
+        whole = rows(K.reach(edges, seeds, start_on_cycle=on_cycle))
+        with small.never():
+            assert rows(K.reach(edges, seeds, start_on_cycle=on_cycle, part=lambda n: n["table"])) == whole
