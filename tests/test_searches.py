@@ -4,6 +4,7 @@ import random
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from topolake.operators import kernel as K
 from topolake.operators import provenance as P
@@ -104,3 +105,23 @@ def test_small_graphs_are_bounded_by_work(spark):
     with small.never():
         assert not small.fits(edges)
     assert small.fits(edges)
+
+
+def test_tables_reached_goes_by_tables_and_equals_the_trace(spark, monkeypatch):
+    # 70 tables, more than one word has bits for, in four layers and by leaps; rows meet by remainders.
+    rows = [(f"t{i:02}", (k * 5 + i) % 7, f"t{j:02}", k) for i in range(69) for j in {i + 30, i + 40, 69} if i < j < 70 for k in range(7) if (k + j) % 6 and (i + j) % 4]
+    edges = spark.createDataFrame(rows, P.ROW_EDGES)
+    for upstream, of, keep in ((True, "t6", "t"), (True, "t65", "t0"), (False, "t0", "")):
+        seeds = P.rows_of(edges).where(F.col("table").startswith(of))
+        old = {}
+        for r in P.trace(edges, seeds, upstream).where(F.col("table").startswith(keep)).collect():
+            old.setdefault((r["seed_table"], r["seed_row"]), set()).add(r["table"])
+        with monkeypatch.context() as m:
+            m.setattr(P, "trace", None)  # pairs of a seed and a row would not fit on a warehouse
+            assert {(r["seed_table"], r["seed_row"]): r["tables"] for r in P.tables_reached(edges, upstream, of, keep).collect()} == {k: sorted(v) for k, v in old.items()}
+
+
+def test_tables_reached_in_a_circle(spark):
+    edges = spark.createDataFrame([("a", 1, "b", 1), ("b", 1, "a", 2), ("a", 2, "b", 3), ("c", 1, "a", 1)], P.ROW_EDGES)
+    assert {(r["seed_table"], r["seed_row"]): r["tables"] for r in P.tables_reached(edges, True, "b").collect()} == {("b", 1): ["a", "c"], ("b", 3): ["a", "b", "c"]}
+    assert P.tables_reached(edges, True, "none").count() == 0
