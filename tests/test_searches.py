@@ -125,3 +125,17 @@ def test_tables_reached_in_a_circle(spark):
     edges = spark.createDataFrame([("a", 1, "b", 1), ("b", 1, "a", 2), ("a", 2, "b", 3), ("c", 1, "a", 1)], P.ROW_EDGES)
     assert {(r["seed_table"], r["seed_row"]): r["tables"] for r in P.tables_reached(edges, True, "b").collect()} == {("b", 1): ["a", "c"], ("b", 3): ["a", "b", "c"]}
     assert P.tables_reached(edges, True, "none").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cascades_of_all_rows_go_by_tables(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    edges = [(f"t{a}", r.randrange(5), f"t{b}", r.randrange(5)) for a, b in ((r.randrange(6), r.randrange(6)) for _ in range(80)) if a < b]
+    pairs, want = {((s, i), (t, j)) for s, i, t, j in edges}, {}
+    for row in {x for e in pairs for x in e}:
+        for t, _ in (reached := plain_reach(pairs, row)):
+            want[(*row, t)] = want.get((*row, t), 0) + 1
+        if reached:
+            want[(*row, None)] = len(reached)
+    monkeypatch.setattr(K, "reach_masks", None)  # a bit for each row of a warehouse
+    assert {(r["seed_table"], r["seed_row"], r["table"]): r["n_rows"] for r in P.cascade(spark.createDataFrame(edges, P.ROW_EDGES)).collect()} == want
