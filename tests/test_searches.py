@@ -139,3 +139,21 @@ def test_cascades_of_all_rows_go_by_tables(spark, monkeypatch, seed):
             want[(*row, None)] = len(reached)
     monkeypatch.setattr(K, "reach_masks", None)  # a bit for each row of a warehouse
     assert {(r["seed_table"], r["seed_row"], r["table"]): r["n_rows"] for r in P.cascade(spark.createDataFrame(edges, P.ROW_EDGES)).collect()} == want
+
+
+def test_longest_depths_go_by_tables(spark, monkeypatch):
+    r = random.Random(5)
+    edges = [(f"t{a}", r.randrange(6), f"t{b}", r.randrange(6)) for a, b in ((r.randrange(5), r.randrange(5)) for _ in range(60)) if a < b]
+    want = {(t, i): 0 for e in edges for t, i in (e[:2], e[2:])}
+    for s, i, t, j in sorted(edges, key=lambda e: e[0]):  # sources first
+        want[t, j] = max(want[t, j], want[s, i] + 1)
+    monkeypatch.setattr(K, "longest", None)  # a round writes what is left of all edges
+    found = P.longest_depths(spark.createDataFrame(edges, P.ROW_EDGES)).collect()
+    assert len(found) == len(want) and {(x["table"], x["row"]): x["depth"] for x in found} == want
+
+
+def test_longest_depths_in_a_circle_of_tables(spark):
+    edges = [("a", 1, "b", 1), ("b", 1, "a", 2), ("a", 2, "b", 3)]
+    assert {(x["table"], x["row"]): x["depth"] for x in P.longest_depths(spark.createDataFrame(edges, P.ROW_EDGES)).collect()} == {("a", 1): 0, ("b", 1): 1, ("a", 2): 2, ("b", 3): 3}
+    with pytest.raises(ValueError, match="cycle"):
+        P.longest_depths(spark.createDataFrame([*edges, ("b", 3, "a", 1)], P.ROW_EDGES))
