@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from topolake.operators import names as N
 
@@ -73,3 +74,17 @@ def test_plan_has_no_search_of_every_name_in_every_text(mixed):
     plan = N.contained(mixed[2], mixed[3])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "contains(" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_a_task_holds_a_bounded_number_of_runs(spark, monkeypatch):
+    # Every run of these texts is let through: a batch's runs go on in chunks, and counts of chunks add up.
+    monkeypatch.setattr(N, "CHUNK_RUNS", 50)
+    texts = spark.createDataFrame([(i, f"text number {i % 7} of many words {i}") for i in range(40)] + [(None, "text number 3")], "id bigint, low string").coalesce(1)
+    runs = spark.createDataFrame([(int(r),) for i in range(40) for r in N.packed(f"text number {i % 7} of many words {i}", {8}).view("int64")], "run bigint")
+    found = N._text_runs(texts, runs, {8})
+    sizes = found.groupBy(F.spark_partition_id()).count().count()
+    assert sizes == 1 and found.where("id IS NULL").count() == 6
+    counts = N._text_runs(texts, runs, {8}, counted=True)
+    assert counts.count() > counts.select("run").distinct().count()  # several chunks of one batch
+    want = {(r["run"], r["count"]) for r in found.groupBy("run").count().collect()}
+    assert {(r["run"], r["n"]) for r in counts.groupBy("run").agg(F.sum("n").alias("n")).collect()} == want
