@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from topolake.operators import kernel as K
 from topolake.operators import provenance as P
 from topolake.operators import small
+from topolake.sources import sales
 
 
 def graph(seed, n=60, m=90, dag=False):
@@ -157,3 +158,30 @@ def test_longest_depths_in_a_circle_of_tables(spark):
     assert {(x["table"], x["row"]): x["depth"] for x in P.longest_depths(spark.createDataFrame(edges, P.ROW_EDGES)).collect()} == {("a", 1): 0, ("b", 1): 1, ("a", 2): 2, ("b", 3): 3}
     with pytest.raises(ValueError, match="cycle"):
         P.longest_depths(spark.createDataFrame([*edges, ("b", 3, "a", 1)], P.ROW_EDGES))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cascades_of_seeds_go_by_tables(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    edges = [(f"t{a}", r.randrange(5), f"t{b}", r.randrange(5)) for a, b in ((r.randrange(6), r.randrange(6)) for _ in range(80)) if a < b] + [("t0", None, "t5", 9)]
+    pairs, want = {((s, i), (t, j)) for s, i, t, j in edges}, {}
+    seeds = [(f"t{a}", i) for a in (0, 2, 5) for i in range(7)] + [("none", 1)]
+    seeds += [("t1", i) for i in range(70)]  # more than a long has bits
+    for row in seeds:
+        for t, _ in (reached := plain_reach(pairs, row)):
+            want[(*row, t)] = want.get((*row, t), 0) + 1
+        if reached:
+            want[(*row, None)] = len(reached)
+    monkeypatch.setattr(K, "reach_masks", None)  # rounds over all the edges' pairs of structs
+    found = P.cascade(spark.createDataFrame(edges, P.ROW_EDGES), spark.createDataFrame(seeds, "table string, row bigint"))
+    assert {(r["seed_table"], r["seed_row"], r["table"]): r["n_rows"] for r in found.collect()} == want
+
+
+def test_numbers_of_lines_need_no_window(spark, tmp_path):
+    keys = [1] * 3 + [2] * 1002 + [3] * 2 + [None] * 2
+    line = spark.createDataFrame([(k, i % 7, i, i, float(i), 1.0, "d") for i, k in enumerate(keys)], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_shipdate string")
+    line.write.parquet(str(tmp_path / "lineitem.parquet"))
+    bag = lambda df: sorted(map(str, df.select("l_orderkey", "row").collect()))
+    rows = sales.line_rows(spark, str(tmp_path))
+    assert bag(rows) == bag(sales.lines(spark, str(tmp_path))) and len(bag(rows)) == len(keys)
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
