@@ -48,3 +48,22 @@ def test_unknown_directions_and_columns_raise(session):
         session.sql("SELECT * FROM trace_row('orders', 1, 'sideways')").collect()
     with pytest.raises(AnalysisException, match="UNKNOWN_COLUMN nope"):
         session.sql("SELECT * FROM matching(TABLE(nation), 'nope', '1')")
+
+
+def test_calls_read_only_the_tables_that_they_name(session):
+    plan = lambda sql: session.sql(sql)._jdf.queryExecution().optimizedPlan().toString()
+    traced = plan("SELECT c_custkey, t.* FROM customer, LATERAL trace_row('customer', c_custkey, 'forward') t")
+    assert "o_custkey" in traced and "l_orderkey" not in traced and "n_regionkey" not in traced
+    assert "l_orderkey" not in plan("SELECT s.* FROM orders, LATERAL second_sources('orders', o_orderkey) s")
+    # One stage raises, and no table is read for it.
+    assert "Relation" not in plan("SELECT * FROM trace_row('nope', 1, 'forward')")
+    with pytest.raises(SparkRuntimeException, match="UNKNOWN_TABLE nope"):
+        session.sql("SELECT count(*) FROM trace_row('nope', 1, 'forward')").collect()
+
+
+def test_names_may_come_from_columns(session):
+    asked = "VALUES ('region', 1, 'forward'), ('nation', 3, 'backward'), ('nation', 3, 'backward'), ('nation', NULL, 'forward') a(n, r, w)"
+    got = [r for r in rows(session, f"SELECT a.n, t.other, t.n_rows FROM {asked}, LATERAL trace_row(a.n, a.r, a.w) t")]
+    assert got == [("nation", "region", 1), ("nation", "region", 1), ("region", "nation", 5)]
+    with pytest.raises(SparkRuntimeException, match="UNKNOWN_TABLE nope"):
+        rows(session, "SELECT t.* FROM VALUES ('region', 1), ('nope', 3) a(n, r), LATERAL trace_row(a.n, a.r, 'forward') t")

@@ -27,11 +27,13 @@ GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem
 ROW_TABLES = ("region", "nation", "customer", "orders", "lineitem")
 
 # Names are a catalogue's: they stand in the functions' text, as known when these are registered.
-_KNOWN_ROWS = "CASE WHEN tbl IN ({row_tables}) AND id = 0 THEN tbl ELSE raise_error('UNKNOWN_TABLE ' || coalesce(tbl, 'null')) END"
+_RAISE_ROWS = "CASE WHEN tbl IN ({row_tables}) THEN false ELSE CAST(raise_error('UNKNOWN_TABLE ' || coalesce(tbl, 'null')) AS BOOLEAN) END"
+_RAISE_WAY = "CASE WHEN direction IN ('forward', 'backward') THEN false ELSE CAST(raise_error('UNKNOWN_DIRECTION ' || coalesce(direction, 'null')) AS BOOLEAN) END"
 _KNOWN = "CASE WHEN data || '.' || tbl IN ({tables}) AND id = 0 THEN tbl ELSE raise_error('UNKNOWN_TABLE ' || coalesce(data || '.' || tbl, 'null')) END"
 _WAY = "CASE WHEN direction IN ('forward', 'backward') AND id = 0 THEN direction ELSE raise_error('UNKNOWN_DIRECTION ' || coalesce(direction, 'null')) END"
 
-# Arguments stand in one row `c`, which the tables are joined to. A checked name hangs on
+# Rows: arguments are conditions on the tables, so that a call with constant names reads those tables alone; names are checked by a
+# branch that has no rows. Tables: arguments stand in one row `c`, which the tables are joined to. A checked name hangs on
 # the row's own id and so is no constant to be copied into the tables' scans: one stage raises, not several.
 FUNCTIONS = {
     "list_tables": "(data STRING) RETURNS TABLE(name STRING) RETURN SELECT t.name FROM table_names t WHERE t.dataset = data",
@@ -43,13 +45,14 @@ FUNCTIONS = {
         JOIN (SELECT dataset, 'forward' AS way, src AS own, dst AS other FROM table_edges WHERE edge_type = 'derived_from'
               UNION ALL SELECT dataset, 'backward', dst, src FROM table_edges WHERE edge_type = 'derived_from') e ON e.dataset = c.data AND e.way = c.way AND e.own = c.name""",
     "trace_row": f"""(tbl STRING, place BIGINT, direction STRING) RETURNS TABLE(other STRING, n_rows BIGINT, places ARRAY<BIGINT>)
-        RETURN SELECT e.other, count(*), sort_array(collect_list(e.other_row)) FROM (SELECT {_KNOWN_ROWS} AS name, place AS place, {_WAY} AS way FROM range(1)) c
-        JOIN (SELECT 'backward' AS way, dst_table AS own, dst_row AS own_row, src_table AS other, src_row AS other_row FROM row_edges
-              UNION ALL SELECT 'forward', src_table, src_row, dst_table, dst_row FROM row_edges) e ON e.way = c.way AND e.own = c.name AND e.own_row = c.place
-        GROUP BY e.other""",
+        RETURN SELECT e.other, count(*), sort_array(collect_list(e.other_row)) FROM (SELECT 'backward' AS way, dst_table AS own, dst_row AS own_row, src_table AS other, src_row AS other_row FROM row_edges
+              UNION ALL SELECT 'forward', src_table, src_row, dst_table, dst_row FROM row_edges) e
+        WHERE e.way = direction AND e.own = tbl AND e.own_row = place GROUP BY e.other
+        UNION ALL SELECT CAST(NULL AS STRING), 0L, CAST(NULL AS ARRAY<BIGINT>) FROM range(1) WHERE {_RAISE_ROWS} OR {_RAISE_WAY}""",
     "second_sources": f"""(tbl STRING, place BIGINT) RETURNS TABLE(other STRING, other_place BIGINT)
-        RETURN SELECT DISTINCT f.src_table, f.src_row FROM (SELECT {_KNOWN_ROWS} AS name, place AS place FROM range(1)) c
-        JOIN row_edges e ON e.dst_table = c.name AND e.dst_row = c.place JOIN row_edges f ON f.dst_table = e.src_table AND f.dst_row = e.src_row""",
+        RETURN SELECT DISTINCT f.src_table, f.src_row FROM row_edges e JOIN row_edges f ON f.dst_table = e.src_table AND f.dst_row = e.src_row
+        WHERE e.dst_table = tbl AND e.dst_row = place
+        UNION ALL SELECT CAST(NULL AS STRING), 0L FROM range(1) WHERE {_RAISE_ROWS}""",
 }
 
 
