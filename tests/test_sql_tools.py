@@ -67,3 +67,10 @@ def test_names_may_come_from_columns(session):
     assert got == [("nation", "region", 1), ("nation", "region", 1), ("region", "nation", 5)]
     with pytest.raises(SparkRuntimeException, match="UNKNOWN_TABLE nope"):
         rows(session, "SELECT t.* FROM VALUES ('region', 1), ('nope', 3) a(n, r), LATERAL trace_row(a.n, a.r, 'forward') t")
+
+
+def test_tools_of_rows_draw_no_table_edges(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(sql_tools, "load", None)  # joins all lines with their orders
+    from topolake.plans.functions import Q
+
+    assert Q["u1_sql_trace_row"](spark, sf_dir).count() > 0

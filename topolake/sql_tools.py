@@ -71,17 +71,26 @@ class Matching:
             yield t
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Views and functions in the session; called again, those of the folder named last."""
+OF_TABLES = ("list_tables", "check_direct_fk", "lineage_of")
+
+
+def register(spark: SparkSession, sf_dir: str, tables: bool = True) -> None:
+    """Views and functions in the session; called again, those of the folder named last.
+
+    Without `tables` those of rows alone, OF_TABLES left out: these need the table edges, drawn from all order lines.
+    """
     for name in GIVEN:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     rows = P.star_edges(spark, sf_dir)
     rows.createOrReplaceTempView("row_edges")
-    nodes, edges = load(spark, sf_dir)
-    nodes.select("dataset", "name").createOrReplaceTempView("table_names")
-    written(edges.select("dataset", "src", "dst", "edge_type"), "table-edges").createOrReplaceTempView("table_edges")
     quoted = lambda names: ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
-    tables = quoted(f"{r['dataset']}.{r['name']}" for r in nodes.select("dataset", "name").distinct().collect())
+    known = ""
+    if tables:
+        nodes, edges = load(spark, sf_dir)
+        nodes.select("dataset", "name").createOrReplaceTempView("table_names")
+        written(edges.select("dataset", "src", "dst", "edge_type"), "table-edges").createOrReplaceTempView("table_edges")
+        known = quoted(f"{r['dataset']}.{r['name']}" for r in nodes.select("dataset", "name").distinct().collect())
     for name, body in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body.replace('{tables}', tables).replace('{row_tables}', quoted(ROW_TABLES))}")
+        if tables or name not in OF_TABLES:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body.replace('{tables}', known).replace('{row_tables}', quoted(ROW_TABLES))}")
     spark.udtf.register("matching", F.udtf(Matching))
