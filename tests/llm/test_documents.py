@@ -182,6 +182,21 @@ def test_crowded_classes_and_keys_are_whole(spark, words):
     assert sorted(_rows(found, "doc_id", "n_shingles", "component_id"), key=str) == _components(list(enumerate(texts)))
 
 
+def test_sets_of_texts_are_made_once(spark, words, monkeypatch):
+    docs = [(i, words(60, i // 2) + " tail" * (i % 2)) for i in range(20)]
+    df, plans, write = spark.createDataFrame(docs, "doc_id long, text string"), {}, neardup.materialize
+
+    def seen(out, tag):
+        plans[tag] = out._jdf.queryExecution().optimizedPlan().toString()
+        return write(out, tag)
+
+    monkeypatch.setattr(neardup, "materialize", seen)
+    found = neardup.near_duplicates(df)
+    assert sorted(_rows(found, "doc_id", "n_shingles", "component_id"), key=str) == _components(docs)
+    # One Python step makes the sets, one confirms the links: a task that makes sets needs one worker.
+    assert len(re.findall("ArrowEvalPython|MapInPandas", plans["edges"])) == 2
+
+
 # Mixing
 
 def test_draws_are_multinomial_and_end_at_their_slots():

@@ -267,13 +267,14 @@ def grouped(
     # Whole sets, made again from the text of one document a class, only for classes in groups.
     wanted = units.select("node", "least").distinct()
 
-    @F.pandas_udf("class_id long, shingles binary")
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words).tobytes() for t in texts]
-        return pd.DataFrame({"class_id": [xxhash.xxh3_64_intdigest(s) - 2**63 for s in sets], "shingles": sets})
+    # Not a column's function: the join's test for nulls would pass below it and make each set in a second worker too.
+    def whole(batches):
+        for pdf in batches:
+            sets = [shingle_set(t, words).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"class_id": [xxhash.xxh3_64_intdigest(s) - 2**63 for s in sets], "shingles": sets})
 
     chosen = docs.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    sets = chosen.select(whole(F.col("text")).alias("s")).select("s.*").dropDuplicates(["class_id"])
+    sets = chosen.select("text").mapInPandas(whole, "class_id long, shingles binary").dropDuplicates(["class_id"])
     work = units.join(sets, F.col("node") == F.col("class_id")).select("root", "node", "packed", "shingles", F.explode("units").alias("u"))
     unit = F.xxhash64("root", "u.lb", "u.l", "u.rb", "u.r")
     work = work.select(unit.alias("unit"), F.col("u.side").alias("side"), "node", "packed", "shingles").repartition(parts, "unit").sortWithinPartitions("unit")
