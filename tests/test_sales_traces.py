@@ -40,7 +40,7 @@ def odd(tmp_path):
     return str(tmp_path), con
 
 
-@pytest.mark.parametrize("name", ["v3_full_provenance", "v4_full_impact", "v6_lineage_depth"])
+@pytest.mark.parametrize("name", ["v3_full_provenance", "v4_full_impact", "v6_lineage_depth", "v5_cascade_count_layered"])
 def test_whole_traces_need_no_search(spark, odd, monkeypatch, name):
     path, con = odd
 
@@ -48,11 +48,12 @@ def test_whole_traces_need_no_search(spark, odd, monkeypatch, name):
         raise AssertionError("rows' edges were searched")
 
     monkeypatch.setattr(P, "trace", searched)
+    monkeypatch.setattr(provenance, "layered", searched)
     assert sales_traces.plain(spark, path)
     check(provenance.Q[name](spark, path), con, provenance.SQL[name])
 
 
-@pytest.mark.parametrize("name", ["v3_full_provenance", "v4_full_impact", "v6_lineage_depth"])
+@pytest.mark.parametrize("name", ["v3_full_provenance", "v4_full_impact", "v6_lineage_depth", "v5_cascade_count_layered"])
 def test_repeated_keys_are_traced_by_edges(spark, odd, name):
     path, con = odd
     con.execute("DROP VIEW customer")
