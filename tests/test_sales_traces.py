@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from topolake.operators import provenance as P
-from topolake.plans import provenance
+from topolake.plans import provenance, rederived
 from topolake.sources import sales_traces
 
 TABLES = {
@@ -53,6 +53,16 @@ def test_whole_traces_need_no_search(spark, odd, monkeypatch, name):
     check(provenance.Q[name](spark, path), con, provenance.SQL[name])
 
 
+def test_rederived_rows_need_no_search(spark, sf_dir, duck, monkeypatch):
+    def searched(*_, **__):
+        raise AssertionError("rows' edges were searched")
+
+    monkeypatch.setattr(P, "trace", searched)
+    monkeypatch.setattr(rederived.R, "tier2", searched)
+    name = "x3_x4_rederived_rows"
+    check(rederived.Q[name](spark, sf_dir), duck, rederived.SQL[name])
+
+
 @pytest.mark.parametrize("name", ["v3_full_provenance", "v4_full_impact", "v6_lineage_depth", "v5_cascade_count_layered"])
 def test_repeated_keys_are_traced_by_edges(spark, odd, name):
     path, con = odd
